@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, quality, simhash
+from . import fm_dedup, media, quality, simhash, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -24,7 +32,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_simhash, op9_quality, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_simhash, op4_suffix_dedup, op6_fm_dedup, op9_quality, op10_media)}
 
 #: No operator of this subpackage can be expressed in SQL; tests hold each against brute force.
 ORACLES: dict[str, str] = {}
