@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fm_dedup, media, quality, simhash, suffix_dedup
+from . import fm_dedup, html_text, media, pieces_codec, quality, simhash, suffix_dedup, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces_codec.decode(pieces_codec.encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +34,10 @@ def op6_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), token_counts.sample_edits())
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -32,7 +46,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_simhash, op4_suffix_dedup, op6_fm_dedup, op9_quality, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_simhash, op4_suffix_dedup, op6_fm_dedup, op8_token_counts, op9_quality, op10_media)}
 
 #: No operator of this subpackage can be expressed in SQL; tests hold each against brute force.
 ORACLES: dict[str, str] = {}
