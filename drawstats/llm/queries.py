@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_dedup, html_text, media, pieces_codec, quality, simhash, suffix_dedup, token_counts
+from . import brown_lm, fm_dedup, html_text, media, mixing, pieces_codec, quality, simhash, suffix_dedup, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), token_counts.sample_edits())
 
@@ -46,7 +54,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_simhash, op4_suffix_dedup, op6_fm_dedup, op8_token_counts, op9_quality, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_simhash, op4_suffix_dedup, op5_brown_lm, op6_fm_dedup, op7_mixing, op8_token_counts, op9_quality, op10_media)}
 
 #: No operator of this subpackage can be expressed in SQL; tests hold each against brute force.
 ORACLES: dict[str, str] = {}
