@@ -297,6 +297,7 @@ def _shards(scheme: Scheme) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, symbols = [], 0
+        seen = None  # the last run
         window = (None,) * 5  # the first row of the last hot window
         for batch in batches:
             h, c, kind, d, v, q = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
@@ -317,6 +318,16 @@ def _shards(scheme: Scheme) -> Callable:
                 yield marks(wd[again], wv[again], wq[again])
                 window = (int(w1[-1]), int(w2[-1]), int(ld[-1]), int(lv[-1]), int(lq[-1]))
             cold = np.flatnonzero(kind == _BORDER)
+            if not len(cold):
+                continue
+            # documents whose rows repeat send their runs more than once
+            fresh = _groups(h[cold], d[cold], v[cold], q[cold])
+            at = int(cold[0])
+            if (int(h[at]), int(d[at]), int(v[at]), int(q[at])) == seen:
+                fresh[0] = False
+            at = int(cold[-1])
+            seen = (int(h[at]), int(d[at]), int(v[at]), int(q[at]))
+            cold = cold[fresh]
             if not len(cold):
                 continue
             runs = batch.column(6)
