@@ -1,6 +1,455 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and, where SQL can express them, their DuckDB counterparts.
+
+The two sides are written apart from each other.  Doubles are rounded on both.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import combos
+from .operators import history, hmm, ranking, sampling, scores
+from .plans import backtest, ml, serve
+from .sources import draws as source
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+# ------------------------------------------------------------------ shared SQL
+
+DRAWS = """
+cand AS (SELECT CAST(floor(l_orderkey / 12) AS BIGINT) + 1 AS round, CAST(l_partkey % 45 + 1 AS INT) AS number, min(l_orderkey * 1000 + l_linenumber) AS k
+         FROM lineitem GROUP BY 1, 2),
+ord AS (SELECT round, number, row_number() OVER (PARTITION BY round ORDER BY k, number) AS rn FROM cand),
+app AS (SELECT round, number FROM ord WHERE rn <= 6),
+bon AS (SELECT round, number AS bonus FROM ord WHERE rn = 7),
+rnd AS (SELECT round, row_number() OVER (ORDER BY round) AS pos FROM (SELECT DISTINCT round FROM cand
+        UNION SELECT max(round) + 1 FROM cand)),
+ap AS (SELECT r.pos, r.round, a.number FROM app a JOIN rnd r USING (round)),
+drw AS (SELECT a.pos, a.round, list_sort(list(a.number)) AS c, any_value(b.bonus) AS bonus FROM ap a LEFT JOIN bon b USING (round) GROUP BY 1, 2),
+num AS (SELECT CAST(range AS INT) AS number FROM range(1, 46)),
+grd AS (SELECT r.pos, r.round, n.number, CASE WHEN a.number IS NULL THEN 0 ELSE 1 END AS a
+        FROM rnd r CROSS JOIN num n LEFT JOIN ap a ON a.pos = r.pos AND a.number = n.number)
+"""
+STATS = (
+    DRAWS
+    + """,
+win AS (SELECT pos, round, number, a,
+  (1 + coalesce(sum(a) OVER w50, 0)) / (2.0 + count(*) OVER w50) AS base,
+  CASE WHEN coalesce(sum(a) OVER w5, 0) >= 2 THEN 1 ELSE 0 END AS hot,
+  CASE WHEN coalesce(sum(a) OVER w10, 0) = 0 AND pos > 1 THEN 1 ELSE 0 END AS cold,
+  coalesce(lag(a, 1) OVER o, 0) AS carryover,
+  CASE WHEN lag(a, 2) OVER o = 1 AND lag(a, 1) OVER o = 0 THEN 1 ELSE 0 END AS carryover2,
+  greatest(0.0, coalesce(sum(a) OVER w20, 0) - count(*) OVER w20 * 6 / 45.0) AS excess
+  FROM grd WINDOW o AS (PARTITION BY number ORDER BY pos), w50 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING),
+  w5 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+  w20 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+flg AS (SELECT x.*, CASE WHEN (coalesce(lag(carryover) OVER p, 0) = 1 OR coalesce(lead(carryover) OVER p, 0) = 1) AND carryover = 0 THEN 1 ELSE 0 END AS neighbor,
+  (SELECT 0) AS zero FROM win x WINDOW p AS (PARTITION BY pos ORDER BY number)),
+stt AS (SELECT f.*, m.carryover AS reverse FROM flg f JOIN win m ON m.pos = f.pos AND m.number = 46 - f.number)
+"""
+)
+MARKOV = """,
+tr AS (SELECT x.pos + 1 AS pos, x.number AS prev, y.number AS curr FROM ap x JOIN ap y ON y.pos = x.pos + 1),
+ev AS (SELECT pos, 0 AS kind, prev, curr AS number FROM tr
+       UNION ALL SELECT a.pos, 1, a.number, n.number FROM ap a CROSS JOIN num n),
+cm AS (SELECT pos, kind, prev, number, sum(1 - kind) OVER (PARTITION BY prev, number ORDER BY pos, kind ROWS UNBOUNDED PRECEDING) AS n FROM ev),
+et AS (SELECT pos, 0 AS kind, prev, count(*) AS k FROM tr GROUP BY 1, 3 UNION ALL SELECT pos, 1, number, 0 FROM ap),
+ct AS (SELECT pos, kind, prev, sum(k) OVER (PARTITION BY prev ORDER BY pos, kind ROWS UNBOUNDED PRECEDING) AS total FROM et),
+mk AS (SELECT c.pos + 1 AS pos, c.number, sum(CASE WHEN t.total > 0 THEN c.n / CAST(t.total AS DOUBLE) ELSE 0 END) / 6 AS markov
+       FROM cm c JOIN ct t ON t.pos = c.pos AND t.prev = c.prev AND t.kind = 1 WHERE c.kind = 1 GROUP BY 1, 2),
+st AS (SELECT s.*, coalesce(m.markov, 0) AS markov FROM stt s LEFT JOIN mk m USING (pos, number))
+"""
+SCORE = "greatest(0.0, base + hot * 0.4 + cold * 0.15 + (carryover + carryover2) * 0.4 + neighbor * 0.3 + reverse * 0.1 - excess * 0.5 - markov * 0.3)"
+NEXT = f""",
+nx AS (SELECT number, {SCORE} AS score FROM st WHERE pos = (SELECT max(pos) FROM rnd)),
+sm AS (SELECT number, score, exp((score - max(score) OVER ()) / 0.5) AS e FROM nx),
+pr AS (SELECT number, score, 0.005 + (1 - 0.005 * 45) * (e / sum(e) OVER ()) AS p FROM sm)
+"""
+
+
+def _samples_sql(n: int, table: str, name: str, seed: int = 42) -> str:
+    u = f"(CAST('0x' || substr(md5('{seed}|' || s.range || '|' || p.number), 1, 8) AS BIGINT) + 0.5) / 4294967296"
+    return f""",
+{name}k AS (SELECT s.range AS sample_id, p.number, row_number() OVER (PARTITION BY s.range ORDER BY ln(p.p) - ln(-ln({u})) DESC, p.number) AS rn
+  FROM range(0, {n}) s CROSS JOIN {table} p),
+{name} AS (SELECT sample_id, list_sort(list(number)) AS c FROM {name}k WHERE rn <= 6 GROUP BY 1)
+"""
+
+
+N_SAMPLES = 2000
+EQUAL = ", eq AS (SELECT number, 1.0 / 45 AS p FROM num)"
+_AC = "(SELECT count(DISTINCT y.v - x.v) FROM unnest(c) AS x(v), unnest(c) AS y(v) WHERE y.v > x.v) - 5"
+_COUNT = "len(list_filter(c, lambda x: {}))"
+ZONE = "greatest(" + ", ".join(_COUNT.format(f"x BETWEEN {a} AND {b}") for a, b in combos.ZONES) + ")"
+ENDING = "greatest(" + ", ".join(_COUNT.format(f"x % 10 = {d}") for d in range(10)) + ")"
+FACTS = f"""CAST(list_sum(c) AS BIGINT) AS total, {_AC} AS ac, {ZONE} AS zone, {ENDING} AS ending, {_COUNT.format("x % 2 = 1")} AS odd, {_COUNT.format("x >= 23")} AS high"""
+FAILED = """CASE WHEN NOT total BETWEEN 100 AND 175 THEN 'sum' WHEN NOT ac >= 7 THEN 'ac' WHEN NOT zone <= 3 THEN 'zone' WHEN NOT ending <= 2 THEN 'ending'
+  WHEN NOT odd BETWEEN 2 AND 4 THEN 'odd_even' WHEN NOT high BETWEEN 2 AND 4 THEN 'high_low' END"""
+KEY = "array_to_string(c, '-')"
+
+
+# ------------------------------------------------------------------ Spark side
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+def draws_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.from_lineitem(lines(spark, sf_dir))
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c: str, digits: int = 9) -> F.Column:
+    return F.round(F.col(c).cast("double"), digits).alias(c)
+
+
+def _next_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = scores.next_round(scores.statistics(draws_of(spark, sf_dir))).withColumn("score", scores.score())
+    return scores.probabilities(table.select("number", "score"), 0.5, 0.005, [])
+
+
+def _uniform_samples(spark: SparkSession, n: int = N_SAMPLES, seed: int = 42) -> DataFrame:
+    return sampling.samples(sampling.uniform_table(spark.range(1)), n, seed)
+
+
+@query(f"WITH {DRAWS} SELECT round, c[1] AS n1, c[2] AS n2, c[3] AS n3, c[4] AS n4, c[5] AS n5, c[6] AS n6, bonus FROM drw")
+def draws(spark, sf_dir):
+    return source.wide(draws_of(spark, sf_dir))
+
+
+@query(f"WITH {DRAWS} SELECT pos, round, {KEY} AS combo FROM drw ORDER BY round DESC LIMIT 50")
+def recent_rounds(spark, sf_dir):
+    rows = scores.positions(draws_of(spark, sf_dir)).filter("c IS NOT NULL")
+    return source.recent(rows, 50).select("pos", "round", combos.key(F.col("c")).alias("combo"))
+
+
+@query("""SELECT user_id AS round, max(CAST(event_id AS BIGINT)) FILTER (rn = 1) AS event_id, max(event_type) FILTER (rn = 1) AS event_type FROM
+  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY 1""")
+def upsert_keep_last(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("round"), "ts", F.col("event_id").cast("long").alias("event_id"), "event_type")
+    return source.latest_rows(e, "round", "ts", "event_id").select("round", "event_id", "event_type")
+
+
+@query(f"WITH {DRAWS} SELECT number, count(*) AS n, (1 + count(*)) / (2.0 + (SELECT count(*) FROM drw)) AS posterior FROM ap GROUP BY 1")
+def appearance_counts(spark, sf_dir):
+    d = draws_of(spark, sf_dir)
+    n = d.select(F.explode("c").alias("number")).groupBy("number").agg(F.count("*").alias("n")).crossJoin(F.broadcast(d.agg(F.count("*").alias("rows"))))
+    a, b = scores.posterior(F.lit(1), F.lit(1), F.col("n"), F.col("rows"))
+    return n.select("number", "n", (a / (a + b)).alias("posterior"))
+
+
+@query(f"""WITH {STATS} SELECT pos, round, number, a, round(base, 9) AS base, hot, cold, carryover, carryover2, neighbor, reverse, round(excess, 9) AS excess FROM stt""")
+def grid_flags(spark, sf_dir):
+    return scores.flags(scores.grid(draws_of(spark, sf_dir))).select("pos", "round", "number", "a", _r("base"), "hot", "cold", "carryover", "carryover2", "neighbor", "reverse", _r("excess"))
+
+
+@query(f"WITH {DRAWS}, t AS (SELECT x.number AS prev, y.number AS curr, count(*) AS n FROM ap x JOIN ap y ON y.pos = x.pos + 1 GROUP BY 1, 2) SELECT prev, curr, n, round(n / CAST(sum(n) OVER (PARTITION BY prev) AS DOUBLE), 9) AS p FROM t")
+def transition_matrix(spark, sf_dir):
+    return scores.transitions(draws_of(spark, sf_dir)).select("prev", "curr", "n", _r("p"))
+
+
+@query(f"WITH {STATS}{MARKOV} SELECT pos, number, round(markov, 9) AS markov FROM mk")
+def markov_penalty(spark, sf_dir):
+    return scores.markov(draws_of(spark, sf_dir)).select("pos", "number", _r("markov"))
+
+
+@query(f"WITH {STATS}{MARKOV} SELECT pos, number, round({SCORE}, 9) AS score FROM st")
+def ensemble_scores(spark, sf_dir):
+    return scores.statistics(draws_of(spark, sf_dir)).withColumn("score", scores.score()).select("pos", "number", _r("score"))
+
+
+@query(f"WITH {STATS}{MARKOV}{NEXT} SELECT number, round(score, 9) AS score FROM nx ORDER BY nx.score DESC, number LIMIT 15")
+def score_top15(spark, sf_dir):
+    table = scores.next_round(scores.statistics(draws_of(spark, sf_dir))).withColumn("score", scores.score()).select("number", "score")
+    return ranking.top_numbers(table, 15).select("number", _r("score"))
+
+
+@query(f"WITH {STATS}{MARKOV}{NEXT} SELECT number, round(p, 9) AS p FROM pr")
+def sampling_probabilities(spark, sf_dir):
+    return _next_probabilities(spark, sf_dir).select("number", _r("p"))
+
+
+@query(f"""WITH {STATS}{MARKOV} SELECT number, array_to_string(list_filter([CASE WHEN hot = 1 THEN 'hot' END, CASE WHEN carryover = 1 THEN 'carryover' END, CASE WHEN carryover2 = 1 THEN 'carryover2' END,
+  CASE WHEN neighbor = 1 THEN 'neighbor' END, CASE WHEN reverse = 1 THEN 'reverse' END, CASE WHEN cold = 1 THEN 'cold' END], lambda x: x IS NOT NULL)[1:3], ',') AS tags
+  FROM st WHERE pos = (SELECT max(pos) FROM rnd)""")
+def number_tags(spark, sf_dir):
+    t = scores.next_round(scores.flags(scores.grid(draws_of(spark, sf_dir))))
+    return t.select("number", F.array_join(combos.preferred_tags(scores.tags()), ",").alias("tags"))
+
+
+@query(f"WITH {DRAWS} SELECT round, {KEY} AS combo, list_sum(list_transform(c, lambda x: CAST(1 AS BIGINT) << (x - 1)))::BIGINT AS mask, {FACTS} FROM drw")
+def combination_facts(spark, sf_dir):
+    c = F.col("c")
+    return draws_of(spark, sf_dir).select(
+        "round", combos.key(c).alias("combo"), combos.mask(c).alias("mask"), combos.total(c).cast("long").alias("total"), combos.ac_value(c).cast("long").alias("ac"),
+        combos.most_in_zone(c).cast("long").alias("zone"), combos.most_with_ending(c).cast("long").alias("ending"), combos.n_odd(c).cast("long").alias("odd"), combos.n_high(c).cast("long").alias("high"),
+    )
+
+
+@query(f"""WITH {DRAWS}, s AS (SELECT array_to_string(list_filter(c, lambda x: x <> y.v), '-') AS subset FROM drw, unnest(c) AS y(v)) SELECT subset, count(*) AS n FROM s GROUP BY 1""")
+def five_subsets(spark, sf_dir):
+    k = F.explode(F.transform(combos.five_subsets(F.col("c")), combos.key)).alias("subset")
+    return draws_of(spark, sf_dir).select(k).groupBy("subset").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DRAWS}, f AS (SELECT round, {KEY} AS combo, {FACTS} FROM drw) SELECT round, combo, {FAILED} AS failed_filter FROM f")
+def filter_pipeline(spark, sf_dir):
+    tests = combos.filters(F.col("c"))
+    return draws_of(spark, sf_dir).select("round", combos.key(F.col("c")).alias("combo"), combos.first_failure(tests).alias("failed_filter"))
+
+
+@query(f"WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, 'eq', 'smp')}, f AS (SELECT {FACTS} FROM smp) SELECT coalesce({FAILED}, 'passed') AS failed_filter, count(*) AS n FROM f GROUP BY 1")
+def rejection_counts(spark, sf_dir):
+    failed = F.coalesce(combos.first_failure(combos.filters(F.col("c"))), F.lit("passed"))
+    return _uniform_samples(spark).groupBy(failed.alias("failed_filter")).agg(F.count("*").alias("n"))
+
+
+_RARE_SQL = " OR ".join(f"(list_contains(c, {a}) AND list_contains(c, {b}))" for a, b in combos.RARE_PAIRS)
+
+
+@query(f"""WITH {DRAWS}, q AS (SELECT d.round, d.c, list_concat(x.c, y.c) AS near FROM drw d JOIN drw x ON x.pos = d.pos - 1 LEFT JOIN drw y ON y.pos = d.pos - 2)
+  SELECT round, CASE WHEN {_RARE_SQL} THEN 'rare_pair' WHEN list_contains(c, 8) THEN 'excluded' WHEN len(list_filter(c, lambda x: list_contains(near, x))) > 2 THEN 'carryover' END AS failed_filter FROM q""")
+def special_filters(spark, sf_dir):
+    rows = scores.positions(draws_of(spark, sf_dir)).filter("c IS NOT NULL AND last IS NOT NULL")
+    near = F.array_union("last", F.coalesce("before", F.array().cast("array<int>")))
+    return rows.select("round", combos.first_failure(combos.special_filters(F.col("c"), (8,), near, 2)).alias("failed_filter"))
+
+
+def _history_sql(n: int) -> str:
+    return f"""WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, "eq", "smp")}, w AS (SELECT DISTINCT c FROM smp), h AS (SELECT DISTINCT c FROM drw)
+  SELECT {KEY} AS combo FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE len(list_intersect(h.c, w.c)) >= {n})"""
+
+
+def _history(n: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        candidates = _uniform_samples(spark).select("c").distinct()
+        return history.unseen(candidates, draws_of(spark, sf_dir), n).select(combos.key(F.col("c")).alias("combo"))
+
+    return run
+
+
+for _n in (3, 4, 5, 6):
+    QUERIES[f"history_filter_{_n}"] = _history(_n)
+    ORACLES[f"history_filter_{_n}"] = _history_sql(_n)
+
+
+@query(f"WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, 'pr', 'smp')} SELECT sample_id, {KEY} AS combo FROM smp")
+def gumbel_samples(spark, sf_dir):
+    return sampling.samples(_next_probabilities(spark, sf_dir), N_SAMPLES).select("sample_id", combos.key(F.col("c")).alias("combo"))
+
+
+@query(f"WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, 'eq', 'smp', 7)} SELECT sample_id, {KEY} AS combo FROM smp")
+def random_baseline(spark, sf_dir):
+    return _uniform_samples(spark, seed=7).select("sample_id", combos.key(F.col("c")).alias("combo"))
+
+
+@query(f"""WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, "eq", "smp")}, f AS (SELECT sample_id, c, {FACTS} FROM smp), g AS (SELECT {KEY} AS combo, min(sample_id) AS sample_id FROM f WHERE {FAILED} IS NULL GROUP BY 1)
+  SELECT combo, sample_id FROM g ORDER BY sample_id LIMIT 350""")
+def rejection_sampling(spark, sf_dir):
+    ok = combos.first_failure(combos.filters(F.col("c"))).isNull()
+    out = sampling.rejection(_uniform_samples(spark), ok, F.lit(True), games=5, target=350)
+    return out.filter("phase = 0").select(combos.key(F.col("c")).alias("combo"), "sample_id")
+
+
+_RANKED_SQL = f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, "pr", "smp")}, u AS (SELECT c, min(sample_id) AS sample_id FROM smp GROUP BY 1),
+  sc AS (SELECT u.c, u.sample_id, (SELECT sum(n.score) FROM unnest(u.c) AS y(v) JOIN nx n ON n.number = y.v) AS combo_score FROM u),
+  rk AS (SELECT c, sample_id, combo_score, row_number() OVER (ORDER BY round(combo_score, 9) DESC, sample_id) AS rank FROM sc)"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _next_probabilities(spark, sf_dir).cache()
+    return ranking.ranked(ranking.scored(ranking.distinct_first(sampling.samples(p, N_SAMPLES)), p).withColumn("combo_score", F.round("combo_score", 9)))
+
+
+@query(f"{_RANKED_SQL} SELECT rank, {KEY} AS combo, round(combo_score, 6) AS combo_score FROM rk WHERE rank <= 180")
+def ranked_combinations(spark, sf_dir):
+    return _ranked(spark, sf_dir).filter("rank <= 180").select(F.col("rank").cast("long").alias("rank"), combos.key(F.col("c")).alias("combo"), _r("combo_score", 6))
+
+
+@query(f"""{_RANKED_SQL.replace("WITH", "WITH RECURSIVE", 1)}, pick AS (
+  SELECT 1::BIGINT AS rank, [c] AS chosen FROM rk WHERE rank = 1
+  UNION ALL SELECT r.rank, CASE WHEN len(p.chosen) < 10 AND len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > 3)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END
+  FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE r.rank <= 220)
+  SELECT array_to_string(y.v, '-') AS combo FROM (SELECT chosen FROM pick ORDER BY rank DESC LIMIT 1) q, unnest(q.chosen) AS y(v)""")
+def diverse_choice(spark, sf_dir):
+    return ranking.diverse(_ranked(spark, sf_dir), 10, 3).select(F.explode("chosen").alias("c")).select(combos.key(F.col("c")).alias("combo"))
+
+
+@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, "pr", "smp")}, n AS (SELECT y.v AS number, count(*) AS k FROM smp, unnest(c) AS y(v) GROUP BY 1),
+  q AS (SELECT u.number, coalesce(n.k, 0) AS k FROM num u LEFT JOIN n USING (number)), f AS (SELECT number, k / CAST(sum(k) OVER () AS DOUBLE) AS p FROM q),
+  b AS (SELECT number, greatest(0, 0.65 * pr.p + 0.35 * f.p) AS b FROM pr JOIN f USING (number)) SELECT number, round(b / sum(b) OVER (), 9) AS p FROM b""")
+def blended_weights(spark, sf_dir):
+    p = _next_probabilities(spark, sf_dir).cache()
+    return sampling.blended(p, sampling.number_shares(sampling.samples(p, N_SAMPLES))).select("number", _r("p"))
+
+
+@query(f"{_RANKED_SQL} SELECT " + ", ".join(f"round(quantile_cont(round(combo_score, 9), {x}), 8) AS p{int(x * 100)}" for x in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM rk")
+def score_quantiles(spark, sf_dir):
+    return serve.quantiles(_ranked(spark, sf_dir)).select(*[_r(f"p{k}", 8) for k in (10, 25, 50, 75, 90)])
+
+
+@query(f"WITH {DRAWS} SELECT x.number AS x, y.number AS y, count(*) AS n FROM ap x JOIN ap y ON x.pos = y.pos AND x.number < y.number GROUP BY 1, 2")
+def pair_counts(spark, sf_dir):
+    return history.co_occurrence(draws_of(spark, sf_dir))
+
+
+@query(f"WITH {DRAWS} SELECT x.number AS x, y.number AS y, count(*) AS n FROM ap x JOIN ap y ON x.pos = y.pos AND x.number < y.number GROUP BY 1, 2 ORDER BY n, 1, 2 LIMIT 22")
+def rare_pairs(spark, sf_dir):
+    return history.rare_pairs(draws_of(spark, sf_dir))
+
+
+@query(f"""WITH {DRAWS}, h AS (SELECT y.pos, x.c, len(list_intersect(x.c, y.c)) AS hits, coalesce(list_contains(x.c, y.bonus), false) AS bonus_hit FROM drw x JOIN drw y ON y.pos = x.pos + 1)
+  SELECT pos, {KEY} AS combo, CAST(hits AS INT) AS hits, bonus_hit, CASE WHEN hits = 6 THEN 1 WHEN hits = 5 AND bonus_hit THEN 2 WHEN hits = 5 THEN 3 WHEN hits = 4 THEN 4 WHEN hits = 3 THEN 5 END AS prize FROM h""")
+def prizes_of_last_draw(spark, sf_dir):
+    d = draws_of(spark, sf_dir)
+    played = scores.positions(d).filter("c IS NOT NULL AND last IS NOT NULL").select("pos", F.col("last").alias("c"))
+    return backtest.prizes(played, d).select("pos", combos.key(F.col("c")).alias("combo"), "hits", "bonus_hit", "prize")
+
+
+_HITS = f"""WITH {STATS}{MARKOV}, v AS (SELECT pos, number, a, row_number() OVER (PARTITION BY pos ORDER BY round({SCORE}, 9) DESC, number) AS rn FROM st WHERE pos > 20 AND pos < (SELECT max(pos) FROM rnd)),
+  m AS (SELECT pos, CAST(sum(CASE WHEN a = 1 AND rn <= 15 THEN 1 ELSE 0 END) AS BIGINT) AS hit_15, CAST(sum(CASE WHEN a = 1 AND rn <= 20 THEN 1 ELSE 0 END) AS BIGINT) AS hit_20, round(avg(rn) FILTER (a = 1), 9) AS mean_rank FROM v GROUP BY 1)"""
+
+
+@query(f"{_HITS} SELECT * FROM m")
+def hits_at_k(spark, sf_dir):
+    s = backtest.labelled(draws_of(spark, sf_dir)).filter("label IS NOT NULL AND pos > 20").withColumn("score", F.round(scores.score(), 9))
+    return ranking.hit_metrics(ranking.with_number_rank(s, ["pos"]), ["pos"]).select("pos", "hit_15", "hit_20", _r("mean_rank"))
+
+
+_WEIGHTS = [
+    {"hot": 0.4, "cold": 0.15, "neighbor": 0.3, "carryover": 0.4, "reverse": 0.1, "poisson": 0.5, "markov": 0.3},
+    {"hot": 0.1, "cold": 0.3, "neighbor": 0.7, "carryover": 0.2, "reverse": 0.45, "poisson": 0.05, "markov": 0.2},
+    {"hot": 0.9, "cold": 0.0, "neighbor": 0.15, "carryover": 0.65, "reverse": 0.2, "poisson": 0.35, "markov": 0.0},
+]
+_W_SQL = ", ".join(f"({i}, {w['hot']}, {w['cold']}, {w['neighbor']}, {w['carryover']}, {w['reverse']}, {w['poisson']}, {w['markov']})" for i, w in enumerate(_WEIGHTS))
+_ENDS = "(SELECT CAST(floor(max(round) * 0.8) AS BIGINT) AS te, max(round) AS ve FROM cand)"
+
+
+@query(f"""WITH {STATS}{MARKOV}, e AS {_ENDS}, wt(individual, w1, w2, w3, w4, w5, w6, w7) AS (VALUES {_W_SQL}),
+  t AS (SELECT DISTINCT pos FROM st, e WHERE round <= te ORDER BY pos DESC LIMIT 20),
+  q AS (SELECT st.*, st.pos IN (SELECT pos FROM t) AS train FROM st, e WHERE round <= ve AND pos > 20 AND (round > te OR st.pos IN (SELECT pos FROM t))),
+  s AS (SELECT individual, pos, number, a, train, round(greatest(0.0, base + hot * w1 + cold * w2 + neighbor * w3 + (carryover + carryover2) * w4 + reverse * w5 - excess * w6 - markov * w7), 12) AS score FROM q CROSS JOIN wt),
+  k AS (SELECT *, row_number() OVER (PARTITION BY individual, pos ORDER BY score DESC, number) AS rn FROM s),
+  m AS (SELECT individual, pos, train, sum(CASE WHEN a = 1 AND rn <= 15 THEN 1.0 ELSE 0 END) AS h15, sum(CASE WHEN a = 1 AND rn <= 20 THEN 1.0 ELSE 0 END) AS h20, avg(rn) FILTER (a = 1) AS mr FROM k GROUP BY 1, 2, 3)
+  SELECT individual, round(avg(h15) FILTER (train), 8) AS train_hit_15, round(avg(h15) FILTER (NOT train), 8) AS hit_15, round(avg(h20) FILTER (NOT train), 8) AS hit_20, round(avg(mr) FILTER (NOT train), 8) AS mean_rank,
+  round(0.4 * avg(h15) FILTER (train) + 0.5 * avg(h15) FILTER (NOT train) + 0.1 * (45 - avg(mr) FILTER (NOT train)) / 45, 8) AS combined FROM m GROUP BY 1""")
+def weight_fitness(spark, sf_dir):
+    from .plans import tuning
+
+    d = draws_of(spark, sf_dir)
+    end = source.max_round(d)
+    out = backtest.fitness(backtest.labelled(d), tuning.weight_table(spark, _WEIGHTS), int(end * 0.8), end)
+    return out.select("individual", *[_r(c, 8) for c in ("train_hit_15", "hit_15", "hit_20", "mean_rank", "combined")])
+
+
+_LAMBDAS = [0.0, 0.1, 0.2, 0.3]
+
+
+@query(f"""WITH {STATS}{MARKOV}, l AS (SELECT x.v AS lambda_poisson, y.v AS lambda_markov FROM unnest({_LAMBDAS}) AS x(v), unnest({_LAMBDAS}) AS y(v)),
+  s AS (SELECT lambda_poisson, lambda_markov, pos, number, a, round(greatest(0.0, base + hot * 0.4 + cold * 0.15 + (carryover + carryover2) * 0.4 + neighbor * 0.3 + reverse * 0.1 - excess * lambda_poisson - markov * lambda_markov), 12) AS score
+    FROM st CROSS JOIN l WHERE pos > 1 AND pos < (SELECT max(pos) FROM rnd)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY lambda_poisson, lambda_markov, pos ORDER BY score DESC, number) AS rn FROM s),
+  h AS (SELECT lambda_poisson, lambda_markov, pos, sum(a) AS hits FROM k WHERE rn <= 6 GROUP BY 1, 2, 3)
+  SELECT CAST(lambda_poisson AS DOUBLE) AS lambda_poisson, CAST(lambda_markov AS DOUBLE) AS lambda_markov, round(avg(CASE WHEN hits >= 3 THEN 1.0 ELSE 0 END), 9) AS p3, round(avg(CASE WHEN hits >= 4 THEN 1.0 ELSE 0 END), 9) AS p4,
+  round(avg(hits), 9) AS mean_hits, round(stddev_pop(hits), 9) AS std_hits FROM h GROUP BY 1, 2""")
+def penalty_grid_search(spark, sf_dir):
+    out = backtest.grid_search(backtest.labelled(draws_of(spark, sf_dir)), _LAMBDAS, _LAMBDAS, scores.WEIGHTS)
+    return out.select("lambda_poisson", "lambda_markov", *[_r(c) for c in ("p3", "p4", "mean_hits", "std_hits")])
+
+
+_FEATURE_SQL = f"""WITH {STATS}{MARKOV},
+ g1 AS (SELECT pos, round, number, a, CASE WHEN a = 1 THEN round END AS shown, sum(1 - a) OVER (PARTITION BY number ORDER BY pos) AS island FROM grd),
+ g2 AS (SELECT *, sum(a) OVER (PARTITION BY number, island ORDER BY pos) AS run, CASE WHEN a = 1 THEN round - max(shown) OVER b END AS gap FROM g1 WINDOW b AS (PARTITION BY number ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ g3 AS (SELECT pos, number, a, coalesce(sum(a) OVER w10, 0) / (6.0 * count(*) OVER w10) AS f10, coalesce(sum(a) OVER w20, 0) / (6.0 * count(*) OVER w20) AS f20, coalesce(sum(a) OVER w50, 0) / (6.0 * count(*) OVER w50) AS f50,
+   coalesce(sum(a) OVER b, 0) / (6.0 * count(*) OVER b) AS fall, (lag(round) OVER o - coalesce(max(shown) OVER b, 0)) / CAST(lag(round) OVER o AS DOUBLE) AS gap_since_last, coalesce(max(run) OVER b, 0) / 10.0 AS streak,
+   coalesce(lag(a) OVER o, 0) AS lag1, coalesce(lag(a, 2) OVER o, 0) AS lag2, coalesce(sum(pos * a) OVER b, 0) AS wgt, CASE WHEN count(gap) OVER b > 1 THEN var_pop(gap) OVER b ELSE 0 END AS gap_variance
+   FROM g2 WINDOW o AS (PARTITION BY number ORDER BY pos), b AS (PARTITION BY number ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+   w20 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), w50 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING))
+ SELECT s.pos, s.round, s.number, round(base, 9) AS base_score, hot::DOUBLE AS hot_boost, cold::DOUBLE AS cold_boost, neighbor::DOUBLE AS neighbor_boost, greatest(carryover, carryover2)::DOUBLE AS carryover_boost, reverse::DOUBLE AS reverse_boost,
+   round(excess * 0.5, 9) AS poisson_penalty, round(markov * 0.3, 9) AS markov_penalty, round(f10, 9) AS frequency_recent_10, round(f20, 9) AS frequency_recent_20, round(fall, 9) AS frequency_all, round(gap_since_last, 9) AS gap_since_last,
+   round(s.number / 45.0, 9) AS number_value, round(streak, 9) AS streak_length, (s.number BETWEEN 1 AND 15)::INT::DOUBLE AS zone_low, (s.number BETWEEN 16 AND 30)::INT::DOUBLE AS zone_mid, (s.number BETWEEN 31 AND 45)::INT::DOUBLE AS zone_high,
+   lag1::DOUBLE AS lag_1_appeared, lag2::DOUBLE AS lag_2_appeared, (s.number % 2)::DOUBLE AS odd_even, round(((f10 - (f10 + f20 + f50) / 3) ** 2 + (f20 - (f10 + f20 + f50) / 3) ** 2 + (f50 - (f10 + f20 + f50) / 3) ** 2) / 3, 9) AS frequency_variance,
+   round((rank() OVER (PARTITION BY s.pos ORDER BY base) - 1) / 45.0, 9) AS rank_percentile, round(wgt / max(wgt) OVER (PARTITION BY s.pos)::DOUBLE, 9) AS recency_score, round(gap_variance, 6) AS gap_variance, round((s.number % 7) / 7.0, 9) AS cycle_phase, s.a::DOUBLE AS label
+ FROM st s JOIN g3 g ON g.pos = s.pos AND g.number = s.number WHERE s.pos > 50"""
+
+
+@query(_FEATURE_SQL)
+def feature_matrix(spark, sf_dir):
+    out = scores.features(draws_of(spark, sf_dir))
+    return out.select("pos", "round", "number", *[_r(c, 6 if c == "gap_variance" else 9) for c in scores.FEATURES], "label")
+
+
+@query(f"""WITH {DRAWS}, meet AS (SELECT DISTINCT l.pos + 1 AS pos, t.pos AS at FROM ap l JOIN ap t ON t.number = l.number AND t.pos < l.pos),
+  n AS (SELECT m.pos, x.number, count(*) AS k FROM meet m JOIN ap x ON x.pos = m.at GROUP BY 1, 2)
+  SELECT r.pos, u.number, round(CASE WHEN r.pos > 2 THEN coalesce(k, 0) / CAST(r.pos - 2 AS DOUBLE) ELSE 0 END, 9) AS pair_freq_recent FROM rnd r CROSS JOIN num u LEFT JOIN n ON n.pos = r.pos AND n.number = u.number WHERE r.pos > 1""")
+def pair_frequency(spark, sf_dir):
+    return scores.pair_frequency(draws_of(spark, sf_dir)).select("pos", "number", _r("pair_freq_recent"))
+
+
+@query(f"WITH {DRAWS} SELECT sum(1 - a) / CAST(sum(a) AS DOUBLE) AS scale_pos_weight FROM grd WHERE pos > 50 AND pos < (SELECT max(pos) FROM rnd)")
+def scale_pos_weight(spark, sf_dir):
+    g = backtest.labelled(draws_of(spark, sf_dir)).filter("label IS NOT NULL AND pos > 50")
+    return g.agg((F.sum(1 - F.col("label")) / F.sum("label")).alias("scale_pos_weight"))
+
+
+_WF_SAMPLES, _WF_GAMES = 40, 5
+_WF_U = "(CAST('0x' || substr(md5((42 + w.pos) || '|' || s.range || '|' || w.number), 1, 8) AS BIGINT) + 0.5) / 4294967296"
+_WF_SQL = f"""WITH RECURSIVE {STATS}{MARKOV}, sw AS (SELECT pos, number, {SCORE} AS score FROM st WHERE pos > 1 AND pos < (SELECT max(pos) FROM rnd)),
+  ew AS (SELECT *, exp(score - max(score) OVER (PARTITION BY pos)) AS e FROM sw), pw AS (SELECT pos, number, score, 0.001 + (1 - 0.001 * 45) * e / sum(e) OVER (PARTITION BY pos) AS p FROM ew),
+  kw AS (SELECT w.pos, s.range AS sample_id, w.number, w.score, row_number() OVER (PARTITION BY w.pos, s.range ORDER BY ln(w.p) - ln(-ln({_WF_U})) DESC, w.number) AS rn FROM pw w CROSS JOIN range(0, {_WF_SAMPLES}) s),
+  cw AS (SELECT pos, sample_id, list_sort(list(number)) AS c, sum(score) AS combo_score FROM kw WHERE rn <= 6 GROUP BY 1, 2),
+  fw AS (SELECT pos, sample_id, c, combo_score, {FACTS} FROM cw), ow AS (SELECT pos, sample_id, c, combo_score, {FAILED} IS NULL AS ok FROM fw),
+  aw AS (SELECT *, bool_or(ok) OVER (PARTITION BY pos) AS anyok FROM ow),
+  rw AS (SELECT pos, c, row_number() OVER (PARTITION BY pos ORDER BY round(combo_score, 9) DESC, sample_id) AS rank FROM aw WHERE ok OR NOT anyok),
+  pick AS (SELECT pos, 1::BIGINT AS rank, [c] AS chosen FROM rw WHERE rank = 1
+    UNION ALL SELECT p.pos, r.rank, CASE WHEN len(p.chosen) < {_WF_GAMES} AND len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > 3)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END FROM pick p JOIN rw r ON r.pos = p.pos AND r.rank = p.rank + 1),
+  lastp AS (SELECT pos, arg_max(chosen, rank) AS chosen FROM pick GROUP BY 1),
+  hw AS (SELECT l.pos, len(list_intersect(y.v, d.c)) AS hits FROM lastp l JOIN drw d ON d.pos = l.pos, unnest(l.chosen) AS y(v))"""
+
+
+@query(f"{_WF_SQL} SELECT round(avg(CASE WHEN hits >= 3 THEN 1.0 ELSE 0 END), 9) AS p3, round(avg(CASE WHEN hits >= 4 THEN 1.0 ELSE 0 END), 9) AS p4, round(avg(hits), 9) AS mean_hits, round(stddev_pop(hits), 9) AS std_hits, count(*) AS n FROM hw")
+def walk_forward_summary(spark, sf_dir):
+    played = backtest.walk_forward(draws_of(spark, sf_dir), _WF_GAMES, _WF_SAMPLES, 42)
+    return backtest.summary(played).select(*[_r(c) for c in ("p3", "p4", "mean_hits", "std_hits")], "n")
+
+
+@query()
+def hidden_states(spark, sf_dir):
+    g = scores.grid(draws_of(spark, sf_dir))
+    end = g.agg(F.max("pos").alias("coming"))
+    return hmm.states(g.crossJoin(F.broadcast(end)).filter("pos < coming"))
+
+
+@query()
+def tree_ranker(spark, sf_dir):
+    m = scores.features(draws_of(spark, sf_dir)).cache()
+    cut = m.agg(F.percentile("pos", F.lit(0.8)).alias("p")).first().p
+    end = m.agg(F.max("pos").alias("e")).first().e
+    model = ml.train(m.filter(F.col("pos") <= cut), ml.Trees(depth=4, trees=10))
+    return ml.evaluated(ml.predicted(model, m.filter((F.col("pos") > cut) & (F.col("pos") < end))))
+
+
+@query()
+def recommendations(spark, sf_dir):
+    d = draws_of(spark, sf_dir).cache()
+    return serve.recommend(d, "A", 5, n_samples=4000).select("place", combos.key(F.col("c")).alias("combo"), "combo_score", "percentile", F.array_join("tags", ",").alias("tags"))
+
+
+@query()
+def serving_document(spark, sf_dir):
+    return serve.document(draws_of(spark, sf_dir).cache(), "B")
