@@ -111,8 +111,9 @@ def scheme(window: int = WINDOW, gram: int = GRAM) -> Scheme:
     return Scheme(window, gram, _words, earlier_windows, np.uint32)
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the kept words, joined by one space) and ``kept_sha256``.
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the kept words, joined by one space), ``kept_sha256``
+    and, if columns ``keep`` are named, those as the struct ``rest`` (``k0``, ``k1``, ..).
 
     A word goes if a window of ``window`` words over it also starts earlier.
     Ids are integers; a null id sorts first.  Null text has no words.  Rows
@@ -138,12 +139,13 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kept = [b" ".join(words[a:b]) for a, b in zip(kept_off[:-1].tolist(), kept_off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(word_off)), pa.array(np.diff(word_off) - np.diff(kept_off)),
-                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
+                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), batch.column(3).slice(i, j - i)],
+                    names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "rest"],
                 )
 
     long, text = T.LongType(), T.StringType()
     fields = [("doc_id", long), ("n_words", long), ("n_removed", long), ("kept", text), ("kept_sha256", text)]
-    out = with_repeats(keyed(docs, id_col, text_col), scheme(window, gram)).select("d", "text", "spans")
-    out = out.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    out = with_repeats(keyed(docs, id_col, text_col, keep), scheme(window, gram))
+    rest = out.schema["rest"]
+    out = out.mapInArrow(run, T.StructType([*[T.StructField(n, t) for n, t in fields], rest])).withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    return out if keep else out.drop("rest")

@@ -346,21 +346,24 @@ def _shards(scheme: Scheme) -> Callable:
     return run
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``d``, ``v`` and ``text``: the id (null as the least), a short hash of the text that tells rows with one id apart, the text (null as empty)."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``d``, ``v``, ``text`` and ``rest``: the id (null as the least), a short hash of the text that tells rows with
+    one id apart, the text (null as empty), and the columns ``keep`` as a struct."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]) if keep else F.lit(0)
     return docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.pmod(F.xxhash64(text), F.lit(32749)).cast("short").alias("v"), text.alias("text")
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.pmod(F.xxhash64(text), F.lit(32749)).cast("short").alias("v"), text.alias("text"), rest.alias("rest")
     )
 
 
 def repeated(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """For ``keyed`` documents: themselves and, per (``d``, ``v``), ``spans``, the repeated windows as an array of ``q1 << 32 | q2``."""
     n = partitions(docs.sparkSession)
-    found = docs.mapInArrow(_find(scheme), _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", "d", "v", "loc")
+    found = docs.select("d", "v", "text").mapInArrow(_find(scheme), _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", "d", "v", "loc")
     found = stored(found.mapInArrow(_sorted_out(scheme.hot), _FOUND))
     told = found.filter(F.col("kind") > _DUP).groupBy("d", "v").agg(F.collect_list(F.struct("kind", "loc", "h")).alias("told"))
-    borders = docs.join(told, ["d", "v"]).select("d", "v", "text", "told").mapInArrow(_borders(scheme), _RUN)
+    # with the same columns as in ``with_repeats``, so that one shuffle of the texts serves both
+    borders = docs.join(told, ["d", "v"]).select("d", "v", "text", "told", "rest").mapInArrow(_borders(scheme), _RUN)
     late = borders.repartition(n, "h").sortWithinPartitions("h", "c", "d", "v", "q").mapInArrow(_shards(scheme), _MARK)
     spans = found.filter(F.col("kind") == _DUP).select("d", "v", F.col("loc").alias("span")).union(late)
     return docs, spans.groupBy("d", "v").agg(F.collect_list("span").alias("spans"))
@@ -369,7 +372,7 @@ def repeated(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
 def with_repeats(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """``docs`` (``keyed``) with ``spans``, null where nothing repeats."""
     docs, spans = repeated(docs, scheme)
-    return docs.join(spans, ["d", "v"], "left").select("d", "text", "spans")
+    return docs.join(spans, ["d", "v"], "left").select("d", "text", "spans", "rest")
 
 
 def covers(spans: pa.ListArray, sym_off: np.ndarray, window: int, rows: slice) -> np.ndarray:
