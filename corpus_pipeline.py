@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawstats.llm import quality, simhash
+from drawstats.llm import fm_dedup, mixing, pieces_codec, quality, simhash
 from drawstats.llm.common import stored, table
 
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _key() -> Column:
+    """What joins go by: the id, where a null id is one value like any other."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.quality_rules(docs, keep=("text", "lang", "source", "n_chars")).filter("kept").select(*COLUMNS)
@@ -19,11 +24,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that with the smallest id."""
-    keep = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    keep = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(_key()).distinct()
+    return docs.withColumn("key", _key()).join(keep, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows of twenty words that occur earlier; a document that loses all its words goes."""
+    out = fm_dedup.remove_repeated_words(docs, keep=("text", "lang", "source"))
+    text = F.when(F.col("n_removed") == 0, F.col("rest.k0")).otherwise(F.col("kept"))
+    out = out.filter("n_words = 0 OR n_removed < n_words").select("doc_id", text.alias("text"), F.col("rest.k1").alias("lang"), F.col("rest.k2").alias("source"))
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as its rate under the target weights says; none of toxic ones."""
+    rates = mixing.mixed_rates(docs, table(spark, sf_dir, "labels")).groupBy(_key()).agg(F.max("copies").alias("copies"))
+    out = docs.withColumn("key", _key()).join(rates.filter("copies > 0"), "key")
+    return out.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*COLUMNS)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return pieces_codec.encode(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("near dedup", near_dedup_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", encode_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
