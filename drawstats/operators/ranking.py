@@ -76,7 +76,7 @@ def percentile(selected: DataFrame, ranked_rows: DataFrame, bias: int = 0) -> Da
     last = ranked_rows.groupBy("c").agg(F.max("rank").alias("rank"))  # of repeated combinations the last rank holds
     each = selected.join(last, "c").crossJoin(F.broadcast(total)).select(F.least(F.lit(100.0), F.greatest(F.lit(1.0), F.bround(100.0 * F.col("rank") / F.col("n")))).alias("x"))
     value = F.least(F.lit(100.0), F.greatest(F.lit(1.0), F.bround(F.avg("x")) + bias))
-    return each.agg(value.cast("int").alias("percentile"))
+    return each.agg(F.when(F.count("x") > 0, value).cast("int").alias("percentile"))
 
 
 def top_numbers(scores: DataFrame, k: int) -> DataFrame:
