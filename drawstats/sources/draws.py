@@ -86,12 +86,12 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
     first = lines.groupBy("round", "number").agg(F.min("k").alias("k"))
     order = F.array_sort(F.collect_list(F.struct("k", "number")))  # at most 45 of a round
     picked = first.groupBy("round").agg(order.alias("o"))
-    return picked.select("round", F.array_sort(F.transform(F.slice("o", 1, 6), lambda x: x.number)).alias("c"), F.element_at("o", 7).number.alias("bonus"))
+    return picked.select("round", F.array_sort(F.transform(F.slice("o", 1, 6), lambda x: x.number)).alias("c"), F.get("o", F.lit(6)).number.alias("bonus"))
 
 
 def wide(draws: DataFrame) -> DataFrame:
     """``round``, ``n1`` .. ``n6``, ``bonus`` from combinations."""
-    return draws.select("round", *[F.col("c")[i].alias(n) for i, n in enumerate(NUMBER_COLUMNS)], "bonus")
+    return draws.select("round", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(NUMBER_COLUMNS)], "bonus")
 
 
 def combined(df: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def latest_round(exists, start: int = 1) -> int:  # noqa: ANN001
 
 def parsed_payload(df: DataFrame, column: str = "payload", asked: str | None = "asked") -> DataFrame:
     """Draw rows from JSON payloads: the first of the list; other rounds than asked for are left out."""
-    p = F.element_at(F.from_json(F.col(column), PAYLOAD)["data"]["list"], 1)
+    p = F.get(F.from_json(F.col(column), PAYLOAD)["data"]["list"], F.lit(0))
     out = df.select(*([F.col(asked).cast("int").alias("_asked")] if asked else []), p.alias("p")).filter("p.ltEpsd IS NOT NULL")
     if asked:
         out = out.filter("p.ltEpsd = _asked")
