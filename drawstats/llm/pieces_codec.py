@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG_WORD = 256
 #: Characters of distinct words in one suffix array.
 BATCH_CHARS = 1 << 17
+#: Bytes of texts that are encoded together.
+ENCODED_BYTES = 1 << 22
 #: Words that a worker keeps encoded.
 KEPT_WORDS = 1 << 18
 SPACE_MARK = "▁"
@@ -80,15 +83,22 @@ class Vocabulary:
         key = self.left[made] * (n + 1) + self.right[made]
         order = np.argsort(key)
         self.pair_key, self.pair_rank = key[order], self.rank[made][order]
-        self.sorted_pieces = np.array(sorted(np.flatnonzero(self.usable[:n]).tolist(), key=lambda i: self.pieces[i]))
-        self.longest = max(len(self.pieces[i]) for i in self.sorted_pieces)
-        length = np.array([len(self.pieces[i]) for i in self.sorted_pieces])
+        self.longest = max((len(self.pieces[i]) for i in made), default=1)
+        self.codes = np.array(sorted(map(ord, self.inner)), np.int64)  # characters of longer pieces; all others are one code
+        self.bits = int(len(self.codes) + 1).bit_length()
+        self.per_word = 63 // self.bits
+        single = sorted((ord(self.pieces[i]), i) for i in np.flatnonzero(self.usable[:n]).tolist() if len(self.pieces[i]) == 1)
+        self.single_code, self.single_id = (np.array(x, np.int64) for x in zip(*single, strict=True)) if single else (np.zeros(0, np.int64),) * 2
+        self.long_pieces = np.array(sorted((i for i in made.tolist()), key=lambda i: self.pieces[i]), np.int64)
+        length = np.array([len(self.pieces[i]) for i in self.long_pieces], np.int64)
         chars = np.zeros((len(length), self.longest), np.int64)
-        for k, i in enumerate(self.sorted_pieces):
-            chars[k, : length[k]] = [ord(c) for c in self.pieces[i]]
-        self.piece_length, self.piece_words = length, packed(chars)
-        full = (np.arange(self.longest) < length[:, None]).astype(np.int64) * ((1 << 21) - 1)
-        self.piece_mask = packed(full)
+        for k, i in enumerate(self.long_pieces):
+            chars[k, : length[k]] = self._coded(np.array([ord(c) for c in self.pieces[i]]))
+        self.piece_length, self.piece_words = length, self._packed(chars)
+        full = (np.arange(self.longest) < length[:, None]).astype(np.int64) * ((1 << self.bits) - 1)
+        self.piece_mask = self._packed(full)
+        head = np.minimum(length, self.per_word)
+        self.piece_after = self.piece_words[:, 0] + (np.int64(1) << (self.bits * (self.per_word - head))) if len(length) else length
         surface = [p.replace(SPACE_MARK, " ").encode() if self.normal[i] else b"" for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte_ids):
             surface[i] = bytes([b])
@@ -158,46 +168,71 @@ class Vocabulary:
             b[rest] = np.where(undo_left, y, self.left[y])
         return good
 
+    def _coded(self, chars: np.ndarray) -> np.ndarray:
+        """Characters as small numbers from 1; those of no longer piece share the last."""
+        at = np.minimum(np.searchsorted(self.codes, chars), max(len(self.codes) - 1, 0))
+        return np.where(self.codes[at] == chars, at + 1, len(self.codes) + 1) if len(self.codes) else np.ones(len(chars), np.int64)
+
+    def _packed(self, chars: np.ndarray) -> np.ndarray:
+        """Rows of small numbers, several to an integer, so that they compare as the rows do."""
+        n, m = chars.shape
+        words = -(-m // self.per_word)
+        out = np.zeros((n, words), np.int64)
+        for k in range(m):
+            out[:, k // self.per_word] |= chars[:, k] << (self.bits * (self.per_word - 1 - k % self.per_word))
+        return out
+
     def edges(self, chars: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and id of every occurrence of a piece inside the words at ``off`` (the suffix-array search)."""
+        """Start, end and id of every occurrence of a piece inside the words at ``off``.
+
+        Suffixes are sorted by as many characters as the longest piece has.  The
+        first packed word bounds each piece's range; binary search over all
+        pieces at once narrows those that are longer.
+        """
         n = len(chars)
+        at = np.minimum(np.searchsorted(self.single_code, chars), len(self.single_code) - 1)
+        have = np.flatnonzero(self.single_code[at] == chars)
+        single = have, have + 1, self.single_id[at[have]]
         room = np.repeat(off[1:], np.diff(off)) - np.arange(n)
-        window = np.zeros((n, self.longest), np.int64)
+        code = self._coded(chars)
+        words = np.zeros((n, self.piece_words.shape[1]), np.int64)
         for k in range(min(self.longest, n)):
-            window[: n - k, k] = chars[k:]
-        window[np.arange(self.longest) >= room[:, None]] = 0
-        words = packed(window)
+            inside = room[: n - k] > k
+            words[: n - k, k // self.per_word] |= np.where(inside, code[k:], 0) << (self.bits * (self.per_word - 1 - k % self.per_word))
         suffixes = np.lexsort(words.T[::-1])
         words = words[suffixes]
-
-        def bound(strict: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.piece_words), np.int64), np.full(len(self.piece_words), n)
-            while True:
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    return low
-                mid = (low[open_] + high[open_]) // 2
-                less = np.zeros(len(open_), bool)
-                tied = np.ones(len(open_), bool)
-                for k in range(words.shape[1]):
-                    have, want = words[mid, k] & self.piece_mask[open_, k], self.piece_words[open_, k]
-                    less |= tied & (have < want)
-                    tied &= have == want
-                if strict:
-                    less |= tied
-                low[open_[less]] = mid[less] + 1
-                high[open_[~less]] = mid[~less]
-
-        first, last = bound(False), bound(True)
-        count = last - first
+        low, high = np.searchsorted(words[:, 0], self.piece_words[:, 0]), np.searchsorted(words[:, 0], self.piece_after)
+        longer = np.flatnonzero((self.piece_length > self.per_word) & (low < high))
+        first, last = (self._bound(words, longer, low[longer], high[longer], strict) for strict in (False, True))
+        low[longer], high[longer] = first, last
+        count = high - low
         which = np.repeat(np.arange(len(count)), count)
-        start = suffixes[first[which] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        return start, start + self.piece_length[which], self.sorted_pieces[which]
-
-    def encoded(self, words: list[str]) -> list[list[int]]:
-        """Ids of words (which begin with at most one space mark and are not long)."""
+        start = suffixes[low[which] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        found = start, start + self.piece_length[which], self.long_pieces[which]
+        return tuple(np.concatenate(x) for x in zip(single, found, strict=True))
+
+    def _bound(self, words: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.ndarray, strict: bool) -> np.ndarray:
+        """For each piece the first suffix in its range that is not before it (after it, if ``strict``)."""
+        low, high = low.copy(), high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid, p = (low[open_] + high[open_]) // 2, piece[open_]
+            less, tied = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+            for k in range(1, words.shape[1]):
+                have, want = words[mid, k] & self.piece_mask[p, k], self.piece_words[p, k]
+                less |= tied & (have < want)
+                tied &= have == want
+            if strict:
+                less |= tied
+            low[open_[less]] = mid[less] + 1
+            high[open_[~less]] = mid[~less]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (which begin with at most one space mark and are not long), one after another, and their numbers."""
         n, none = len(self.pieces), len(self.pieces)
-        size = np.array([len(w) for w in words], np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
         off = np.concatenate(([0], np.cumsum(size)))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         start, end, piece = self.edges(chars, off)
@@ -205,38 +240,42 @@ class Vocabulary:
         known[start[end - start == 1]] = True
         alone = np.flatnonzero(~known)  # characters without a piece: nothing merges with them
         start, end, piece = (np.concatenate(x) for x in ((start, alone), (end, alone + 1), (piece, np.full(len(alone), none))))
-        word = np.searchsorted(off, start, "right") - 1
-        depth = end - off[word]
+        begin = np.repeat(off[:-1], size)  # of the word that a position is in
+        depth = (end - begin[start]).astype(np.int16)
         order = np.argsort(depth, kind="stable")
-        start, end, piece, depth, word = (x[order] for x in (start, end, piece, depth, word))
+        start, end, piece, depth = start[order], end[order], piece[order], depth[order]
+        opens = start == begin[start]
         cut = np.searchsorted(depth, np.arange(1, int(size.max(initial=0)) + 2))
         best, came = np.full(len(chars) + 1, -1), np.zeros(len(chars) + 1, np.int64)  # by end position
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            s, e, p = start[a:b], end[a:b], piece[a:b]
-            opens = s == off[word[a:b]]
-            ok = opens.copy()
-            inner = np.flatnonzero(~opens)
+            s, e, p, ok = start[a:b], end[a:b], piece[a:b], opens[a:b].copy()
+            inner = np.flatnonzero(~ok)
             ok[inner] = self.follows(best[s[inner]], p[inner])
             best[e[ok]], came[e[ok]] = p[ok], s[ok]
-        out: list[list[int]] = [[] for _ in words]
-        best_list, came_list = best.tolist(), came.tolist()
-        codes = chars.tolist()
-        for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-            path = []
-            while b > a:
-                piece_id = best_list[b]
-                path.append(piece_id if piece_id < n else -1 - codes[b - 1])
-                b = came_list[b]
-            out[k] = path[::-1] if not path or min(path) >= 0 else self.fallback(path[::-1])
-        return out
-
-
-def packed(chars: np.ndarray) -> np.ndarray:
-    """Rows of code points, three to an integer, so that they compare as the rows do."""
-    n, m = chars.shape
-    wide = np.zeros((n, -(-m // 3) * 3), np.int64)
-    wide[:, :m] = chars
-    return wide[:, 0::3] << 42 | wide[:, 1::3] << 21 | wide[:, 2::3]
+        # back from the ends, one piece of every word at a time
+        ids, owner, place = [], [], []
+        word, at = np.arange(len(words)), off[1:].copy()
+        step = 0
+        while len(word):
+            more = at > off[word]
+            word, at = word[more], at[more]
+            got = best[at]
+            ids.append(np.where(got == none, -1 - chars[at - 1], got))
+            owner.append(word)
+            place.append(np.full(len(word), -step))
+            at = came[at]
+            step += 1
+        ids, owner = np.concatenate(ids), np.concatenate(owner)
+        order = np.lexsort((np.concatenate(place), owner))
+        ids, owner = ids[order], owner[order]
+        lost = np.flatnonzero(ids < 0)
+        if len(lost):
+            data = [[self.byte_ids[b] for b in chr(-1 - i).encode()] for i in ids[lost].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[lost] = [len(x) for x in data]
+            ids, owner = np.repeat(ids, times), np.repeat(owner, times)
+            ids[ids < 0] = [x for d in data for x in d]
+        return ids.astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -266,35 +305,34 @@ class Encoder:
         self.ids: list[np.ndarray] = []
         self.off, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def _add(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.off = np.concatenate((self.off, self.off[-1] + np.cumsum(size)))
+        self.flat = np.concatenate((self.flat, flat))
+
     def _learn(self, words: list[str]) -> None:
-        plain, made = [], {}
-        for w in words:
-            if len(w) > LONG_WORD or w[:2] == SPACE_MARK * 2:
-                made[w] = self.vocabulary.merged(w)
-            else:
-                plain.append(w)
-        at, total = 0, 0
-        for k, w in enumerate(plain):
-            total += len(w)
-            if total >= BATCH_CHARS or k == len(plain) - 1:
-                made |= zip(plain[at : k + 1], self.vocabulary.encoded(plain[at : k + 1]), strict=True)
-                at, total = k + 1, 0
-        for w in words:
-            self.index[w] = len(self.index)
-        lists = [made[w] for w in words]
-        self.off = np.concatenate((self.off, self.off[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.int32)))
+        apart = [w for w in words if len(w) > LONG_WORD or w[:2] == SPACE_MARK * 2]
+        if apart:
+            lists = [self.vocabulary.merged(w) for w in apart]
+            self._add(apart, np.fromiter((i for x in lists for i in x), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
+            words = [w for w in words if w not in self.index]
+        size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        at = 0
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_CHARS)))
+            self._add(words[at:to], *self.vocabulary.encoded(words[at:to]))
+            at = to
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and offsets."""
         if len(self.index) > KEPT_WORDS:
             self._reset()
         split = [self.split.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
-        new = {w for s in split for w in s if w not in self.index}
+        new = set().union(*split).difference(self.index)
         if new:
             self._learn(sorted(new))
         get = self.index.__getitem__
-        words = np.fromiter((get(w) for s in split for w in s), np.int64, sum(map(len, split)))
+        words = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         size = self.off[words + 1] - self.off[words]
         total = np.concatenate(([0], np.cumsum(size)))
         flat = self.flat[np.repeat(self.off[words] - total[:-1], size) + np.arange(total[-1])]
@@ -325,7 +363,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         encoder = Encoder(vocabulary)
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            for i, j in byte_pieces(off):
+            for i, j in byte_pieces(off, ENCODED_BYTES):
                 texts = ["" if t is None else t for t in batch.column(1).slice(i, j - i).to_pylist()]
                 ids, at = encoder(texts)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
