@@ -156,11 +156,15 @@ def links(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
     return x.join(y, met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """``node`` and ``root`` (the smallest value reachable) of the nodes of edges ``a``, ``b``."""
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` (the smallest value reachable) of the nodes of edges ``a``, ``b``.
+
+    Rounds go on until one changes nothing; their number grows with the
+    logarithm of a component's size.
+    """
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
