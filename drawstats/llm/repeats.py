@@ -348,11 +348,14 @@ def _shards(scheme: Scheme) -> Callable:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``d``, ``v``, ``text`` and ``rest``: the id (null as the least), a short hash of the text that tells rows with
-    one id apart, the text (null as empty), and the columns ``keep`` as a struct."""
+    one id apart, the text (null as empty), and the columns ``keep`` as a struct.
+
+    ``d`` and ``v`` cannot be null, so no join puts a filter before the shuffle of the texts, and one shuffle can be used twice.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rest = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]) if keep else F.lit(0)
     return docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.pmod(F.xxhash64(text), F.lit(32749)).cast("short").alias("v"), text.alias("text"), rest.alias("rest")
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.pmod(F.xxhash64(text), F.lit(32749)).cast("short"), F.lit(0).cast("short")).alias("v"), text.alias("text"), rest.alias("rest")
     )
 
 
