@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawstats.llm import fm_dedup, mixing, pieces_codec, quality, simhash
+from drawstats.llm import fm_dedup, mixing, pieces_codec, quality, shingle_sets
 from drawstats.llm.common import stored, table
 
 ORACLE_SQL = None
@@ -22,9 +22,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs, keep=("text", "lang", "source", "n_chars")).filter("kept").select(*COLUMNS)
 
 
+def _row_hashes() -> list[Column]:
+    """128 bits that tell rows with any difference apart."""
+    parts = [F.col(c) for c in COLUMNS] + [F.isnull(c) for c in COLUMNS]
+    return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("row"), *parts).alias("h2")]
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that with the smallest id."""
-    keep = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(_key()).distinct()
+    """One document of each near-duplicate class (five-word shingles, Jaccard similarity 0.8 or more): that with the smallest id."""
+    docs = docs.select(*COLUMNS, *_row_hashes())
+    roots = shingle_sets.near_classes(docs).join(docs.select("h1", "h2", _key()).distinct(), ["h1", "h2"])
+    keep = roots.groupBy("root").agg(F.min("key").alias("key")).select("key").distinct()
     return docs.withColumn("key", _key()).join(keep, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 

@@ -51,3 +51,29 @@ def test_same_result_in_any_partitioning(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     one, two = (sorted(map(str, simhash.near_duplicates(d).collect())) for d in (docs.repartition(1), docs.repartition(7)))
     assert one == two
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def stage_input(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_edited_copies_are_near_duplicates(spark):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    rows, near, far = [], set(), set()
+    for i in range(150):
+        base = [r.choice(words) for _ in range(r.randint(60, 240))]
+        rows.append((i, " ".join(base)))
+        edited = list(base)
+        for at in r.sample(range(len(base)), r.randint(1, 6)):
+            edited[at] = f"x{at}"
+        rows.append((1000 + i, " ".join(edited)))
+        (near if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else far).add(1000 + i)
+    assert len(near) > 40 and len(far) > 20
+    got = {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, stage_input(spark, rows), "").collect()}
+    assert got == set(range(150)) | far
