@@ -29,11 +29,16 @@ def _row_hashes() -> list[Column]:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (five-word shingles, Jaccard similarity 0.8 or more): that with the smallest id."""
+    """One row of each near-duplicate class (five-word shingles, Jaccard similarity 0.8 or more).
+
+    That with the smallest id stays, of equal ids that with the smallest hash;
+    rows without an id come last.  Rows are told apart by all their columns, so
+    a null or repeated id drops none that is in a class of its own.
+    """
     docs = docs.select(*COLUMNS, *_row_hashes())
-    roots = shingle_sets.near_classes(docs).join(docs.select("h1", "h2", _key()).distinct(), ["h1", "h2"])
-    keep = roots.groupBy("root").agg(F.min("key").alias("key")).select("key").distinct()
-    return docs.withColumn("key", _key()).join(keep, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    roots = shingle_sets.near_classes(docs).join(docs.select("h1", "h2", F.isnull("doc_id").alias("none"), "doc_id").distinct(), ["h1", "h2"])
+    keep = roots.groupBy("root").agg(F.min(F.struct("none", "doc_id", "h1", "h2")).alias("k")).select("k.h1", "k.h2")
+    return docs.join(keep, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

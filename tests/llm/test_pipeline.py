@@ -77,3 +77,13 @@ def test_edited_copies_are_near_duplicates(spark):
     assert len(near) > 40 and len(far) > 20
     got = {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, stage_input(spark, rows), "").collect()}
     assert got == set(range(150)) | far
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    r = random.Random(9)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    null, same, other = [text() for _ in range(6)], [text() for _ in range(5)], text()
+    rows = [(None, t) for t in null] + [(7, t) for t in same] + [(7, other + " end"), (3, other), (None, same[0]), (None, null[0]), (7, same[1])]
+    got = corpus_pipeline.near_dedup_stage(spark, stage_input(spark, rows), "").collect()
+    want = [(None, t) for t in null] + [(7, t) for t in same] + [(3, other)]
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(want, key=str)
