@@ -11,7 +11,9 @@ steps so far, so nothing but a few numbers a step is on the driver.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,11 @@ FEATURE_BITS = 16
 N_SHARES, BANDS = 5, 10
 #: Leading bytes of a word that are a feature of their own.
 STEM = 4
-#: Gradient steps, and the relative miss of the targets at which they end.
-STEPS, CLOSE = 25, 1e-4
-#: Rates from here on are rounded, smaller ones drawn by a hash of the id.
-ROUNDED_FROM = 0.5
+#: Gradient steps at most, the relative miss of the targets and the mean change of the rates at which they end.
+STEPS, CLOSE, STILL = 40, 1e-4, 1e-4
+#: A share that misses its target by more is logged.
+REPORTED = 0.005
+log = logging.getLogger(__name__)
 _TRAIL = np.zeros(256, bool)
 _TRAIL[list(b",.;:!?")] = True
 _SYMBOL = np.zeros(256, bool)
@@ -149,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(), got["domain"].to_numpy(), len(DOMAINS))
 
 
-def classified(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_tokens`` (words) and a posterior ``p_<domain>`` for each row."""
+def classified(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``n_tokens`` (words), a posterior ``p_<domain>`` and ``draw`` (a hash of id and text) for each row, and ``rest`` with the columns ``k0``, ``k1``, .. to keep."""
     small = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,56 +163,108 @@ def classified(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
                 row, feature, n_words = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 p = posteriors(small, row, feature, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n_words.astype(np.int64)), *(pa.array(p[:, k].astype(np.float64)) for k in range(len(DOMAINS)))],
-                    names=["id", "n_tokens", *DOMAINS],
-                )
-
+                    [batch.column(0).slice(i, j - i), pa.array(n_words.astype(np.int64)), *(pa.array(p[:, k].astype(np.float64)) for k in range(len(DOMAINS))),
+                     *(batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns))],
+                    names=["id", "n_tokens", *DOMAINS, *batch.schema.names[2:]],
+                )
+
+    columns = [F.col(f"`{c}`") for c in (id_col, text_col)]
+    draw = F.xxhash64(F.lit("mixing"), *columns).alias("draw")
+    rest = [F.struct(*[F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)]).alias("rest")] if keep else []
+    source = docs.select(*columns, draw, *rest)
     schema = T.StructType(
-        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS]]
+        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS], *source.schema.fields[2:]]
     )
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
-def _totals(scored: DataFrame, rate: F.Column) -> np.ndarray:
-    got = scored.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)) for d in DOMAINS]).first()
+def _sums(scored: DataFrame, columns: list[F.Column]) -> np.ndarray:
+    got = scored.agg(*[F.coalesce(F.sum(c * F.col("n_tokens")), F.lit(0.0)) for c in columns]).first()
     return np.array(got, float)
 
 
-def fitted_rates(scored: DataFrame, targets: dict[str, float], steps: int = STEPS) -> F.Column:
-    """The rate of a document as a column over ``scored``."""
+@dataclass
+class Fit:
+    """How a fit ended: the domains' shares of the tokens, how far they are from the targets, steps, and whether it came to rest."""
+
+    shares: dict[str, float]
+    residual: dict[str, float]
+    steps: int
+    rests: bool
+
+
+def fitted_rates(scored: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[F.Column, Fit]:
+    """The rate of a document as a column over ``scored``, and how the fit ended.
+
+    The domain with the largest target leads.  Documents that most likely are
+    of it have the rate 1, those of a domain with the target zero the rate 0,
+    and the others' rates bring the other domains to their share beside the
+    leading one.  Steps end when the targets are met or the rates rest: where
+    targets cannot be met, that is the least-squares answer.
+    """
     share = np.array([targets[d] for d in DOMAINS], float)
     if (share < 0).any() or share.sum() <= 0:
         raise ValueError("targets must not be negative, and not all zero")
     share /= share.sum()
-    have = _totals(scored, F.lit(1.0))
-    if have.sum() <= 0:
-        return F.lit(1.0)
+    p = [F.col(f"p_{d}") for d in DOMAINS]
     lead = int(np.argmax(share))
-    want = share * (have[lead] or have.sum()) / share[lead]  # the largest domain keeps its size
-    scale = np.maximum(have, 1e-9 * have.sum())
-    rate, now = F.lit(1.0), have
-    for _ in range(steps):
-        miss = (now - want) / scale
-        if np.abs(now - want).max() <= CLOSE * want.sum():
-            break
-        step = sum((F.col(f"p_{d}") * F.lit(float(m)) for d, m in zip(DOMAINS, miss, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
-        now = _totals(scored, rate)
-    return rate
-
-
-def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_tokens``, the posteriors, ``rate`` and ``copies``.
-
-    ``copies`` is the rate rounded if it is at least ``ROUNDED_FROM``, else one
-    with the rate as its chance, by a hash of the id.  Null text has no tokens
-    (and a rate like any other); without labels all domains are equally likely.
-    Repeated rows and null ids are kept; an empty table gives an empty table;
-    other columns are not read.
+    other = [k for k in range(len(DOMAINS)) if k != lead]
+    likely = F.greatest(*p)
+    fixed = F.when(p[lead] >= likely, 1.0)
+    for k in other:
+        if share[k] == 0:
+            fixed = fixed.when(p[k] >= likely, 0.0)
+    rate = F.coalesce(fixed, F.lit(1.0))
+    free = F.isnull(fixed).cast("double")
+    sums = _sums(scored, [*[rate * c for c in p], F.lit(1.0), *p, *[free * p[i] * p[j] for i in other for j in other]])
+    now, words, scale = sums[: len(p)], sums[len(p)], sums[len(p) + 1 :][: len(p)]
+
+    def ended(n: int, rests: bool) -> Fit:
+        have = now / now.sum() if now.sum() > 0 else share
+        out = Fit(dict(zip(DOMAINS, have.tolist(), strict=True)), dict(zip(DOMAINS, (have - share).tolist(), strict=True)), n, rests)
+        if not rests or np.abs(have - share).max() > REPORTED:
+            log.warning("mixing: targets %s, shares %s after %d steps%s", targets, out.shares, n, "" if rests else ", not at rest")
+        return out
+
+    if words <= 0:
+        return rate, ended(0, True)
+    scale = np.maximum(scale, 1e-9 * words)[other]
+    # the longest step that cannot overshoot
+    bend = np.linalg.eigvalsh(sums[2 * len(p) + 1 :].reshape(len(other), -1) / np.sqrt(np.outer(scale, scale))).max()
+    if bend <= 0:
+        return rate, ended(0, True)
+    for n in range(steps):
+        want = share * now[lead] / share[lead]
+        if np.abs(now - want).max() <= CLOSE * now.sum():
+            return rate, ended(n, True)
+        miss = (now - want)[other] / scale / bend
+        step = sum((p[k] * F.lit(float(m)) for k, m in zip(other, miss, strict=True)), F.lit(0.0))
+        new = F.coalesce(fixed, F.greatest(F.lit(0.0), rate - step))
+        sums = _sums(scored, [*[new * c for c in p], F.abs(new - rate)])
+        rate, now = new, sums[:-1]
+        if sums[-1] <= STILL * words:
+            return rate, ended(n + 1, True)
+    return rate, ended(steps, False)
+
+
+def drawn_copies(rate: F.Column, draw: F.Column) -> F.Column:
+    """The whole part of the rate, and one more with the rest as its chance, so that the expected copies are the rate."""
+    chance = F.pmod(draw, F.lit(1 << 20)) / (1 << 20)
+    return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("long")
+
+
+def mixed_rates(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row: ``id_col``, ``n_tokens``, the posteriors, ``rate`` and ``copies`` (and ``rest`` with the columns to keep).
+
+    ``copies`` is drawn by a hash of id and text so that its expectation is the
+    rate.  A document that most likely is of the leading domain has one copy,
+    of one with the target zero none.
+    Null text has no tokens (and a rate like any other); without labels all
+    domains are equally likely.  Repeated rows and null ids are kept; an empty
+    table gives an empty table; other columns are not read.
     """
-    scored = stored(classified(docs, train(docs, labels, id_col, text_col), id_col, text_col))
-    rate = fitted_rates(scored, targets)
-    chance = F.pmod(F.xxhash64(F.lit("mixing"), F.col(f"`{id_col}`")), F.lit(1 << 20)) / (1 << 20)
-    return scored.withColumn("rate", rate).withColumn(
-        "copies", F.when(F.col("rate") >= ROUNDED_FROM, F.round("rate")).otherwise((chance < F.col("rate")).cast("int")).cast("long")
-    )
+    scored = stored(classified(docs, train(docs, labels, id_col, text_col), id_col, text_col, keep))
+    rate, _ = fitted_rates(scored, targets)
+    return scored.withColumn("rate", rate).withColumn("copies", drawn_copies(F.col("rate"), F.col("draw"))).drop("draw")

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from drawstats.llm import brown_lm, fm_dedup, html_text, media, mixing, pieces_codec, quality, queries, repeats, simhash, suffix_dedup, token_counts
 from drawstats.llm.common import pieces, text_buffer
@@ -348,6 +349,19 @@ def test_mixing_meets_targets(spark):
     assert (got[kind < 6].copies == 1).all() and (got[kind == 9].copies == 0).mean() > 0.95
 
 
+@pytest.mark.parametrize("low", [7, 8, 9, 12])
+def test_copies_meet_the_targets(spark, low):
+    kind = F.when(F.col("id") % 100 < low, 1).when(F.col("id") % 100 < low + 3, 2).otherwise(0)
+    p = [F.when(kind == k, 0.998).otherwise(0.001).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    table = spark.range(40000).select("id", kind.alias("kind"), F.lit(50).cast("long").alias("n_tokens"), *p, F.xxhash64("id").alias("draw"))
+    rate, fit = mixing.fitted_rates(table, mixing.TARGETS)
+    copies = table.select("kind", mixing.drawn_copies(rate, F.col("draw")).alias("copies"))
+    got = copies.groupBy("kind").agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).toPandas().set_index("kind")
+    assert fit.rests and abs(fit.residual["low"]) < 0.002
+    assert got.n[1] / got.n.sum() == pytest.approx(0.05, abs=0.004) and got.n[2] <= 12
+    assert got.n[0] == 400 * (97 - low) and got.most[0] == 1
+
+
 def test_main_text():
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav>'
