@@ -51,9 +51,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its rate under the target weights says; none of toxic ones."""
-    rates = mixing.mixed_rates(docs, table(spark, sf_dir, "labels")).groupBy(_key()).agg(F.max("copies").alias("copies"))
-    out = docs.withColumn("key", _key()).join(rates.filter("copies > 0"), "key")
-    return out.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*COLUMNS)
+    rates = mixing.mixed_rates(docs, table(spark, sf_dir, "labels"), keep=("text", "lang", "source", "n_chars")).filter("copies > 0")
+    kept = [F.col(f"rest.k{k}").alias(c) for k, c in enumerate(COLUMNS[1:])]
+    return rates.select("doc_id", *kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
