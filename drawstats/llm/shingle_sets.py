@@ -2,8 +2,9 @@
 
 Two sets with a similarity of at least ``t`` share one of the first
 ``n - ceil(t n) + 1`` members of each, in any order of all shingles.  An
-equality join on these prefixes meets every similar pair; sizes and places
-rule out most others, and the full sets of the rest are compared.  The order
+equality join on these prefixes meets every similar pair; sizes, places and
+tallies of the sets rule out most others, and the full sets of the rest are
+compared, first one pair a node, then those that these left apart.  The order
 puts shingles last that are frequent in a bounded sample: it saves pairs and
 has no part in the result.
 
@@ -19,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import LOWER, RangeHash, mixed, pieces, stored, text_buffer, words_of
 from .simhash import _within, components
@@ -28,6 +28,8 @@ from .simhash import _within, components
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Texts that the sample for the order has, about; shingles that it keeps; in how many texts they are at least.
 SAMPLED, ORDERED, OFTEN = 20_000, 1 << 16, 4
+#: Parts of a set whose sizes bound what two sets have in common.
+TALLIES = 64
 _STEP, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -56,16 +58,21 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, by: str) -> DataFrame:
-    """``by`` and ``shingles`` of each row."""
+    """``by``, ``shingles`` and ``tally`` (members in each of ``TALLIES`` parts) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
             for i, j in pieces(off):
                 row, h = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i))], names=[by, "shingles"])
+                tally = np.bincount(row * TALLIES + (h % np.uint64(TALLIES)).astype(np.int64), minlength=(j - i) * TALLIES)
+                cut = np.arange(j - i + 1, dtype=np.int32) * TALLIES
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i)), pa.ListArray.from_arrays(pa.array(cut), pa.array(tally.astype(np.int32)))],
+                    names=[by, "shingles", "tally"],
+                )
 
-    return docs.select(by, "text").mapInArrow(run, f"{by} long, shingles array<long>")
+    return docs.select(by, "text").mapInArrow(run, f"{by} long, shingles array<long>, tally array<int>")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +127,35 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).distinct()
 
 
+def _joined(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+    """``pairs`` with ``value`` of both nodes as ``x`` and ``y``."""
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col(value).alias(name)), side)
+    return pairs
+
+
+def _alike(pairs: DataFrame, common: F.Column) -> DataFrame:
+    """Pairs (with ``x`` and ``y``) that are similar if they have ``common`` members in common."""
+    return pairs.filter((NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+
+
+def similar_components(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of the nodes that are in a pair with the similarity."""
+    least = F.aggregate(F.zip_with("x", "y", lambda u, v: F.least(u, v)), F.lit(0), lambda total, u: total + u)
+    pairs = stored(_alike(_joined(pairs, sets, "tally"), least))
+    common = F.size(F.array_intersect("x", "y"))
+    first = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("k")).select("k.a", "k.na", "b", "k.nb")
+    edges = stored(_alike(_joined(first, sets, "shingles"), common).select("a", "b"))
+    roots = components(edges)
+    sides = pairs
+    for side, name in (("a", "ra"), ("b", "rb")):
+        sides = sides.join(roots.select(F.col("node").alias(side), F.col("root").alias(name)), side, "left")
+    # pairs of one component need no comparison any more
+    rest = sides.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "na", "b", "nb")
+    more = stored(_alike(_joined(rest, sets, "shingles"), common).select("a", "b"))
+    return components(edges.union(more))
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """``h1``, ``h2`` and ``root`` (a value that all rows of a class have) for each row of ``docs`` (``h1``, ``h2``, ``text``).
 
@@ -133,6 +169,4 @@ def near_classes(docs: DataFrame) -> DataFrame:
     one = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h")).select("node", "h.h1", "h.h2")
     texts = docs.join(one, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     sets = stored(_sets(texts, "node"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    alike = both.filter((NUMERATOR + DENOMINATOR) * F.size(F.array_intersect("sa", "sb")) >= NUMERATOR * (F.col("na") + F.col("nb")))
-    return rows.join(components(alike.select("a", "b")), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    return rows.join(similar_components(pairs, sets), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
