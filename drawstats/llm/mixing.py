@@ -214,7 +214,16 @@ def fitted_rates(scored: DataFrame, targets: dict[str, float], steps: int = STEP
     for k in other:
         if share[k] == 0:
             fixed = fixed.when(p[k] >= likely, 0.0)
-    rate = F.coalesce(fixed, F.lit(1.0))
+    taken: list[F.Column] = []
+
+    def rated() -> F.Column:
+        """The rate after the steps taken; they are data, so that plans do not grow with them."""
+        if not taken:
+            return F.coalesce(fixed, F.lit(1.0))
+        moved = F.aggregate(F.array(*taken), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((p[k] * s[i] for i, k in enumerate(other)), F.lit(0.0))))
+        return F.coalesce(fixed, moved)
+
+    rate = rated()
     free = F.isnull(fixed).cast("double")
     sums = _sums(scored, [*[rate * c for c in p], F.lit(1.0), *p, *[free * p[i] * p[j] for i in other for j in other]])
     now, words, scale = sums[: len(p)], sums[len(p)], sums[len(p) + 1 :][: len(p)]
@@ -238,8 +247,8 @@ def fitted_rates(scored: DataFrame, targets: dict[str, float], steps: int = STEP
         if np.abs(now - want).max() <= CLOSE * now.sum():
             return rate, ended(n, True)
         miss = (now - want)[other] / scale / bend
-        step = sum((p[k] * F.lit(float(m)) for k, m in zip(other, miss, strict=True)), F.lit(0.0))
-        new = F.coalesce(fixed, F.greatest(F.lit(0.0), rate - step))
+        taken.append(F.array(*[F.lit(float(m)) for m in miss]))
+        new = rated()
         sums = _sums(scored, [*[new * c for c in p], F.abs(new - rate)])
         rate, now = new, sums[:-1]
         if sums[-1] <= STILL * words:
