@@ -378,3 +378,25 @@ def test_pieces_cover_all_rows():
     raw, off = text_buffer(pa.array(["a" * 10, None, "", "b" * 50, "c"]))
     got = list(pieces(off, 20))
     assert [x for a, b in got for x in range(a, b)] == list(range(5)) and raw.size == 61
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_rows_of_one_id_are_told_apart(spark, one_id):
+    r = random.Random(12)
+    words = [f"{r.choice('abcdefgh')}{k}" for k in range(900)]
+    passages = [" ".join(r.choice(words) for _ in range(40)) for _ in range(20)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(5, 30))) + " " + r.choice(passages) + " " + " ".join(r.choice(words) for _ in range(10)) for _ in range(1500)]
+    texts += texts[:40]
+    table = docs(spark, [(one_id, t) for t in texts])
+    keyed = repeats.keyed(table, "doc_id", "text").collect()
+    line = sorted({(x.d, x.v, x.u): x.text for x in keyed}.items())
+    for run, split, size, join in (
+        (suffix_dedup.remove_repeated_bytes, lambda t: t.encode(), 100, lambda x, m: np.frombuffer(x, np.uint8)[~m].tobytes()),
+        (fm_dedup.remove_repeated_words, WORD.findall, 20, lambda x, m: " ".join(w for w, gone in zip(x, m, strict=True) if not gone).encode()),
+    ):
+        gone = marks([(who, split(t)) for who, t in line], size)
+        want = {t: hashlib.sha256(join(split(t), gone[who])).hexdigest() for who, t in line}
+        got = collections.Counter(x.kept_sha256 for x in run(table).collect())
+        assert got == collections.Counter(want[t] for t in texts)
+        left = b"\n".join(join(split(t), gone[who]) for who, t in line).decode()
+        assert all(p in left for p in passages)
