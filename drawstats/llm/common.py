@@ -6,7 +6,10 @@ of bytes, so that memory does not depend on the length of the partition.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ LOWER[65:91] += 32
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (int(_rng.integers(1, 2**62)) * 4 + 3, int(_rng.integers(1, 2**62)) * 4 + 3)
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -33,17 +38,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/drawstats-checkpoints"  # one machine, as in tests
+    return f"{root.rstrip('/')}/drawstats-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests) is a local one taken.
+    The folder is the session's ``spark.checkpoint.dir``, in it one folder for
+    each application (``release`` removes it); only a session on one machine
+    may leave it unset.  Shuffle files of the job are let go when it ends:
+    whatever comes later reads the files in the folder.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/drawstats-checkpoints"
-    path = f"{root.rstrip('/')}/drawstats-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing reads any more."""
+    _delete(df.sparkSession, _STORED.pop(df))
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything that this application has stored; results that were not written yet are lost."""
+    _delete(spark, _folder(spark))
 
 
 def partitions(spark: SparkSession) -> int:

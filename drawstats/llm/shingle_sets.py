@@ -1,12 +1,15 @@
-"""Near-duplicate classes by the Jaccard similarity of word-shingle sets, found exactly.
-
-Two sets with a similarity of at least ``t`` share one of the first
-``n - ceil(t n) + 1`` members of each, in any order of all shingles.  An
-equality join on these prefixes meets every similar pair; sizes, places and
-tallies of the sets rule out most others, and the full sets of the rest are
-compared, first one pair a node, then those that these left apart.  The order
-puts shingles last that are frequent in a bounded sample: it saves pairs and
-has no part in the result.
+"""Near-duplicate classes by the similarity of word-shingle sets: SimHash first, completed exactly.
+
+Fingerprints of the sets meet by deletion-variant signatures (``simhash``), and
+each node is compared with one that they find near.  Fingerprints miss most
+pairs at the lower end of the similarity, so that the rest is found by keys:
+two sets with a Jaccard similarity of at least ``t`` share one of the first
+``n - ceil(t n) + 1`` members of each, in any order of all shingles.  Each node
+is compared with the hub of its keys, which joins the copies of one text without
+making all their pairs.  What is left are pairs of different components that
+share a key; sizes, places and tallies of the sets rule out most, and the full
+sets of the others are compared.  The order puts shingles last that are frequent
+in a bounded sample: it saves pairs and has no part in the result.
 
 Texts with equal sets are one node, so copies make no pairs.  Sets and shingles
 are known by 64-bit hashes.
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, RangeHash, mixed, pieces, stored, text_buffer, words_of
-from .simhash import _within, components
+from .simhash import DISTANCE, _within, components, links, majority
 
 #: Words of a shingle, and the least similarity of near duplicates as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -88,7 +91,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixed(docs: DataFrame) -> DataFrame:
-    """``h1``, ``h2``, ``node`` (the set's hash), ``n`` (its size) and ``prefix`` of each row of ``docs`` (``h1``, ``h2``, ``text``)."""
+    """``h1``, ``h2``, ``node`` (the set's hash), ``n`` (its size), ``fp`` (its fingerprint) and ``prefix`` of each row of ``docs`` (``h1``, ``h2``, ``text``)."""
     often, times = _frequent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +103,7 @@ def prefixed(docs: DataFrame) -> DataFrame:
                 first = np.cumsum(n) - n
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h ^ _SALT))))
                 node = mixed(total[first + n] - total[first] + n.astype(np.uint64))
+                fp = majority(h, n)
                 weight = np.zeros(len(h), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
@@ -108,52 +112,75 @@ def prefixed(docs: DataFrame) -> DataFrame:
                 head = np.where(n > 0, n - -(-NUMERATOR * n // DENOMINATOR) + 1, 0)
                 chosen = h[np.repeat(first, head) + _within(head)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), _lists(chosen, head)],
-                    names=["h1", "h2", "node", "n", "prefix"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), _lists(chosen, head)],
+                    names=["h1", "h2", "node", "n", "fp", "prefix"],
                 )
 
-    return docs.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, node long, n int, prefix array<long>")
+    return docs.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, node long, n int, fp long, prefix array<long>")
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``n``, ``at`` (its place in the prefix) of the prefix members that more than one node has; each once."""
+    flat = rows.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    # stored, so that the join can split a frequent key over tasks
+    met = stored(flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"))
+    return flat.join(met, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+
+
+def fingerprint_pairs(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes (``node``, ``fp``) that ``simhash.links`` finds at most ``d`` bits apart; at most one for each ``b``."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
+    same = nodes.join(heads, "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    apart = links(heads.select("fp"), d)
+    for side in ("a", "b"):
+        apart = apart.join(heads.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}")), side)
+    return same.union(apart.groupBy(F.col("lead_b").alias("b")).agg(F.min("lead_a").alias("a")).select("a", "b"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of nodes (``node``, ``n``, ``prefix``), with their sizes, that may be similar; each once."""
-    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    met = keyed.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("x")).filter(F.size("x") > 1)
-    each = stored(met).select("key", F.explode("x").alias("x")).select("key", "x.*")
-    x, y = each.alias("x"), each.alias("y")
+def hub_pairs(each: DataFrame) -> DataFrame:
+    """A pair ``a``, ``b`` for each node ``b``: ``a`` is the hub that it shares most keys with.  The hub of a key is its node with most shared keys."""
+    degree = stored(each.groupBy("node").agg(F.count("*").alias("degree")))
+    hubs = stored(each.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("a")))
+    met = each.join(hubs, "key").filter("node <> a").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("k"))
+    return met.groupBy("b").agg(F.max(F.struct("k", "a")).alias("x")).select("x.a", "b")
+
+
+def candidates(each: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes of different components (``node``, ``root``) that may be similar, with their sizes; each once."""
+    own = each.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    own = stored(own)
+    mixed_keys = stored(own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"))
+    own = own.join(mixed_keys, "key", "left_semi")
+    x, y = own.alias("x"), own.alias("y")
     most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # of members in common, if this is the first
     enough = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & enough)
-    return pairs.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).distinct()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & enough)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _joined(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+def _joined(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
     """``pairs`` with ``value`` of both nodes as ``x`` and ``y``."""
     for side, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col(value).alias(name)), side)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col(value).alias(name)), side)
     return pairs
 
 
-def _alike(pairs: DataFrame, common: F.Column) -> DataFrame:
-    """Pairs (with ``x`` and ``y``) that are similar if they have ``common`` members in common."""
-    return pairs.filter((NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+def _enough(common: F.Column, both: F.Column) -> F.Column:
+    """Whether ``common`` members in common make sets with ``both`` members together similar."""
+    return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * both
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets (``node``, ``shingles``) have the similarity."""
+    x, y = F.col("x"), F.col("y")
+    return _joined(pairs, sets, "shingles").filter(_enough(F.size(F.array_intersect(x, y)), F.size(x) + F.size(y))).select("a", "b")
 
 
-def similar_components(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of the nodes that are in a pair with the similarity."""
-    least = F.aggregate(F.zip_with("x", "y", lambda u, v: F.least(u, v)), F.lit(0), lambda total, u: total + u)
-    pairs = stored(_alike(_joined(pairs, sets, "tally"), least))
-    common = F.size(F.array_intersect("x", "y"))
-    first = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("k")).select("k.a", "k.na", "b", "k.nb")
-    edges = stored(_alike(_joined(first, sets, "shingles"), common).select("a", "b"))
-    roots = components(edges)
-    sides = pairs
-    for side, name in (("a", "ra"), ("b", "rb")):
-        sides = sides.join(roots.select(F.col("node").alias(side), F.col("root").alias(name)), side, "left")
-    # pairs of one component need no comparison any more
-    rest = sides.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "na", "b", "nb")
-    more = stored(_alike(_joined(rest, sets, "shingles"), common).select("a", "b"))
-    return components(edges.union(more))
+def _could_be_similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that the tallies of their sets do not rule out."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda t, u: t + u)
+    least = total(F.zip_with("x", "y", lambda u, v: F.least(u, v)))
+    return _joined(pairs, sets, "tally").filter(_enough(least, total(F.col("x")) + total(F.col("y")))).select("a", "b")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -161,12 +188,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     ``h1`` and ``h2`` tell rows of different texts apart.  A class is a
     component of the pairs whose sets have at least the similarity; texts
-    without a word are one class.
+    without a word are one class.  First each node is compared with one that
+    its fingerprint is near, and with one hub of its keys; then all pairs of
+    different components that share a key are.
     """
     rows = stored(prefixed(docs))
-    pairs = stored(candidates(rows.select("node", "n", "prefix").dropDuplicates(["node"])))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h")).select("node", "h.h1", "h.h2")
-    texts = docs.join(one, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h"), F.first("fp").alias("fp")).select("node", "fp", "h.h1", "h.h2"))
+    each = stored(shared_keys(rows.select("node", "n", "prefix")))
+    first = stored(fingerprint_pairs(nodes.select("node", "fp")).union(hub_pairs(each)).distinct())
+    ends = each.select("node").union(first.select(F.explode(F.array("a", "b")))).distinct()
+    texts = docs.join(nodes.join(ends, "node", "left_semi").select("node", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     sets = stored(_sets(texts, "node"))
-    return rows.join(similar_components(pairs, sets), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    edges = stored(similar(first, sets))
+    pairs = stored(_could_be_similar(candidates(each, components(edges)), sets))
+    roots = components(edges.union(similar(pairs, sets)))
+    return rows.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))

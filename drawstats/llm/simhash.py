@@ -4,11 +4,12 @@ A fingerprint has 64 bits.  Two fingerprints that differ in at most ``d`` bits,
 cut into ``d // 2 + 1`` segments, agree up to one bit in at least one segment.
 Each distinct fingerprint is indexed under every segment with one bit removed
 (64 keys in all, whatever the number of segments); an equality join on those
-keys meets every linked pair, and a bit count of the difference verifies it.
+keys meets every pair to be linked, and a bit count of the difference verifies it.
 Copies with one fingerprint are one node, so they make no pairs.
 
-A key that very many fingerprints share is cut again by slices of the whole
-fingerprint before it is joined, and each linked pair is made once.
+Under a key all fingerprints near its least one are linked to that one and not
+to each other; only those that are not near it are joined with the others, so a
+dense group makes as many links as it has members.
 
 Classes are the components of the verified links, found with alternating
 large-star and small-star rounds over DataFrames.  Every round is written to
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, pieces, stored, text_buffer, words_of
+from .common import LOWER, discard, pieces, stored, text_buffer, words_of
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 
@@ -50,15 +51,17 @@ def simhash(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE, seed: int
     hashes = np.fromiter(
         (digest(buffer[a:b], seed) for a, b in zip(new_start[begin].tolist(), (new_end[last] - 1).tolist(), strict=True)), np.uint64, len(begin)
     )
-    out = np.zeros(n_rows, np.uint64)
-    if len(hashes):
-        have = np.flatnonzero(made)
-        at = np.concatenate(([0], np.cumsum(made[have])))
-        weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        for k, i in enumerate(have):
-            part = hashes[at[k] : at[k + 1]]
-            ones = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[i] = weight[2 * ones > len(part)].sum(dtype=np.uint64)
+    return majority(hashes, made)
+
+
+def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each run of ``count`` hashes the bits that more than half of them have."""
+    out, at = np.zeros(len(count), np.uint64), np.concatenate(([0], np.cumsum(count)))
+    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for i in np.flatnonzero(count):
+        part = hashes[at[i] : at[i + 1]]
+        ones = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = weight[2 * ones > len(part)].sum(dtype=np.uint64)
     return out
 
 
@@ -107,7 +110,7 @@ def _keys(d: int) -> F.Column:
     return F.array(*keys)
 
 
-#: A key with more fingerprints than this is cut again.
+#: A key under which more fingerprints than this are left is cut again by slices.
 HOT_KEY = 256
 
 
@@ -121,48 +124,41 @@ def _slices(d: int) -> list[int]:
     return [_mask(list(range(k, 64, d + 1))) for k in range(d + 1)]
 
 
-def _first_key(x: F.Column, d: int) -> F.Column:
-    """The bit of the first key under which two fingerprints with difference ``x`` meet."""
-    out = F.lit(-1)
-    for low, width in reversed(_segments(d)):
-        part = x.bitwiseAND(F.lit(_mask(list(range(low, low + width)))))
-        ones = F.bit_count(part)
-        out = F.when(ones == 0, F.lit(low)).when(ones == 1, F.bit_count(part - 1)).otherwise(out)
-    return out
-
-
 def links(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
-    """Pairs ``a < b`` of distinct values of ``nodes.fp`` that differ in 1 to ``d`` bits, each once.
-
-    A key of more than ``HOT_KEY`` fingerprints is joined only within equal
-    slices of the whole fingerprint, one of which every linked pair shares.
+    """Pairs ``a < b`` of distinct values of ``nodes.fp`` that differ in 1 to ``d`` bits, enough of them to join all values
+    that a chain of such differences joins.
+
+    Under each key every fingerprint is compared with the least one, which
+    makes a star of a dense group and not all its pairs.  Two fingerprints of
+    the star need no link of their own; every pair with one outside the star is
+    compared.  A key with many fingerprints is joined only within equal slices
+    of the whole fingerprint, one of which every pair to be found shares.
     """
     keyed = nodes.select("fp", F.explode(_keys(d)).alias("key"))
-    hot = keyed.groupBy("key").count().filter(F.col("count") > HOT_KEY).select("key", F.lit(True).alias("hot"))
+    held = stored(keyed.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("size")).filter("size > 1"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= d
+    met = stored(keyed.join(held, "key").select("key", "fp", "least", "size", near.alias("near")))
+    star = met.filter("near AND fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     whole = F.array(F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("bits")))
     cut = F.array(*[F.struct(F.lit(k).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(_slices(d))])
-    fine = keyed.join(hot, "key", "left").select("fp", "key", F.explode(F.when(F.col("hot"), cut).otherwise(whole)).alias("s"))
-    fine = fine.select("fp", "key", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
-    x, y = fine.alias("x"), fine.alias("y")
-    diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    first_slice = F.lit(-1)
-    for k, m in reversed(list(enumerate(_slices(d)))):
-        first_slice = F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(k)).otherwise(first_slice)
-    met = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.bits") == F.col("y.bits"))
-        & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(diff) <= d)
-        & (F.shiftright("x.key", 40).cast("int") == _first_key(diff, d)) & ((F.col("x.n") < 0) | (F.col("x.n") == first_slice))
-    )
-    return x.join(y, met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    open_ = met.filter("NOT near").select("key").distinct()
+    fine = met.join(open_, "key", "left_semi").select("key", "fp", "near", F.explode(F.when(F.col("size") > HOT_KEY, cut).otherwise(whole)).alias("s"))
+    fine = fine.select("key", "fp", "near", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
+    x, y = fine.filter("NOT near").alias("x"), fine.alias("y")
+    met_too = (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.bits") == F.col("y.bits"))
+    once = F.col("y.near") | (F.col("x.fp") < F.col("y.fp"))
+    rest = x.join(y, met_too & once & (F.col("x.fp") != F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= d))
+    rest = rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    return star.union(rest).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest value reachable) of the nodes of edges ``a``, ``b``.
 
     Rounds go on until one changes nothing; their number grows with the
-    logarithm of a component's size.
+    logarithm of a component's size.  Edges with a null end are no links.
     """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = stored(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -171,11 +167,12 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = stored(small.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        before, edges = edges, stored(small.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(before)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == seen:
             break
-        seen = tuple(now)
+        seen = now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
@@ -193,7 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(nodes)
     member = components(links(nodes.select("fp"), d))
     labelled = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that the join below can split a large class over tasks
+    smallest = stored(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
     of_fp = labelled.join(smallest, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

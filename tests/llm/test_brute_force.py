@@ -127,16 +127,39 @@ def test_simhash_query(spark, tables):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fp[i]:016x}", least[i]) for i in fp}
 
 
-def test_links_are_all_found_once(spark, monkeypatch):
+def joined(pairs):
+    """Every value of the pairs with the least one that a chain of pairs reaches."""
+    least = {x: x for p in pairs for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            for x in (a, b):
+                if least[x] != low:
+                    least[x], changed = low, True
+    return least
+
+
+def test_links_join_what_all_pairs_join(spark, monkeypatch):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(5)]
     values = {b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 6))) for b in base for _ in range(60)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    every = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
     for hot in (1000, 3):
         monkeypatch.setattr(simhash, "HOT_KEY", hot)
         got = [tuple(x) for x in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()]
-        assert set(got) == want and len(got) == len(want)
+        assert set(got) <= every and len(got) == len(set(got))
+        assert joined(got) == joined(every)
+
+
+def test_a_dense_group_makes_a_star(spark):
+    base = 0x0123456789ABCDEF
+    near = {base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)}
+    values = [v - (1 << 64) if v >> 63 else v for v in near | {base}]
+    got = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()
+    assert set(joined([tuple(x) for x in got]).values()) == {min(values)} and len(got) < 130 * len(values)
 
 
 def test_components_of_a_chain(spark):
