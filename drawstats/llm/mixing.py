@@ -32,8 +32,9 @@ FEATURE_BITS = 16
 N_SHARES, BANDS = 5, 10
 #: Leading bytes of a word that are a feature of their own.
 STEM = 4
-#: Gradient steps at most, the relative miss of the targets and the mean change of the rates at which they end.
-STEPS, CLOSE, STILL = 40, 1e-4, 1e-4
+#: The relative miss of the targets at which steps end, the share of the squared miss that a step must take off for
+#: another to follow, and steps at most (an error: the rates still move).
+CLOSE, WORTH, STEPS = 1e-4, 5e-3, 400
 #: A share that misses its target by more is logged.
 REPORTED = 0.005
 log = logging.getLogger(__name__)
@@ -77,8 +78,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, n_classes: int, rounds: int = 60, rate: float = 0.1, l2: float = 3e-3, balance: float = 0.7) -> np.ndarray:
-    """Weights (features x classes) of a softmax regression on present features, by full-batch adaptive steps.
+@dataclass
+class Classifier:
+    """Weights (features x classes) for classes made more equal than they are, and what that adds to each class."""
+
+    weights: np.ndarray
+    added: np.ndarray
+
+
+def fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, n_classes: int, rounds: int = 60, rate: float = 0.1, l2: float = 3e-3, balance: float = 0.7) -> Classifier:
+    """A softmax regression on present features, by full-batch adaptive steps, with rare classes weighted up.
 
     Features are scaled by the log ratio of their shares inside and outside a
     class, so that the few words that tell a class apart outweigh the many that
@@ -87,7 +96,7 @@ def fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, n_classes: int,
     n, dims = len(label), 1 << FEATURE_BITS
     out = np.zeros((dims, n_classes))
     if not n:
-        return out
+        return Classifier(out, np.zeros(n_classes))
     used = np.flatnonzero(np.bincount(feature, minlength=dims) >= min(20, max(3, n // 200)))
     place = np.full(dims, -1)
     place[used] = np.arange(len(used))
@@ -114,12 +123,14 @@ def fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, n_classes: int,
         bias -= rate * down / np.sqrt(bias_square)
     out[used] = w * ratio
     out[:BANDS] += bias  # each document has one band of the first share
-    return out
+    return Classifier(out, np.log(weight))
 
 
-def posteriors(weights: np.ndarray, row: np.ndarray, feature: np.ndarray, n_rows: int) -> np.ndarray:
-    z = np.stack([np.bincount(row, weights[feature, k], n_rows) for k in range(weights.shape[1])], 1)
-    return _softmax(np.clip(z, -30, 30))
+def posteriors(classifier: Classifier, row: np.ndarray, feature: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors under the true shares of the classes, and the class decided on with rare classes weighted up."""
+    weights = classifier.weights
+    z = np.clip(np.stack([np.bincount(row, weights[feature, k], n_rows) for k in range(weights.shape[1])], 1), -30, 30)
+    return _softmax(z - classifier.added), z.argmax(1)
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -128,12 +139,13 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training: int = MAX_TRAINING) -> np.ndarray:
-    """The classifier's weights, from at most ``max_training`` labelled documents (a documented bound)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training: int = MAX_TRAINING) -> Classifier:
+    """The classifier, learnt from at most ``max_training`` labelled documents (a documented bound); of rows that
+    repeat an id the text with the smallest hash is taken."""
     sample = domain_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     # the sample has at most max_training rows of two numbers
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "text")
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,28 +156,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["id", "domain", "features"])
 
+    # at most max_training rows of at most 2 ** FEATURE_BITS numbers
     got = chosen.mapInArrow(run, "id long, domain int, features array<int>").toArrow().sort_by("id")
-    # repeated documents may bring more rows than the sample has
-    got = got.slice(0, 2 * max_training)
     lists = got["features"].combine_chunks()
     size = lists.value_lengths().to_numpy()
     return fit(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(), got["domain"].to_numpy(), len(DOMAINS))
 
 
-def classified(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``n_tokens`` (words), a posterior ``p_<domain>`` and ``draw`` (a hash of id and text) for each row, and ``rest`` with the columns ``k0``, ``k1``, .. to keep."""
-    small = weights.astype(np.float32)
+def classified(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``n_tokens`` (words), a posterior ``p_<domain>``, ``domain`` (the number of the one decided on) and ``draw`` (a hash of id and text) for each row, and ``rest`` with the columns ``k0``, ``k1``, .. to keep."""
+    small = Classifier(classifier.weights.astype(np.float32), classifier.added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
             for i, j in pieces(off):
                 row, feature, n_words = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                p = posteriors(small, row, feature, j - i)
+                p, domain = posteriors(small, row, feature, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n_words.astype(np.int64)), *(pa.array(p[:, k].astype(np.float64)) for k in range(len(DOMAINS))),
+                    [batch.column(0).slice(i, j - i), pa.array(n_words.astype(np.int64)), *(pa.array(p[:, k].astype(np.float64)) for k in range(len(DOMAINS))), pa.array(domain.astype(np.int32)),
                      *(batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns))],
-                    names=["id", "n_tokens", *DOMAINS, *batch.schema.names[2:]],
+                    names=["id", "n_tokens", *DOMAINS, "domain", *batch.schema.names[2:]],
                 )
 
     columns = [F.col(f"`{c}`") for c in (id_col, text_col)]
@@ -173,7 +184,7 @@ def classified(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)]).alias("rest")] if keep else []
     source = docs.select(*columns, draw, *rest)
     schema = T.StructType(
-        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS], *source.schema.fields[2:]]
+        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS], T.StructField("domain", T.IntegerType()), *source.schema.fields[2:]]
     )
     return source.mapInArrow(run, schema)
 
@@ -196,11 +207,12 @@ class Fit:
 def fitted_rates(scored: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[F.Column, Fit]:
     """The rate of a document as a column over ``scored``, and how the fit ended.
 
-    The domain with the largest target leads.  Documents that most likely are
-    of it have the rate 1, those of a domain with the target zero the rate 0,
-    and the others' rates bring the other domains to their share beside the
-    leading one.  Steps end when the targets are met or the rates rest: where
-    targets cannot be met, that is the least-squares answer.
+    The domain with the largest target leads.  Documents decided to be of it
+    have the rate 1, those of a domain with the target zero the rate 0, and the
+    others' rates bring the other domains to their share beside the leading
+    one.  Steps end when the targets are met or a step gains nothing: where
+    targets cannot be met, that is the least-squares answer.  Raises if the
+    rates do not come to rest.
     """
     share = np.array([targets[d] for d in DOMAINS], float)
     if (share < 0).any() or share.sum() <= 0:
@@ -209,11 +221,11 @@ def fitted_rates(scored: DataFrame, targets: dict[str, float], steps: int = STEP
     p = [F.col(f"p_{d}") for d in DOMAINS]
     lead = int(np.argmax(share))
     other = [k for k in range(len(DOMAINS)) if k != lead]
-    likely = F.greatest(*p)
-    fixed = F.when(p[lead] >= likely, 1.0)
+    decided = F.col("domain")
+    fixed = F.when(decided == lead, 1.0)
     for k in other:
         if share[k] == 0:
-            fixed = fixed.when(p[k] >= likely, 0.0)
+            fixed = fixed.when(decided == k, 0.0)
     taken: list[F.Column] = []
 
     def rated() -> F.Column:
@@ -242,18 +254,17 @@ def fitted_rates(scored: DataFrame, targets: dict[str, float], steps: int = STEP
     bend = np.linalg.eigvalsh(sums[2 * len(p) + 1 :].reshape(len(other), -1) / np.sqrt(np.outer(scale, scale))).max()
     if bend <= 0:
         return rate, ended(0, True)
+    last = np.inf
     for n in range(steps):
-        want = share * now[lead] / share[lead]
-        if np.abs(now - want).max() <= CLOSE * now.sum():
+        off = now - share * now[lead] / share[lead]
+        square = float(((off[other] / scale) ** 2).sum())
+        if np.abs(off).max() <= CLOSE * now.sum() or square >= (1 - WORTH) * last:
             return rate, ended(n, True)
-        miss = (now - want)[other] / scale / bend
+        last, miss = square, off[other] / scale / bend
         taken.append(F.array(*[F.lit(float(m)) for m in miss]))
         new = rated()
-        sums = _sums(scored, [*[new * c for c in p], F.abs(new - rate)])
-        rate, now = new, sums[:-1]
-        if sums[-1] <= STILL * words:
-            return rate, ended(n + 1, True)
-    return rate, ended(steps, False)
+        rate, now = new, _sums(scored, [new * c for c in p])
+    raise RuntimeError(f"mixing: rates do not rest after {steps} steps; shares {ended(steps, False).shares}")
 
 
 def drawn_copies(rate: F.Column, draw: F.Column) -> F.Column:
@@ -268,8 +279,8 @@ def mixed_rates(
     """Per row: ``id_col``, ``n_tokens``, the posteriors, ``rate`` and ``copies`` (and ``rest`` with the columns to keep).
 
     ``copies`` is drawn by a hash of id and text so that its expectation is the
-    rate.  A document that most likely is of the leading domain has one copy,
-    of one with the target zero none.
+    rate.  A document decided to be of the leading domain has one copy, of one
+    with the target zero none.
     Null text has no tokens (and a rate like any other); without labels all
     domains are equally likely.  Repeated rows and null ids are kept; an empty
     table gives an empty table; other columns are not read.

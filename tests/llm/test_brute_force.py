@@ -376,7 +376,7 @@ def test_mixing_meets_targets(spark):
 def test_copies_meet_the_targets(spark, low):
     kind = F.when(F.col("id") % 100 < low, 1).when(F.col("id") % 100 < low + 3, 2).otherwise(0)
     p = [F.when(kind == k, 0.998).otherwise(0.001).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
-    table = spark.range(40000).select("id", kind.alias("kind"), F.lit(50).cast("long").alias("n_tokens"), *p, F.xxhash64("id").alias("draw"))
+    table = spark.range(40000).select("id", kind.alias("kind"), F.lit(50).cast("long").alias("n_tokens"), *p, kind.alias("domain"), F.xxhash64("id").alias("draw"))
     rate, fit = mixing.fitted_rates(table, mixing.TARGETS)
     copies = table.select("kind", mixing.drawn_copies(rate, F.col("draw")).alias("copies"))
     got = copies.groupBy("kind").agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).toPandas().set_index("kind")
@@ -385,6 +385,29 @@ def test_copies_meet_the_targets(spark, low):
     assert got.n[0] == 400 * (97 - low) and got.most[0] == 1
 
 
+def test_rates_are_the_least_squares_answer(spark):
+    """Against a plain solver on the free documents: no nonnegative rates miss the targets by much less."""
+    r = np.random.default_rng(5)
+    p = r.dirichlet([0.6, 0.5, 0.2], 400)
+    size, kind = r.integers(20, 200, 400), p.argmax(1)
+    table = spark.createDataFrame([(i, int(size[i]), *map(float, p[i]), int(kind[i]), i) for i in range(400)], "id long, n_tokens long, p_good double, p_low double, p_toxic double, domain int, draw long")
+    for targets in ({"good": 0.8, "low": 0.2, "toxic": 0.0}, {"good": 0.6, "low": 0.3, "toxic": 0.1}):
+        share = np.array([targets[d] for d in mixing.DOMAINS])
+        rate, fit = mixing.fitted_rates(table, targets)
+        got = np.array([x.rate for x in table.select("id", rate.alias("rate")).orderBy("id").collect()])
+        assert fit.rests and (got >= 0).all()
+        a = (p * size[:, None]).T
+        fixed = (kind == 0) | ((kind == 2) & (share[2] == 0))
+        assert (got[kind == 0] == 1).all() and (got[(kind == 2) & (share[2] == 0)] == 0).all()
+        miss = lambda x: ((a @ x - share * (a[0] @ x) / share[0])[1:] / a.sum(1)[1:])
+        m = (a - np.outer(share, a[0]) / share[0])[1:] / a.sum(1)[1:, None]
+        x = np.where(fixed, got, 1.0)
+        step = 1 / np.linalg.norm(m[:, ~fixed], 2) ** 2
+        for _ in range(20000):
+            x[~fixed] = np.maximum(0, x[~fixed] - step * (m[:, ~fixed].T @ miss(x)))
+        assert (miss(got) ** 2).sum() <= (miss(x) ** 2).sum() * 1.1 + 1e-6
+
+
 def test_main_text():
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav>'
