@@ -4,8 +4,9 @@ A page becomes a tree of elements and blocks of text.  Each paragraph gives
 points, for its length and its commas, to its parent and half as many to the
 next ancestor, and so on.  An element's points are discounted by the share of
 its text that is in links.  The best element, and those of its siblings that
-score well too, hold the main text.  Elements that are never part of it, by
-tag, role, or a word of their class or id, are left out beforehand.
+score well too, hold the main text.  Elements that are never part of it, by tag
+or role, are left out beforehand.  A section whose class or id names such a part
+is left out too, unless it holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import pieces, text_buffer
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg object".split())
 #: Elements that are never main text.
 LEFT_OUT = RAW | frozenset("head nav header footer aside form button select option dialog canvas audio video menu input label fieldset".split())
 BLOCK = frozenset(
@@ -33,13 +36,15 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the first kind ends an open element of the second kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body main td th blockquote nav aside header footer form".split())
-#: Words of a class or id (split at anything but letters and digits) that mark what is not main text.
+#: Words of a section's class or id (split at anything but letters and digits) that name menus, headers, footers, sidebars,
+#: notices, adverts, forms or reader comments.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb "
     "breadcrumbs sidebar aside footer header masthead comment comments respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended widget widgets pager pagination toolbar search skip hidden "
-    "copyright legal disclaimer".split()
+    "newsletter subscribe subscription signup login sharing widget widgets pager pagination toolbar".split()
 )
+#: Elements that a class or id can mark.
+SECTION = frozenset("div section ul ol dl table center details figure span".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
@@ -50,21 +55,24 @@ _WORD = re.compile(r"[a-z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Points of a paragraph: one, one a comma, one for every so many characters up to a most.
 PER_CHARS, MOST_FOR_LENGTH, LEAST_CHARS = 100, 3, 25
-#: A sibling is kept from this share of the best element's points, a plain paragraph from so many characters.
-SIBLING_SHARE, SIBLING_CHARS = 0.2, 80
+#: A sibling is kept from this share of the best element's points and so many points, a plain paragraph from so many
+#: characters or if it ends like a sentence.
+SIBLING_SHARE, SIBLING_POINTS, SIBLING_CHARS = 0.2, 10, 80
+#: Points that an element has for its tag, if it has text at all; characters over which a marked section may be the main one.
+TAG_POINTS, MARKED_CHARS = {"article": 10, "main": 10, "div": 1, "section": 1, "td": 1, "blockquote": 1}, 250
 #: Lists and sections with a larger share of linked text are left out.
 MOST_LINKED = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "chars", "linked", "points", "order", "skipped")
+    __slots__ = ("tag", "parent", "parts", "chars", "linked", "points", "order", "marked")
 
     def __init__(self, tag: str, parent: Element | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.parts: list[Element | str] = []
         self.chars = self.linked = 0
         self.points = 0.0
-        self.skipped = False
+        self.marked = False
 
 
 def _left_out(tag: str, attributes: str, inside: Element) -> bool:
@@ -74,8 +82,6 @@ def _left_out(tag: str, attributes: str, inside: Element) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and not MARKED.isdisjoint(_WORD.findall(value)):
-            return True
         if (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style" and _UNSEEN.search(value):
@@ -83,6 +89,15 @@ def _left_out(tag: str, attributes: str, inside: Element) -> bool:
     return False
 
 
+def _is_marked(tag: str, attributes: str) -> bool:
+    if not attributes or tag not in SECTION:
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id") and not MARKED.isdisjoint(_WORD.findall("".join(values).lower())):
+            return True
+    return False
+
+
 def _within(at: Element | None, tags: tuple[str, ...]) -> bool:
     while at is not None:
         if at.tag in tags:
@@ -100,7 +115,7 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
 
     def flush() -> None:
         if text:
-            block = " ".join(html.unescape("".join(text)).split())
+            block = " ".join("".join(text).split())
             text.clear()
             if block:
                 at.parts.append(block)
@@ -116,6 +131,7 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
         if not skip:
             piece = page[position : m.start()] if m else page[position:]
             if piece:
+                piece = html.unescape(piece)  # a reference does not go on after markup
                 text.append(piece)
                 if links:
                     at.linked += len(" ".join(piece.split()))
@@ -171,7 +187,10 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
             if not attributes.endswith("/"):
                 skip.append(tag)
             continue
+        marked = _is_marked(tag, attributes)
         if tag not in BLOCK:
+            if marked and tag == "span" and not attributes.endswith("/"):
+                skip.append(tag)
             continue
         flush()
         links = 0
@@ -185,29 +204,56 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
             if up.tag in ends:
                 close(up.parent)
         at = Element(tag, at, len(elements))
+        at.marked = marked
         at.parent.parts.append(at)
         elements.append(at)
     flush()
     return root, elements
 
 
+def _totals(elements: list[Element]) -> None:
+    for e in reversed(elements):  # children first
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.linked += e.linked
+
+
+def _without_marked(root: Element, elements: list[Element]) -> list[Element]:
+    """The elements outside marked ones; one that holds most of the page's text is not marked."""
+    out, gone = [], set()
+    for e in elements:
+        if e.marked and e.chars - e.linked > max(MARKED_CHARS, (root.chars - root.linked) / 2):
+            e.marked = False
+        if e.marked or e.parent in gone:
+            gone.add(e)
+        else:
+            out.append(e)
+    for e in out:
+        e.parts = [x for x in e.parts if isinstance(x, str) or x not in gone]
+    for e in reversed(elements):
+        if e.marked and e.parent not in gone:
+            up = e.parent
+            while up is not None:
+                up.chars, up.linked, up = up.chars - e.chars, up.linked - e.linked, up.parent
+    return out
+
+
 def _score(elements: list[Element]) -> None:
     for e in elements:
+        if e.chars:
+            e.points += TAG_POINTS.get(e.tag, 0)
         if e.tag not in PARAGRAPH:
             continue
         blocks = [x for x in e.parts if isinstance(x, str)]
         own = sum(map(len, blocks))
         if own < LEAST_CHARS:
             continue
-        points = (1 + sum(b.count(",") for b in blocks) + min(own / PER_CHARS, MOST_FOR_LENGTH)) * (1 - min(1.0, e.linked / own))
+        inner = sum(x.linked for x in e.parts if not isinstance(x, str))
+        points = (1 + sum(b.count(",") for b in blocks) + min(own / PER_CHARS, MOST_FOR_LENGTH)) * (1 - min(1.0, max(0, e.linked - inner) / own))
         share, up = 1.0, (e.parent if e.tag in ("p", "pre", "blockquote", "td", "li", "dd") and e.parent is not None else e)
         while up is not None and share > 0.05:
             up.points += points * share
             share, up = share / 2, up.parent
-    for e in reversed(elements):  # totals of text, children first
-        if e.parent is not None:
-            e.parent.chars += e.chars
-            e.parent.linked += e.linked
 
 
 def _linked(e: Element) -> float:
@@ -234,41 +280,46 @@ def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by an empty line; empty if there is none."""
     if not page:
         return ""
-    _, elements = parsed(page)
+    root, elements = parsed(page)
+    _totals(elements)
+    elements = _without_marked(root, elements)
     _score(elements)
-    best = max(elements, key=lambda e: (e.points * (1 - _linked(e)), -e.order))
+    worth = lambda e: e.points * (1 - _linked(e))
+    best = max(elements, key=lambda e: (worth(e), -e.order))
     if best.points <= 0:
-        best = elements[0]
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    best = up or best
+        best = root
     out: list[str] = []
-    if best.parent is None or best.tag in ("article", "main"):
-        siblings = [best] if best.parent is None else [x for x in best.parent.parts if isinstance(x, Element) and (x is best or x.tag == "article")]
-    else:
-        siblings = [x for x in best.parent.parts if isinstance(x, Element)]
-    least = SIBLING_SHARE * best.points * (1 - _linked(best))
+    siblings = [best] if best.parent is None else [x for x in best.parent.parts if isinstance(x, Element)]
+    least = max(SIBLING_POINTS, SIBLING_SHARE * worth(best))
     for x in siblings:
-        good = x is best or (x.points > 0 and x.points * (1 - _linked(x)) >= least)
-        good = good or (x.tag == "p" and x.chars > SIBLING_CHARS and _linked(x) < 0.25) or (x.tag in ("h1", "h2") and _linked(x) == 0)
+        good = x is best or worth(x) >= least or (x.tag in ("h1", "h2") and _linked(x) == 0)
+        if x.tag == "p" and not good:
+            good = (x.chars > SIBLING_CHARS and _linked(x) < 0.25) or (x.linked == 0 and _ends(x))
         if good:
             _collect(x, out)
     return "\n\n".join(out)
 
 
+def _ends(e: Element) -> bool:
+    """Whether the element's own text ends like a sentence."""
+    last = e.parts[-1] if e.parts else ""
+    return isinstance(last, str) and last.endswith((".", "!", "?", "…", "。"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) of each row.
 
     Null, empty and markup-only pages have the empty text.  Repeated rows and
     null ids are kept; an empty table gives an empty table; other columns are
-    not read.  Any string parses; nothing is dropped for its length.
+    not read.  Of elements that score alike the first in the page is taken.
+    Any string parses; nothing is dropped for its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            _, off = text_buffer(batch.column(2))
+            for i, j in pieces(off):
+                part = batch.slice(i, j - i)
                 texts = [main_text(cell.as_py()) for cell in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

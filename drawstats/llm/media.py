@@ -1,7 +1,8 @@
 """Documents as PNG columns: own encoder and decoder, and a low-frequency cosine hash.
 
 A payload is stored as an 8-bit grey image, 64 samples a row, in a PNG file of
-IHDR, IDAT and IEND chunks.  Reading goes through the chunks, tests each
+IHDR, IDAT and IEND chunks.  Each row takes the filter (none, left or up) that
+leaves the least sum of differences.  Reading goes through the chunks, tests each
 checksum, inflates the data and undoes the row filters with numpy.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_buffer
+from .common import pieces, text_buffer
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROW = 64
@@ -61,13 +62,29 @@ def _nearest(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
 
 
-def png_encode(payload: bytes, row: int = ROW, filter_type: int = 0, level: int = 1) -> bytes:
-    """A grey 8-bit PNG of ``payload``, whose length is a positive multiple of ``row``."""
+#: Filters that a row chooses from; numpy undoes runs of them at once.
+CHOICE = (0, 1, 2)
+
+
+def _filtered(image: np.ndarray, filter_type: int | None) -> np.ndarray:
+    """Rows of the image as they are compressed: the filter's number and what it leaves."""
+    lines = np.empty((len(image), image.shape[1] + 1), np.uint8)
+    if filter_type is not None:
+        lines[:, 0] = filter_type
+        lines[:, 1:] = image - _predicted(filter_type, image)
+        return lines
+    left = np.stack([image - _predicted(k, image) for k in CHOICE])
+    cost = np.abs(left.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64)
+    best = cost.argmin(0)
+    lines[:, 0] = np.array(CHOICE, np.uint8)[best]
+    lines[:, 1:] = left[best, np.arange(len(image))]
+    return lines
+
+
+def png_encode(payload: bytes, row: int = ROW, filter_type: int | None = None, level: int = 1) -> bytes:
+    """A grey 8-bit PNG of ``payload``, whose length is a positive multiple of ``row``; each row chooses its filter if none is given."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, row)
-    lines = np.empty((len(image), row + 1), np.uint8)
-    lines[:, 0] = filter_type
-    lines[:, 1:] = image - _predicted(filter_type, image)
-    body = zlib.compress(lines.tobytes(), level)
+    body = zlib.compress(_filtered(image, filter_type).tobytes(), level)
     header = struct.pack(">IIBBBBB", row, len(image), 8, 0, 0, 0, 0)
     parts = [_chunk(b"IDAT", body[i : i + CHUNK]) for i in range(0, len(body), CHUNK)]
     return b"".join([SIGNATURE, _chunk(b"IHDR", header), *parts, _chunk(b"IEND", b"")])
@@ -152,17 +169,16 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 
 
-def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_type: int = 0) -> DataFrame:
+def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_type: int | None = None) -> DataFrame:
     """``id_col``, ``n_bytes`` and the binary column ``media``; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            data = raw.tobytes()
-            for i in range(0, batch.num_rows, 1000):
-                at = off[i : i + 1001].tolist()
-                files = [png_encode(padded(data[a:b]), filter_type=filter_type) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1000), pa.array(np.diff(at)), pa.array(files, pa.binary())], names=["id", "n", "m"])
+            for i, j in pieces(off):
+                at = off[i : j + 1].tolist()
+                files = [png_encode(padded(raw[a:b].tobytes()), filter_type=filter_type) for a, b in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(files, pa.binary())], names=["id", "n", "m"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)

@@ -2,10 +2,10 @@
 
 The words of a piece of many documents are ranked by prefix doubling with the
 document in the first rank, so that suffixes of different documents never
-meet.  Neighbours in suffix order with a common prefix give, for each start,
-its longest repeat (the deepest common-prefix interval that holds it); the
-union of those spans is what maximal repeated substrings cover.  Only starts
-that are still tied are sorted again at each doubling.
+meet.  Only starts that are still tied are sorted again at each doubling.  The
+common prefixes of neighbours in suffix order form intervals; an interval whose
+occurrences follow different words is a maximal repeated substring.  The union
+of their spans, and the longest of them, are what the rule limits.
 """
 
 from __future__ import annotations
@@ -20,21 +20,20 @@ from pyspark.sql import types as T
 
 from .common import RangeHash, SPACE, pieces, text_buffer, union_spans, words_of
 
-#: Words in the windows of the base rule; it is the doubling level whose ties are looked at.
-WINDOW_LEVEL = 3
-WINDOW = 1 << WINDOW_LEVEL
+#: Words in the windows of the base rule.
+WINDOW = 8
 #: The base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: The method's rule: repeats of at least so many words count; they may cover so much of a
 #: document, and none may be longer than so many words.
-MIN_REPEAT, MAX_COVERED_PERCENT, MAX_LONGEST = 8, 25, 60
+MIN_REPEAT, MAX_COVERED_PERCENT, MAX_LONGEST = 5, 25, 60
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
-def suffix_ranks(symbol: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, .. words, until none is tied, and those tied after ``WINDOW_LEVEL``.
+def suffix_ranks(symbol: np.ndarray, doc: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, .. words, until none is tied, and the starts tied after ``2 ** level`` words.
 
     ``symbol`` must differ between documents.  A suffix ends with its document.
     """
@@ -44,7 +43,7 @@ def suffix_ranks(symbol: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray],
     back = np.empty(n, np.int64)
     back[order] = rank
     ranks, tied, step = [back], _ties(back, np.arange(n)), 1
-    windows = tied
+    wanted = tied
     while len(tied):
         now = ranks[-1].copy()
         there = tied + step
@@ -64,9 +63,9 @@ def suffix_ranks(symbol: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray],
         ranks.append(now)
         tied = _ties(now, tied)
         step *= 2
-        if len(ranks) <= WINDOW_LEVEL + 1:
-            windows = tied
-    return ranks, windows
+        if len(ranks) <= level + 1:
+            wanted = tied
+    return ranks, wanted if len(ranks) > level else tied
 
 
 def _group_starts(ordered: np.ndarray) -> np.ndarray:
@@ -85,10 +84,9 @@ def _ties(rank: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.sort(among[order[same]])
 
 
-def longest_repeats(ranks: list[np.ndarray], starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The longest repeat from each of ``starts``: the larger common prefix with its two neighbours in suffix order."""
+def common_prefixes(ranks: list[np.ndarray], order: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Common prefix, in words, of each of the suffixes in ``order`` with the one before it (0 for the first)."""
     n = len(doc)
-    order = starts[np.argsort(ranks[-1][starts], kind="stable")]
     a, b = order[:-1], order[1:]
     length = np.zeros(len(a), np.int64)
     for level in range(len(ranks) - 1, -1, -1):
@@ -97,12 +95,40 @@ def longest_repeats(ranks: list[np.ndarray], starts: np.ndarray, doc: np.ndarray
         x, y = np.minimum(x, n - 1), np.minimum(y, n - 1)
         same = inside & (doc[x] == doc[a]) & (doc[y] == doc[b]) & (ranks[level][x] == ranks[level][y])
         length[same] += 1 << level
-    most = np.zeros(len(order), np.int64)
-    most[1:] = length
-    most[:-1] = np.maximum(most[:-1], length)
-    out = np.empty(len(starts), np.int64)
-    out[np.searchsorted(starts, order)] = most
-    return out
+    return np.concatenate((np.zeros(min(1, len(order)), np.int64), length))
+
+
+def _previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each entry the last one before it that is smaller (-1 if none); all look back at once, over what others have passed."""
+    at = np.arange(len(x)) - 1
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_):
+        open_ = open_[x[at[open_]] >= x[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
+
+
+def maximal_repeats(ranks: list[np.ndarray], starts: np.ndarray, symbol: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences (starts, lengths) of repeated substrings that no longer one at the same place extends.
+
+    ``starts`` are all starts of repeats of the length of interest.  Each is in
+    the interval of its longer common prefix with a neighbour; it counts if
+    that interval's occurrences do not all follow the same word.
+    """
+    order = starts[np.argsort(ranks[-1][starts], kind="stable")]
+    prefix = common_prefixes(ranks, order, doc)
+    n = len(order)
+    left = np.maximum(_previous_smaller(prefix), 0)
+    right = n - 1 - np.maximum(_previous_smaller(prefix[::-1])[::-1], -1)
+    right = np.where(right > n - 1, n, right)  # the interval at i has the suffixes left .. right - 1
+    before = np.where(order > 0, symbol[np.maximum(order - 1, 0)], np.uint64(0))
+    before = np.where((order > 0) & (doc[np.maximum(order - 1, 0)] == doc[order]), before, order.astype(np.uint64))
+    changes = np.concatenate(([0], np.cumsum(before[1:] != before[:-1]))) if n else np.zeros(0, np.int64)
+    following = np.append(prefix[1:], 0)
+    deepest = np.where(following > prefix, np.minimum(np.arange(n) + 1, n - 1), np.arange(n))
+    diverse = changes[right[deepest] - 1] != changes[left[deepest]]
+    return order[diverse], np.maximum(prefix, following)[diverse]
 
 
 def repetition(raw: np.ndarray, off: np.ndarray, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarray]:
@@ -110,19 +136,18 @@ def repetition(raw: np.ndarray, off: np.ndarray, min_repeat: int = MIN_REPEAT) -
     starts, ends, doc = words_of(raw, off)
     n_rows, n = len(off) - 1, len(starts)
     out = {"n_words": np.bincount(doc, minlength=n_rows)}
-    if not n:
-        return out | {k: np.zeros(n_rows, np.int64) for k in ("n_repeat_words", "covered_words", "longest_repeat")}
-    symbol = RangeHash(raw)(starts, ends) ^ RangeHash(doc.astype(np.uint64) + np.uint64(1), 1)(np.arange(n), np.arange(n) + 1)
-    ranks, tied = suffix_ranks(symbol, doc)
-    window = union_spans(tied, tied + WINDOW, n) if len(ranks) > WINDOW_LEVEL else np.zeros(n, bool)
-    out["n_repeat_words"] = np.bincount(doc[window], minlength=n_rows)
-    longest, cover = np.zeros(n_rows, np.int64), np.zeros(n, bool)
-    if len(ranks) > WINDOW_LEVEL and len(tied):
-        length = longest_repeats(ranks, tied, doc)
-        long = length >= min_repeat
-        cover = union_spans(tied[long], (tied + length)[long], n)
-        np.maximum.at(longest, doc[tied[long]], length[long])
-    return out | {"covered_words": np.bincount(doc[cover], minlength=n_rows), "longest_repeat": longest}
+    longest, cover, window = np.zeros(n_rows, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    if n:
+        symbol = RangeHash(raw)(starts, ends) ^ RangeHash(doc.astype(np.uint64) + np.uint64(1), 1)(np.arange(n), np.arange(n) + 1)
+        ranks, tied = suffix_ranks(symbol, doc, int(min(min_repeat, WINDOW)).bit_length() - 1)
+        if len(tied):
+            at, length = maximal_repeats(ranks, tied, symbol, doc)
+            long = length >= min_repeat
+            cover = union_spans(at[long], (at + length)[long], n)
+            np.maximum.at(longest, doc[at[long]], length[long])
+            wide = length >= WINDOW
+            window = union_spans(at[wide], (at + length)[wide], n)
+    return out | {"n_repeat_words": np.bincount(doc[window], minlength=n_rows), "covered_words": np.bincount(doc[cover], minlength=n_rows), "longest_repeat": longest}
 
 
 def measured(raw: np.ndarray, off: np.ndarray, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarray]:
@@ -159,12 +184,11 @@ def quality_rules(
 
     ``kept`` is false if the base rule fails, if repeats of at least
     ``min_repeat`` words cover more than ``max_covered_percent`` of the words, or
-    if a repeat is longer than ``max_longest`` words.  ``min_repeat`` may not be
-    under the base window.  Null text has no words (and so fails); repeated rows
+    if a repeat is longer than ``max_longest`` words.  Null text has no words (and so fails); repeated rows
     and null ids are kept; an empty table gives an empty table.
     """
-    if min_repeat < WINDOW:
-        raise ValueError(f"min_repeat under {WINDOW}")
+    if min_repeat < 1:
+        raise ValueError("min_repeat under 1")
     names = [id_col, text_col, *[k for k in keep if k not in (id_col, text_col)]]
     sent = [id_col, *keep]
 

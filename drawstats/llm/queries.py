@@ -47,7 +47,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    out = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumn("too_long", F.col("longest_repeat") > quality.MAX_LONGEST).drop("longest_repeat")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +57,44 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_simhash, op4_suffix_dedup, op5_brown_lm, op6_fm_dedup, op7_mixing, op8_token_counts, op9_quality, op10_media)}
 
-#: No operator of this subpackage can be expressed in SQL; tests hold each against brute force.
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]"
+#: Rows ``r`` (in the order of ids), their words and, one row each, ``p`` and ``w``.
+_WORDS = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+  l AS (SELECT doc_id, r, text, regexp_extract_all(text, '{_WORD}+') AS ws FROM d),
+  w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM l)"""
+
+
+def _windows_sql(name: str, size: int) -> str:
+    """Starts ``p`` of the windows of ``size`` words, by row, with a digest."""
+    return f"{name} AS (SELECT r, u.p, md5(array_to_string(ws[u.p : u.p + {size - 1}], ' ')) AS h FROM l, unnest(range(1, len(ws) - {size - 2})) AS u(p))"
+
+
+def _covered_sql(name: str, windows: str, size: int) -> str:
+    """Rows and places that windows of ``size`` words, which the row repeats, cover."""
+    return f"""{name} AS (SELECT r, count(DISTINCT p + k.range) AS n FROM (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, h) AS c FROM {windows}) WHERE c > 1),
+  range(0, {size}) k GROUP BY r)"""
+
+
+_COUNTED = {"n_words": "len(ws)", "word_chars": "list_sum(list_transform(ws, lambda x: length(x)))", "n_symbols": "length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))"}
+_LINES = f"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))"
+_OP9 = f"""WITH {_WORDS}, {_windows_sql("a8", 8)}, {_windows_sql("am", quality.MIN_REPEAT)}, {_windows_sql("al", quality.MAX_LONGEST + 1)},
+  {_covered_sql("c8", "a8", 8)}, {_covered_sql("cm", "am", quality.MIN_REPEAT)}, tl AS (SELECT DISTINCT r FROM (SELECT r, h FROM al GROUP BY 1, 2 HAVING count(*) > 1)),
+  q AS (SELECT doc_id, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {c}" for c, x in _COUNTED.items())}, CAST(len({_LINES}) - len(list_distinct({_LINES})) AS BIGINT) AS n_dup_lines,
+    coalesce(c8.n, 0) AS n_repeat_words, coalesce(cm.n, 0) AS covered_words, tl.r IS NOT NULL AS too_long FROM l LEFT JOIN c8 USING (r) LEFT JOIN cm USING (r) LEFT JOIN tl USING (r)),
+  f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM q)
+  SELECT *, NOT base_failed AND 100 * covered_words <= {quality.MAX_COVERED_PERCENT} * n_words AND NOT too_long AS kept FROM f"""
+_OP6 = f"""WITH {_WORDS}, {_windows_sql("a", fm_dedup.WINDOW)}, later AS (SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY h ORDER BY r, p) AS k FROM a) WHERE k > 1),
+  gone AS (SELECT DISTINCT r, p + k.range AS p FROM later, range(0, {fm_dedup.WINDOW}) k),
+  t AS (SELECT w.r, count(*) AS n, count(gone.p) AS g, string_agg(w.w, ' ' ORDER BY w.p) FILTER (gone.p IS NULL) AS kept FROM w LEFT JOIN gone ON gone.r = w.r AND gone.p = w.p GROUP BY 1)
+  SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN t USING (r)"""
+_OP4 = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+  a AS (SELECT r, u.p, md5(substring(x, 2 * u.p - 1, {2 * suffix_dedup.WINDOW})) AS h FROM d, unnest(range(1, length(x) // 2 - {suffix_dedup.WINDOW - 2})) AS u(p)),
+  later AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM (SELECT r, p, row_number() OVER (PARTITION BY h ORDER BY r, p) AS k FROM a) WHERE k > 1),
+  s AS (SELECT r, p, sum(CASE WHEN before IS NULL OR p > before + {suffix_dedup.WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM later),
+  span AS (SELECT r, k, min(p) AS b, max(p) + {suffix_dedup.WINDOW - 1} AS e FROM s GROUP BY 1, 2),
+  piece AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS last FROM span),
+  t AS (SELECT r, count(*) AS n, sum(e - b + 1) AS g, string_agg(substring(x, 2 * last + 1, 2 * (b - last - 1)), '' ORDER BY b) AS kept, max(e) AS e FROM piece JOIN d USING (r) GROUP BY 1)
+  SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(e, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+#: The others cannot be expressed in SQL as a whole (trees, trained models, vocabularies, XXH64, zlib); tests hold each against brute force.
+ORACLES: dict[str, str] = {"op4_suffix_dedup": _OP4, "op6_fm_dedup": _OP6, "op9_quality": _OP9}
