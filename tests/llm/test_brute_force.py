@@ -198,7 +198,8 @@ def test_wavelet_rank(values, bits):
 
 
 def test_quality_query(spark, tables):
-    got = {r.doc_id: r for r in queries.op9_quality(spark, tables).collect()}
+    query = {r.doc_id: r for r in queries.op9_quality(spark, tables).collect()}
+    got = {r.doc_id: r for r in quality.quality_rules(spark.read.parquet(f"{tables}/documents.parquet")).collect()}
     for i, t in corpus():
         w = WORD.findall(t)
         n, seen, longest = len(w), collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7)), 0
@@ -224,6 +225,9 @@ def test_quality_query(spark, tables):
         failed = n < 20 or 100 * int(again.sum()) > 30 * n
         bad = 100 * int(cover.sum()) > quality.MAX_COVERED_PERCENT * n or longest > quality.MAX_LONGEST
         assert (r.base_failed, r.kept) == (failed, not failed and not bad)
+        q = query[i]
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert (q.covered_words, q.too_long, q.base_failed, q.kept) == (r.covered_words, longest > quality.MAX_LONGEST, r.base_failed, r.kept)
 
 
 def plain_hash(payload):
