@@ -2,7 +2,8 @@
 
 The text of a document is cut into pre-tokens, none of which a token crosses.
 A segment tree over short leaves of pre-tokens holds sums of characters and
-tokens.  An edit finds its leaves by characters, cuts again from the last
+tokens; it is kept beside the document as a binary column, so that later edits
+start from it and not from the text.  An edit finds its leaves by characters, cuts again from the last
 pre-token that could not have seen the edit until a new border falls on an old
 one, encodes only what lies between, and updates the sums on the paths above.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import pieces, stored, text_buffer
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,13 +63,29 @@ class Tokens:
 
 
 class CountTree:
-    """Pre-tokens of one text with sums of characters and tokens."""
+    """Pre-tokens of one text with sums of characters and tokens, made from the text or from what ``kept`` gave."""
+
+    def __init__(self, text: str, tokens: Tokens, kept: bytes | None = None):
+        self.tokens, self.text, self.encoded = tokens, text, 0
+        if kept is None:
+            parts = tokens.split(text)
+            self._build(np.fromiter(map(len, parts), np.int64, len(parts)), np.array(tokens.counts(parts), np.int64))
+        else:
+            width = f"<u{kept[0]}"
+            length, count = np.frombuffer(kept, width, offset=1).astype(np.int64).reshape(2, -1)
+            if length.sum() != len(text):
+                raise ValueError("the tree is of another text")
+            self._build(length, count)
+
+    def kept(self) -> bytes:
+        """Lengths and token counts of the pre-tokens: a byte for their width, then both in order."""
+        flat = np.array([v for k in (0, 1) for leaf in self.leaves for v in leaf[k]], np.int64)
+        width = next(w for w in (1, 2, 4, 8) if not len(flat) or int(flat.max()) < 1 << (8 * w))
+        return bytes([width]) + flat.astype(f"<u{width}").tobytes()
 
-    def __init__(self, text: str, tokens: Tokens):
-        self.tokens, self.text = tokens, text
-        parts = tokens.split(text)
-        self._build(np.fromiter(map(len, parts), np.int64, len(parts)), np.array(tokens.counts(parts), np.int64))
-        self.encoded = 0
+    @property
+    def n_pretokens(self) -> int:
+        return sum(len(x[0]) for x in self.leaves)
 
     def _build(self, length: np.ndarray, count: np.ndarray) -> None:
         n = max(1, -(-len(length) // LEAF))
@@ -161,36 +180,79 @@ def sample_edits(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
     return F.array(*out)
 
 
-def counted(docs: DataFrame, edits: F.Column, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """Per row: ``id_col``, ``n_tokens``, ``n_pretokens``, ``n_edits``, ``n_tokens_after`` and ``n_recounted`` (pre-tokens encoded for the edits).
+def with_edits(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``trees`` with ``edits``, the array of a document's rows (``seq``, ``start``, ``stop``, ``new``) of a table of edits, in the order of ``seq``."""
+    told = edits.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "stop", "new"))), lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop"), x.new.alias("new"))).alias("edits"))
+    return trees.join(told, id_col, "left")
+
+
+def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """Per row: ``id_col``, ``text``, ``n_tokens``, ``n_pretokens`` and ``tree`` (binary), for ``edited``.
+
+    Null text is empty.  Repeated rows and null ids are kept; an empty table
+    gives an empty table; other columns are not read.
+    """
+    table = read_ranks(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(table)
+        for batch in batches:
+            _, off = text_buffer(batch.column(1))
+            for i, j in pieces(off):
+                part = batch.slice(i, j - i)
+                trees = [CountTree(t.as_py() or "", tokens) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1).fill_null(""), pa.array([t.n_tokens for t in trees], pa.int64()), pa.array([t.n_pretokens for t in trees], pa.int64()), pa.array([t.kept() for t in trees], pa.binary())],
+                    names=["id", "text", "n_tokens", "n_pretokens", "tree"],
+                )
+
+    fields = [("text", T.StringType()), ("n_tokens", T.LongType()), ("n_pretokens", T.LongType()), ("tree", T.BinaryType())]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(a, b) for a, b in fields]])
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+
+
+def edited(trees: DataFrame, edits: F.Column, id_col: str = "doc_id", ranks: str = RANKS) -> DataFrame:
+    """The rows of ``count_trees`` after their edits, with ``text`` and ``tree`` as they are then, ``n_edits``,
+    ``n_tokens_after`` and ``n_recounted`` (pre-tokens encoded for the edits); ``n_tokens`` and ``n_pretokens`` are those before.
 
     ``edits`` is an array of (``start``, ``stop``, ``new``), applied in order,
     each to the text that the one before left; positions outside the text are
-    moved into it, and null edits do nothing.  Null text is empty.  Repeated
-    rows and null ids are kept; an empty table gives an empty table.
+    moved into it, and null edits do nothing.
     """
     table = read_ranks(ranks)
+    sent = trees.select(F.col(f"`{id_col}`"), "text", "n_tokens", "n_pretokens", "tree", edits.alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(table)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            _, off = text_buffer(batch.column(1))
+            for i, j in pieces(off):
+                part = batch.slice(i, j - i)
                 rows = []
-                for text, told in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                    tree = CountTree(text.as_py() or "", tokens)
-                    before, n = tree.n_tokens, sum(len(x[0]) for x in tree.leaves)
-                    done = 0
+                for text, kept, told in zip(part.column(1), part.column(4), part.column(5).to_pylist(), strict=True):
+                    tree, done = CountTree(text.as_py(), tokens, kept.as_py()), 0
                     for e in told or ():
                         if e is not None:
                             tree.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "")
                             done += 1
-                    rows.append((before, n, done, tree.n_tokens, tree.encoded))
-                columns = zip(*rows, strict=True) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", *_COUNTS])
+                    rows.append((tree.text, tree.kept(), done, tree.n_tokens, tree.encoded))
+                texts, kept, *numbers = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(texts, pa.string()), part.column(2), part.column(3), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in numbers)],
+                    names=["id", "text", "n_tokens", "n_pretokens", "tree", *_AFTER],
+                )
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in _COUNTS]])
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), edits.alias("edits")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, T.StructType([*sent.schema.fields[:5], *[T.StructField(c, T.LongType()) for c in _AFTER]]))
 
 
-_COUNTS = ["n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_recounted"]
+_AFTER = ["n_edits", "n_tokens_after", "n_recounted"]
+
+
+def counted(docs: DataFrame, edits: F.Column, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """Per row: ``id_col``, ``n_tokens``, ``n_pretokens``, ``n_edits``, ``n_tokens_after`` and ``n_recounted``.
+
+    The trees are kept in the checkpoint folder, and the edits (see ``edited``;
+    made of ``id_col`` and ``text``) are applied to them.
+    """
+    out = edited(stored(count_trees(docs, id_col, text_col, ranks)), edits, id_col, ranks)
+    return out.select(F.col(f"`{id_col}`"), "n_tokens", "n_pretokens", *_AFTER)

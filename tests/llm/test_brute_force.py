@@ -336,6 +336,7 @@ def test_edited_counts(tokens, text, edits):
         a, b = min(start, len(text)), min(start + size, len(text))
         text = text[:a] + new + text[b:]
         assert tree.text == text and tree.n_tokens == len(tokens.encoding.encode_ordinary(text))
+        tree = token_counts.CountTree(text, tokens, tree.kept())  # goes on from what is kept
 
 
 def test_edits_recount_little(tokens):
@@ -346,9 +347,25 @@ def test_edits_recount_little(tokens):
 
 
 def test_counts_query(spark, tables, tokens):
+    told = {r.doc_id: r.edits for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", token_counts.sample_edits().alias("edits")).collect()}
     for r in queries.op8_token_counts(spark, tables).collect():
         text = dict(corpus())[r.doc_id]
-        assert r.n_tokens == len(tokens.encoding.encode_ordinary(text)) and r.n_edits == 3
+        assert r.n_tokens == len(tokens.encoding.encode_ordinary(text)) and r.n_edits == 3 and r.n_pretokens == len(tokens.split(text))
+        for e in told[r.doc_id]:
+            text = text[: e.start] + e.new + text[e.stop :]
+        assert r.n_tokens_after == len(tokens.encoding.encode_ordinary(text)) and 0 < r.n_recounted <= 60
+
+
+def test_kept_trees_take_a_table_of_edits(spark, tokens):
+    rows = [(1, "one two three"), (2, ""), (None, "no id"), (3, "left as it is")]
+    trees = token_counts.count_trees(docs(spark, rows))
+    table = spark.createDataFrame([(1, 2, 0, 3, "1"), (1, 1, 4, 7, "2,"), (2, 1, 5, 9, "new text"), (9, 1, 0, 0, "x")], "doc_id long, seq int, start int, stop int, new string")
+    once = token_counts.edited(token_counts.with_edits(trees, table), F.col("edits"))
+    got = {r.doc_id: r for r in once.collect()}
+    want = {1: "1 2, three", 2: "new text", None: "no id", 3: "left as it is"}
+    assert {i: r.text for i, r in got.items()} == want and got[3].n_recounted == 0
+    for i, r in got.items():
+        assert r.n_tokens_after == len(tokens.encoding.encode_ordinary(want[i])) and token_counts.CountTree(r.text, tokens, bytes(r.tree)).n_tokens == r.n_tokens_after
 
 
 def test_language_model_query(spark, tables):
