@@ -1,14 +1,18 @@
 """Language-model scores with Brown classes.
 
-Words of the exchange vocabulary are assigned to classes by the exchange
-algorithm on the counts of neighbouring symbols in all training documents; all
-other words have a class by their shape.  A text's probability is the product
-over its tokens of class transition and word emission, both smoothed.
-
-Counts cover every training document and word.  The most frequent words (at
-most ``FREQUENT``, a fixed number) are sent to all executors and scored where
-the text is; what is left of a document are its rare words, which meet their
-counts in a join.  A frequent word is therefore never in a shuffle of texts.
+The most frequent words are assigned to classes by the exchange algorithm on the
+counts of neighbouring symbols in all training documents.  All other words that
+occur twice are then put, in distributed sweeps, into the class in which the
+likelihood of the class sequence gains most, by the counts of the classes beside
+them; words that occur once stand for unseen ones and have a class by their
+shape, as those do.  A text's probability is the product over its tokens of class
+transition and word emission, both smoothed.
+
+Counts cover every training document and word.  Classes (of at most ``CLASSED``
+words; rarer ones have one by their shape) and the counts of the most frequent
+words (at most ``FREQUENT``) are sent to all executors, and scored where the text
+is; what is left of a document are its rare words, which meet their counts in a
+join.  A frequent word is therefore never in a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +29,13 @@ from .common import LOWER, RangeHash, mixed, pieces, stored, text_buffer, words_
 
 #: Added to counts of words, and of transitions.
 DELTA, ALPHA = 0.1, 0.5
-#: Words in the exchange vocabulary, classes for them, sweeps over them.
-EXCHANGE_WORDS, CLASSES, SWEEPS = 1024, 48, 8
-#: Words that are sent to all executors: at most so many, 16 bytes each.
+#: Words that the exchange begins with, classes, sweeps over these words, and sweeps that put in all other words.
+CORE_WORDS, CLASSES, SWEEPS, INSERTIONS = 1024, 48, 8, 2
+#: Occurrences from which a word has a class of its own choice.
+CLASSED_FROM = 2
+#: Words that choose a class, the most frequent first: at most so many, 10 bytes each on all executors.
+CLASSED = 1 << 20
+#: Words whose counts are sent to all executors: at most so many, 16 bytes each.  It has no part in the result.
 FREQUENT = 1 << 20
 #: Words that a task gathers before it hands them on.
 GATHERED = 1 << 20
@@ -75,12 +82,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([END_HASH], pa.int64()), pa.array([N_SHAPES], pa.int8()), pa.array([ends], pa.int64())], names=["h", "shape", "n"])
 
 
-def _symbols(h: np.ndarray, shape: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Number of each word in the exchange vocabulary (sorted hashes, their places), or of its shape after it."""
-    if not len(vocabulary):
-        return shape.astype(np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, place[at], len(vocabulary) + shape)
+class Classes:
+    """Classes of words: those of a sorted list of hashes have their own, all others one by shape, after ``n`` others."""
+
+    def __init__(self, words: np.ndarray, of: np.ndarray, n: int):
+        self.words, self.of, self.n, self.end = words, of, n, n + N_SHAPES
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words are in the list, and whether they are in it."""
+        at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
+        return at, (self.words[at] == h) if len(self.words) else np.zeros(len(h), bool)
+
+    def __call__(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        at, known = self.places(h)
+        return np.where(known, self.of[at], self.n + shape) if len(self.words) else self.n + shape.astype(np.int64)
 
 
 def _pairs(symbol: np.ndarray, row: np.ndarray, n_rows: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,6 +111,10 @@ def _pairs(symbol: np.ndarray, row: np.ndarray, n_rows: int, end: int) -> tuple[
     return before, line, owner
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def exchange(count: np.ndarray, movable: int, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes of symbols by the exchange algorithm.
 
@@ -113,9 +132,7 @@ def exchange(count: np.ndarray, movable: int, classes: int, sweeps: int = SWEEPS
     both = member.T @ count @ member
     into, out_of = count.T @ member, count @ member  # by symbol: what comes before it, and after it, by class
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
+    f = _xlogx
     size_in, size_out = count.sum(0), count.sum(1)
     some = np.arange(classes)
     for _ in range(sweeps):
@@ -152,150 +169,241 @@ def exchange(count: np.ndarray, movable: int, classes: int, sweeps: int = SWEEPS
     return of
 
 
+def inserted(word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarray, both: np.ndarray, classes: int) -> np.ndarray:
+    """The class, of ``classes``, for each word in which the likelihood of the class sequence gains most.
+
+    ``word`` is a number from 0 for each row, in order; ``context`` a class
+    before the word, or ``len(both)`` and a class after it; ``own`` the class of
+    each word now, whose counts in ``both`` (class by class) hold those of the
+    word.  Words are looked at one by one, against the others as they are.
+    """
+    size, some = len(both), np.arange(classes)
+    beside = np.concatenate((both, both.T))[:, :classes]
+    gain = np.zeros((len(own), classes))
+    for i in range(0, len(word), 1 << 15):
+        w, c, k = word[i : i + (1 << 15)], context[i : i + (1 << 15)], n[i : i + (1 << 15), None].astype(float)
+        rest = np.maximum(beside[c] - k * (own[w][:, None] == some), 0)
+        np.add.at(gain, w, _xlogx(rest + k) - _xlogx(rest))
+    before = context < size
+    for mask, totals in ((before, both.sum(0)), (~before, both.sum(1))):
+        k = np.bincount(word[mask], n[mask], len(own))[:, None]
+        rest = np.maximum(totals[:classes] - k * (own[:, None] == some), 0)
+        gain -= _xlogx(rest + k) - _xlogx(rest)
+    return gain.argmax(1)
+
+
+def _contexts(classes: Classes, movable: np.ndarray):  # noqa: ANN202
+    """From texts: how often each class (``context``) is before, or after, each movable word (``place``), and with place -1 how often class follows class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = classes.end + 1
+        pairs, held, gathered = np.zeros(size * size, np.int64), [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            total = np.bincount(inverse.reshape(-1), np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array((key // (2 * size)).astype(np.int32)), pa.array((key % (2 * size)).astype(np.int32)), pa.array(total)], names=["place", "context", "n"])
+
+        for batch in batches:
+            raw, off = text_buffer(batch.column(0))
+            for i, j in pieces(off):
+                h, shape, row = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                before, line, _ = _pairs(classes(h, shape), row, j - i, classes.end)
+                pairs += np.bincount(before * size + line, minlength=len(pairs))
+                place, known = classes.places(h)
+                if not len(movable) or not known.any():
+                    continue
+                known &= movable[place]
+                at = (np.arange(len(h)) + row)[known]  # where the word is in the line
+                key = place[known] * (2 * size)
+                key, n = np.unique(np.concatenate((key + before[at], key + size + line[at + 1])), return_counts=True)
+                held.append((key, n))
+                gathered += len(key)
+                if gathered > GATHERED:
+                    yield flush()
+                    held, gathered = [], 0
+        if gathered:
+            yield flush()
+        have = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(have), -1, np.int32)), pa.array(have.astype(np.int32)), pa.array(pairs[have])], names=["place", "context", "n"])
+
+    return run
+
+
+def _insertion(shared, both: np.ndarray):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes: Classes = shared.value
+        for batch in batches:
+            place, lists = batch.column(0).to_numpy(), batch.column(1)
+            size, told = lists.value_lengths().to_numpy(), lists.flatten()
+            if len(place):
+                new = inserted(np.repeat(np.arange(len(place)), size), told.field(0).to_numpy(), told.field(1).to_numpy(), classes.of[place].astype(np.int64), both, classes.n)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new.astype(np.int32))], names=["place", "class"])
+
+    return run
+
+
+def _matrix(rows: DataFrame, size: int) -> np.ndarray:
+    """Class pairs (at most ``size`` squared) as a matrix."""
+    got, out = rows.filter("place < 0").select("context", "n").toArrow(), np.zeros(size * size)
+    out[got["context"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The least count such that at most ``most`` words have it or more, as far as bins of counts tell."""
+    band = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n").cast("double")) * 64)).cast("long")
+    bins = counts.filter(F.col("h") != END_HASH).groupBy(band.alias("band")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect()  # a bounded number
+    least, total = 1 << 62, 0
+    for b in sorted(bins, key=lambda r: -r.band):
+        total += b.k
+        if total > most:
+            break
+        least = b.least
+    return least
+
+
+def _words_from(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (sorted), counts and shapes of the words with a count of ``least`` or more."""
+    got = counts.filter((F.col("n") >= least) & (F.col("h") != END_HASH)).select("h", "n", "shape").toArrow()
+    h = got["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], got["n"].to_numpy()[order], got["shape"].to_numpy()[order].astype(np.int64)
+
+
 class Model:
     """What scoring needs besides the counts of rare words; all of bounded size."""
 
-    def __init__(self, counts: DataFrame, texts: DataFrame, exchange_words: int, classes: int, frequent: int):
+    def __init__(self, counts: DataFrame, texts: DataFrame, core_words: int, classes: int, frequent: int, classed: int = CLASSED):
+        context = texts.sparkSession.sparkContext
         self.n, self.v = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-        # the least count of frequent words, from a histogram of a bounded number of bins
-        band = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n").cast("double")) * 64)).cast("long")
-        bins = sorted(counts.filter(F.col("h") != END_HASH).groupBy(band.alias("band")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect(), key=lambda r: -r.band)
-        self.least, total = 1 << 62, 0
-        for b in bins:
-            total += b.k
-            if total > frequent:
+        self.least = _least_count(counts, frequent)
+        self.frequent, self.count, _ = _words_from(counts, self.least)
+        words, count, shape = _words_from(counts, max(_least_count(counts, classed), CLASSED_FROM))
+        # the exchange: every core word is a symbol of its own
+        core = np.sort(np.lexsort((words, -count))[:core_words])
+        by_count = core[np.lexsort((words[core], -count[core]))]
+        k = len(core)
+        number = np.empty(k, np.int64)
+        number[np.searchsorted(core, by_count)] = np.arange(k)
+        symbols = Classes(words[core], number, k)
+        bigrams = _matrix(texts.mapInArrow(_contexts(symbols, np.zeros(0, bool)), "place int, context int, n long").groupBy("place", "context").agg(F.sum("n").alias("n")), symbols.end + 1)
+        n_classes = min(classes, max(k, 1))
+        of = exchange(bigrams, k, n_classes)
+        own = n_classes + shape
+        own[by_count] = of[:k]
+        self.classes = Classes(words, own.astype(np.int16), n_classes)
+        size = self.classes.end + 1
+        for step in range(INSERTIONS + 1):
+            last = step == INSERTIONS or not len(words)
+            shared = context.broadcast(self.classes)  # at most CLASSED words
+            moving = np.zeros(0, bool) if last else own >= n_classes if step == 0 else np.ones(len(words), bool)
+            rows = texts.mapInArrow(lambda b, s=shared, m=moving: _contexts(s.value, m)(b), "place int, context int, n long")
+            rows = stored(rows.groupBy("place", "context").agg(F.sum("n").alias("n")))
+            both = _matrix(rows, size)
+            if last:
                 break
-            self.least = b.least
-        often = counts.filter((F.col("n") >= self.least) & (F.col("h") != END_HASH)).select("h", "n", "shape").toArrow()
-        h, n = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
-        order = np.argsort(h)
-        self.hash, self.count = h[order], n[order]
-        top = np.lexsort((h, -n))[:exchange_words]
-        words = np.sort(h[top])
-        self.vocabulary, self.place = words, np.searchsorted(words, words)
-        by_count = np.lexsort((h[top], -n[top]))
-        self.place[np.searchsorted(words, h[top][by_count])] = np.arange(len(top))
-        k = len(top)
-        self.end = k + N_SHAPES
-        size = self.end + 1
-        of, bigrams = np.zeros(size, np.int64), np.zeros((size, size))
-        got = texts.mapInArrow(_bigrams(self.vocabulary, self.place, self.end), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        bigrams.reshape(-1)[got["pair"].to_numpy()] = got["n"].to_numpy()
-        self.n_classes = min(classes, max(k, 1))
-        of = exchange(bigrams, k, self.n_classes)
-        member = np.zeros((size, int(of.max()) + 1))
-        member[np.arange(size), of] = 1
-        both = member.T @ bigrams @ member
-        self.of = of
-        self.step = np.log10((both + ALPHA) / (both.sum(1, keepdims=True) + ALPHA * len(both)))
-        # tokens and words of each class; the words of a shape are those outside the exchange vocabulary
-        tokens, kinds = np.zeros(len(both)), np.zeros(len(both))
-        exact = n[top][by_count]
-        np.add.at(tokens, of[:k], exact)
-        np.add.at(kinds, of[:k], 1)
+            each = rows.filter("place >= 0").groupBy("place").agg(F.collect_list(F.struct("context", "n")).alias("told"))  # at most 2 * size
+            got = each.mapInArrow(_insertion(shared, both), "place int, class int").toArrow()
+            own = own.copy()
+            own[got["place"].to_numpy()] = got["class"].to_numpy()
+            self.classes = Classes(words, own.astype(np.int16), n_classes)
+        self.step = np.log10((both + ALPHA) / (both.sum(1, keepdims=True) + ALPHA * size))
+        # tokens and words of each class; those of a shape are the words without a class of their own
+        tokens, kinds = np.bincount(own, count, size).astype(float), np.bincount(own, minlength=size).astype(float)
         shapes = {r.shape: (r.n, r.v) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-        shape_of = often["shape"].to_numpy()[top][by_count]
         for s in range(N_SHAPES):
             have, distinct = shapes.get(s, (0, 0))
-            mine = shape_of == s
-            tokens[of[k + s]], kinds[of[k + s]] = have - exact[mine].sum(), distinct - mine.sum() + 1  # and one for unknown words
+            mine = (own < n_classes) & (shape == s)
+            tokens[n_classes + s], kinds[n_classes + s] = have - count[mine].sum(), distinct - mine.sum() + 1  # and one for unknown words
         self.emission = np.log10(np.maximum(tokens + DELTA * kinds, 1e-300))  # of each class; what emission is divided by
-        self.emission[of[self.end]] = 0.0
+        self.emission[self.classes.end] = 0.0
         self.base = float(np.log10(self.n + DELTA * (self.v + 1)))
         self.ends = int(shapes.get(N_SHAPES, (0, 0))[0])
 
 
-def _bigrams(vocabulary: np.ndarray, place: np.ndarray, end: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = end + 1
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            raw, off = text_buffer(batch.column(0))
-            for i, j in pieces(off):
-                h, shape, row = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                before, line, _ = _pairs(_symbols(h, shape, vocabulary, place), row, j - i, end)
-                total += np.bincount(before * size + line, minlength=len(total))
-        have = np.flatnonzero(total)
-        if len(have):
-            yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(total[have])], names=["pair", "n"])
-
-    return run
-
-
-_SCORED = [("r", T.LongType()), ("h", T.LongType()), ("tf", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
+_SCORED = [
+    ("w1", T.LongType()), ("w2", T.LongType()), ("h", T.LongType()), ("tf", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())
+]
 
 
 def _scoring(shared):  # noqa: ANN001, ANN202
+    """A row for each text, and one for each rare word of it; both carry the hashes of the text's row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        at = TaskContext.get().partitionId() << 40
         names = ["id", "held_out", *[n for n, _ in _SCORED]]
         value = np.log10(m.count + DELTA)
         end_value = float(np.log10(m.ends + DELTA))
         for batch in batches:
             raw, off = text_buffer(batch.column(2))
+            w1, w2 = (batch.column(k).to_numpy() for k in (3, 4))
             for i, j in pieces(off):
                 n_rows = j - i
                 h, shape, row = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                symbol = _symbols(h, shape, m.vocabulary, m.place)
-                before, line, owner = _pairs(symbol, row, n_rows, m.end)
-                a, b = m.of[before], m.of[line]
-                score = np.bincount(owner, m.step[a, b] - m.emission[b], n_rows)
+                before, line, owner = _pairs(m.classes(h, shape), row, n_rows, m.classes.end)
+                score = np.bincount(owner, m.step[before, line] - m.emission[line], n_rows)
                 u, inverse = np.unique(h, return_inverse=True)
                 inverse = inverse.reshape(-1)
-                place = np.minimum(np.searchsorted(m.hash, u), max(len(m.hash) - 1, 0))
-                often = (m.hash[place] == u) if len(m.hash) else np.zeros(len(u), bool)
-                worth = np.where(often, value[place] if len(m.hash) else 0.0, 0.0)[inverse]
+                place = np.minimum(np.searchsorted(m.frequent, u), max(len(m.frequent) - 1, 0))
+                often = (m.frequent[place] == u) if len(value) else np.zeros(len(u), bool)
+                worth = np.where(often, value[place] if len(value) else 0.0, 0.0)[inverse]
                 words = np.bincount(row, minlength=n_rows)
                 common = np.bincount(row, worth, n_rows)
                 known = np.bincount(row[often[inverse]], minlength=n_rows) + (1 if m.ends else 0)
-                ids = at + np.arange(n_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n_rows), batch.column(1).slice(i, n_rows), pa.array(ids), pa.array(mixed(ids.view(np.uint64)).view(np.int64)),
+                    [batch.column(0).slice(i, n_rows), batch.column(1).slice(i, n_rows), pa.array(w1[i:j]), pa.array(w2[i:j]), pa.array(mixed(w1[i:j].view(np.uint64)).view(np.int64)),
                      pa.array(np.zeros(n_rows, np.int64)), pa.array(words + 1), pa.array(known), pa.array(common + end_value - (words + 1) * m.base), pa.array(score + common)],
                     names=names,
                 )
                 rare = ~often[inverse]
                 pair, tf = np.unique(row[rare] * len(u) + inverse[rare], return_counts=True)
                 k = len(pair)
+                at = i + pair // max(len(u), 1)
                 none = [pa.nulls(k, t) for t in (batch.schema.field(0).type, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(
-                    [*none, pa.array(at + pair // max(len(u), 1)), pa.array(u[pair % max(len(u), 1)].view(np.int64)), pa.array(tf.astype(np.int64)),
+                    [*none, pa.array(w1[at]), pa.array(w2[at]), pa.array(u[pair % max(len(u), 1)].view(np.int64)), pa.array(tf.astype(np.int64)),
                      pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())],
                     names=names,
                 )
-                at += n_rows
 
     return run
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    return stored(texts.mapInArrow(_counts, "h long, shape byte, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")))
+
+
 def scored(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, frequent: int = FREQUENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_words: int = CORE_WORDS, classes: int = CLASSES, frequent: int = FREQUENT
 ) -> DataFrame:
     """Per row: ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10).
 
     Documents whose crc32 of the id as text is a multiple of ten are held out,
     the rest train the model; a null id counts as the empty text (and so is
     held out).  Null text has its end as only token.  Repeated rows are kept and
-    counted as often; an empty table gives an empty table; other columns are
-    not read.
+    counted as often, with equal results; an empty table gives an empty table;
+    other columns are not read.
     """
     spark = docs.sparkSession
     held = (F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % 10) == 0
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), held.alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    # a row is known by 128 bits of its id and text, so that a task that runs again gives the same
+    docs = docs.select("*", F.xxhash64("id", "text").alias("w1"), F.xxhash64(F.lit("row"), "id", "text").alias("w2"))
     texts = docs.filter(~F.col("held_out")).select("text")
-    counts = texts.mapInArrow(_counts, "h long, shape byte, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
-    counts = stored(counts)
-    model = Model(counts, texts, exchange_words, classes, frequent)
-    shared = spark.sparkContext.broadcast(model)  # at most FREQUENT words, EXCHANGE_WORDS and classes squared
+    counts = _counted(texts)
+    model = Model(counts, texts, core_words, classes, frequent)
+    shared = spark.sparkContext.broadcast(model)  # at most FREQUENT and CLASSED words, and classes squared
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(n, t) for n, t in _SCORED]])
     rows = docs.mapInArrow(_scoring(shared), schema)
     rare = counts.filter(F.col("n") < model.least).select("h", F.col("n").alias("have"))
     met = rows.join(rare, "h", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    more = F.sum(F.col("tf") * F.log10(F.col("have") + F.lit(DELTA)))
-    out = met.groupBy("r").agg(
+    times = F.count("n_tokens")  # rows that repeat id and text
+    more = F.sum(F.col("tf") * F.log10(F.col("have") + F.lit(DELTA))) / times
+    out = met.groupBy("w1", "w2").agg(
         F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(F.col("have") > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.max("base") + more).alias("base_score"), (F.max("score") + more).alias("score"),
+        (F.max("n_known") + (F.sum(F.when(F.col("have") > 0, F.col("tf")).otherwise(0)) / times).cast("long")).alias("n_known"),
+        (F.max("base") + more).alias("base_score"), (F.max("score") + more).alias("score"), times.alias("times"),
     )
+    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -384,11 +384,63 @@ def test_language_model_query(spark, tables):
 @pytest.mark.parametrize("frequent", [3, 1000])
 def test_rare_words_score_the_same(spark, frequent):
     rows = corpus(5)
-    one = {r.doc_id: r.score for r in brown_lm.scored(docs(spark, rows), exchange_words=3, frequent=frequent).collect()}
-    two = {r.doc_id: r.score for r in brown_lm.scored(docs(spark, rows), exchange_words=3, frequent=500).collect()}
+    one = {r.doc_id: r.score for r in brown_lm.scored(docs(spark, rows), core_words=3, frequent=frequent).collect()}
+    two = {r.doc_id: r.score for r in brown_lm.scored(docs(spark, rows), core_words=3, frequent=500).collect()}
     assert one == pytest.approx(two, abs=1e-6)
 
 
+def test_class_model_is_a_distribution_and_scores_by_it(spark):
+    rows = corpus(6, 80)
+    text = docs(spark, rows).select("text")
+    counts = brown_lm._counted(text)
+    m = brown_lm.Model(counts, text, 20, 6, 1 << 20)
+    lines = [[int(x) for x in brown_lm.word_hashes(*text_buffer(pa.array([t])))[0]] for _, t in rows]
+    shape = {}
+    for _, t in rows:
+        h, kind, _ = brown_lm.word_hashes(*text_buffer(pa.array([t])))
+        shape |= dict(zip(h.tolist(), kind.tolist(), strict=True))
+    have = collections.Counter(w for x in lines for w in x)
+    of = dict(zip(m.classes.words.tolist(), m.classes.of.tolist(), strict=True))
+    assert set(of) == {w for w, k in have.items() if k >= brown_lm.CLASSED_FROM} and all(c < m.classes.n for c in of.values())
+    of = {w: of.get(w, m.classes.n + shape[w]) for w in have}
+    size = m.classes.end + 1
+    tokens, kinds = collections.Counter(), collections.Counter()
+    for w, k in have.items():
+        tokens[of[w]] += k
+        kinds[of[w]] += 1
+    for s in range(brown_lm.N_SHAPES):
+        kinds[m.classes.n + s] += 1
+    emit = lambda c, k: (k + 0.1) / (tokens[c] + 0.1 * kinds[c])
+    follow = collections.Counter()
+    for x in lines:
+        line = [m.classes.end, *[of[w] for w in x], m.classes.end]
+        follow.update(zip(line, line[1:], strict=False))
+    after = [sum(follow[a, b] for b in range(size)) for a in range(size)]
+    step = lambda a, b: (follow[a, b] + 0.5) / (after[a] + 0.5 * size)
+    for a in range(size):
+        total = sum(step(a, of[w]) * emit(of[w], k) for w, k in have.items()) + step(a, m.classes.end)
+        total += sum(step(a, m.classes.n + s) * emit(m.classes.n + s, 0) for s in range(brown_lm.N_SHAPES))
+        empty = sum(step(a, c) for c in range(m.classes.n) if not kinds[c])
+        assert total + empty == pytest.approx(1)
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    got = {r.doc_id: r.score for r in brown_lm.scored(docs(spark, rows), core_words=20, classes=6).collect()}
+    text = docs(spark, train).select("text")
+    m = brown_lm.Model(brown_lm._counted(text), text, 20, 6, 1 << 20)
+    have = collections.Counter(w for (i, _), x in zip(rows, lines, strict=True) if zlib.crc32(str(i).encode()) % 10 for w in x)
+    of = dict(zip(m.classes.words.tolist(), m.classes.of.tolist(), strict=True))
+    for (i, _), x in zip(rows, lines, strict=True):
+        line = [m.classes.end, *[of.get(w, m.classes.n + shape[w]) for w in x], m.classes.end]
+        want = sum(m.step[a, b] for a, b in zip(line, line[1:], strict=False)) + sum(math.log10(have[w] + 0.1) - m.emission[b] for w, b in zip(x, line[1:], strict=False))
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_words_are_put_where_their_neighbours_say():
+    """Two kinds of words alternate; a word between members of one kind goes to the other."""
+    both = np.array([[0.0, 90, 0], [90, 0, 0], [0, 0, 0]])
+    word, context = np.array([0, 0, 1, 1]), np.array([0, 3, 1, 4])
+    assert brown_lm.inserted(word, context, np.array([5, 5, 4, 4]), np.array([2, 2]), both, 2).tolist() == [1, 0]
+
+
 def test_exchange_finds_planted_classes():
     r = np.random.default_rng(3)
     group = np.arange(30) % 2
