@@ -8,10 +8,10 @@ path is not a sum of scores: the path to each position ends in the one edge
 whose piece follows the last piece of the path to its start without a merge
 across the joint, and that test needs only the two pieces (``follows``).
 
-Words are separated where no piece can cross: before spaces, and around
-characters that no piece of two or more characters holds.  Words that start
-with two spaces (their pieces have equal scores) or are very long are merged
-pair by pair instead (``merged``); the result is the same.
+Words are separated where no piece can cross: before spaces, and between two
+characters that no piece holds side by side.  For words that start with two
+spaces the test fails, as the merges that make their pieces have equal scores:
+they are merged pair by pair instead (``merged``).
 """
 
 from __future__ import annotations
@@ -31,12 +31,10 @@ from .common import pieces as byte_pieces
 from .common import text_buffer
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words longer than this are merged pair by pair.
-LONG_WORD = 256
 #: Characters of distinct words in one suffix array.
 BATCH_CHARS = 1 << 17
-#: Bytes of texts that are encoded together.
-ENCODED_BYTES = 1 << 22
+#: Bytes of texts that are encoded together, and ids that are decoded together.
+ENCODED_BYTES, DECODED_IDS = 1 << 22, 1 << 19
 #: Words that a worker keeps encoded.
 KEPT_WORDS = 1 << 18
 SPACE_MARK = "▁"
@@ -77,6 +75,7 @@ class Vocabulary:
             if len(parts) == 1:
                 self.usable[i], self.left[i], self.right[i] = True, a, b
         self.inner = {c for p in self.id_of if len(p) > 1 for c in p}
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in self.id_of for a, b in zip(p, p[1:], strict=False)}), np.int64)
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.id_of):
             raise ValueError("pieces that run over a space are not supported")
         made = np.flatnonzero(self.usable & (self.left >= 0))
@@ -230,18 +229,23 @@ class Vocabulary:
         return low
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words (which begin with at most one space mark and are not long), one after another, and their numbers."""
-        n, none = len(self.pieces), len(self.pieces)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        off = np.concatenate(([0], np.cumsum(size)))
+        """Ids of words (which begin with at most one space mark), one after another, and their numbers."""
+        none = len(self.pieces)
+        words_off = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        # parts of words: no piece has the characters at a border side by side
+        pair = chars[:-1] << 21 | chars[1:]
+        at = np.minimum(np.searchsorted(self.beside, pair), max(len(self.beside) - 1, 0))
+        apart = np.flatnonzero(self.beside[at] != pair) + 1 if len(self.beside) else np.arange(1, len(chars))
+        off = np.union1d(words_off, apart)
+        size, part_of = np.diff(off), np.searchsorted(words_off, off[:-1], "right") - 1
         start, end, piece = self.edges(chars, off)
         known = np.zeros(len(chars), bool)
         known[start[end - start == 1]] = True
         alone = np.flatnonzero(~known)  # characters without a piece: nothing merges with them
         start, end, piece = (np.concatenate(x) for x in ((start, alone), (end, alone + 1), (piece, np.full(len(alone), none))))
         begin = np.repeat(off[:-1], size)  # of the word that a position is in
-        depth = (end - begin[start]).astype(np.int16)
+        depth = (end - begin[start]).astype(np.int32)
         order = np.argsort(depth, kind="stable")
         start, end, piece, depth = start[order], end[order], piece[order], depth[order]
         opens = start == begin[start]
@@ -254,7 +258,7 @@ class Vocabulary:
             best[e[ok]], came[e[ok]] = p[ok], s[ok]
         # back from the ends, one piece of every word at a time
         ids, owner, place = [], [], []
-        word, at = np.arange(len(words)), off[1:].copy()
+        word, at = np.arange(len(size)), off[1:].copy()
         step = 0
         while len(word):
             more = at > off[word]
@@ -275,7 +279,7 @@ class Vocabulary:
             times[lost] = [len(x) for x in data]
             ids, owner = np.repeat(ids, times), np.repeat(owner, times)
             ids[ids < 0] = [x for d in data for x in d]
-        return ids.astype(np.int32), np.bincount(owner, minlength=len(words))
+        return ids.astype(np.int32), np.bincount(part_of[owner], minlength=len(words))
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -311,7 +315,7 @@ class Encoder:
         self.flat = np.concatenate((self.flat, flat))
 
     def _learn(self, words: list[str]) -> None:
-        apart = [w for w in words if len(w) > LONG_WORD or w[:2] == SPACE_MARK * 2]
+        apart = [w for w in words if w[:2] == SPACE_MARK * 2]
         if apart:
             lists = [self.vocabulary.merged(w) for w in apart]
             self._add(apart, np.fromiter((i for x in lists for i in x), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
@@ -351,14 +355,7 @@ def decoded(vocabulary: Vocabulary, ids: np.ndarray, off: np.ndarray) -> list[st
     return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(at, at[1:], strict=False)]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """``id_col``, ``n_tokens`` and ``ids`` of each row.
-
-    Null and empty texts have no ids.  Repeated rows and null ids are kept; an
-    empty table gives an empty table; other columns are not read.
-    """
-    vocabulary = load(model)
-
+def _encoding(vocabulary: Vocabulary):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
@@ -369,22 +366,41 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), lists], names=["id", "n_tokens", "ids"])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return run
+
+
+def _decoding(vocabulary: Vocabulary, column: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for i, j in byte_pieces(np.concatenate(([0], np.cumsum(size))), DECODED_IDS):
+                part = batch.slice(i, j - i)
+                texts = decoded(vocabulary, part.column(column).flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size[i:j]))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[str(k) for k in range(part.num_columns + 1)])
+
+    return run
+
+
+def _coded_schema(docs: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """``id_col``, ``n_tokens`` and ``ids`` of each row.
+
+    Null and empty texts have no ids.  Repeated rows and null ids are kept; an
+    empty table gives an empty table; other columns are not read.
+    """
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_encoding(load(model)), _coded_schema(docs, id_col))
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", model: str = MODEL, out_col: str = "decoded") -> DataFrame:
     """``coded`` with the column ``out_col``, the texts of ``ids_col`` (null is empty)."""
-    vocabulary = load(model)
-    names = coded.columns
+    return coded.mapInArrow(_decoding(load(model), coded.columns.index(ids_col)), T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                lists = part.column(names.index(ids_col))
-                size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                texts = decoded(vocabulary, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[str(k) for k in range(len(names) + 1)])
-
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())]))
+
+def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, out_col: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode``, in one pass over the rows."""
+    vocabulary, schema = load(model), _coded_schema(docs, id_col)
+    both = lambda batches: _decoding(vocabulary, 2)(_encoding(vocabulary)(batches))
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(both, T.StructType([*schema.fields, T.StructField(out_col, T.StringType())]))

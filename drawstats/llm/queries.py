@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces_codec.decode(pieces_codec.encode(table(spark, sf_dir, "documents")))
+    coded = pieces_codec.encode_and_decode(table(spark, sf_dir, "documents"))
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

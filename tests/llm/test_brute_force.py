@@ -315,6 +315,13 @@ def test_sentencepiece_query(spark, tables, library):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_long_words_equal_the_library(vocabulary, library):
+    r = random.Random(4)
+    texts = ["a" * 900, "".join(r.choice("abeinrst") for _ in range(3000)), "中文字" * 400 + "é" * 300, "x" + "ing" * 500 + "▁" * 30 + "y" * 700]
+    ids, off = pieces_codec.Encoder(vocabulary)(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [library.encode(t) for t in texts]
+
+
 def test_merged_equals_lattice(vocabulary):
     r = random.Random(1)
     words = ["▁" + "".join(r.choice("abcdeinorst") for _ in range(r.randint(1, 30))) for _ in range(300)]
