@@ -61,21 +61,16 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, by: str) -> DataFrame:
-    """``by``, ``shingles`` and ``tally`` (members in each of ``TALLIES`` parts) of each row."""
+    """``by`` and ``shingles`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
             for i, j in pieces(off):
                 row, h = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                tally = np.bincount(row * TALLIES + (h % np.uint64(TALLIES)).astype(np.int64), minlength=(j - i) * TALLIES)
-                cut = np.arange(j - i + 1, dtype=np.int32) * TALLIES
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i)), pa.ListArray.from_arrays(pa.array(cut), pa.array(tally.astype(np.int32)))],
-                    names=[by, "shingles", "tally"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i))], names=[by, "shingles"])
 
-    return docs.select(by, "text").mapInArrow(run, f"{by} long, shingles array<long>, tally array<int>")
+    return docs.select(by, "text").mapInArrow(run, f"{by} long, shingles array<long>")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +86,8 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixed(docs: DataFrame) -> DataFrame:
-    """``h1``, ``h2``, ``node`` (the set's hash), ``n`` (its size), ``fp`` (its fingerprint) and ``prefix`` of each row of ``docs`` (``h1``, ``h2``, ``text``)."""
+    """``h1``, ``h2``, ``node`` (the set's hash), ``n`` (its size), ``fp`` (its fingerprint), ``tally`` (members in each of
+    ``TALLIES`` parts) and ``prefix`` of each row of ``docs`` (``h1``, ``h2``, ``text``)."""
     often, times = _frequent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +100,8 @@ def prefixed(docs: DataFrame) -> DataFrame:
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h ^ _SALT))))
                 node = mixed(total[first + n] - total[first] + n.astype(np.uint64))
                 fp = majority(h, n)
+                tally = np.bincount(row * TALLIES + (h % np.uint64(TALLIES)).astype(np.int64), minlength=(j - i) * TALLIES)
+                tally = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * TALLIES), pa.array(tally.astype(np.int32)))
                 weight = np.zeros(len(h), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
@@ -112,11 +110,11 @@ def prefixed(docs: DataFrame) -> DataFrame:
                 head = np.where(n > 0, n - -(-NUMERATOR * n // DENOMINATOR) + 1, 0)
                 chosen = h[np.repeat(first, head) + _within(head)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), _lists(chosen, head)],
-                    names=["h1", "h2", "node", "n", "fp", "prefix"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), tally, _lists(chosen, head)],
+                    names=["h1", "h2", "node", "n", "fp", "tally", "prefix"],
                 )
 
-    return docs.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, node long, n int, fp long, prefix array<long>")
+    return docs.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, node long, n int, fp long, tally array<int>, prefix array<long>")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -170,17 +168,17 @@ def _enough(common: F.Column, both: F.Column) -> F.Column:
     return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * both
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets (``node``, ``shingles``) have the similarity."""
-    x, y = F.col("x"), F.col("y")
-    return _joined(pairs, sets, "shingles").filter(_enough(F.size(F.array_intersect(x, y)), F.size(x) + F.size(y))).select("a", "b")
-
-
-def _could_be_similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that the tallies of their sets do not rule out."""
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` of ``nodes`` whose sets have the similarity: first those are ruled out whose tallies differ
+    too much, then the sets of the others are made and compared."""
     total = lambda c: F.aggregate(c, F.lit(0), lambda t, u: t + u)
+    x, y = F.col("x"), F.col("y")
     least = total(F.zip_with("x", "y", lambda u, v: F.least(u, v)))
-    return _joined(pairs, sets, "tally").filter(_enough(least, total(F.col("x")) + total(F.col("y")))).select("a", "b")
+    left = stored(_joined(pairs, nodes, "tally").filter(_enough(least, total(x) + total(y))).select("a", "b"))
+    ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.join(nodes.join(ends, "node", "left_semi").select("node", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    sets = stored(_sets(texts, "node"))
+    return _joined(left, sets, "shingles").filter(_enough(F.size(F.array_intersect(x, y)), F.size(x) + F.size(y))).select("a", "b")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -193,13 +191,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     different components that share a key are.
     """
     rows = stored(prefixed(docs))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h"), F.first("fp").alias("fp")).select("node", "fp", "h.h1", "h.h2"))
+    one = F.min(F.struct("h1", "h2", "fp", "tally")).alias("x")
+    nodes = stored(rows.groupBy("node").agg(one).select("node", "x.*"))
     each = stored(shared_keys(rows.select("node", "n", "prefix")))
-    first = stored(fingerprint_pairs(nodes.select("node", "fp")).union(hub_pairs(each)).distinct())
-    ends = each.select("node").union(first.select(F.explode(F.array("a", "b")))).distinct()
-    texts = docs.join(nodes.join(ends, "node", "left_semi").select("node", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-    sets = stored(_sets(texts, "node"))
-    edges = stored(similar(first, sets))
-    pairs = stored(_could_be_similar(candidates(each, components(edges)), sets))
-    roots = components(edges.union(similar(pairs, sets)))
+    first = fingerprint_pairs(nodes.select("node", "fp")).union(hub_pairs(each)).distinct()
+    edges = stored(similar(first, nodes, docs))
+    more = similar(candidates(each, components(edges)), nodes, docs)
+    roots = components(edges.union(more))
     return rows.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
