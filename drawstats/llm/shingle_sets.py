@@ -118,11 +118,18 @@ def prefixed(docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``n``, ``at`` (its place in the prefix) of the prefix members that more than one node has; each once."""
+    """``key``, ``node``, ``n``, ``at`` and ``weight`` of the prefix members that more than one node has.
+
+    Members that the same nodes have, as those of a passage do, are one key;
+    ``weight`` is their number and ``at`` the first place of one in the node's
+    prefix.
+    """
     flat = rows.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     # stored, so that the join can split a frequent key over tasks
     met = stored(flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"))
-    return flat.join(met, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    each = stored(flat.join(met, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")))
+    who = each.groupBy("key").agg(F.xxhash64(F.bit_xor("node"), F.bit_xor(F.xxhash64("node")), F.count("*")).alias("who"))
+    return each.join(stored(who), "key").groupBy(F.col("who").alias("key"), "node").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.count("*").alias("weight"))
 
 
 def fingerprint_pairs(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
@@ -137,9 +144,9 @@ def fingerprint_pairs(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
 
 def hub_pairs(each: DataFrame) -> DataFrame:
     """A pair ``a``, ``b`` for each node ``b``: ``a`` is the hub that it shares most keys with.  The hub of a key is its node with most shared keys."""
-    degree = stored(each.groupBy("node").agg(F.count("*").alias("degree")))
+    degree = stored(each.groupBy("node").agg(F.sum("weight").alias("degree")))
     hubs = stored(each.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("a")))
-    met = each.join(hubs, "key").filter("node <> a").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("k"))
+    met = each.join(hubs, "key").filter("node <> a").groupBy(F.col("node").alias("b"), "a").agg(F.sum("weight").alias("k"))
     return met.groupBy("b").agg(F.max(F.struct("k", "a")).alias("x")).select("x.a", "b")
 
 
