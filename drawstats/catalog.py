@@ -119,7 +119,7 @@ def _r(c: str, digits: int = 9) -> F.Column:
 
 
 def _next_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = scores.next_round(scores.statistics(draws_of(spark, sf_dir))).withColumn("score", scores.score())
+    table = scores.latest(draws_of(spark, sf_dir)).withColumn("score", scores.score())
     return scores.probabilities(table.select("number", "score"), 0.5, 0.005, [])
 
 
@@ -138,11 +138,19 @@ def recent_rounds(spark, sf_dir):
     return source.recent(rows, 50).select("pos", "round", combos.key(F.col("c")).alias("combo"))
 
 
-@query("""SELECT user_id AS round, max(CAST(event_id AS BIGINT)) FILTER (rn = 1) AS event_id, max(event_type) FILTER (rn = 1) AS event_type FROM
-  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY 1""")
+@query("""SELECT round, event_id, event_type FROM (SELECT user_id AS round, CAST(event_id AS BIGINT) AS event_id, event_type,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 = 0 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def upsert_keep_last(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("round"), "ts", F.col("event_id").cast("long").alias("event_id"), "event_type")
-    return source.latest_rows(e, "round", "ts", "event_id").select("round", "event_id", "event_type")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("round"), F.col("event_id").cast("long").alias("event_id"), "event_type")
+    return source.upserted(e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0"), "event_id")
+
+
+@query(f"WITH {DRAWS} SELECT CAST(round AS INT) AS round, c[1] AS n1, c[2] AS n2, c[3] AS n3, c[4] AS n4, c[5] AS n5, c[6] AS n6, bonus, 'd' || round AS draw_date FROM drw WHERE round % 7 <> 0")
+def parsed_payloads(spark, sf_dir):
+    fields = [F.col("round").cast("int").alias("ltEpsd"), *[F.get("c", F.lit(i)).alias(f"tm{i + 1}WnNo") for i in range(6)], F.col("bonus").alias("bnsWnNo"), F.concat(F.lit("d"), "round").alias("ltRflYmd")]
+    payload = F.to_json(F.struct(F.struct(F.array(F.struct(*fields)).alias("list")).alias("data"), F.lit(None).cast("string").alias("resultCode")))
+    asked = F.col("round") + (F.col("round") % 7 == 0).cast("int")  # every seventh payload is of another round than asked for
+    return source.parsed_payload(draws_of(spark, sf_dir).select(asked.alias("asked"), payload.alias("payload")))
 
 
 @query(f"WITH {DRAWS} SELECT number, count(*) AS n, (1 + count(*)) / (2.0 + (SELECT count(*) FROM drw)) AS posterior FROM ap GROUP BY 1")
@@ -158,7 +166,7 @@ def grid_flags(spark, sf_dir):
     return scores.flags(scores.grid(draws_of(spark, sf_dir))).select("pos", "round", "number", "a", _r("base"), "hot", "cold", "carryover", "carryover2", "neighbor", "reverse", _r("excess"))
 
 
-@query(f"WITH {DRAWS}, t AS (SELECT x.number AS prev, y.number AS curr, count(*) AS n FROM ap x JOIN ap y ON y.pos = x.pos + 1 GROUP BY 1, 2) SELECT prev, curr, n, round(n / CAST(sum(n) OVER (PARTITION BY prev) AS DOUBLE), 9) AS p FROM t")
+@query(f"WITH {DRAWS}, t AS (SELECT x.number AS prev, y.number AS curr, count(*) AS n FROM ap x JOIN ap y ON y.pos = x.pos + 1 GROUP BY 1, 2), f AS (SELECT a.number AS prev, b.number AS curr, coalesce(n, 0) AS n FROM num a CROSS JOIN num b LEFT JOIN t ON t.prev = a.number AND t.curr = b.number) SELECT prev, curr, n, round(coalesce(n / CAST(nullif(sum(n) OVER (PARTITION BY prev), 0) AS DOUBLE), 0), 9) AS p FROM f")
 def transition_matrix(spark, sf_dir):
     return scores.transitions(draws_of(spark, sf_dir)).select("prev", "curr", "n", _r("p"))
 
@@ -175,7 +183,7 @@ def ensemble_scores(spark, sf_dir):
 
 @query(f"WITH {STATS}{MARKOV}{NEXT} SELECT number, round(score, 9) AS score FROM nx ORDER BY nx.score DESC, number LIMIT 15")
 def score_top15(spark, sf_dir):
-    table = scores.next_round(scores.statistics(draws_of(spark, sf_dir))).withColumn("score", scores.score()).select("number", "score")
+    table = scores.latest(draws_of(spark, sf_dir)).withColumn("score", scores.score()).select("number", "score")
     return ranking.top_numbers(table, 15).select("number", _r("score"))
 
 
@@ -184,11 +192,11 @@ def sampling_probabilities(spark, sf_dir):
     return _next_probabilities(spark, sf_dir).select("number", _r("p"))
 
 
-@query(f"""WITH {STATS}{MARKOV} SELECT number, array_to_string(list_filter([CASE WHEN hot = 1 THEN 'hot' END, CASE WHEN carryover = 1 THEN 'carryover' END, CASE WHEN carryover2 = 1 THEN 'carryover2' END,
+@query(f"""WITH {STATS} SELECT number, array_to_string(list_filter([CASE WHEN hot = 1 THEN 'hot' END, CASE WHEN carryover = 1 THEN 'carryover' END, CASE WHEN carryover2 = 1 THEN 'carryover2' END,
   CASE WHEN neighbor = 1 THEN 'neighbor' END, CASE WHEN reverse = 1 THEN 'reverse' END, CASE WHEN cold = 1 THEN 'cold' END], lambda x: x IS NOT NULL)[1:3], ',') AS tags
-  FROM st WHERE pos = (SELECT max(pos) FROM rnd)""")
+  FROM stt WHERE pos = (SELECT max(pos) FROM rnd)""")
 def number_tags(spark, sf_dir):
-    t = scores.next_round(scores.flags(scores.grid(draws_of(spark, sf_dir))))
+    t = scores.latest(draws_of(spark, sf_dir))
     return t.select("number", F.array_join(combos.preferred_tags(scores.tags()), ",").alias("tags"))
 
 
@@ -284,12 +292,78 @@ def ranked_combinations(spark, sf_dir):
 @query(f"""{_RANKED_SQL.replace("WITH", "WITH RECURSIVE", 1)}, pick AS (
   SELECT 1::BIGINT AS rank, [c] AS chosen FROM rk WHERE rank = 1
   UNION ALL SELECT r.rank, CASE WHEN len(p.chosen) < 10 AND len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > 3)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END
-  FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE r.rank <= 220)
+  FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE len(p.chosen) < 10)
   SELECT array_to_string(y.v, '-') AS combo FROM (SELECT chosen FROM pick ORDER BY rank DESC LIMIT 1) q, unnest(q.chosen) AS y(v)""")
 def diverse_choice(spark, sf_dir):
     return ranking.diverse(_ranked(spark, sf_dir), 10, 3).select(F.explode("chosen").alias("c")).select(combos.key(F.col("c")).alias("combo"))
 
 
+def _pick_sql(count: int, overlap: int) -> str:
+    return f"""{_RANKED_SQL.replace("WITH", "WITH RECURSIVE", 1)}, pick AS (SELECT 1::BIGINT AS rank, [c] AS chosen FROM rk WHERE rank = 1
+  UNION ALL SELECT r.rank, CASE WHEN len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > {overlap})) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END
+  FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE len(p.chosen) < {count}), got AS (SELECT chosen FROM pick ORDER BY rank DESC LIMIT 1),
+  fst AS (SELECT y.v AS c, y.i AS o FROM got q, unnest(q.chosen) WITH ORDINALITY AS y(v, i)),
+  fil AS (SELECT c, 0 AS part, o FROM fst UNION ALL SELECT c, 1, rank FROM rk WHERE c NOT IN (SELECT c FROM fst))"""
+
+
+@query(f"{_pick_sql(10, 1)} SELECT array_to_string(c, '-') AS combo, row_number() OVER (ORDER BY part, o) AS place FROM fil ORDER BY part, o LIMIT 10")
+def filled_choice(spark, sf_dir):
+    ranks = _ranked(spark, sf_dir)
+    out = ranking.filled(ranking.diverse(ranks, 10, 1), ranks, 10)
+    return out.select(combos.key(F.col("c")).alias("combo"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""{_pick_sql(10, 3)}, x AS (SELECT greatest(1, least(100, round_even(100.0 * k.rank / (SELECT count(*) FROM rk), 0))) AS x FROM fst JOIN rk k ON k.c = fst.c)
+  SELECT CAST(greatest(1, least(100, round_even(avg(x), 0) - 5)) AS INT) AS percentile FROM x""")
+def selection_percentile(spark, sf_dir):
+    ranks = _ranked(spark, sf_dir)
+    return ranking.percentile(ranking.diverse(ranks, 10, 3).select(F.explode("chosen").alias("c")), ranks, -5)
+
+
+_RELAXED = 40
+
+
+@query("WITH RECURSIVE " + _RANKED_SQL.removeprefix("WITH ") + f""", lvl AS (SELECT CAST(range AS INT) AS k FROM range(1, 7)), pick AS (SELECT k, 1::BIGINT AS rank, [c] AS chosen FROM rk, lvl WHERE rank = 1
+  UNION ALL SELECT p.k, r.rank, CASE WHEN len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > p.k)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END
+  FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE len(p.chosen) < {_RELAXED}), got AS (SELECT k, arg_max(chosen, rank) AS chosen FROM pick GROUP BY 1),
+  lev AS (SELECT k, chosen FROM got WHERE len(chosen) >= {_RELAXED} OR k = 6 ORDER BY k LIMIT 1)
+  SELECT k AS max_overlap, array_to_string(y.v, '-') AS combo FROM lev, unnest(lev.chosen) AS y(v)""")
+def relaxed_choice(spark, sf_dir):
+    out = ranking.relaxed_diverse(_ranked(spark, sf_dir), _RELAXED, 1)
+    return out.select("max_overlap", F.explode("chosen").alias("c")).select("max_overlap", combos.key(F.col("c")).alias("combo"))
+
+
+@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, "pr", "smp")}, old AS (SELECT c FROM smp WHERE sample_id < 500) SELECT sample_id, {KEY} AS combo FROM smp WHERE sample_id >= 500 AND c NOT IN (SELECT c FROM old)""")
+def recent_results_left_out(spark, sf_dir):
+    rows = sampling.samples(_next_probabilities(spark, sf_dir), N_SAMPLES)
+    shown = rows.filter("sample_id < 500").select(combos.key(F.col("c")).alias("k"))
+    return sampling.without(rows.filter("sample_id >= 500"), shown).select("sample_id", combos.key(F.col("c")).alias("combo"))
+
+
+@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(200, "pr", "smp")}, tg AS (SELECT number, unnest(list_filter([CASE WHEN hot = 1 THEN 'hot' END, CASE WHEN cold = 1 THEN 'cold' END, CASE WHEN carryover = 1 THEN 'carryover' END,
+  CASE WHEN carryover2 = 1 THEN 'carryover2' END, CASE WHEN neighbor = 1 THEN 'neighbor' END, CASE WHEN reverse = 1 THEN 'reverse' END], lambda x: x IS NOT NULL)) AS tag FROM stt WHERE pos = (SELECT max(pos) FROM rnd)),
+  e AS (SELECT sample_id, unnest(c) AS number FROM smp), n AS (SELECT sample_id, tag, count(*) AS k FROM e JOIN tg USING (number) GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY k DESC, tag) AS rn FROM n), t AS (SELECT sample_id, string_agg(tag, ',' ORDER BY rn) AS tags FROM r WHERE rn <= 3 GROUP BY 1)
+  SELECT sample_id, coalesce(tags, 'pattern') AS tags FROM smp LEFT JOIN t USING (sample_id)""")
+def worker_tags(spark, sf_dir):
+    d = scores.latest(draws_of(spark, sf_dir)).withColumn("score", scores.score()).select("number", "score", scores.tags().alias("t")).cache()
+    rows = sampling.samples(scores.probabilities(d.select("number", "score"), 0.5, 0.005, []), 200)
+    tagged = rows.select("sample_id", F.explode("c").alias("number")).join(F.broadcast(d.select("number", "t")), "number").groupBy("sample_id").agg(F.flatten(F.collect_list("t")).alias("tags"))
+    return ranking.worker_tags(tagged).select("sample_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""WITH {STATS}{MARKOV}{NEXT} SELECT s.number, round(base, 9) AS base, hot * 0.4 AS hot, cold * 0.15 AS cold, neighbor * 0.3 AS neighbor, carryover * 0.4 AS carryover, reverse * 0.1 AS reverse,
+  round(excess * 0.5, 9) AS poisson, round(markov * 0.3, 9) AS markov, round(pr.score, 9) AS score, round(pr.p, 9) AS p FROM st s JOIN pr ON pr.number = s.number WHERE s.pos = (SELECT max(pos) FROM rnd)""")
+def number_report(spark, sf_dir):
+    out = scores.number_report(scores.latest(draws_of(spark, sf_dir)), scores.WEIGHTS, 0.5, 0.005)
+    return out.select("number", *[_r(c) for c in out.columns if c != "number"])
+
+
+@query("SELECT round(0.05 * range, 6)::DOUBLE AS value FROM range(0, 11)")
+def penalty_values(spark, sf_dir):
+    return spark.createDataFrame([(v,) for v in backtest.penalty_grid(0.0, 0.5, 0.05)], "value double")
+
+
 @query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, "pr", "smp")}, n AS (SELECT y.v AS number, count(*) AS k FROM smp, unnest(c) AS y(v) GROUP BY 1),
   q AS (SELECT u.number, coalesce(n.k, 0) AS k FROM num u LEFT JOIN n USING (number)), f AS (SELECT number, k / CAST(sum(k) OVER () AS DOUBLE) AS p FROM q),
   b AS (SELECT number, greatest(0, 0.65 * pr.p + 0.35 * f.p) AS b FROM pr JOIN f USING (number)) SELECT number, round(b / sum(b) OVER (), 9) AS p FROM b""")
@@ -357,19 +431,56 @@ def weight_fitness(spark, sf_dir):
     return out.select("individual", *[_r(c, 8) for c in ("train_hit_15", "hit_15", "hit_20", "mean_rank", "combined")])
 
 
+_U = "(CAST('0x' || substr(md5((42 + t.pos) || '|' || s.range || '|' || n.number), 1, 8) AS BIGINT) + 0.5) / 4294967296"
+_TAIL = """,
+lp AS (SELECT t.pos, l.number AS prev FROM tg t JOIN ap l ON l.pos = t.pos - 1),
+fo AS (SELECT lp.pos, lp.prev, y.number, count(*) AS n FROM lp JOIN ap x ON x.number = lp.prev AND x.pos BETWEEN lp.pos - 50 AND lp.pos - 2 JOIN ap y ON y.pos = x.pos + 1 GROUP BY 1, 2, 3),
+mk AS (SELECT pos, number, sum(n / CAST(total AS DOUBLE)) / 6 AS markov FROM (SELECT *, sum(n) OVER (PARTITION BY pos, prev) AS total FROM fo) GROUP BY 1, 2),
+st AS (SELECT s.*, coalesce(m.markov, 0) AS markov FROM stt s LEFT JOIN mk m USING (pos, number))"""
+
+
+def _walk_sql(last: int, weights: list[dict[str, float]], tail: bool, games: int = 5) -> str:
+    """Choices for the last rounds, as ``hw`` (individual, hits)."""
+    vectors = ", ".join(f"({i}, {w['carryover']}, {w['poisson']}, {w['markov']})" for i, w in enumerate(weights))
+    target = "tg AS (SELECT DISTINCT pos, round FROM ap WHERE pos > 1 AND round > (SELECT max(round) FROM cand) - {})".format(last)
+    return f"""WITH RECURSIVE {STATS}, {target}{_TAIL if tail else MARKOV}, wt(individual, wc, wp, wm) AS (VALUES {vectors}),
+  sw AS (SELECT individual, pos, number, greatest(0.0, base + hot * 0.4 + cold * 0.15 + (carryover + carryover2) * wc + neighbor * 0.3 + reverse * 0.1 - excess * wp - markov * wm) AS score FROM st JOIN tg USING (pos) CROSS JOIN wt),
+  ew AS (SELECT *, exp(score - max(score) OVER (PARTITION BY individual, pos)) AS e FROM sw), pw AS (SELECT individual, pos, number, score, 0.001 + (1 - 0.001 * 45) * e / sum(e) OVER (PARTITION BY individual, pos) AS p FROM ew),
+  uw AS MATERIALIZED (SELECT t.pos, s.range AS sample_id, n.number, -ln(-ln({_U})) AS g FROM tg t CROSS JOIN range(0, {backtest.TUNER_SAMPLES}) s CROSS JOIN num n),
+  kw AS (SELECT individual, pos, sample_id, number, score, row_number() OVER (PARTITION BY individual, pos, sample_id ORDER BY ln(p) + g DESC, number) AS rn FROM pw JOIN uw USING (pos, number)),
+  cw AS (SELECT individual, pos, sample_id, list_sort(list(number)) AS c, round(sum(score), 9) AS combo_score FROM kw WHERE rn <= 6 GROUP BY 1, 2, 3),
+  fw AS MATERIALIZED (SELECT individual, pos, sample_id, c, combo_score, {FAILED} IS NULL AS fine FROM (SELECT *, {FACTS} FROM cw)),
+  hs AS (SELECT u, min(pos) AS first FROM (SELECT pos, array_to_string(list_filter(c, lambda x: x <> y.v), '-') AS u FROM drw, unnest(c) AS y(v)) GROUP BY 1),
+  sn AS (SELECT DISTINCT o.individual, o.pos, o.sample_id FROM (SELECT individual, pos, sample_id, array_to_string(list_filter(c, lambda x: x <> y.v), '-') AS u FROM fw, unnest(c) AS y(v) WHERE fine) o JOIN hs ON hs.u = o.u AND hs.first < o.pos),
+  ow AS (SELECT fw.*, fine AND sn.pos IS NULL AS ok FROM fw LEFT JOIN sn USING (individual, pos, sample_id)), aw AS (SELECT *, bool_or(ok) OVER (PARTITION BY individual, pos) AS anyok FROM ow),
+  rw AS MATERIALIZED (SELECT * FROM (SELECT individual, pos, c, row_number() OVER (PARTITION BY individual, pos ORDER BY combo_score DESC, sample_id) AS rank FROM aw WHERE ok OR NOT anyok) WHERE rank <= {backtest.TUNER_TOP}),
+  pick AS (SELECT individual, pos, 1::BIGINT AS rank, [c] AS chosen FROM rw WHERE rank = 1
+    UNION ALL SELECT p.individual, p.pos, r.rank, CASE WHEN len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > 3)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END
+    FROM pick p JOIN rw r ON r.individual = p.individual AND r.pos = p.pos AND r.rank = p.rank + 1 WHERE len(p.chosen) < {games}),
+  lastp AS (SELECT individual, pos, arg_max(chosen, rank) AS chosen FROM pick GROUP BY 1, 2),
+  hw AS (SELECT l.individual, len(list_intersect(y.v, d.c)) AS hits FROM lastp l JOIN drw d ON d.pos = l.pos, unnest(l.chosen) AS y(v))"""
+
+
+_SUMMARY = """round(avg(CASE WHEN hits >= 3 THEN 1.0 ELSE 0 END), 9) AS p3, round(avg(CASE WHEN hits >= 4 THEN 1.0 ELSE 0 END), 9) AS p4, round(avg(hits), 9) AS mean_hits, round(stddev_pop(hits), 9) AS std_hits, count(*) AS n"""
+#: Rounds, the last ones, that the registered walk-forward queries play (their ``start_round``).
+GRID_ROUNDS, WALK_ROUNDS = 8, 40
 _LAMBDAS = [0.0, 0.1, 0.2, 0.3]
+_PAIRS = [backtest.TUNER | {"poisson": a, "markov": b} for a in _LAMBDAS for b in _LAMBDAS]
+_PAIR_SQL = ", ".join(f"({i}, {w['poisson']}, {w['markov']})" for i, w in enumerate(_PAIRS))
 
 
-@query(f"""WITH {STATS}{MARKOV}, l AS (SELECT x.v AS lambda_poisson, y.v AS lambda_markov FROM unnest({_LAMBDAS}) AS x(v), unnest({_LAMBDAS}) AS y(v)),
-  s AS (SELECT lambda_poisson, lambda_markov, pos, number, a, round(greatest(0.0, base + hot * 0.4 + cold * 0.15 + (carryover + carryover2) * 0.4 + neighbor * 0.3 + reverse * 0.1 - excess * lambda_poisson - markov * lambda_markov), 12) AS score
-    FROM st CROSS JOIN l WHERE pos > 1 AND pos < (SELECT max(pos) FROM rnd)),
-  k AS (SELECT *, row_number() OVER (PARTITION BY lambda_poisson, lambda_markov, pos ORDER BY score DESC, number) AS rn FROM s),
-  h AS (SELECT lambda_poisson, lambda_markov, pos, sum(a) AS hits FROM k WHERE rn <= 6 GROUP BY 1, 2, 3)
-  SELECT CAST(lambda_poisson AS DOUBLE) AS lambda_poisson, CAST(lambda_markov AS DOUBLE) AS lambda_markov, round(avg(CASE WHEN hits >= 3 THEN 1.0 ELSE 0 END), 9) AS p3, round(avg(CASE WHEN hits >= 4 THEN 1.0 ELSE 0 END), 9) AS p4,
-  round(avg(hits), 9) AS mean_hits, round(stddev_pop(hits), 9) AS std_hits FROM h GROUP BY 1, 2""")
+@query(f"{_walk_sql(GRID_ROUNDS, _PAIRS, True)}, names(individual, lambda_poisson, lambda_markov) AS (VALUES {_PAIR_SQL}) SELECT lambda_poisson::DOUBLE AS lambda_poisson, lambda_markov::DOUBLE AS lambda_markov, {_SUMMARY} FROM hw JOIN names USING (individual) GROUP BY 1, 2")
 def penalty_grid_search(spark, sf_dir):
-    out = backtest.grid_search(backtest.labelled(draws_of(spark, sf_dir)), _LAMBDAS, _LAMBDAS, scores.WEIGHTS)
-    return out.select("lambda_poisson", "lambda_markov", *[_r(c) for c in ("p3", "p4", "mean_hits", "std_hits")])
+    d = draws_of(spark, sf_dir)
+    out = backtest.grid_search(d, _LAMBDAS, _LAMBDAS, start_round=source.max_round(d) - GRID_ROUNDS + 1)
+    return out.select("lambda_poisson", "lambda_markov", *[_r(c) for c in ("p3", "p4", "mean_hits", "std_hits")], "n")
+
+
+@query(f"{_walk_sql(WALK_ROUNDS, [scores.WEIGHTS], False)} SELECT {_SUMMARY} FROM hw")
+def walk_forward_summary(spark, sf_dir):
+    d = draws_of(spark, sf_dir)
+    played = backtest.walk_forward(d, start_round=source.max_round(d) - WALK_ROUNDS + 1)
+    return backtest.summary(played).select(*[_r(c) for c in ("p3", "p4", "mean_hits", "std_hits")], "n")
 
 
 _FEATURE_SQL = f"""WITH {STATS}{MARKOV},
@@ -407,27 +518,6 @@ def scale_pos_weight(spark, sf_dir):
     return g.agg((F.sum(1 - F.col("label")) / F.sum("label")).alias("scale_pos_weight"))
 
 
-_WF_SAMPLES, _WF_GAMES = 40, 5
-_WF_U = "(CAST('0x' || substr(md5((42 + w.pos) || '|' || s.range || '|' || w.number), 1, 8) AS BIGINT) + 0.5) / 4294967296"
-_WF_SQL = f"""WITH RECURSIVE {STATS}{MARKOV}, sw AS (SELECT pos, number, {SCORE} AS score FROM st WHERE pos > 1 AND pos < (SELECT max(pos) FROM rnd)),
-  ew AS (SELECT *, exp(score - max(score) OVER (PARTITION BY pos)) AS e FROM sw), pw AS (SELECT pos, number, score, 0.001 + (1 - 0.001 * 45) * e / sum(e) OVER (PARTITION BY pos) AS p FROM ew),
-  kw AS (SELECT w.pos, s.range AS sample_id, w.number, w.score, row_number() OVER (PARTITION BY w.pos, s.range ORDER BY ln(w.p) - ln(-ln({_WF_U})) DESC, w.number) AS rn FROM pw w CROSS JOIN range(0, {_WF_SAMPLES}) s),
-  cw AS (SELECT pos, sample_id, list_sort(list(number)) AS c, sum(score) AS combo_score FROM kw WHERE rn <= 6 GROUP BY 1, 2),
-  fw AS (SELECT pos, sample_id, c, combo_score, {FACTS} FROM cw), ow AS (SELECT pos, sample_id, c, combo_score, {FAILED} IS NULL AS ok FROM fw),
-  aw AS (SELECT *, bool_or(ok) OVER (PARTITION BY pos) AS anyok FROM ow),
-  rw AS (SELECT pos, c, row_number() OVER (PARTITION BY pos ORDER BY round(combo_score, 9) DESC, sample_id) AS rank FROM aw WHERE ok OR NOT anyok),
-  pick AS (SELECT pos, 1::BIGINT AS rank, [c] AS chosen FROM rw WHERE rank = 1
-    UNION ALL SELECT p.pos, r.rank, CASE WHEN len(p.chosen) < {_WF_GAMES} AND len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > 3)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END FROM pick p JOIN rw r ON r.pos = p.pos AND r.rank = p.rank + 1),
-  lastp AS (SELECT pos, arg_max(chosen, rank) AS chosen FROM pick GROUP BY 1),
-  hw AS (SELECT l.pos, len(list_intersect(y.v, d.c)) AS hits FROM lastp l JOIN drw d ON d.pos = l.pos, unnest(l.chosen) AS y(v))"""
-
-
-@query(f"{_WF_SQL} SELECT round(avg(CASE WHEN hits >= 3 THEN 1.0 ELSE 0 END), 9) AS p3, round(avg(CASE WHEN hits >= 4 THEN 1.0 ELSE 0 END), 9) AS p4, round(avg(hits), 9) AS mean_hits, round(stddev_pop(hits), 9) AS std_hits, count(*) AS n FROM hw")
-def walk_forward_summary(spark, sf_dir):
-    played = backtest.walk_forward(draws_of(spark, sf_dir), _WF_GAMES, _WF_SAMPLES, 42)
-    return backtest.summary(played).select(*[_r(c) for c in ("p3", "p4", "mean_hits", "std_hits")], "n")
-
-
 @query()
 def hidden_states(spark, sf_dir):
     g = scores.grid(draws_of(spark, sf_dir))
@@ -444,12 +534,40 @@ def tree_ranker(spark, sf_dir):
     return ml.evaluated(ml.predicted(model, m.filter((F.col("pos") > cut) & (F.col("pos") < end))))
 
 
+@query()
+def hidden_state_summary(spark, sf_dir):
+    return hmm.summary(hmm.states_of(scores.latest(draws_of(spark, sf_dir)))).select("state", F.array_join("numbers", ",").alias("numbers"))
+
+
 @query()
 def recommendations(spark, sf_dir):
-    d = draws_of(spark, sf_dir).cache()
-    return serve.recommend(d, "A", 5, n_samples=4000).select("place", combos.key(F.col("c")).alias("combo"), "combo_score", "percentile", F.array_join("tags", ",").alias("tags"))
+    out = serve.recommend(draws_of(spark, sf_dir), "A", 5)
+    return out.select("place", combos.key(F.col("c")).alias("combo"), "combo_score", "percentile", F.array_join("tags", ",").alias("tags"), F.array_join("reasons", ", ").alias("reasons"))
+
+
+_A = serve.PRESETS["A"]
+_PLAIN = f"""WITH RECURSIVE {STATS}, nx AS (SELECT number, carryover, carryover2, base + hot * 0.4 + cold * 0.15 + (carryover + carryover2) * 0.4 + neighbor * 0.3 + reverse * 0.1 AS score FROM stt WHERE pos = (SELECT max(pos) FROM rnd)),
+  sm AS (SELECT *, exp((score - max(score) OVER ()) / 0.5) AS e FROM nx), pr AS (SELECT number, score, 0.005 + (1 - 0.005 * 45) * (e / sum(e) OVER ()) AS p FROM sm){_samples_sql(_A.samples, "pr", "smp", serve.seed_of(42, _A))},
+  near AS (SELECT list(number) AS near FROM nx WHERE carryover = 1 OR carryover2 = 1),
+  fl AS MATERIALIZED (SELECT sample_id, c FROM (SELECT *, {FACTS} FROM smp), near WHERE {FAILED} IS NULL AND NOT ({_RARE_SQL}) AND NOT list_contains(c, 8) AND len(list_filter(c, lambda x: list_contains(near, x))) <= 2),
+  hs AS (SELECT DISTINCT array_to_string(list_filter(c, lambda x: x <> y.v), '-') AS u FROM drw, unnest(c) AS y(v)),
+  sn AS (SELECT DISTINCT sample_id FROM (SELECT sample_id, array_to_string(list_filter(c, lambda x: x <> y.v), '-') AS u FROM fl, unnest(c) AS y(v)) JOIN hs USING (u)),
+  sc AS (SELECT sample_id, c, (SELECT sum(n.score) FROM unnest(fl.c) AS y(v) JOIN nx n ON n.number = y.v) AS combo_score FROM fl WHERE sample_id NOT IN (SELECT sample_id FROM sn)),
+  rk AS MATERIALIZED (SELECT c, combo_score, row_number() OVER (ORDER BY round(combo_score, 9) DESC, sample_id) AS rank FROM sc QUALIFY rank <= {_A.top_k}),
+  pick AS (SELECT 1::BIGINT AS rank, [c] AS chosen FROM rk WHERE rank = 1 UNION ALL
+    SELECT r.rank, CASE WHEN len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > 3)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE len(p.chosen) < 5),
+  got AS (SELECT y.v AS c, y.i AS o FROM (SELECT chosen FROM pick ORDER BY rank DESC LIMIT 1) q, unnest(q.chosen) WITH ORDINALITY AS y(v, i)),
+  fil AS (SELECT c, 0 AS part, o FROM got UNION ALL SELECT c, 1, min(rank) FROM rk WHERE c NOT IN (SELECT c FROM got) GROUP BY 1),
+  sel AS (SELECT c, row_number() OVER (ORDER BY part, o) AS place FROM fil QUALIFY place <= 5), lastr AS (SELECT c, max(rank) AS rank, any_value(combo_score) AS combo_score FROM rk GROUP BY 1),
+  lev AS (SELECT greatest(1, least(100, round_even(avg(greatest(1, least(100, round_even(100.0 * rank / (SELECT count(*) FROM rk), 0)))), 0) - 5)) AS percentile FROM sel JOIN lastr USING (c))"""
+
+
+@query(f"{_PLAIN} SELECT place, {KEY} AS combo, round(combo_score, 6) AS combo_score, CAST(percentile AS INT) AS percentile FROM sel JOIN lastr USING (c), lev")
+def recommendations_without_hidden_states(spark, sf_dir):
+    out = serve.recommend(draws_of(spark, sf_dir), "A", 5, hidden=False)
+    return out.select(F.col("place").cast("long").alias("place"), combos.key(F.col("c")).alias("combo"), _r("combo_score", 6), "percentile")
 
 
 @query()
 def serving_document(spark, sf_dir):
-    return serve.document(draws_of(spark, sf_dir).cache(), "B")
+    return serve.document(draws_of(spark, sf_dir), "B")

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import combos
 
-#: Rows of each group that the diversity fold looks at.
-FOLDED = 220
-
 
 def scored(combinations: DataFrame, scores: DataFrame) -> DataFrame:
     """``combinations`` with ``combo_score``, the sum of its numbers' ``score`` (0 where a number has none).
@@ -34,14 +31,15 @@ def ranked(combinations: DataFrame, top_k: int | None = None) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def diverse(ranked_rows: DataFrame, count: int, max_overlap: int, by: list[str] | None = None, folded: int = FOLDED) -> DataFrame:
+def diverse(ranked_rows: DataFrame, count: int, max_overlap: int, by: list[str] | None = None) -> DataFrame:
     """Greedy choice in rank order: distinct, and at most ``max_overlap`` numbers shared with any chosen before.
 
-    ``by``, ``chosen`` (an array of combinations).  The choice is sequential; it
-    folds over the first ``folded`` ranks of each group.
+    ``by``, ``chosen`` (an array of combinations).  The choice is sequential: it
+    folds over all ranks of a group, which the number of samples (or ``top_k``)
+    bounds.
     """
     by = by or []
-    rows = ranked_rows.filter(F.col("rank") <= folded).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("r"))
+    rows = ranked_rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("r"))
     return rows.select(*by, fold_diverse(F.transform("r", lambda x: x.c), count, max_overlap).alias("chosen"))
 
 
@@ -54,7 +52,7 @@ def fold_diverse(ordered: Column, count: int, max_overlap: int) -> Column:
 
 def relaxed_diverse(ranked_rows: DataFrame, count: int, first: int = 3, last: int = 6) -> DataFrame:
     """The choice at the first overlap, from ``first`` on, that gives enough; ``chosen``, ``max_overlap``."""
-    rows = ranked_rows.filter(F.col("rank") <= FOLDED).agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("r")).select(F.transform("r", lambda x: x.c).alias("o"))
+    rows = ranked_rows.agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("r")).select(F.transform("r", lambda x: x.c).alias("o"))
     out = None
     for k in range(last, first - 1, -1):
         one = F.struct(fold_diverse(F.col("o"), count, k).alias("chosen"), F.lit(k).alias("max_overlap"))

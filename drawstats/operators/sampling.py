@@ -58,6 +58,11 @@ def rejection(candidates: DataFrame, passes: Column, relaxed: Column, games: int
     return strict.unionByName(more)
 
 
+def without(candidates: DataFrame, shown: DataFrame) -> DataFrame:
+    """Candidates whose key is not among ``shown.k``, the keys of results that were given lately."""
+    return candidates.withColumn("k", combos.key(F.col("c"))).join(shown.select("k").distinct(), "k", "left_anti").drop("k")
+
+
 def number_shares(combinations: DataFrame) -> DataFrame:
     """``number``, ``p``: how often each number is in the combinations, over all; equal shares if there are none."""
     spark = combinations.sparkSession

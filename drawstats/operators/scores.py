@@ -67,33 +67,71 @@ def flags(g: DataFrame, recent: int = RECENT) -> DataFrame:
 
 
 def transitions(draws: DataFrame) -> DataFrame:
-    """``prev``, ``curr``, ``n``, ``p``: how often each number was followed by each in the next draw."""
+    """``prev``, ``curr``, ``n``, ``p``: how often each number was followed by each in the next draw; 0 where never."""
     pairs = positions(draws).filter("c IS NOT NULL AND last IS NOT NULL").select(F.explode("last").alias("prev"), "c").select("prev", F.explode("c").alias("curr"))
     n = pairs.groupBy("prev", "curr").agg(F.count("*").alias("n"))
-    return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("prev")))
+    numbers = draws.sparkSession.range(1, 46).select(F.col("id").cast("int").alias("curr"))
+    every = numbers.select(F.col("curr").alias("prev")).crossJoin(numbers)  # 45 by 45
+    n = every.join(n, ["prev", "curr"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    total = F.sum("n").over(Window.partitionBy("prev"))
+    return n.withColumn("p", F.when(total > 0, F.col("n") / total).otherwise(0.0))
 
 
-def markov(draws: DataFrame) -> DataFrame:
-    """``pos``, ``number``, ``markov``: the mean share, over the last draw's numbers, of transitions to ``number`` before ``pos``.
+def markov(draws: DataFrame, tail: int | None = None) -> DataFrame:
+    """``pos``, ``number``, ``markov``: the mean share, over the last draw's numbers, of transitions to ``number`` before
+    ``pos`` (of those within the last ``tail`` draws, if given).
 
-    Transitions and questions are put in one table and counted cumulatively by
-    pair, so the work grows with the number of draws.
+    A round has a row for each number of the last draw, with the numbers that
+    followed; a window by that number counts, for all 45 at once, what followed
+    it before.  The work grows with the number of draws.
+    """
+    rows = positions(draws).filter("last IS NOT NULL").select("pos", F.explode("last").alias("prev"), "c")
+    w = Window.partitionBy("prev").orderBy("pos")
+    w = w.rowsBetween(Window.unboundedPreceding, -1) if tail is None else w.rangeBetween(1 - tail, -1)
+    followed = [F.coalesce(F.sum(F.array_contains("c", n).cast("int")).over(w), F.lit(0)).alias(f"f{n}") for n in range(1, 46)]
+    total = F.coalesce(F.sum(F.size("c")).over(w), F.lit(0)).alias("total")
+    share = lambda n: F.when(F.col("total") > 0, F.col(f"f{n}") / F.col("total")).otherwise(0.0)
+    each = rows.select("pos", total, *followed).groupBy("pos").agg(F.array(*[F.sum(share(n)) / 6 for n in range(1, 46)]).alias("m"))
+    out = each if tail is not None else each.filter("pos > 1")
+    return out.select("pos", F.posexplode("m").alias("at", "markov")).select("pos", (F.col("at") + 1).alias("number"), "markov")
+
+
+def latest(draws: DataFrame, recent: int = RECENT, history: int = 100) -> DataFrame:
+    """``statistics`` of the round to come alone, 45 rows, with ``shown`` (0/1 of the last ``history`` draws, oldest first).
+
+    It needs the last draws and the transitions from the last one, and no window
+    over the grid.
     """
     rounds = positions(draws)
-    event = rounds.filter("c IS NOT NULL AND last IS NOT NULL").select(F.col("pos").alias("at"), F.lit(0).alias("kind"), F.explode("last").alias("prev"), "c").select("at", "kind", "prev", F.explode("c").alias("number"))
-    ask = rounds.filter("last IS NOT NULL").select((F.col("pos") - 1).alias("at"), F.lit(1).alias("kind"), F.explode("last").alias("prev"))
-    w = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    one = (1 - F.col("kind")).alias("one")
-    pair = event.union(ask.select("at", "kind", "prev", F.explode(F.sequence(F.lit(1), F.lit(45))))).select("at", "kind", "prev", "number", F.sum(one).over(w.partitionBy("prev", "number")).alias("n")).filter("kind = 1")
-    ends = event.groupBy("at", "kind", "prev").agg(F.count("*").alias("k")).union(ask.select("at", "kind", "prev", F.lit(0).cast("long")))
-    total = ends.select("at", "kind", "prev", F.sum("k").over(w.partitionBy("prev")).alias("total")).filter("kind = 1").drop("kind")
-    share = F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0)
-    return pair.join(total, ["at", "prev"]).groupBy((F.col("at") + 1).alias("pos"), "number").agg((F.sum(share) / 6).alias("markov"))
+    near = rounds.orderBy(F.desc("pos")).limit(max(recent, history) + 1).agg(F.array_sort(F.collect_list(F.struct("pos", "round", "c"))).alias("r")).filter(F.size("r") > 0)
+    one = near.select(
+        F.element_at("r", -1).pos.alias("pos"), F.element_at("r", -1).round.alias("round"), F.transform(F.slice("r", 1, F.size("r") - 1), lambda x: x.c).alias("h")
+    ).withColumns({"last": F.try_element_at("h", F.lit(-1)), "before": F.try_element_at("h", F.lit(-2))})
+    # one row
+    moved = rounds.filter("c IS NOT NULL AND last IS NOT NULL").select("c", F.col("last").alias("from")).crossJoin(F.broadcast(one.select(F.col("last").alias("to"))))
+    moved = moved.select(F.explode(F.array_intersect("from", "to")).alias("prev"), "c").groupBy("prev").agg(F.sum(F.size("c")).alias("total"), F.array(*[F.sum(F.array_contains("c", n).cast("int")) for n in range(1, 46)]).alias("f"))
+    shares = moved.agg(*[F.coalesce(F.sum(F.col("f")[n] / F.col("total")) / 6, F.lit(0.0)).alias(f"m{n + 1}") for n in range(45)]).select(F.array(*[f"m{n}" for n in range(1, 46)]).alias("m"))
+    n = F.col("number")
+    grid = one.crossJoin(F.broadcast(shares)).select("*", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number"))
+    has = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
+    tail = lambda k: F.when(F.size("shown") > k, F.slice("shown", -k, k)).otherwise(F.col("shown"))
+    count = lambda k: F.aggregate(tail(k), F.lit(0), lambda a, x: a + x)
+    size = lambda k: F.least(F.size("shown"), F.lit(k))
+    carry = has("last", n)
+    grid = grid.withColumn("shown", F.transform("h", lambda c: F.array_contains(c, n).cast("int")))
+    return grid.select(
+        "pos", "round", "number", F.lit(0).alias("a"), "last",
+        ((1 + count(recent)) / (2 + size(recent))).alias("base"),
+        (count(HOT_ROWS) >= HOT_FROM).cast("int").alias("hot"), ((count(COLD_ROWS) == 0) & (F.col("pos") > 1)).cast("int").alias("cold"),
+        carry.cast("int").alias("carryover"), (has("before", n) & ~carry).cast("int").alias("carryover2"),
+        ((has("last", n - 1) | has("last", n + 1)) & ~carry).cast("int").alias("neighbor"), has("last", 46 - n).cast("int").alias("reverse"),
+        F.greatest(F.lit(0.0), count(EXCESS_ROWS) - size(EXCESS_ROWS) * 6 / F.lit(45.0)).alias("excess"), F.element_at("m", n).alias("markov"), tail(history).alias("shown"),
+    )
 
 
-def statistics(draws: DataFrame, recent: int = RECENT) -> DataFrame:
-    """``flags`` with ``markov`` (0 where fewer than two draws are known)."""
-    return flags(grid(draws), recent).join(markov(draws), ["pos", "number"], "left").withColumn("markov", F.coalesce("markov", F.lit(0.0)))
+def statistics(draws: DataFrame, recent: int = RECENT, tail: int | None = None) -> DataFrame:
+    """``flags`` with ``markov`` (of the last ``tail`` draws, if given; 0 where fewer than two draws are known)."""
+    return flags(grid(draws), recent).join(markov(draws, tail), ["pos", "number"], "left").withColumn("markov", F.coalesce("markov", F.lit(0.0)))
 
 
 def boost(w: dict[str, float] | None = None) -> Column:
@@ -152,6 +190,17 @@ def probabilities(scores: DataFrame, temperature: float, floor: float, by: list[
     return out.withColumn("p", floored(F.col("p"), floor)) if floor > 0 else out
 
 
+def number_report(latest_rows: DataFrame, weights: dict[str, float], temperature: float, floor: float) -> DataFrame:
+    """Components, total and probability of every number for the round to come, best first."""
+    w = weights
+    rows = probabilities(latest_rows.withColumn("score", score(w)), temperature, floor, [])
+    part = lambda c, k: (F.col(c) * w[k]).alias(c)
+    return rows.select(
+        "number", "base", part("hot", "hot"), part("cold", "cold"), part("neighbor", "neighbor"), part("carryover", "carryover"), part("reverse", "reverse"),
+        (F.col("excess") * w["poisson"]).alias("poisson"), part("markov", "markov"), "score", "p",
+    ).orderBy(F.desc("score"), "number")
+
+
 def next_round(stats: DataFrame) -> DataFrame:
     """Rows of the round to come."""
     last = stats.agg(F.max("pos").alias("pos"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import ranking, sampling, scores
 
 #: Scores that are equal to so many digits tie, whatever the order of their sums.
 DIGITS = 12
+LEAST_TRAIN, LEAST_VALIDATION = 50, 10
 
 
 def summary(rounds: DataFrame, hits: str = "hits", by: list[str] | None = None) -> DataFrame:
@@ -32,43 +35,95 @@ def compared(model: DataFrame, baseline: DataFrame) -> DataFrame:
     return a.crossJoin(b).select(*[(F.col(f"a.{c}") - F.col(f"b.{c}")).alias(f"{c}_diff") for c in ("p3", "p4", "mean_hits")])
 
 
-def walk_forward(draws: DataFrame, games: int, n_samples: int, seed: int, weights: dict[str, float] | None = None, temperature: float = 1.0, floor: float = 0.001,
-                 recent: int = scores.RECENT, top_k: int = 60, max_overlap: int = 3, limits: combos.Limits = combos.Limits()) -> DataFrame:
-    """``pos``, ``round``, ``game``, ``c``, ``hits``: for every round but the first, combinations chosen from what was known before it.
+#: The weights and sizes of the penalty tuner.
+TUNER = scores.WEIGHTS | {"carryover": 0.2}
+TUNER_SAMPLES, TUNER_TOP, TUNER_RECENT = 3000, 300, 50
+
+
+def _noise(seed: Column, sample: Column) -> Column:
+    """What 45 numbers have added to their log-weights in one sample."""
+    return F.array(*[sampling.gumbel_top6(F.lit(1.0), F.lit(n), seed, sample) for n in range(1, 46)])
+
+
+def _best_six(weights: Column) -> Column:
+    """The numbers of the six largest of 45 values, sorted."""
+    keyed = F.transform(weights, lambda v, i: F.struct((-v).alias("k"), (i + 1).alias("number")))
+    return F.array_sort(F.transform(F.slice(F.array_sort(keyed), 1, combos.PICK), lambda x: x.number))
 
-    All rounds' scores come from one as-of table; samples are keyed by the
-    round's number in order and the seed; filters fall back to all samples where
-    none passes; the choice folds over the best of each round.
+
+def seen_before(candidates: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+    """Candidates (``by``, ``pos``, ``c``) that share five numbers or more with a draw before ``pos``: ``by`` and ``pos``."""
+    subsets = lambda c: F.explode(F.transform(c, lambda x: combos.mask(c) - F.call_function("shiftleft", F.lit(1).cast("long"), (x - 1).cast("int"))))
+    past = scores.positions(draws).filter("c IS NOT NULL").select("pos", subsets(F.col("c")).alias("u")).groupBy("u").agg(F.min("pos").alias("first"))
+    return candidates.select(*by, "pos", subsets(F.col("c")).alias("u")).join(past, "u").filter("first < pos").select(*by, "pos").distinct()
+
+
+def walk_forward(draws: DataFrame, games: int = 5, n_samples: int = TUNER_SAMPLES, seed: int = 42, weights: list[dict[str, float]] | None = None, temperature: float = 1.0, floor: float = 0.001,
+                 recent: int = scores.RECENT, tail: int | None = None, top_k: int = TUNER_TOP, max_overlap: int = 3, limits: combos.Limits = combos.Limits(),
+                 start_round: int | None = None, end_round: int | None = None, train_tail: int | None = None) -> DataFrame:
+    """``individual``, ``pos``, ``round``, ``game``, ``c``, ``hits``: for every round but the first (from ``start_round`` to
+    ``end_round``), combinations chosen from what was known before it, for each of the ``weights``.
+
+    All rounds' scores come from one as-of table, with transitions of the last
+    ``tail`` draws.  Samples are keyed by the seed and the round's place; their
+    noise is made once for all weights.  Filters, that against earlier draws
+    among them, fall back to all samples where none passes.  What the diverse
+    choice lacks is filled from the ranked, the sampled and equally likely
+    combinations in turn.  ``train_tail`` cuts all that is known to so many draws.
     """
-    stats = scores.statistics(draws, recent).filter("pos > 1").withColumn("score", scores.score(weights))
-    p = scores.probabilities(stats.select("pos", "number", "score"), temperature, floor, ["pos"])
-    table = p.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("number", "p", "score"))).alias("ps"))
+    for name, value in (("games", games), ("n_samples", n_samples), ("train_tail", 1 if train_tail is None else train_tail)):
+        if value <= 0:
+            raise ValueError(f"{name} must be positive")
+    tail = tail if train_tail is None else min(train_tail, tail or train_tail)
+    recent = recent if train_tail is None else min(recent, train_tail)
+    vectors = list(enumerate(weights or [scores.WEIGHTS]))
+    stats = scores.statistics(draws, recent, tail).filter("pos > 1")
+    if start_round is not None:
+        stats = stats.filter(F.col("round") >= start_round)
+    if end_round is not None:
+        stats = stats.filter(F.col("round") <= end_round)
+    every = F.array(*[F.struct(F.lit(i).alias("individual"), scores.score(w).alias("score")) for i, w in vectors])
+    scored = stats.select("pos", "number", F.explode(every).alias("e")).select("pos", "number", "e.*")
+    p = scores.probabilities(scored, temperature, floor, ["individual", "pos"])
+    row = F.array_sort(F.collect_list(F.struct("number", "p", "score")))
+    one = p.groupBy("pos", "individual").agg(row.alias("ps")).select("pos", "individual", F.transform("ps", lambda x: F.log(x.p)).alias("l"), F.transform("ps", lambda x: x.score).alias("s"))
+    table = one.groupBy("pos").agg(F.collect_list(F.struct("individual", "l", "s")).alias("of"))
     drawn = scores.positions(draws).filter("c IS NOT NULL").select("pos", "round", F.col("c").alias("actual"))
     each = table.join(drawn, "pos").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_samples - 1).cast("long"))).alias("sample_id"))
-    key = F.transform("ps", lambda x: F.struct((-sampling.gumbel_top6(x.p, x.number, F.lit(seed) + F.col("pos"), F.col("sample_id"))).alias("k"), x.number.alias("number"), x.score.alias("score")))
-    best = F.slice(F.array_sort(key), 1, combos.PICK)
-    each = each.select("pos", "round", "actual", "sample_id", sampling.once(F.array_sort(F.transform(best, lambda x: F.struct(x.number.alias("number"), x.score.alias("score"))))).alias("b"))
-    total = F.round(F.aggregate("b", F.lit(0.0), lambda a, x: a + x.score), 9)
-    each = each.select("pos", "round", "actual", "sample_id", F.transform("b", lambda x: x.number).alias("c"), total.alias("combo_score"))
+    each = each.select("*", sampling.once(_noise(F.lit(seed) + F.col("pos"), F.col("sample_id"))).alias("g")).select("pos", "round", "actual", "sample_id", "g", F.explode("of").alias("o"))
+    each = each.select("pos", "round", "actual", "sample_id", "o.individual", F.col("o.s").alias("s"), sampling.once(_best_six(F.zip_with("o.l", "g", lambda x, y: x + y))).alias("c"))
+    total = F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + F.element_at("s", x)), 9)
     passes = F.lit(True)
     for _, ok in combos.filters(F.col("c"), limits):
         passes = passes & ok
-    rows = each.withColumn("ok", passes).groupBy("pos", "round", "actual").agg(
+    each = each.select("individual", "pos", "round", "actual", "sample_id", "c", total.alias("combo_score"), passes.alias("ok"))
+    by = ["individual", "sample_id"]
+    told = seen_before(each.filter("ok").select(*by, "pos", "c"), draws, by).withColumn("seen", F.lit(True))
+    each = each.join(told, [*by, "pos"], "left").withColumn("ok", F.col("ok") & F.col("seen").isNull())
+    rows = each.groupBy("individual", "pos", "round", "actual").agg(
         F.max("ok").alias("any"), F.array_sort(F.collect_list(F.struct((-F.col("combo_score")).alias("k"), "sample_id", "c", "ok"))).alias("r")
     )  # n_samples rows a round
-    order = F.slice(F.filter("r", lambda x: x.ok | ~F.col("any")), 1, top_k)
-    chosen = ranking.fold_diverse(F.transform(order, lambda x: x.c), games, max_overlap)
-    out = rows.select("pos", "round", "actual", F.posexplode(chosen).alias("game", "c"))
-    return out.select("pos", "round", "game", "c", combos.overlap(F.col("c"), F.col("actual")).alias("hits"))
+    order = F.transform(F.slice(F.filter("r", lambda x: x.ok | ~F.col("any")), 1, top_k), lambda x: x.c)
+    sampled = F.transform(F.array_sort(F.transform("r", lambda x: F.struct(x.sample_id.alias("sample_id"), x.c.alias("c")))), lambda x: x.c)
+    equal = F.transform(F.sequence(F.lit(0), F.lit(3 * games - 1)), lambda k: _best_six(_noise(F.concat(F.lit("equal|"), (F.lit(seed) + F.col("pos")).cast("string")), k)))
+    rows = rows.select("individual", "pos", "round", "actual", order.alias("order"), sampled.alias("sampled")).withColumn("chosen", ranking.fold_diverse(F.col("order"), games, max_overlap))
+    more = F.array_distinct(F.concat("chosen", "order", "sampled"))
+    filled = F.when(F.size("chosen") >= games, F.col("chosen")).when(F.size(more) >= games, F.slice(more, 1, games)).otherwise(F.slice(F.array_distinct(F.concat(more, equal)), 1, games))
+    out = rows.select("individual", "pos", "round", "actual", F.posexplode(filled).alias("game", "c"))
+    return out.select("individual", "pos", "round", "game", "c", combos.overlap(F.col("c"), F.col("actual")).alias("hits"))
 
 
-def fitness(stats: DataFrame, weights: DataFrame, train_end: int, val_end: int, train_rounds: int = 20, least_rows: int = 20) -> DataFrame:
+def fitness(stats: DataFrame, weights: DataFrame, train_end: int, val_end: int, train_rounds: int = 20, least_rows: int = 20, check: bool = True) -> DataFrame:
     """Per row of ``weights`` (``individual`` and a column per weight): hit rates, mean rank and the combined value.
 
     ``stats`` is the as-of table with ``label``; scores are linear in the
     weights, so all vectors are evaluated by one join with it.  ``weights`` is a
     small table (a population), broadcast.
     """
+    if check:
+        n = stats.filter("label IS NOT NULL").agg(F.countDistinct(F.when(F.col("round") <= train_end, F.col("pos"))).alias("t"), F.countDistinct(F.when((F.col("round") > train_end) & (F.col("round") <= val_end), F.col("pos"))).alias("v")).first()
+        if n.t < LEAST_TRAIN or n.v < LEAST_VALIDATION:
+            raise ValueError(f"{LEAST_TRAIN} rounds to train and {LEAST_VALIDATION} to validate are needed, not {n.t} and {n.v}")
     last = stats.filter((F.col("round") <= train_end) & F.col("label").isNotNull()).select("pos").distinct().orderBy(F.desc("pos")).limit(train_rounds).withColumn("train", F.lit(True))
     rows = stats.filter((F.col("pos") > least_rows) & (F.col("round") <= val_end)).join(F.broadcast(last), "pos", "left").withColumn("train", F.coalesce("train", F.lit(False)))
     rows = rows.filter(F.col("train") | (F.col("round") > train_end))
@@ -100,21 +155,39 @@ def penalty_grid(start: float, end: float, step: float) -> list[float]:
     return [round(start + i * step, 6) for i in range(n + 1)]
 
 
-def grid_search(stats: DataFrame, poisson: list[float], markov: list[float], base_weights: dict[str, float], k: int = 6) -> DataFrame:
-    """For every pair of penalties the hits of the ``k`` best numbers of each round, best pair first: ``lambda_poisson``, ``lambda_markov``, ``p3``, ``p4``, ``mean_hits``, ``std_hits``.
-
-    One job over the product of two short lists and the as-of table.
+def grid_search(draws: DataFrame, poisson: list[float], markov: list[float], base_weights: dict[str, float] | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """For every pair of penalties the summary of a walk-forward run with the tuner's settings, best pair first:
+    ``lambda_poisson``, ``lambda_markov``, ``p3``, ``p4``, ``mean_hits``, ``std_hits``, ``n``.  One job over all pairs and rounds.
     """
-    spark = stats.sparkSession
     for x in (*poisson, *markov):
         if not 0 <= x <= scores.MAX_PENALTY:
             raise ValueError(f"penalty {x} outside 0..{scores.MAX_PENALTY}")
-    grid = spark.createDataFrame([(float(p), float(m)) for p in poisson for m in markov], "lambda_poisson double, lambda_markov double")
-    value = F.greatest(F.lit(0.0), F.col("base") + scores.boost(base_weights) - F.col("excess") * F.col("lambda_poisson") - F.col("markov") * F.col("lambda_markov"))
-    by = ["lambda_poisson", "lambda_markov"]
-    scored = stats.filter("label IS NOT NULL AND pos > 1").crossJoin(F.broadcast(grid)).select(*by, "pos", "number", "label", F.round(value, DIGITS).alias("score"))
-    hits = ranking.with_number_rank(scored, [*by, "pos"]).filter(F.col("rn") <= k).groupBy(*by, "pos").agg(F.sum("label").alias("hits"))
-    return summary(hits, by=by).drop("n").orderBy(F.desc("p3"), F.desc("p4"), F.desc("mean_hits"), "std_hits")
+    if not poisson or not markov:
+        raise ValueError("a grid must not be empty")
+    pairs = [(float(a), float(b)) for a in poisson for b in markov]
+    options = {"n_samples": TUNER_SAMPLES, "top_k": TUNER_TOP, "tail": TUNER_RECENT} | options
+    played = walk_forward(draws, weights=[(base_weights or TUNER) | {"poisson": a, "markov": b} for a, b in pairs], **options)
+    at = F.array(*[F.struct(F.lit(a).alias("p"), F.lit(b).alias("m")) for a, b in pairs])
+    pair = F.get(at, F.col("individual"))
+    out = summary(played, by=["individual"]).select(pair.p.alias("lambda_poisson"), pair.m.alias("lambda_markov"), "p3", "p4", "mean_hits", "std_hits", "n")
+    return out.orderBy(F.desc("p3"), F.desc("p4"), F.desc("mean_hits"), "std_hits")
+
+
+def save_grid(results: DataFrame, settings: dict, path: str) -> None:
+    """Settings and results as one JSON file."""
+    content = F.struct(F.lit(json.dumps(settings, sort_keys=True)).alias("config"), F.collect_list(F.struct(*results.columns)).alias("results"))
+    results.agg(F.to_json(content).alias("document")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def single_round(draws: DataFrame, upto: int, games: int = 5, **options) -> DataFrame:  # noqa: ANN003
+    """``game``, ``c``, ``hits``, ``bonus_hit``, ``prize``: combinations for the round after ``upto`` against its draw; best first."""
+    last = draws.agg(F.max("round").alias("m")).first().m or 0
+    if not 100 <= upto < last:
+        raise ValueError(f"a round from 100 to {last - 1} is needed")
+    after = draws.filter(F.col("round") > upto).agg(F.min("round").alias("m")).first().m
+    known = draws.filter(F.col("round") <= after)
+    played = walk_forward(known, games, start_round=after, end_round=after, **options)
+    return prizes(played.select("pos", "game", "c"), known).orderBy(F.desc("hits"), "game")
 
 
 def prizes(played: DataFrame, draws: DataFrame) -> DataFrame:

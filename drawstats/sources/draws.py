@@ -41,7 +41,7 @@ def problems(df: DataFrame) -> dict[str, list[int] | int]:
     same = F.size(F.array_distinct(F.array(*[number[c] for c in NUMBER_COLUMNS]))) != 6
 
     def some(test: F.Column) -> F.Column:
-        return F.slice(F.sort_array(F.collect_set(F.when(F.coalesce(test, F.lit(False)), number["round"]))), 1, 20)
+        return F.sort_array(F.collect_set(F.when(F.coalesce(test, F.lit(False)), number["round"])))
 
     got = df.agg(F.sum(bad.cast("int")).alias("n"), some(outside).alias("outside"), some(same).alias("same")).first()
     return {"not_numeric": got.n or 0, "out_of_range": got.outside, "not_unique": got.same}
@@ -107,10 +107,17 @@ def latest_rows(df: DataFrame, key: str, *recency: str) -> DataFrame:
     return top.select(key, "t.*").select(*df.columns)
 
 
-def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old rows and new ones by column name; of a round the new row stays; columns one side lacks are null."""
-    both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-    return latest_rows(both.withColumn("round", F.col("round").cast("long")), "round", "_seq").drop("_seq")
+def upserted(old: DataFrame, new: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Old rows and new ones by column name; of a round the new row stays, and of several the one that came last.
+
+    ``arrival`` names a column of both that rises in the order of arrival;
+    without one it is the order in which the rows are read.  Columns that one
+    side lacks are null.
+    """
+    came = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
+    old, new = (df.withColumns({"_side": F.lit(k), "_came": came}) for k, df in enumerate((old, new)))
+    both = old.unionByName(new, allowMissingColumns=True)
+    return latest_rows(both.withColumn("round", F.col("round").cast("long")), "round", "_side", "_came").drop("_side", "_came")
 
 
 def new_rounds(spark: SparkSession, last: int, latest: int) -> DataFrame:
@@ -132,7 +139,7 @@ def latest_round(exists, start: int = 1) -> int:  # noqa: ANN001
 
 
 def parsed_payload(df: DataFrame, column: str = "payload", asked: str | None = "asked") -> DataFrame:
-    """Draw rows from JSON payloads: the first of the list; other rounds than asked for are left out."""
+    """Draw rows from JSON payloads: the first of the list; other rounds than asked for, and what is no JSON, are left out."""
     p = F.get(F.from_json(F.col(column), PAYLOAD)["data"]["list"], F.lit(0))
     out = df.select(*([F.col(asked).cast("int").alias("_asked")] if asked else []), p.alias("p")).filter("p.ltEpsd IS NOT NULL")
     if asked:

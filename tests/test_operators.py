@@ -285,3 +285,66 @@ def test_serving(spark, history_rows):
         serve.recommend(df, "C")
     table = spark.createDataFrame([(0, "a"), (1, "b")], "variant_id int, x string")
     assert [serve.pool(table, k).first().x for k in range(3)] == ["a", "b", "a"]
+
+
+def test_latest_equals_the_last_rows_of_the_table(spark, history_rows):
+    _, df = history_rows
+    for d in (df, df.filter("round <= 3"), df.filter("round <= 1")):
+        names = ["number", "pos", "base", "hot", "cold", "carryover", "carryover2", "neighbor", "reverse", "excess", "markov"]
+        want = {r.number: r for r in scores.next_round(scores.statistics(d)).select(*names).collect()}
+        got = {r.number: r for r in scores.latest(d).select(*names).collect()}
+        assert set(got) == set(want) and all(tuple(got[n]) == pytest.approx(tuple(want[n])) for n in want)
+
+
+def test_the_last_row_that_came_stays(spark):
+    new = spark.createDataFrame([(2, 40), (2, 5)], "round long, n1 int").coalesce(1)
+    old = spark.createDataFrame([(1, 1), (2, 2), (2, 3)], "round long, n1 int").coalesce(1)
+    assert {r["round"]: r.n1 for r in source.upserted(old, new).collect()} == {1: 1, 2: 5}
+    told = [df.withColumn("seq", F.col("n1")) for df in (old, new)]
+    assert {r["round"]: r.n1 for r in source.upserted(*told, "seq").collect()} == {1: 1, 2: 40}
+
+
+def test_fitness_needs_rounds(spark, history_rows):
+    _, df = history_rows
+    w = tuning.weight_table(spark, [{"hot": 0.4}])
+    with pytest.raises(ValueError):
+        backtest.fitness(backtest.labelled(df), w, 40, 70)
+    with pytest.raises(ValueError):
+        backtest.fitness(backtest.labelled(df), w, 65, 70)
+
+
+def test_choices_are_filled_and_avoid_earlier_draws(spark, history_rows, tmp_path):
+    rows, df = history_rows
+    played = backtest.walk_forward(df, 5, 3, 7, start_round=60, end_round=61, max_overlap=0).collect()
+    assert {r["round"] for r in played} == {60, 61} and all(len({tuple(r.c) for r in played if r["round"] == k}) == 5 for k in (60, 61))
+    c = spark.createDataFrame([(0, 50, rows[3][1]), (1, 2, rows[30][1]), (2, 50, [1, 2, 3, 4, 5, 6])], "sample_id long, pos long, c array<int>")
+    past = [d for _, d, _ in rows]
+    want = {i for i, pos, x in [(0, 50, rows[3][1]), (1, 2, rows[30][1]), (2, 50, [1, 2, 3, 4, 5, 6])] if any(len(set(x) & set(d)) >= 5 for d in past[: pos - 1])}
+    assert {r.sample_id for r in backtest.seen_before(c, df, ["sample_id"]).collect()} == want
+    grid = backtest.grid_search(df, [0.0, 0.2], [0.1], start_round=68, n_samples=60)
+    assert [(r.lambda_poisson, r.lambda_markov, r.n) for r in grid.orderBy("lambda_poisson").collect()] == [(0.0, 0.1, 15), (0.2, 0.1, 15)]
+    backtest.save_grid(grid, {"seed": 42}, str(tmp_path / "grid"))
+    doc = json.loads(spark.read.text(str(tmp_path / "grid")).first()[0])
+    assert json.loads(doc["config"]) == {"seed": 42} and len(doc["results"]) == 2
+    with pytest.raises(ValueError):
+        backtest.grid_search(df, [0.6], [0.0])
+    with pytest.raises(ValueError):
+        backtest.single_round(df, 70)
+
+
+def test_single_round(spark):
+    r = random.Random(3)
+    rows = [(i, sorted(r.sample(range(1, 46), 6)), r.randint(1, 45)) for i in range(1, 106)]
+    df = spark.createDataFrame(rows, "round long, c array<int>, bonus int")
+    got = backtest.single_round(df, 103, 5, n_samples=200).collect()
+    assert len(got) == 5 and all(x.hits == len(set(x.c) & set(rows[103][1])) for x in got) and [x.hits for x in got] == sorted((x.hits for x in got), reverse=True)
+
+
+def test_serving_falls_back_to_all_samples(spark, history_rows):
+    _, df = history_rows
+    p = serve.PRESETS["A"]
+    bad = spark.createDataFrame([(0, [1, 2, 3, 4, 5, 6]), (1, [8, 9, 10, 11, 12, 13])], "sample_id long, c array<int>")
+    assert serve.kept(bad, p, [], df).count() == 2
+    got = serve.recommend(df, "A", 5, n_samples=300, hidden=False).first()
+    assert got.reasons[:2] == ["AC>=7", "sum 100-175"] and got.reasons[-1] == "carryover<=2" and "history overlap < 5" in got.reasons
+    assert {r.number for r in serve.serving_scores(df).filter("size(t) > 3").collect()} <= set(range(1, 46))
