@@ -7,9 +7,9 @@ Each distinct fingerprint is indexed under every segment with one bit removed
 keys meets every pair to be linked, and a bit count of the difference verifies it.
 Copies with one fingerprint are one node, so they make no pairs.
 
-Under a key all fingerprints near its least one are linked to that one and not
-to each other; only those that are not near it are joined with the others, so a
-dense group makes as many links as it has members.
+Under a key all fingerprints near its least one are linked to that one; of the
+other pairs only those are made whose ends these stars have not joined, so a
+dense group makes about as many links as it has members.
 
 Classes are the components of the verified links, found with alternating
 large-star and small-star rounds over DataFrames.  Every round is written to
@@ -110,7 +110,7 @@ def _keys(d: int) -> F.Column:
     return F.array(*keys)
 
 
-#: A key under which more fingerprints than this are left is cut again by slices.
+#: A key with more fingerprints than this is cut again by slices.
 HOT_KEY = 256
 
 
@@ -124,32 +124,49 @@ def _slices(d: int) -> list[int]:
     return [_mask(list(range(k, 64, d + 1))) for k in range(d + 1)]
 
 
+def _first_key(x: F.Column, d: int) -> F.Column:
+    """The bit of the first key under which two fingerprints with difference ``x`` meet."""
+    out = F.lit(-1)
+    for low, width in reversed(_segments(d)):
+        part = x.bitwiseAND(F.lit(_mask(list(range(low, low + width)))))
+        ones = F.bit_count(part)
+        out = F.when(ones == 0, F.lit(low)).when(ones == 1, F.bit_count(part - 1)).otherwise(out)
+    return out
+
+
 def links(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
     """Pairs ``a < b`` of distinct values of ``nodes.fp`` that differ in 1 to ``d`` bits, enough of them to join all values
     that a chain of such differences joins.
 
     Under each key every fingerprint is compared with the least one, which
-    makes a star of a dense group and not all its pairs.  Two fingerprints of
-    the star need no link of their own; every pair with one outside the star is
-    compared.  A key with many fingerprints is joined only within equal slices
-    of the whole fingerprint, one of which every pair to be found shares.
+    makes a star of a dense group and not all its pairs.  Of the others only
+    pairs of different components of the stars are made, each once.  A key with
+    many fingerprints is joined only within equal slices of the whole
+    fingerprint, one of which every linked pair shares.
     """
     keyed = nodes.select("fp", F.explode(_keys(d)).alias("key"))
     held = stored(keyed.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("size")).filter("size > 1"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= d
-    met = stored(keyed.join(held, "key").select("key", "fp", "least", "size", near.alias("near")))
-    star = met.filter("near AND fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    star = keyed.join(held.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & (F.col("fp") > F.col("least")) & near)
+    star = stored(star.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
+    own = nodes.join(components(star), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode(_keys(d)).alias("key"))
+    hot = held.filter(F.col("size") > HOT_KEY).select("key", F.lit(True).alias("hot"))
     whole = F.array(F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("bits")))
     cut = F.array(*[F.struct(F.lit(k).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(_slices(d))])
-    open_ = met.filter("NOT near").select("key").distinct()
-    fine = met.join(open_, "key", "left_semi").select("key", "fp", "near", F.explode(F.when(F.col("size") > HOT_KEY, cut).otherwise(whole)).alias("s"))
-    fine = fine.select("key", "fp", "near", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
-    x, y = fine.filter("NOT near").alias("x"), fine.alias("y")
-    met_too = (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.bits") == F.col("y.bits"))
-    once = F.col("y.near") | (F.col("x.fp") < F.col("y.fp"))
-    rest = x.join(y, met_too & once & (F.col("x.fp") != F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= d))
-    rest = rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-    return star.union(rest).distinct()
+    fine = own.join(hot, "key", "left").select("fp", "root", "key", F.explode(F.when(F.col("hot"), cut).otherwise(whole)).alias("s"))
+    fine = fine.select("fp", "root", "key", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
+    x, y = fine.alias("x"), fine.alias("y")
+    diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    first_slice = F.lit(-1)
+    for k, m in reversed(list(enumerate(_slices(d)))):
+        first_slice = F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(k)).otherwise(first_slice)
+    met = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.bits") == F.col("y.bits"))
+        & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & (F.bit_count(diff) <= d)
+        & (F.shiftright("x.key", 40).cast("int") == _first_key(diff, d)) & ((F.col("x.n") < 0) | (F.col("x.n") == first_slice))
+    )
+    rest = x.join(y, met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    return star.union(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
