@@ -37,8 +37,8 @@ CLASSED_FROM = 2
 CLASSED = 1 << 20
 #: Words whose counts are sent to all executors: at most so many, 16 bytes each.  It has no part in the result.
 FREQUENT = 1 << 20
-#: Words that a task gathers before it hands them on.
-GATHERED = 1 << 20
+#: Words that a task gathers before it hands them on, and numbered words that one step works on.
+GATHERED, PASSED_WORDS = 1 << 20, 1 << 18
 N_SHAPES = 16
 END_HASH = 0
 
@@ -192,38 +192,62 @@ def inserted(word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarr
     return gain.argmax(1)
 
 
-def _contexts(classes: Classes, movable: np.ndarray):  # noqa: ANN202
-    """From texts: how often each class (``context``) is before, or after, each movable word (``place``), and with place -1 how often class follows class."""
+def _numbered(shared):  # noqa: ANN001, ANN202
+    """From texts: the number of each word in the sorted list, or of its shape after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = classes.end + 1
+        words = shared.value
+        number = Classes(words, np.arange(len(words)), len(words))
+        for batch in batches:
+            raw, off = text_buffer(batch.column(0))
+            for i, j in pieces(off):
+                h, shape, row = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number(h, shape).astype(np.int32)))], names=["words"])
+
+    return run
+
+
+def _contexts(shared, movable: bool):  # noqa: ANN001, ANN202
+    """From numbered texts: how often each class (``context``) is before, or after, each word that may move (``place``), and
+    with place -1 how often class follows class.  ``shared`` holds the class of each number, the end's class, and which may move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, end, moves = shared.value
+        size = end + 1
         pairs, held, gathered = np.zeros(size * size, np.int64), [], 0
 
-        def flush() -> pa.RecordBatch:
+        def merged() -> tuple[np.ndarray, np.ndarray]:
             key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            total = np.bincount(inverse.reshape(-1), np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array((key // (2 * size)).astype(np.int32)), pa.array((key % (2 * size)).astype(np.int32)), pa.array(total)], names=["place", "context", "n"])
+            return key, np.bincount(inverse.reshape(-1), np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
+        def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((key // (2 * size)).astype(np.int32)), pa.array((key % (2 * size)).astype(np.int32)), pa.array(n)], names=["place", "context", "n"])
 
         for batch in batches:
-            raw, off = text_buffer(batch.column(0))
-            for i, j in pieces(off):
-                h, shape, row = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                before, line, _ = _pairs(classes(h, shape), row, j - i, classes.end)
+            lists = batch.column(0)
+            off = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            flat = lists.flatten().to_numpy()
+            for i, j in pieces(off, PASSED_WORDS):
+                word, row = flat[off[i] : off[j]], np.repeat(np.arange(j - i), np.diff(off[i : j + 1]))
+                before, line, _ = _pairs(of[word], row, j - i, end)
                 pairs += np.bincount(before * size + line, minlength=len(pairs))
-                place, known = classes.places(h)
-                if not len(movable) or not known.any():
+                if not movable:
                     continue
-                known &= movable[place]
-                at = (np.arange(len(h)) + row)[known]  # where the word is in the line
-                key = place[known] * (2 * size)
+                which = moves[word]
+                at = (np.arange(len(word)) + row)[which]  # where the word is in the line
+                key = word[which].astype(np.int64) * (2 * size)
                 key, n = np.unique(np.concatenate((key + before[at], key + size + line[at + 1])), return_counts=True)
                 held.append((key, n))
                 gathered += len(key)
                 if gathered > GATHERED:
-                    yield flush()
-                    held, gathered = [], 0
+                    held = [merged()]
+                    gathered = len(held[0][0])
+                    if 2 * gathered > GATHERED:
+                        yield rows(*held[0])
+                        held, gathered = [], 0
         if gathered:
-            yield flush()
+            yield rows(*merged())
         have = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(have), -1, np.int32)), pa.array(have.astype(np.int32)), pa.array(pairs[have])], names=["place", "context", "n"])
 
@@ -232,12 +256,12 @@ def _contexts(classes: Classes, movable: np.ndarray):  # noqa: ANN202
 
 def _insertion(shared, both: np.ndarray):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes: Classes = shared.value
+        of, end, _ = shared.value
         for batch in batches:
             place, lists = batch.column(0).to_numpy(), batch.column(1)
             size, told = lists.value_lengths().to_numpy(), lists.flatten()
             if len(place):
-                new = inserted(np.repeat(np.arange(len(place)), size), told.field(0).to_numpy(), told.field(1).to_numpy(), classes.of[place].astype(np.int64), both, classes.n)
+                new = inserted(np.repeat(np.arange(len(place)), size), told.field(0).to_numpy(), told.field(1).to_numpy(), of[place].astype(np.int64), both, end - N_SHAPES)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new.astype(np.int32))], names=["place", "class"])
 
     return run
@@ -280,34 +304,34 @@ class Model:
         self.least = _least_count(counts, frequent)
         self.frequent, self.count, _ = _words_from(counts, self.least)
         words, count, shape = _words_from(counts, max(_least_count(counts, classed), CLASSED_FROM))
-        # the exchange: every core word is a symbol of its own
-        core = np.sort(np.lexsort((words, -count))[:core_words])
-        by_count = core[np.lexsort((words[core], -count[core]))]
+        given = context.broadcast(words)  # at most CLASSED words
+        texts = stored(texts.mapInArrow(_numbered(given), "words array<int>"))
+        shapes_too = np.concatenate((shape, np.arange(N_SHAPES)))  # of each number
+
+        def passed(of: np.ndarray, end: int, moves: np.ndarray | None = None) -> tuple:
+            shared = context.broadcast((of, end, None if moves is None else np.append(moves, np.zeros(N_SHAPES, bool))))
+            rows = texts.mapInArrow(_contexts(shared, moves is not None), "place int, context int, n long").groupBy("place", "context").agg(F.sum("n").alias("n"))
+            return shared, stored(rows)
+
+        # the exchange: every core word is a symbol of its own, numbered by its count
+        core = np.lexsort((words, -count))[:core_words]
         k = len(core)
-        number = np.empty(k, np.int64)
-        number[np.searchsorted(core, by_count)] = np.arange(k)
-        symbols = Classes(words[core], number, k)
-        bigrams = _matrix(texts.mapInArrow(_contexts(symbols, np.zeros(0, bool)), "place int, context int, n long").groupBy("place", "context").agg(F.sum("n").alias("n")), symbols.end + 1)
+        symbol = k + shapes_too
+        symbol[core] = np.arange(k)
         n_classes = min(classes, max(k, 1))
-        of = exchange(bigrams, k, n_classes)
-        own = n_classes + shape
-        own[by_count] = of[:k]
-        self.classes = Classes(words, own.astype(np.int16), n_classes)
-        size = self.classes.end + 1
-        for step in range(INSERTIONS + 1):
-            last = step == INSERTIONS or not len(words)
-            shared = context.broadcast(self.classes)  # at most CLASSED words
-            moving = np.zeros(0, bool) if last else own >= n_classes if step == 0 else np.ones(len(words), bool)
-            rows = texts.mapInArrow(lambda b, s=shared, m=moving: _contexts(s.value, m)(b), "place int, context int, n long")
-            rows = stored(rows.groupBy("place", "context").agg(F.sum("n").alias("n")))
-            both = _matrix(rows, size)
-            if last:
-                break
+        of = exchange(_matrix(passed(symbol, k + N_SHAPES)[1], k + N_SHAPES + 1), k, n_classes)
+        own, size = n_classes + shapes_too, n_classes + N_SHAPES + 1
+        own[core] = of[:k]
+        for step in range(INSERTIONS):
+            moves = own[: len(words)] >= n_classes if step == 0 else np.ones(len(words), bool)
+            shared, rows = passed(own, size - 1, moves)
             each = rows.filter("place >= 0").groupBy("place").agg(F.collect_list(F.struct("context", "n")).alias("told"))  # at most 2 * size
-            got = each.mapInArrow(_insertion(shared, both), "place int, class int").toArrow()
+            got = each.mapInArrow(_insertion(shared, _matrix(rows, size)), "place int, class int").toArrow()
             own = own.copy()
             own[got["place"].to_numpy()] = got["class"].to_numpy()
-            self.classes = Classes(words, own.astype(np.int16), n_classes)
+        both = _matrix(passed(own, size - 1)[1], size)
+        own = own[: len(words)]
+        self.classes = Classes(words, own.astype(np.int16), n_classes)
         self.step = np.log10((both + ALPHA) / (both.sum(1, keepdims=True) + ALPHA * size))
         # tokens and words of each class; those of a shape are the words without a class of their own
         tokens, kinds = np.bincount(own, count, size).astype(float), np.bincount(own, minlength=size).astype(float)
