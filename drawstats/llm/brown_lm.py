@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, RangeHash, mixed, pieces, stored, text_buffer, words_of
+from .common import LOWER, RangeHash, mixed, partitions, pieces, stored, text_buffer, words_of
 
 #: Added to counts of words, and of transitions.
 DELTA, ALPHA = 0.1, 0.5
@@ -210,7 +210,7 @@ def _numbered(shared):  # noqa: ANN001, ANN202
 
 def _contexts(shared, movable: bool):  # noqa: ANN001, ANN202
     """From numbered texts: how often each class (``context``) is before, or after, each word that may move (``place``), and
-    with place -1 how often class follows class.  ``shared`` holds the class of each number, the end's class, and which may move."""
+    with place -1 - a how often class b (``context``) follows class a.  ``shared`` holds the class of each number, the end's class, and which may move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, end, moves = shared.value
@@ -249,7 +249,7 @@ def _contexts(shared, movable: bool):  # noqa: ANN001, ANN202
         if gathered:
             yield rows(*merged())
         have = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(have), -1, np.int32)), pa.array(have.astype(np.int32)), pa.array(pairs[have])], names=["place", "context", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - have // size).astype(np.int32)), pa.array((have % size).astype(np.int32)), pa.array(pairs[have])], names=["place", "context", "n"])
 
     return run
 
@@ -269,9 +269,9 @@ def _insertion(shared, both: np.ndarray):  # noqa: ANN001, ANN202
 
 def _matrix(rows: DataFrame, size: int) -> np.ndarray:
     """Class pairs (at most ``size`` squared) as a matrix."""
-    got, out = rows.filter("place < 0").select("context", "n").toArrow(), np.zeros(size * size)
-    out[got["context"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(size, size)
+    got, out = rows.filter("place < 0").select("place", F.explode("told").alias("t")).select("place", "t.context", "t.n").toArrow(), np.zeros((size, size))
+    out[-1 - got["place"].to_numpy(), got["context"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -310,8 +310,10 @@ class Model:
 
         def passed(of: np.ndarray, end: int, moves: np.ndarray | None = None) -> tuple:
             shared = context.broadcast((of, end, None if moves is None else np.append(moves, np.zeros(N_SHAPES, bool))))
-            rows = texts.mapInArrow(_contexts(shared, moves is not None), "place int, context int, n long").groupBy("place", "context").agg(F.sum("n").alias("n"))
-            return shared, stored(rows)
+            rows = texts.mapInArrow(_contexts(shared, moves is not None), "place int, context int, n long")
+            # the tasks have added up what they can; one shuffle serves both steps, and a word has at most 2 * size contexts
+            rows = rows.repartition(partitions(texts.sparkSession), "place").groupBy("place", "context").agg(F.sum("n").alias("n"))
+            return shared, stored(rows.groupBy("place").agg(F.collect_list(F.struct("context", "n")).alias("told")))
 
         # the exchange: every core word is a symbol of its own, numbered by its count
         core = np.lexsort((words, -count))[:core_words]
@@ -325,8 +327,7 @@ class Model:
         for step in range(INSERTIONS):
             moves = own[: len(words)] >= n_classes if step == 0 else np.ones(len(words), bool)
             shared, rows = passed(own, size - 1, moves)
-            each = rows.filter("place >= 0").groupBy("place").agg(F.collect_list(F.struct("context", "n")).alias("told"))  # at most 2 * size
-            got = each.mapInArrow(_insertion(shared, _matrix(rows, size)), "place int, class int").toArrow()
+            got = rows.filter("place >= 0").mapInArrow(_insertion(shared, _matrix(rows, size)), "place int, class int").toArrow()
             own = own.copy()
             own[got["place"].to_numpy()] = got["class"].to_numpy()
         both = _matrix(passed(own, size - 1)[1], size)
