@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, RangeHash, mixed, partitions, pieces, stored, text_buffer, words_of
+from .common import LOWER, RangeHash, mixed, partitions, pieces, stored, text_buffer, trimmed, words_of
 
 #: Added to counts of words, and of transitions.
 DELTA, ALPHA = 0.1, 0.5
@@ -305,12 +305,12 @@ class Model:
         self.frequent, self.count, _ = _words_from(counts, self.least)
         words, count, shape = _words_from(counts, max(_least_count(counts, classed), CLASSED_FROM))
         given = context.broadcast(words)  # at most CLASSED words
-        texts = stored(texts.mapInArrow(_numbered(given), "words array<int>"))
+        texts = stored(texts.mapInArrow(trimmed(_numbered(given)), "words array<int>"))
         shapes_too = np.concatenate((shape, np.arange(N_SHAPES)))  # of each number
 
         def passed(of: np.ndarray, end: int, moves: np.ndarray | None = None) -> tuple:
             shared = context.broadcast((of, end, None if moves is None else np.append(moves, np.zeros(N_SHAPES, bool))))
-            rows = texts.mapInArrow(_contexts(shared, moves is not None), "place int, context int, n long")
+            rows = texts.mapInArrow(trimmed(_contexts(shared, moves is not None)), "place int, context int, n long")
             # the tasks have added up what they can; one shuffle serves both steps, and a word has at most 2 * size contexts
             rows = rows.repartition(partitions(texts.sparkSession), "place").groupBy("place", "context").agg(F.sum("n").alias("n"))
             return shared, stored(rows.groupBy("place").agg(F.collect_list(F.struct("context", "n")).alias("told")))
@@ -396,7 +396,7 @@ def _scoring(shared):  # noqa: ANN001, ANN202
 
 
 def _counted(texts: DataFrame) -> DataFrame:
-    return stored(texts.mapInArrow(_counts, "h long, shape byte, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")))
+    return stored(texts.mapInArrow(trimmed(_counts), "h long, shape byte, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")))
 
 
 def scored(
@@ -420,7 +420,7 @@ def scored(
     model = Model(counts, texts, core_words, classes, frequent)
     shared = spark.sparkContext.broadcast(model)  # at most FREQUENT and CLASSED words, and classes squared
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(n, t) for n, t in _SCORED]])
-    rows = docs.mapInArrow(_scoring(shared), schema)
+    rows = docs.mapInArrow(trimmed(_scoring(shared)), schema)
     rare = counts.filter(F.col("n") < model.least).select("h", F.col("n").alias("have"))
     met = rows.join(rare, "h", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     times = F.count("n_tokens")  # rows that repeat id and text

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RangeHash, pieces, text_buffer, words_of
+from .common import RangeHash, pieces, text_buffer, trimmed, words_of
 from .repeats import NULL_ID, Scheme, covers, keyed, with_repeats
 
 WINDOW, GRAM = 20, 5
@@ -147,5 +147,5 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fields = [("doc_id", long), ("n_words", long), ("n_removed", long), ("kept", text), ("kept_sha256", text)]
     out = with_repeats(keyed(docs, id_col, text_col, keep), scheme(window, gram))
     rest = out.schema["rest"]
-    out = out.mapInArrow(run, T.StructType([*[T.StructField(n, t) for n, t in fields], rest])).withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    out = out.mapInArrow(trimmed(run), T.StructType([*[T.StructField(n, t) for n, t in fields], rest])).withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
     return out if keep else out.drop("rest")

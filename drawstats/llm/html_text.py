@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, text_buffer
+from .common import pieces, text_buffer, trimmed
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
@@ -324,4 +324,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     fields = [T.StructField("page_id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return pages.select(*[F.col(f"`{c}`") for c in (id_col, url_col, html_col)]).mapInArrow(run, T.StructType(fields))
+    return pages.select(*[F.col(f"`{c}`") for c in (id_col, url_col, html_col)]).mapInArrow(trimmed(run), T.StructType(fields))

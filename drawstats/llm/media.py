@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, text_buffer
+from .common import pieces, text_buffer, trimmed
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROW = 64
@@ -181,7 +181,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(files, pa.binary())], names=["id", "n", "m"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def media_features(media: DataFrame) -> DataFrame:
             )
 
     new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
-    return media.mapInArrow(run, T.StructType([*kept, *[T.StructField(a, b) for a, b in new]]))
+    return media.mapInArrow(trimmed(run), T.StructType([*kept, *[T.StructField(a, b) for a, b in new]]))
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, RangeHash, SPACE, pieces, stored, text_buffer, words_of
+from .common import LOWER, SPACE, RangeHash, pieces, stored, text_buffer, trimmed, words_of
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.95, "low": 0.05, "toxic": 0.0}
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["id", "domain", "features"])
 
     # at most max_training rows of at most 2 ** FEATURE_BITS numbers
-    got = chosen.mapInArrow(run, "id long, domain int, features array<int>").toArrow().sort_by("id")
+    got = chosen.mapInArrow(trimmed(run), "id long, domain int, features array<int>").toArrow().sort_by("id")
     lists = got["features"].combine_chunks()
     size = lists.value_lengths().to_numpy()
     return fit(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(), got["domain"].to_numpy(), len(DOMAINS))
@@ -186,7 +186,7 @@ def classified(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id",
     schema = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS], T.StructField("domain", T.IntegerType()), *source.schema.fields[2:]]
     )
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def _sums(scored: DataFrame, columns: list[F.Column]) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pieces as byte_pieces
-from .common import text_buffer
+from .common import text_buffer, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of distinct words in one suffix array.
@@ -391,16 +391,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null and empty texts have no ids.  Repeated rows and null ids are kept; an
     empty table gives an empty table; other columns are not read.
     """
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_encoding(load(model)), _coded_schema(docs, id_col))
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(_encoding(load(model))), _coded_schema(docs, id_col))
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", model: str = MODEL, out_col: str = "decoded") -> DataFrame:
     """``coded`` with the column ``out_col``, the texts of ``ids_col`` (null is empty)."""
-    return coded.mapInArrow(_decoding(load(model), coded.columns.index(ids_col)), T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())]))
+    return coded.mapInArrow(trimmed(_decoding(load(model), coded.columns.index(ids_col))), T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, out_col: str = "decoded") -> DataFrame:
     """``decode`` of ``encode``, in one pass over the rows."""
     vocabulary, schema = load(model), _coded_schema(docs, id_col)
     both = lambda batches: _decoding(vocabulary, 2)(_encoding(vocabulary)(batches))
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(both, T.StructType([*schema.fields, T.StructField(out_col, T.StringType())]))
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(both), T.StructType([*schema.fields, T.StructField(out_col, T.StringType())]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RangeHash, SPACE, pieces, text_buffer, union_spans, words_of
+from .common import SPACE, RangeHash, pieces, text_buffer, trimmed, union_spans, words_of
 
 #: Words in the windows of the base rule.
 WINDOW = 8
@@ -205,7 +205,7 @@ def quality_rules(
 
     inner = [f"k{i}" for i in range(len(sent))]
     schema = T.StructType([T.StructField(a, docs.schema[c].dataType) for a, c in zip(inner, sent, strict=True)] + [T.StructField(c, T.LongType()) for c in _COUNTS])
-    out = docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    out = docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(trimmed(run), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     bad = (100 * F.col("covered_words") > max_covered_percent * F.col("n_words")) | (F.col("longest_repeat") > max_longest)
     return out.select(

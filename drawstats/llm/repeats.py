@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RangeHash, mixed, partitions, pieces, stored, text_buffer
+from .common import RangeHash, mixed, partitions, pieces, stored, text_buffer, trimmed
 
 #: Distinct surroundings of an anchor from which its windows are compared one by one.
 HOT = 4096
@@ -377,12 +377,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (
 def repeated(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """For ``keyed`` documents: themselves and, per identity, ``spans``, the repeated windows as an array of ``q1 << 32 | q2``."""
     n = partitions(docs.sparkSession)
-    found = docs.select(*_WHO, "text").mapInArrow(_find(scheme), _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", *_WHO, "loc")
-    found = stored(found.mapInArrow(_sorted_out(scheme.hot), _FOUND))
+    found = docs.select(*_WHO, "text").mapInArrow(trimmed(_find(scheme)), _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", *_WHO, "loc")
+    found = stored(found.mapInArrow(trimmed(_sorted_out(scheme.hot)), _FOUND))
     told = found.filter(F.col("kind") > _DUP).groupBy(*_WHO).agg(F.collect_list(F.struct("kind", "loc", "h")).alias("told"))
     # with the same columns as in ``with_repeats``, so that one shuffle of the texts serves both
-    borders = docs.join(told, _WHO).select(*_WHO, "text", "told", "rest").mapInArrow(_borders(scheme), _RUN)
-    late = borders.repartition(n, "h").sortWithinPartitions("h", "c", *_WHO, "q").mapInArrow(_shards(scheme), _MARK)
+    borders = docs.join(told, _WHO).select(*_WHO, "text", "told", "rest").mapInArrow(trimmed(_borders(scheme)), _RUN)
+    late = borders.repartition(n, "h").sortWithinPartitions("h", "c", *_WHO, "q").mapInArrow(trimmed(_shards(scheme)), _MARK)
     spans = found.filter(F.col("kind") == _DUP).select(*_WHO, F.col("loc").alias("span")).union(late)
     return docs, spans.groupBy(*_WHO).agg(F.collect_set("span").alias("spans"))
 

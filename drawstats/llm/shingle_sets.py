@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RangeHash, mixed, pieces, stored, text_buffer, words_of
+from .common import LOWER, RangeHash, mixed, pieces, stored, text_buffer, trimmed, words_of
 from .simhash import DISTANCE, _within, components, links, majority
 
 #: Words of a shingle, and the least similarity of near duplicates as a fraction.
@@ -70,7 +70,7 @@ def _sets(docs: DataFrame, by: str) -> DataFrame:
                 row, h = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(h, np.bincount(row, minlength=j - i))], names=[by, "shingles"])
 
-    return docs.select(by, "text").mapInArrow(run, f"{by} long, shingles array<long>")
+    return docs.select(by, "text").mapInArrow(trimmed(run), f"{by} long, shingles array<long>")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def prefixed(docs: DataFrame) -> DataFrame:
                     names=["h1", "h2", "node", "n", "fp", "tally", "prefix"],
                 )
 
-    return docs.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, node long, n int, fp long, tally array<int>, prefix array<long>")
+    return docs.select("h1", "h2", "text").mapInArrow(trimmed(run), "h1 long, h2 long, node long, n int, fp long, tally array<int>, prefix array<long>")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, pieces, stored, text_buffer, words_of
+from .common import LOWER, discard, pieces, stored, text_buffer, trimmed, words_of
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema)
 
 
 def _segments(d: int) -> list[tuple[int, int]]:

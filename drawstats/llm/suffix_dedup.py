@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, text_buffer
+from .common import pieces, text_buffer, trimmed
 from .repeats import NULL_ID, Scheme, covers, keyed, with_repeats
 
 WINDOW, GRAM = 100, 32
@@ -147,5 +147,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     long, text = T.LongType(), T.StringType()
     fields = [("doc_id", long), ("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept", T.BinaryType()), ("kept_sha256", text)]
     out = with_repeats(keyed(docs, id_col, text_col), scheme(window, gram)).select("d", "text", "spans")
-    out = out.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
+    out = out.mapInArrow(trimmed(run), T.StructType([T.StructField(n, t) for n, t in fields]))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, stored, text_buffer
+from .common import pieces, stored, text_buffer, trimmed
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the vocabulary.
@@ -208,7 +208,7 @@ def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fields = [("text", T.StringType()), ("n_tokens", T.LongType()), ("n_pretokens", T.LongType()), ("tree", T.BinaryType())]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(a, b) for a, b in fields]])
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema)
 
 
 def edited(trees: DataFrame, edits: F.Column, id_col: str = "doc_id", ranks: str = RANKS) -> DataFrame:
@@ -242,7 +242,7 @@ def edited(trees: DataFrame, edits: F.Column, id_col: str = "doc_id", ranks: str
                     names=["id", "text", "n_tokens", "n_pretokens", "tree", *_AFTER],
                 )
 
-    return sent.mapInArrow(run, T.StructType([*sent.schema.fields[:5], *[T.StructField(c, T.LongType()) for c in _AFTER]]))
+    return sent.mapInArrow(trimmed(run), T.StructType([*sent.schema.fields[:5], *[T.StructField(c, T.LongType()) for c in _AFTER]]))
 
 
 _AFTER = ["n_edits", "n_tokens_after", "n_recounted"]
