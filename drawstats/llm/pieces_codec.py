@@ -19,10 +19,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +38,14 @@ BATCH_CHARS = 1 << 17
 #: Bytes of texts that are encoded together, and ids that are decoded together.
 ENCODED_BYTES, DECODED_IDS = 1 << 22, 1 << 19
 #: Words that a worker keeps encoded.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 19
 SPACE_MARK = "▁"
 _NEVER = 1 << 40
+_SEEN_BITS = 20
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SEEN_BITS)
 
 
 @dataclass
@@ -82,12 +89,19 @@ class Vocabulary:
         key = self.left[made] * (n + 1) + self.right[made]
         order = np.argsort(key)
         self.pair_key, self.pair_rank = key[order], self.rank[made][order]
+        self.pair_seen = np.zeros(1 << _SEEN_BITS, bool)  # by hash; most pairs are not in the vocabulary
+        self.pair_seen[_slot(self.pair_key)] = True
         self.longest = max((len(self.pieces[i]) for i in made), default=1)
         self.codes = np.array(sorted(map(ord, self.inner)), np.int64)  # characters of longer pieces; all others are one code
         self.bits = int(len(self.codes) + 1).bit_length()
+        self.top = int(self.codes.max(initial=0)) + 1
+        self.code_of = np.full(self.top + 1, len(self.codes) + 1, np.int64)  # by character; the last for all above
+        self.code_of[self.codes] = np.arange(len(self.codes)) + 1
         self.per_word = 63 // self.bits
         single = sorted((ord(self.pieces[i]), i) for i in np.flatnonzero(self.usable[:n]).tolist() if len(self.pieces[i]) == 1)
-        self.single_code, self.single_id = (np.array(x, np.int64) for x in zip(*single, strict=True)) if single else (np.zeros(0, np.int64),) * 2
+        self.single_of = np.full(max([self.top, *(c + 1 for c, _ in single)]) + 1, -1, np.int64)  # id by character, -1 where none; the last for all above
+        for c, i in single:
+            self.single_of[c] = i
         self.long_pieces = np.array(sorted((i for i in made.tolist()), key=lambda i: self.pieces[i]), np.int64)
         length = np.array([len(self.pieces[i]) for i in self.long_pieces], np.int64)
         chars = np.zeros((len(length), self.longest), np.int64)
@@ -155,8 +169,10 @@ class Vocabulary:
         while len(rest):
             x, y = a[rest], b[rest]
             key = x * (n + 1) + y
-            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-            crossed = (self.pair_key[at] == key) & (self.pair_rank[at] < limit[rest])
+            crossed = self.pair_seen[_slot(key)]
+            seen = np.flatnonzero(crossed)
+            at = np.minimum(np.searchsorted(self.pair_key, key[seen]), len(self.pair_key) - 1)
+            crossed[seen] = (self.pair_key[at] == key[seen]) & (self.pair_rank[at] < limit[rest[seen]])
             good[rest[crossed]] = False
             rx, ry = self.rank[x], self.rank[y]
             more = ~crossed & ((rx >= 0) | (ry >= 0))
@@ -169,8 +185,7 @@ class Vocabulary:
 
     def _coded(self, chars: np.ndarray) -> np.ndarray:
         """Characters as small numbers from 1; those of no longer piece share the last."""
-        at = np.minimum(np.searchsorted(self.codes, chars), max(len(self.codes) - 1, 0))
-        return np.where(self.codes[at] == chars, at + 1, len(self.codes) + 1) if len(self.codes) else np.ones(len(chars), np.int64)
+        return self.code_of[np.minimum(chars, self.top)]
 
     def _packed(self, chars: np.ndarray) -> np.ndarray:
         """Rows of small numbers, several to an integer, so that they compare as the rows do."""
@@ -189,17 +204,19 @@ class Vocabulary:
         pieces at once narrows those that are longer.
         """
         n = len(chars)
-        at = np.minimum(np.searchsorted(self.single_code, chars), len(self.single_code) - 1)
-        have = np.flatnonzero(self.single_code[at] == chars)
-        single = have, have + 1, self.single_id[at[have]]
+        of = self.single_of[np.minimum(chars, len(self.single_of) - 1)]
+        have = np.flatnonzero(of >= 0)
+        single = have, have + 1, of[have]
         room = np.repeat(off[1:], np.diff(off)) - np.arange(n)
         code = self._coded(chars)
-        words = np.zeros((n, self.piece_words.shape[1]), np.int64)
-        for k in range(min(self.longest, n)):
-            inside = room[: n - k] > k
-            words[: n - k, k // self.per_word] |= np.where(inside, code[k:], 0) << (self.bits * (self.per_word - 1 - k % self.per_word))
-        suffixes = np.lexsort(words.T[::-1])
-        words = words[suffixes]
+        packed = [np.zeros(n, np.int64)]
+        for k in range(min(self.per_word, n)):
+            packed[0][: n - k] |= np.where(room[: n - k] > k, code[k:], 0) << (self.bits * (self.per_word - 1 - k))
+        for k in range(self.per_word, self.longest, self.per_word):  # the same characters, from the suffix that begins there
+            packed.append(np.zeros(n, np.int64))
+            packed[-1][: max(n - k, 0)] = np.where(room[: max(n - k, 0)] > k, packed[0][k:], 0)
+        suffixes = np.lexsort(packed[::-1])
+        words = np.stack([w[suffixes] for w in packed], axis=1)
         low, high = np.searchsorted(words[:, 0], self.piece_words[:, 0]), np.searchsorted(words[:, 0], self.piece_after)
         longer = np.flatnonzero((self.piece_length > self.per_word) & (low < high))
         first, last = (self._bound(words, longer, low[longer], high[longer], strict) for strict in (False, True))
@@ -281,6 +298,11 @@ class Vocabulary:
             ids[ids < 0] = [x for d in data for x in d]
         return ids.astype(np.int32), np.bincount(part_of[owner], minlength=len(words))
 
+    @cached_property
+    def encoder(self) -> Encoder:
+        """Kept with the broadcast vocabulary: the tasks of one worker share the words that they have met."""
+        return Encoder(self)
+
 
 def load(path: str = MODEL) -> Vocabulary:
     """The vocabulary of a SentencePiece model file (merge model, byte fallback, identity normalisation)."""
@@ -293,8 +315,16 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary([p.id_to_piece(i) for i in ids], [p.get_score(i) for i in ids], normal, byte_ids)
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Encoder:
-    """Encodes texts; keeps the ids of words it has met, up to ``KEPT_WORDS``."""
+    """Encodes texts; keeps the ids of words it has met, until they are more than ``KEPT_WORDS``."""
 
     def __init__(self, vocabulary: Vocabulary):
         import re
@@ -305,41 +335,41 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.off, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def _add(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.off = np.concatenate((self.off, self.off[-1] + np.cumsum(size)))
-        self.flat = np.concatenate((self.flat, flat))
+        self.index = _Numbers()
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # of each word its ids in ``flat``
 
     def _learn(self, words: list[str]) -> None:
-        apart = [w for w in words if w[:2] == SPACE_MARK * 2]
-        if apart:
-            lists = [self.vocabulary.merged(w) for w in apart]
-            self._add(apart, np.fromiter((i for x in lists for i in x), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
-            words = [w for w in words if w not in self.index]
-        size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        at = 0
-        while at < len(words):
+        doubled = np.fromiter((w[:2] == SPACE_MARK * 2 for w in words), bool, len(words))
+        order = np.argsort(doubled, kind="stable")
+        order[: len(words) - doubled.sum()] = sorted(order[: len(words) - doubled.sum()].tolist(), key=words.__getitem__)  # near words use near memory
+        plain = [words[i] for i in order[: len(words) - doubled.sum()].tolist()]
+        size = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        at, parts = 0, []
+        while at < len(plain):
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_CHARS)))
-            self._add(words[at:to], *self.vocabulary.encoded(words[at:to]))
+            parts.append(self.vocabulary.encoded(plain[at:to]))
             at = to
+        for i in np.flatnonzero(doubled).tolist():
+            ids = self.vocabulary.merged(words[i])
+            parts.append((np.array(ids, np.int32), np.array([len(ids)])))
+        flat, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        begin, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[order], sizes[order] = len(self.flat) + np.cumsum(size) - size, size
+        self.begin, self.size, self.flat = (np.concatenate(x) for x in ((self.begin, begin), (self.size, sizes), (self.flat, flat)))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and offsets."""
-        if len(self.index) > KEPT_WORDS:
+        known = len(self.index)
+        if known > KEPT_WORDS or known != len(self.size):  # the latter after a call that failed
             self._reset()
+            known = 0
         split = [self.split.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
-        new = set().union(*split).difference(self.index)
-        if new:
-            self._learn(sorted(new))
-        get = self.index.__getitem__
-        words = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        size = self.off[words + 1] - self.off[words]
+        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        if len(self.index) > known:
+            self._learn(list(islice(self.index, known, None)))
+        size = self.size[words]
         total = np.concatenate(([0], np.cumsum(size)))
-        flat = self.flat[np.repeat(self.off[words] - total[:-1], size) + np.arange(total[-1])]
+        flat = self.flat[np.repeat(self.begin[words] - total[:-1], size) + np.arange(total[-1])]
         return flat, total[np.concatenate(([0], np.cumsum([len(s) for s in split], dtype=np.int64)))]
 
 
@@ -355,9 +385,9 @@ def decoded(vocabulary: Vocabulary, ids: np.ndarray, off: np.ndarray) -> list[st
     return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(at, at[1:], strict=False)]
 
 
-def _encoding(vocabulary: Vocabulary):  # noqa: ANN202
+def _encoding(vocabulary: Broadcast):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = vocabulary.value.encoder
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
             for i, j in byte_pieces(off, ENCODED_BYTES):
@@ -369,18 +399,23 @@ def _encoding(vocabulary: Vocabulary):  # noqa: ANN202
     return run
 
 
-def _decoding(vocabulary: Vocabulary, column: int):  # noqa: ANN202
+def _decoding(vocabulary: Broadcast, column: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for i, j in byte_pieces(np.concatenate(([0], np.cumsum(size))), DECODED_IDS):
                 part = batch.slice(i, j - i)
-                texts = decoded(vocabulary, part.column(column).flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size[i:j]))))
+                texts = decoded(vocabulary.value, part.column(column).flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size[i:j]))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[str(k) for k in range(part.num_columns + 1)])
 
     return run
 
 
+def _shared(df: DataFrame, model: str) -> Broadcast:
+    """The vocabulary for all tasks (its size is that of the model file, whatever the input)."""
+    return df.sparkSession.sparkContext.broadcast(load(model))
+
+
 def _coded_schema(docs: DataFrame, id_col: str) -> T.StructType:
     return T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -391,16 +426,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null and empty texts have no ids.  Repeated rows and null ids are kept; an
     empty table gives an empty table; other columns are not read.
     """
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(_encoding(load(model))), _coded_schema(docs, id_col))
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(_encoding(_shared(docs, model))), _coded_schema(docs, id_col))
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", model: str = MODEL, out_col: str = "decoded") -> DataFrame:
     """``coded`` with the column ``out_col``, the texts of ``ids_col`` (null is empty)."""
-    return coded.mapInArrow(trimmed(_decoding(load(model), coded.columns.index(ids_col))), T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())]))
+    return coded.mapInArrow(trimmed(_decoding(_shared(coded, model), coded.columns.index(ids_col))), T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, out_col: str = "decoded") -> DataFrame:
     """``decode`` of ``encode``, in one pass over the rows."""
-    vocabulary, schema = load(model), _coded_schema(docs, id_col)
+    vocabulary, schema = _shared(docs, model), _coded_schema(docs, id_col)
     both = lambda batches: _decoding(vocabulary, 2)(_encoding(vocabulary)(batches))
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(both), T.StructType([*schema.fields, T.StructField(out_col, T.StringType())]))
