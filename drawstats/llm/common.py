@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on (a single longer text makes a longer step).
@@ -99,6 +99,21 @@ def release(spark: SparkSession) -> None:
     _delete(spark, _folder(spark))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row in ``order``.
+
+    Rows are dealt by ranges of ``order`` and counted in their partition; the
+    sizes of the partitions before are added.  ``order`` should end with a
+    column that differs in all rows, or equal rows cannot be dealt out.
+    """
+    ordered = stored(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_part", F.shiftrightunsigned("_at", 33))  # ids hold the partition above 33 bits of the row's place in it
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
+    return ordered.join(F.broadcast(before), "_part").select(*df.columns, place.alias(name))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -125,12 +140,13 @@ def pieces(off: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]
         i = j
 
 
-def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of concatenated texts, and the row of each word.
 
-    A word never runs over the end of a text.
+    A word is a run of ``solid`` bytes (all but white space, if not given) and
+    never runs over the end of a text.
     """
-    solid = ~SPACE[raw]
+    solid = ~SPACE[raw] if solid is None else solid
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
     before = np.zeros(len(raw), bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, fm_dedup, html_text, media, mixing, pieces_codec, quality, simhash, suffix_dedup, token_counts
+from . import brown_lm, compression, fm_dedup, html_text, importance, media, mixing, pieces_codec, prefix_trie, quality, simhash, suffix_dedup, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_simhash, op4_suffix_dedup, op5_brown_lm, op6_fm_dedup, op7_mixing, op8_token_counts, op9_quality, op10_media)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_simhash, op4_suffix_dedup, op5_brown_lm, op6_fm_dedup, op7_mixing, op8_token_counts, op9_quality, op10_media, op11_importance, op12_prefix_trie, op13_compression)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 #: Rows ``r`` (in the order of ids), their words and, one row each, ``p`` and ``w``.
@@ -96,5 +108,42 @@ _OP4 = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, row_n
   t AS (SELECT r, count(*) AS n, sum(e - b + 1) AS g, string_agg(substring(x, 2 * last + 1, 2 * (b - last - 1)), '' ORDER BY b) AS kept, max(e) AS e FROM piece JOIN d USING (r) GROUP BY 1)
   SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
   sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(e, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+#: What a byte makes of an empty CRC-32 register, for all bytes; and the checksum of a list of bytes.
+_CRC_TABLE = f"""tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {importance.POLYNOMIAL}) ELSE c >> 1 END) AS c
+  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))))"""
+
+
+def _crc_sql(n_bytes: str, byte_at: str) -> str:
+    """The checksum of ``n_bytes`` bytes, of which number ``i`` is ``byte_at``; ``t`` is the table."""
+    each = f"list_transform(range(1, {n_bytes} + 1), lambda i: CAST({byte_at} AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {each}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OP11_N, _OP11_M = importance.BUCKETS, importance.LONGEST_RUN
+_OP11 = f"""WITH {_CRC_TABLE},
+  x AS (SELECT 1 AS side, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 2, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+  l AS (SELECT side, r, doc_id, regexp_extract_all(translate(text, '{_CAPITALS}', '{_SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM x),
+  f AS (SELECT side, r, array_to_string(ws[u.p : u.p + k.range - 1], ' ') AS f FROM l, range(1, {_OP11_M + 1}) k, unnest(range(1, len(ws) + 2 - k.range)) AS u(p)),
+  d AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+  b AS (SELECT f, {_crc_sql("(length(x) // 2)", "('0x' || substring(x, 2 * i - 1, 2))")} % {_OP11_N} AS b FROM d, tab),
+  c AS (SELECT b, count(*) FILTER (side = 1) AS s, count(*) FILTER (side = 2) AS t FROM f JOIN b USING (f) GROUP BY 1),
+  g AS (SELECT b, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + {_OP11_N})) / ((s + 1) * ((SELECT sum(t) FROM c) + {_OP11_N})))) AS g FROM (SELECT b, s::DOUBLE AS s, t::DOUBLE AS t FROM c)),
+  w AS (SELECT r, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS w FROM f JOIN b USING (f) JOIN g USING (b) WHERE side = 1 GROUP BY 1),
+  o AS (SELECT doc_id, len(ws) AS words, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight,
+    coalesce(w, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('{importance.SEED}:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM l LEFT JOIN w USING (r) WHERE side = 1),
+  k AS (SELECT *, row_number() OVER (PARTITION BY words >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY words >= {importance.LEAST_WORDS}) AS n FROM o)
+  SELECT doc_id, n_features, weight, score, CASE WHEN words >= {importance.LEAST_WORDS} AND k <= {importance.DRAWN_PERCENT} * n // 100 THEN k END AS rank FROM k"""
+_OP12 = f"""WITH {_CRC_TABLE},
+  own AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS v FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+  head AS (SELECT c, v, {_crc_sql("length(CAST(c AS VARCHAR))", "ord(substring(CAST(c AS VARCHAR), i, 1))")} % {prefix_trie.HEADS} AS h FROM own, tab),
+  path AS (SELECT o.c, list_concat(coalesce(b.v, [])[1 : o.h], o.v[o.h + 1 : len(o.v)]) AS v FROM head o LEFT JOIN own b ON b.c = o.c - o.c % {prefix_trie.RUN}),
+  mem AS (SELECT c, u.d, len(v) AS size, coalesce(length(v[u.d].t), 0) AS chars, md5(CAST(v[1 : u.d] AS VARCHAR)) || u.d AS k, CASE WHEN u.d > 0 THEN md5(CAST(v[1 : u.d - 1] AS VARCHAR)) || (u.d - 1) END AS p
+    FROM path, unnest(range(0, len(v) + 1)) AS u(d)),
+  node AS (SELECT k, any_value(d) AS d, any_value(p) AS p, any_value(chars) AS chars, min(c) AS least, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d) AS e FROM mem GROUP BY 1),
+  kid AS (SELECT p AS k, count(*) AS kids FROM node WHERE p IS NOT NULL GROUP BY 1),
+  below AS (SELECT m.k, sum((y.n - 1) * y.chars) AS saved, count(*) FILTER (kid.k IS NULL) AS leaves FROM node y LEFT JOIN kid USING (k) JOIN mem m ON m.c = y.least AND m.d <= y.d GROUP BY 1)
+  SELECT n.least AS conv_id, CAST(n.d AS BIGINT) AS depth, q.least AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.e, '')) AS ends_sha256
+  FROM node n JOIN below USING (k) LEFT JOIN kid USING (k) LEFT JOIN node q ON q.k = n.p"""
 #: The others cannot be expressed in SQL as a whole (trees, trained models, vocabularies, XXH64, zlib); tests hold each against brute force.
-ORACLES: dict[str, str] = {"op4_suffix_dedup": _OP4, "op6_fm_dedup": _OP6, "op9_quality": _OP9}
+ORACLES: dict[str, str] = {"op4_suffix_dedup": _OP4, "op6_fm_dedup": _OP6, "op9_quality": _OP9, "op11_importance": _OP11, "op12_prefix_trie": _OP12}
