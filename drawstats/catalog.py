@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import combos
 from .operators import history, hmm, ranking, sampling, scores
-from .plans import backtest, ml, serve
+from .plans import backtest, boosting, ml, serve
 from .sources import draws as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,6 +484,7 @@ def walk_forward_summary(spark, sf_dir):
 
 
 _FEATURE_SQL = f"""WITH {STATS}{MARKOV},
+ meet AS (SELECT DISTINCT l.pos + 1 AS pos, t.pos AS at FROM ap l JOIN ap t ON t.number = l.number AND t.pos < l.pos), pn AS (SELECT m.pos, x.number, count(*) AS k FROM meet m JOIN ap x ON x.pos = m.at GROUP BY 1, 2),
  g1 AS (SELECT pos, round, number, a, CASE WHEN a = 1 THEN round END AS shown, sum(1 - a) OVER (PARTITION BY number ORDER BY pos) AS island FROM grd),
  g2 AS (SELECT *, sum(a) OVER (PARTITION BY number, island ORDER BY pos) AS run, CASE WHEN a = 1 THEN round - max(shown) OVER b END AS gap FROM g1 WINDOW b AS (PARTITION BY number ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  g3 AS (SELECT pos, number, a, coalesce(sum(a) OVER w10, 0) / (6.0 * count(*) OVER w10) AS f10, coalesce(sum(a) OVER w20, 0) / (6.0 * count(*) OVER w20) AS f20, coalesce(sum(a) OVER w50, 0) / (6.0 * count(*) OVER w50) AS f50,
@@ -491,18 +492,23 @@ _FEATURE_SQL = f"""WITH {STATS}{MARKOV},
    coalesce(lag(a) OVER o, 0) AS lag1, coalesce(lag(a, 2) OVER o, 0) AS lag2, coalesce(sum(pos * a) OVER b, 0) AS wgt, CASE WHEN count(gap) OVER b > 1 THEN var_pop(gap) OVER b ELSE 0 END AS gap_variance
    FROM g2 WINDOW o AS (PARTITION BY number ORDER BY pos), b AS (PARTITION BY number ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
    w20 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), w50 AS (PARTITION BY number ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING))
- SELECT s.pos, s.round, s.number, round(base, 9) AS base_score, hot::DOUBLE AS hot_boost, cold::DOUBLE AS cold_boost, neighbor::DOUBLE AS neighbor_boost, greatest(carryover, carryover2)::DOUBLE AS carryover_boost, reverse::DOUBLE AS reverse_boost,
+ SELECT s.pos, s.round, s.number, round(base, 9) AS base_score, round(coalesce(pn.k, 0) / CAST(s.pos - 2 AS DOUBLE), 9) AS pair_freq_recent, hot::DOUBLE AS hot_boost, cold::DOUBLE AS cold_boost, neighbor::DOUBLE AS neighbor_boost, greatest(carryover, carryover2)::DOUBLE AS carryover_boost, reverse::DOUBLE AS reverse_boost,
    round(excess * 0.5, 9) AS poisson_penalty, round(markov * 0.3, 9) AS markov_penalty, round(f10, 9) AS frequency_recent_10, round(f20, 9) AS frequency_recent_20, round(fall, 9) AS frequency_all, round(gap_since_last, 9) AS gap_since_last,
    round(s.number / 45.0, 9) AS number_value, round(streak, 9) AS streak_length, (s.number BETWEEN 1 AND 15)::INT::DOUBLE AS zone_low, (s.number BETWEEN 16 AND 30)::INT::DOUBLE AS zone_mid, (s.number BETWEEN 31 AND 45)::INT::DOUBLE AS zone_high,
    lag1::DOUBLE AS lag_1_appeared, lag2::DOUBLE AS lag_2_appeared, (s.number % 2)::DOUBLE AS odd_even, round(((f10 - (f10 + f20 + f50) / 3) ** 2 + (f20 - (f10 + f20 + f50) / 3) ** 2 + (f50 - (f10 + f20 + f50) / 3) ** 2) / 3, 9) AS frequency_variance,
    round((rank() OVER (PARTITION BY s.pos ORDER BY base) - 1) / 45.0, 9) AS rank_percentile, round(wgt / max(wgt) OVER (PARTITION BY s.pos)::DOUBLE, 9) AS recency_score, round(gap_variance, 6) AS gap_variance, round((s.number % 7) / 7.0, 9) AS cycle_phase, s.a::DOUBLE AS label
- FROM st s JOIN g3 g ON g.pos = s.pos AND g.number = s.number WHERE s.pos > 50"""
+ FROM st s JOIN g3 g ON g.pos = s.pos AND g.number = s.number LEFT JOIN pn ON pn.pos = s.pos AND pn.number = s.number WHERE s.pos > 50"""
 
 
 @query(_FEATURE_SQL)
 def feature_matrix(spark, sf_dir):
-    out = scores.features(draws_of(spark, sf_dir))
-    return out.select("pos", "round", "number", *[_r(c, 6 if c == "gap_variance" else 9) for c in scores.FEATURES], "label")
+    out = scores.features(draws_of(spark, sf_dir), hidden=False)  # the states' columns are in feature_matrix_with_states
+    return out.select("pos", "round", "number", *[_r(c, 6 if c == "gap_variance" else 9) for c in scores.FEATURES if not c.startswith("hmm_")], "label")
+
+
+@query()
+def feature_matrix_with_states(spark, sf_dir):
+    return scores.features(draws_of(spark, sf_dir))
 
 
 @query(f"""WITH {DRAWS}, meet AS (SELECT DISTINCT l.pos + 1 AS pos, t.pos AS at FROM ap l JOIN ap t ON t.number = l.number AND t.pos < l.pos),
@@ -520,18 +526,21 @@ def scale_pos_weight(spark, sf_dir):
 
 @query()
 def hidden_states(spark, sf_dir):
-    g = scores.grid(draws_of(spark, sf_dir))
-    end = g.agg(F.max("pos").alias("coming"))
-    return hmm.states(g.crossJoin(F.broadcast(end)).filter("pos < coming"))
+    return hmm.states(draws_of(spark, sf_dir))
+
+
+@query()
+def hidden_states_as_of(spark, sf_dir):
+    out = hmm.states_as_of(draws_of(spark, sf_dir), hmm.LEAST)
+    return out.select("pos", F.posexplode("states").alias("at", "state")).select("pos", (F.col("at") + 1).alias("number"), "state")
 
 
 @query()
 def tree_ranker(spark, sf_dir):
-    m = scores.features(draws_of(spark, sf_dir)).cache()
-    cut = m.agg(F.percentile("pos", F.lit(0.8)).alias("p")).first().p
-    end = m.agg(F.max("pos").alias("e")).first().e
-    model = ml.train(m.filter(F.col("pos") <= cut), ml.Trees(depth=4, trees=10))
-    return ml.evaluated(ml.predicted(model, m.filter((F.col("pos") > cut) & (F.col("pos") < end))))
+    m = boosting.kept(scores.features(draws_of(spark, sf_dir)))
+    at = m.agg(F.percentile("pos", F.lit(0.8)).alias("cut"), F.max("pos").alias("end")).first()
+    model = ml.train(m.filter(F.col("pos") <= at.cut))
+    return ml.evaluated(ml.predicted(model, m.filter((F.col("pos") > at.cut) & (F.col("pos") < at.end))))
 
 
 @query()

@@ -6,10 +6,11 @@ before the row, so nothing of a round is seen in its own statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..sources.draws import positions
+from . import blocks, hmm
+from .blocks import positions
 
 RECENT, HOT_ROWS, HOT_FROM, COLD_ROWS, EXCESS_ROWS = 50, 5, 2, 10, 20
 #: Weights of the scores where none are given.
@@ -19,25 +20,31 @@ SERVING = WEIGHTS | {"poisson": 0.0, "markov": 0.0}
 MAX_PENALTY = 0.5
 
 
-def grid(draws: DataFrame) -> DataFrame:
-    """``pos``, ``round``, ``number``, ``a`` (drawn), ``last``, ``before``."""
-    rounds = positions(draws)
-    return rounds.select("pos", "round", "last", "before", "c", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number")).select(
-        "pos", "round", "number", F.coalesce(F.array_contains("c", F.col("number")), F.lit(False)).cast("int").alias("a"), "last", "before"
-    )
+def grid(draws: DataFrame, halo: int = RECENT, extra: DataFrame | None = None) -> DataFrame:
+    """``pos``, ``round``, ``number``, ``a`` (drawn), ``last``, ``before``, by ``block`` with the ``halo`` rows before it (not ``own``).
+
+    Only rounds are shuffled, by block; the 45 numbers are made after.  ``extra``
+    has further columns by ``pos``.
+    """
+    rows = blocks.numbered(draws)
+    names = [c for c in extra.columns if c != "pos"] if extra is not None else []
+    rows = blocks.dealt(rows if extra is None else rows.join(extra, "pos", "left"), halo)
+    each = rows.select("block", "own", "pos", "round", "last", "before", "c", *names, F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number"))
+    return each.select("block", "own", "pos", "round", "number", F.coalesce(F.array_contains("c", F.col("number")), F.lit(False)).cast("int").alias("a"), "last", "before", *names)
 
 
-def _rows(k: int | None):  # noqa: ANN202
-    w = Window.partitionBy("number").orderBy("pos")
-    return w.rowsBetween(Window.unboundedPreceding if k is None else -k, -1)
+def in_block() -> WindowSpec:
+    """The rows of a number in a block, in order."""
+    return Window.partitionBy("block", "number").orderBy("pos")
 
 
-def seen(k: int | None) -> Column:
-    return F.coalesce(F.sum("a").over(_rows(k)), F.lit(0))
+def seen(k: int) -> Column:
+    """How often the number was drawn in the ``k`` rounds before; the halo must have as many."""
+    return F.coalesce(F.sum("a").over(in_block().rowsBetween(-k, -1)), F.lit(0))
 
 
-def n_rows(k: int | None) -> Column:
-    return F.count("*").over(_rows(k))
+def n_rows(k: int) -> Column:
+    return F.least(F.lit(k).cast("long"), F.col("pos") - 1)
 
 
 def posterior(alpha: Column | float, beta: Column | float, successes: Column, n: Column) -> tuple[Column, Column]:
@@ -46,14 +53,14 @@ def posterior(alpha: Column | float, beta: Column | float, successes: Column, n:
     return F.when(ok, alpha + successes), F.when(ok, beta + n - successes)
 
 
-def flags(g: DataFrame, recent: int = RECENT) -> DataFrame:
-    """The grid with ``base``, the 0/1 flags and the ``excess`` over the expected count; one shuffle, by number."""
+def flags(g: DataFrame, recent: int = RECENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The grid's own rows with ``base``, the 0/1 flags and the ``excess`` over the expected count; no shuffle of the grid."""
     def in_(array: str, x: Column) -> Column:
         return F.coalesce(F.array_contains(array, x), F.lit(False))
 
     n = F.col("number")
     carry = in_("last", n)
-    return g.select(
+    out = g.select(
         "pos", "round", "number", "a", "last",
         ((1 + seen(recent)) / (2 + n_rows(recent))).alias("base"),
         (seen(HOT_ROWS) >= HOT_FROM).cast("int").alias("hot"),
@@ -62,8 +69,9 @@ def flags(g: DataFrame, recent: int = RECENT) -> DataFrame:
         (in_("before", n) & ~carry).cast("int").alias("carryover2"),
         ((in_("last", n - 1) | in_("last", n + 1)) & ~carry).cast("int").alias("neighbor"),
         in_("last", 46 - n).cast("int").alias("reverse"),
-        F.greatest(F.lit(0.0), seen(EXCESS_ROWS) - n_rows(EXCESS_ROWS) * 6 / F.lit(45.0)).alias("excess"),
+        F.greatest(F.lit(0.0), seen(EXCESS_ROWS) - n_rows(EXCESS_ROWS) * 6 / F.lit(45.0)).alias("excess"), "own", *keep,
     )
+    return out.filter("own").drop("own")
 
 
 def transitions(draws: DataFrame) -> DataFrame:
@@ -77,23 +85,29 @@ def transitions(draws: DataFrame) -> DataFrame:
     return n.withColumn("p", F.when(total > 0, F.col("n") / total).otherwise(0.0))
 
 
-def markov(draws: DataFrame, tail: int | None = None) -> DataFrame:
-    """``pos``, ``number``, ``markov``: the mean share, over the last draw's numbers, of transitions to ``number`` before
-    ``pos`` (of those within the last ``tail`` draws, if given).
+def followers(draws: DataFrame, tail: int | None = None) -> DataFrame:
+    """``pos``, ``m``: for each number the mean share, over the last draw's numbers, of transitions to it before ``pos``
+    (of those within the last ``tail`` draws, if given).
 
-    A round has a row for each number of the last draw, with the numbers that
-    followed; a window by that number counts, for all 45 at once, what followed
-    it before.  The work grows with the number of draws.
+    A round has a row for each number of the last draw, with what followed it
+    as a vector; vectors are summed by that number, inside blocks of rounds.
     """
-    rows = positions(draws).filter("last IS NOT NULL").select("pos", F.explode("last").alias("prev"), "c")
-    w = Window.partitionBy("prev").orderBy("pos")
-    w = w.rowsBetween(Window.unboundedPreceding, -1) if tail is None else w.rangeBetween(1 - tail, -1)
-    followed = [F.coalesce(F.sum(F.array_contains("c", n).cast("int")).over(w), F.lit(0)).alias(f"f{n}") for n in range(1, 46)]
-    total = F.coalesce(F.sum(F.size("c")).over(w), F.lit(0)).alias("total")
-    share = lambda n: F.when(F.col("total") > 0, F.col(f"f{n}") / F.col("total")).otherwise(0.0)
-    each = rows.select("pos", total, *followed).groupBy("pos").agg(F.array(*[F.sum(share(n)) / 6 for n in range(1, 46)]).alias("m"))
-    out = each if tail is not None else each.filter("pos > 1")
-    return out.select("pos", F.posexplode("m").alias("at", "markov")).select("pos", (F.col("at") + 1).alias("number"), "markov")
+    rows = blocks.dealt(blocks.numbered(draws), tail or 2).filter("last IS NOT NULL")
+    rows = rows.select("block", "own", "pos", F.explode("last").alias("prev"), blocks.holds(F.col("c")).alias("f"), F.lit(0).alias("part"))
+    if tail is None:
+        rows = blocks.running(rows.filter("own"), "prev")
+    else:
+        near = f"PARTITION BY block, prev ORDER BY pos RANGE BETWEEN {max(tail - 1, 1)} PRECEDING AND 1 PRECEDING"
+        within = f"coalesce(sum(f[#]) OVER ({near}), 0)" if tail > 1 else "0L"  # one draw has no transition
+        rows = rows.withColumn("sum", blocks.vector(within)).filter("own")
+    rows = rows.withColumn("total", F.aggregate("sum", F.lit(0).cast("long"), lambda t, x: t + x))
+    out = rows.groupBy("block", "pos").agg(blocks.vector("sum(CASE WHEN total > 0 THEN sum[#] / total ELSE 0D END) / 6").alias("m")).drop("block")
+    return out if tail is not None else out.filter("pos > 1")
+
+
+def markov(draws: DataFrame, tail: int | None = None) -> DataFrame:
+    """``pos``, ``number``, ``markov``: the rows of ``followers``."""
+    return followers(draws, tail).select("pos", F.posexplode("m").alias("at", "markov")).select("pos", (F.col("at") + 1).alias("number"), "markov")
 
 
 def latest(draws: DataFrame, recent: int = RECENT, history: int = 100) -> DataFrame:
@@ -109,8 +123,8 @@ def latest(draws: DataFrame, recent: int = RECENT, history: int = 100) -> DataFr
     ).withColumns({"last": F.try_element_at("h", F.lit(-1)), "before": F.try_element_at("h", F.lit(-2))})
     # one row
     moved = rounds.filter("c IS NOT NULL AND last IS NOT NULL").select("c", F.col("last").alias("from")).crossJoin(F.broadcast(one.select(F.col("last").alias("to"))))
-    moved = moved.select(F.explode(F.array_intersect("from", "to")).alias("prev"), "c").groupBy("prev").agg(F.sum(F.size("c")).alias("total"), F.array(*[F.sum(F.array_contains("c", n).cast("int")) for n in range(1, 46)]).alias("f"))
-    shares = moved.agg(*[F.coalesce(F.sum(F.col("f")[n] / F.col("total")) / 6, F.lit(0.0)).alias(f"m{n + 1}") for n in range(45)]).select(F.array(*[f"m{n}" for n in range(1, 46)]).alias("m"))
+    moved = moved.select(F.explode(F.array_intersect("from", "to")).alias("prev"), "c").groupBy("prev").agg(F.sum(F.size("c")).alias("total"), blocks.vector("sum(CAST(array_contains(c, # + 1) AS INT))").alias("f"))
+    shares = moved.agg(blocks.vector("coalesce(sum(f[#] / total) / 6, 0D)").alias("m"))
     n = F.col("number")
     grid = one.crossJoin(F.broadcast(shares)).select("*", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number"))
     has = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
@@ -131,7 +145,8 @@ def latest(draws: DataFrame, recent: int = RECENT, history: int = 100) -> DataFr
 
 def statistics(draws: DataFrame, recent: int = RECENT, tail: int | None = None) -> DataFrame:
     """``flags`` with ``markov`` (of the last ``tail`` draws, if given; 0 where fewer than two draws are known)."""
-    return flags(grid(draws), recent).join(markov(draws, tail), ["pos", "number"], "left").withColumn("markov", F.coalesce("markov", F.lit(0.0)))
+    out = flags(grid(draws, max(recent, EXCESS_ROWS), followers(draws, tail)), recent, ("m",))
+    return out.withColumn("markov", F.coalesce(F.get("m", F.col("number") - 1), F.lit(0.0))).drop("m")
 
 
 def boost(w: dict[str, float] | None = None) -> Column:
@@ -208,83 +223,129 @@ def next_round(stats: DataFrame) -> DataFrame:
 
 
 FEATURES = (
-    "base_score hot_boost cold_boost neighbor_boost carryover_boost reverse_boost poisson_penalty markov_penalty frequency_recent_10 frequency_recent_20 "
-    "frequency_all gap_since_last number_value streak_length zone_low zone_mid zone_high lag_1_appeared lag_2_appeared odd_even frequency_variance "
+    "base_score hot_boost cold_boost neighbor_boost carryover_boost reverse_boost hmm_hot_prob hmm_cold_prob poisson_penalty markov_penalty frequency_recent_10 frequency_recent_20 "
+    "frequency_all gap_since_last number_value streak_length pair_freq_recent zone_low zone_mid zone_high lag_1_appeared lag_2_appeared odd_even frequency_variance "
     "rank_percentile recency_score gap_variance cycle_phase"
 ).split()
 
 
-def features(draws: DataFrame, min_rows: int = 50, poisson: float = 0.5, markov_weight: float = 0.3) -> DataFrame:
-    """The feature matrix of all rounds with at least ``min_rows`` before them (the one to come too, its ``label`` 0).
+def carried(draws: DataFrame) -> DataFrame:
+    """``block``, ``in``: for each of the 45 numbers what the blocks before say of it.
 
-    ``pos``, ``round``, ``number``, the columns of ``FEATURES``, ``label``.  The state and pair columns are
-    made by ``hmm.states`` and ``pair_frequency``.
+    Appearances and their positions' sum, the last round and the last position
+    it was absent from, number, sum and sum of squares of gaps, and the longest
+    run.  One row a block and number goes through windows over blocks.
     """
-    w = Window.partitionBy("number").orderBy("pos")
-    g = flags(grid(draws))
-    everything = w.rowsBetween(Window.unboundedPreceding, -1)
-
-    def frequency(k: int | None) -> Column:
-        return F.when(n_rows(k) > 0, seen(k) / (6.0 * n_rows(k))).otherwise(0.0)
-
-    # a run of appearances: rows between two absences have one island number
-    g = g.withColumn("island", F.sum(1 - F.col("a")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = g.withColumn("run", F.sum("a").over(Window.partitionBy("number", "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    g = g.withColumn("shown", F.when(F.col("a") == 1, F.col("round")))
-    g = g.withColumn("gap", F.when(F.col("a") == 1, F.col("round") - F.last("shown", True).over(everything)))
-    variance = F.array(*[F.when(F.col("pos") - 1 >= k, frequency(k)) for k in (10, 20, 50)])
-    out = g.select(
-        "pos", "round", "number", "a", "base", "hot", "cold", "neighbor", "reverse", "excess",
-        F.greatest("carryover", "carryover2").alias("carry"),
-        frequency(10).alias("f10"), frequency(20).alias("f20"), frequency(None).alias("fall"),
-        F.lag("round", 1).over(w).alias("previous"), F.last("shown", True).over(everything).alias("last_shown"),
-        (F.coalesce(F.max("run").over(everything), F.lit(0)) / 10.0).alias("streak"),
-        F.coalesce(F.lag("a", 1).over(w), F.lit(0)).alias("lag1"), F.coalesce(F.lag("a", 2).over(w), F.lit(0)).alias("lag2"),
-        F.filter(variance, lambda x: x.isNotNull()).alias("fs"),
-        F.coalesce(F.sum(F.col("pos") * F.col("a")).over(everything), F.lit(0)).alias("weight"),
-        F.when(F.count("gap").over(everything) > 1, F.var_pop("gap").over(everything)).otherwise(0.0).alias("gap_variance"),
+    rows = blocks.dealt(blocks.numbered(draws), 2).filter("own")
+    first, size = F.shiftleft(F.col("block"), blocks.BLOCK_BITS), 1 << blocks.BLOCK_BITS  # the position before the block's first
+    shown = rows.filter("c IS NOT NULL").select("block", "pos", "round", F.explode("c").alias("number"))
+    w = Window.partitionBy("block", "number").orderBy("pos")
+    shown = shown.withColumns({"gap": F.col("round") - F.lag("round").over(w), "island": F.col("pos") - F.row_number().over(w)})
+    run = F.count("*").over(Window.partitionBy("block", "number", "island"))
+    shown = shown.withColumn("run", run)
+    each = shown.groupBy("block", "number").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("weight"), F.min("round").alias("first"), F.max("round").alias("last"), F.count("gap").alias("gaps"),
+        F.coalesce(F.sum("gap"), F.lit(0)).alias("gap1"), F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("gap2"), F.max("run").alias("best"),
+        F.max(F.when(F.col("island") == first, F.col("run"))).alias("prefix"), F.max(F.when(F.col("pos") == first + size, F.col("run"))).alias("suffix"),
     )
-    out = out.filter(F.col("pos") > min_rows).join(markov(draws), ["pos", "number"], "left")
-    mean = F.aggregate("fs", F.lit(0.0), lambda s, x: s + x) / F.size("fs")
-    spread = F.when(F.size("fs") > 0, F.aggregate(F.transform("fs", lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / F.size("fs")).otherwise(0.0)
-    of_round = Window.partitionBy("pos")
+    every = rows.select("block").distinct().select("block", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number"))
+    each = every.join(each, ["block", "number"], "left").withColumn("absent", first + size - F.coalesce("suffix", F.lit(0)))
+    each = each.withColumn("absent", F.when(F.coalesce("suffix", F.lit(0)) < size, F.col("absent")))  # a block without an absence says nothing of it
+    earlier = Window.partitionBy("number").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    each = each.withColumns({"n_in": sums("n"), "weight_in": sums("weight"), "last_in": F.max("last").over(earlier), "absent_in": F.coalesce(F.max("absent").over(earlier), F.lit(0))})
+    across = F.col("first") - F.col("last_in")  # the gap over the block's border
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    each = each.withColumns({
+        "gaps": z("gaps") + across.isNotNull().cast("int"), "gap1": z("gap1") + F.coalesce(across, F.lit(0)), "gap2": z("gap2") + F.coalesce(across * across, F.lit(0)),
+        "best": F.greatest(z("best"), F.when(F.col("prefix").isNotNull(), F.col("prefix") + first - F.col("absent_in")).otherwise(0)),
+    })
+    names = ("n_in", "weight_in", "last_in", "absent_in")
+    each = each.select("block", "number", *names, *[sums(c).alias(f"{c}_in") for c in ("gaps", "gap1", "gap2")], F.coalesce(F.max("best").over(earlier), F.lit(0)).alias("best_in"))
+    return each.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*[c for c in each.columns if c != "block"]))).alias("in"))
+
+
+def features(draws: DataFrame, min_rows: int = 50, poisson: float = 0.5, markov_weight: float = 0.3, hidden: bool = True) -> DataFrame:
+    """The feature matrix of all rounds with at least ``min_rows`` before them (the one to come too, its ``label`` 0).
+
+    ``pos``, ``round``, ``number``, the columns of ``FEATURES``, ``label``.  All
+    is computed inside blocks of rounds; only rows of rounds are shuffled.
+    Without ``hidden`` no state is fitted, and its two columns are 0.
+    """
+    extra = followers(draws).join(paired(draws), "pos", "full_outer")
+    if hidden:
+        extra = extra.join(hmm.states_as_of(draws, min_rows), "pos", "full_outer")
+    names = [c for c in extra.columns if c != "pos"]
+    g = grid(draws, RECENT, extra).join(carried(draws), "block", "left").withColumn("in", F.get("in", F.col("number") - 1))
+    w = in_block()
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    own, drawn = F.col("own"), F.col("own") & (F.col("a") == 1)
+    of = lambda c: F.coalesce(F.col(f"in.{c}_in"), F.lit(0))
+    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    frequency = lambda k: F.when(n_rows(k) > 0, seen(k) / (6.0 * n_rows(k))).otherwise(0.0)
+    has = lambda c: F.coalesce(F.array_contains(c, F.col("number")), F.lit(False))
+    shown = F.greatest(F.col("in.last_in"), F.max(F.when(drawn, F.col("round"))).over(before))
+    absent = F.greatest(of("absent"), F.max(F.when(own & (F.col("a") == 0), F.col("pos"))).over(upto))
+    at = (*names, "in", "block", "gap", "run", "last_shown", "previous", "f10", "f20", "f50", "before")
+    g = g.withColumns({"last_shown": shown, "run": F.when(drawn, F.col("pos") - absent), "previous": F.lag("round", 1).over(w), "f10": frequency(10), "f20": frequency(20), "f50": frequency(50)})
+    g = g.withColumn("gap", F.when(drawn, F.col("round") - F.col("last_shown")))
+    past = {
+        "shown": of("n") + sums(drawn.cast("int")), "weight": of("weight") + sums(F.when(drawn, F.col("pos"))), "streak": F.greatest(of("best"), F.coalesce(F.max("run").over(before), F.lit(0))),
+        "gaps": of("gaps") + F.count("gap").over(before), "gap1": of("gap1") + sums("gap"), "gap2": of("gap2") + sums(F.col("gap") * F.col("gap")),
+    }
+    g = flags(g.withColumns(past), RECENT, (*at, *past)).filter(F.col("pos") > min_rows)
+    known = F.col("pos") - 1
+    fs = F.filter(F.array(*[F.when(known >= k, F.col(f"f{k}")) for k in (10, 20, 50)]), lambda x: x.isNotNull())
+    mean = F.aggregate(fs, F.lit(0.0), lambda s, x: s + x) / F.size(fs)
+    spread = F.when(known >= 10, F.aggregate(fs, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(fs)).otherwise(0.0)
+    n_gaps = F.col("gaps").cast("double")
+    of_round = Window.partitionBy("block", "pos")
     top = F.max("weight").over(of_round)
-    n = F.col("number")
-    d = "double"
-    return out.select(
+    n, d = F.col("number"), "double"
+    number = lambda c: F.coalesce(F.get(c, n - 1).cast(d), F.lit(0.0))
+    state = lambda k: (F.coalesce(F.get("states", n - 1), F.lit(0)) == k).cast(d) if hidden else F.lit(0.0)
+    return g.select(
         "pos", "round", "number", F.col("base").alias("base_score"), F.col("hot").cast(d).alias("hot_boost"), F.col("cold").cast(d).alias("cold_boost"),
-        F.col("neighbor").cast(d).alias("neighbor_boost"), F.col("carry").cast(d).alias("carryover_boost"), F.col("reverse").cast(d).alias("reverse_boost"),
-        (F.col("excess") * poisson).alias("poisson_penalty"), (F.coalesce("markov", F.lit(0.0)) * markov_weight).alias("markov_penalty"),
-        F.col("f10").alias("frequency_recent_10"), F.col("f20").alias("frequency_recent_20"), F.col("fall").alias("frequency_all"),
+        F.col("neighbor").cast(d).alias("neighbor_boost"), F.greatest("carryover", "carryover2").cast(d).alias("carryover_boost"), F.col("reverse").cast(d).alias("reverse_boost"),
+        state(hmm.HOT).alias("hmm_hot_prob"), state(hmm.COLD).alias("hmm_cold_prob"),
+        (F.col("excess") * poisson).alias("poisson_penalty"), (number("m") * markov_weight).alias("markov_penalty"),
+        F.col("f10").alias("frequency_recent_10"), F.col("f20").alias("frequency_recent_20"), F.when(known > 0, F.col("shown") / (6.0 * known)).otherwise(0.0).alias("frequency_all"),
         ((F.col("previous") - F.coalesce("last_shown", F.lit(0))) / F.col("previous")).alias("gap_since_last"), (n / 45.0).alias("number_value"),
-        F.col("streak").alias("streak_length"), n.between(1, 15).cast(d).alias("zone_low"), n.between(16, 30).cast(d).alias("zone_mid"), n.between(31, 45).cast(d).alias("zone_high"),
-        F.col("lag1").cast(d).alias("lag_1_appeared"), F.col("lag2").cast(d).alias("lag_2_appeared"), (n % 2).cast(d).alias("odd_even"), spread.alias("frequency_variance"),
+        (F.col("streak") / 10.0).alias("streak_length"), number("pair").alias("pair_freq_recent"), n.between(1, 15).cast(d).alias("zone_low"), n.between(16, 30).cast(d).alias("zone_mid"), n.between(31, 45).cast(d).alias("zone_high"),
+        has("last").cast(d).alias("lag_1_appeared"), has("before").cast(d).alias("lag_2_appeared"), (n % 2).cast(d).alias("odd_even"), spread.alias("frequency_variance"),
         ((F.rank().over(of_round.orderBy("base")) - 1) / 45.0).alias("rank_percentile"), F.when(top > 0, F.col("weight") / top).otherwise(0.0).alias("recency_score"),
-        F.col("gap_variance"), ((n % 7) / 7.0).alias("cycle_phase"), F.col("a").cast(d).alias("label"),
+        F.when(n_gaps > 1, (n_gaps * F.col("gap2") - F.col("gap1") * F.col("gap1")) / (n_gaps * n_gaps)).otherwise(0.0).alias("gap_variance"), ((n % 7) / 7.0).alias("cycle_phase"), F.col("a").cast(d).alias("label"),
     )
 
 
-def pair_frequency(draws: DataFrame) -> DataFrame:
-    """``pos``, ``number``, ``pair_freq_recent``: the share of draws before the last one that hold the number and share one with the last draw.
+def paired(draws: DataFrame) -> DataFrame:
+    """``pos``, ``pair``: for each number the share of draws before the last one that hold it and share a number with the last draw.
 
-    Draws that hold ``n`` and meet the last draw are counted by inclusion and
-    exclusion over the last draw's subsets, from cumulative counts of (number,
-    subset).  The work grows with the number of draws, not with its square.
+    Draws that meet the last one are counted by inclusion and exclusion over the
+    last draw's subsets, from running vectors by subset: 63 events and 63
+    questions a round.  Subsets of one or two numbers are few, so their sums run
+    inside blocks; of larger ones there are tens of thousands, each with few rows.
     """
-    rounds = positions(draws)
+    rows = blocks.dealt(blocks.numbered(draws), 2).filter("own AND last IS NOT NULL").select("block", "pos", "last", "before")
     masks = F.array(*[F.lit(m) for m in range(1, 64)])
+    one = F.lit(1).cast("long")
 
-    def subset(c: str, m: Column) -> Column:
-        return F.aggregate(F.zip_with(F.col(c), F.array(*[F.lit(i) for i in range(6)]), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), F.lit(0).cast("long"),
-                           lambda s, e: s + F.when(F.call_function("shiftright", m, e.i).bitwiseAND(F.lit(1)) == 1, F.call_function("shiftleft", F.lit(1).cast("long"), (e.x - 1).cast("int"))).otherwise(F.lit(0).cast("long")))
-
-    def subsets(df: DataFrame, c: str) -> DataFrame:
-        return df.select("*", F.explode(masks).alias("m")).withColumn("u", subset(c, F.col("m"))).withColumn("sign", F.when(F.bit_count("m") % 2 == 1, 1).otherwise(-1))
+    def subsets(of: str, part: int, f: Column) -> DataFrame:
+        bits = F.transform(of, lambda x: F.call_function("shiftleft", one, (x - 1).cast("int")))
+        some = rows.filter(F.col(of).isNotNull()).select("block", "pos", F.lit(part).alias("part"), f.alias("f"), bits.alias("bits"), F.explode(masks).alias("m"))
+        mask = F.aggregate(F.sequence(F.lit(0), F.lit(5)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.call_function("shiftright", F.col("m"), i).bitwiseAND(F.lit(1)) == 1, F.get("bits", i)).otherwise(F.lit(0).cast("long")))
+        return some.select("block", "pos", "part", "f", F.bit_count("m").alias("size"), mask.alias("u"))
 
     # a draw answers questions from the second draw after it on
-    event = subsets(rounds.filter("c IS NOT NULL").select((F.col("pos") + 2).alias("pos"), "c"), "c").select("pos", F.lit(0).alias("kind"), "u", F.lit(0).alias("sign"), F.explode("c").alias("number"))
-    ask = subsets(rounds.filter("last IS NOT NULL").select("pos", "last"), "last").select("pos", F.lit(1).alias("kind"), "u", "sign", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number"))
-    w = Window.partitionBy("number", "u").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    known = event.union(ask).withColumn("n", F.sum(1 - F.col("kind")).over(w)).filter("kind = 1")
-    met = known.groupBy("pos", "number").agg(F.sum(F.col("n") * F.col("sign")).alias("met"))
-    return met.select("pos", "number", F.when(F.col("pos") > 2, F.col("met") / (F.col("pos") - 2)).otherwise(0.0).alias("pair_freq_recent"))
+    both = subsets("before", 0, blocks.holds(F.col("before"))).unionByName(subsets("last", 1, F.array_repeat(F.lit(0), 45)))
+    few = blocks.running(both.filter("size <= 2"), "u").select("pos", "part", "size", "sum")
+    before = "PARTITION BY u ORDER BY pos, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    many = both.filter("size > 2").select("pos", "part", "size", blocks.vector(f"coalesce(sum(f[#]) OVER ({before}), 0L)").alias("sum"))
+    asked = few.unionByName(many).filter("part = 1").withColumn("sign", F.when(F.col("size") % 2 == 1, 1).otherwise(-1))
+    met = asked.groupBy("pos").agg(blocks.vector("sum(sum[#] * sign)").alias("met"))
+    return met.select("pos", F.transform("met", lambda x: F.when(F.col("pos") > 2, x / (F.col("pos") - 2)).otherwise(0.0)).alias("pair"))
+
+
+def pair_frequency(draws: DataFrame) -> DataFrame:
+    """``pos``, ``number``, ``pair_freq_recent``: the rows of ``paired``."""
+    return paired(draws).select("pos", F.posexplode("pair").alias("at", "pair_freq_recent")).select("pos", (F.col("at") + 1).alias("number"), "pair_freq_recent")

@@ -140,7 +140,7 @@ def document(draws: DataFrame, preset: str = "A", seed: int = 42, n_samples: int
         F.struct("exact_keys", "five_subset_keys").alias("history"), F.array(*[F.lit(x) for x in carried]).cast("array<int>").alias("carryover_numbers"),
         F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in combos.RARE_PAIRS]).alias("rare_pairs"), reasons(p).alias("reasons"),
         F.struct("p10", "p25", "p50", "p75", "p90").alias("quantiles"), attempts(F.col("rate"), p.top_k).alias("max_attempts"),
-        *([F.from_json(F.lit(json.dumps(trees)), "model string, scores array<double>, importances map<string,double>").alias("trees")] if trees else []),
+        *([F.from_json(F.lit(json.dumps(trees)), "model string, params map<string,double>, scores array<double>, importances map<string,double>").alias("trees")] if trees else []),
     )
     return parts.select(F.to_json(content).alias("document"))
 

@@ -60,7 +60,7 @@ def test_statistics_against_plain_python(spark, history_rows):
 def test_features_do_not_see_the_future(spark, history_rows):
     rows, df = history_rows
     changed = spark.createDataFrame([(r, c if r < 60 else [40, 41, 42, 43, 44, 45], b) for r, c, b in rows], "round long, c array<int>, bonus int")
-    a, b = (sorted(map(str, scores.features(d).filter("pos <= 60").drop("label").collect())) for d in (df, changed))
+    a, b = (sorted(map(str, scores.features(d, hidden=False).filter("pos <= 60").drop("label").collect())) for d in (df, changed))
     assert a == b and len(a) == 10 * 45
 
 
@@ -76,8 +76,8 @@ def test_pair_frequency(spark, history_rows):
 
 def test_features_are_complete(spark, history_rows):
     _, df = history_rows
-    m = scores.features(df)
-    assert m.count() == 21 * 45 and set(scores.FEATURES) < set(m.columns) and len(scores.FEATURES) == 25
+    m = scores.features(df, hidden=False)
+    assert m.count() == 21 * 45 and set(scores.FEATURES) < set(m.columns) and len(scores.FEATURES) == 28
     assert {r.n for r in m.filter("pos <= 70").groupBy("pos").agg(F.sum("label").alias("n")).collect()} == {6.0}
 
 
@@ -257,22 +257,9 @@ def test_golden_fitness(spark, name, train_end, val_end, want):
 def test_hidden_states():
     r = np.random.default_rng(1)
     x = np.concatenate((r.random(60) < 0.05, r.random(40) < 0.7)).astype(int)
-    said = hmm.fit(x)[3]
-    assert all(b >= a - 1e-6 for a, b in zip(said, said[1:], strict=False))
-    start, move, emit, _ = hmm.fit(x)
-    assert emit[hmm.last_state(x, start, move, emit), 1] > 0.3 > 0.2 > emit[hmm.last_state(x[:60], start, move, emit), 1]
-    assert hmm.state_name(x[:10]) == "neutral" and hmm.state_name(np.zeros(50, int)) == "hot"
-
-
-def test_trees(spark, history_rows, tmp_path):
-    _, df = history_rows
-    m = scores.features(df).cache()
-    params = ml.Trees(depth=2, trees=2)
-    model = ml.cached_model(spark, str(tmp_path / "m"), 70, "w", lambda: ml.train(m.filter("pos <= 65"), params))
-    again = ml.cached_model(spark, str(tmp_path / "m"), 70, "w", lambda: pytest.fail("not from the cache"))
-    r = ml.evaluated(ml.predicted(again, m.filter("pos > 65 AND pos <= 70"))).first()
-    assert r.rounds == 5 and 0 <= r.hit_15 <= 6 and sum(ml.importances(model).values()) == pytest.approx(1)
-    assert ml.positive_weight(m.filter("pos <= 70")) == pytest.approx(6.5)
+    hot, cold = hmm.Fit(x[:, None], 2), hmm.Fit(x[:60, None], 2)
+    assert hot.emit[1, hot.last_state(x[:, None])[0], 0] > 0.3 > 0.2 > cold.emit[1, cold.last_state(x[:60, None])[0], 0]
+    assert hmm.state_name(x[:10]) == "neutral"
 
 
 def test_serving(spark, history_rows):
