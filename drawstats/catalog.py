@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import combos
-from .operators import history, hmm, ranking, sampling, scores
-from .plans import backtest, boosting, ml, serve
+from .operators import blocks, history, hmm, ranking, sampling, scores
+from .plans import backtest, ml, serve
 from .sources import draws as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,8 @@ def _samples_sql(n: int, table: str, name: str, seed: int = 42) -> str:
 """
 
 
-N_SAMPLES = 2000
+#: Samples of the presets; and of queries whose SQL compares each with all draws or goes through all ranks one by one.
+N_SAMPLES, FEW_SAMPLES = 100_000, 2000
 EQUAL = ", eq AS (SELECT number, 1.0 / 45 AS p FROM num)"
 _AC = "(SELECT count(DISTINCT y.v - x.v) FROM unnest(c) AS x(v), unnest(c) AS y(v) WHERE y.v > x.v) - 5"
 _COUNT = "len(list_filter(c, lambda x: {}))"
@@ -123,7 +124,12 @@ def _next_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.probabilities(table.select("number", "score"), 0.5, 0.005, [])
 
 
-def _uniform_samples(spark: SparkSession, n: int = N_SAMPLES, seed: int = 42) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """A table of at most 45 rows, computed once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
+
+
+def _uniform_samples(spark: SparkSession, n: int = FEW_SAMPLES, seed: int = 42) -> DataFrame:
     return sampling.samples(sampling.uniform_table(spark.range(1)), n, seed)
 
 
@@ -221,10 +227,10 @@ def filter_pipeline(spark, sf_dir):
     return draws_of(spark, sf_dir).select("round", combos.key(F.col("c")).alias("combo"), combos.first_failure(tests).alias("failed_filter"))
 
 
-@query(f"WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, 'eq', 'smp')}, f AS (SELECT {FACTS} FROM smp) SELECT coalesce({FAILED}, 'passed') AS failed_filter, count(*) AS n FROM f GROUP BY 1")
+@query(f"WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, 'pr', 'smp')}, f AS (SELECT {FACTS} FROM smp) SELECT coalesce({FAILED}, 'passed') AS failed_filter, count(*) AS n FROM f GROUP BY 1")
 def rejection_counts(spark, sf_dir):
     failed = F.coalesce(combos.first_failure(combos.filters(F.col("c"))), F.lit("passed"))
-    return _uniform_samples(spark).groupBy(failed.alias("failed_filter")).agg(F.count("*").alias("n"))
+    return sampling.samples(_next_probabilities(spark, sf_dir), N_SAMPLES).groupBy(failed.alias("failed_filter")).agg(F.count("*").alias("n"))
 
 
 _RARE_SQL = " OR ".join(f"(list_contains(c, {a}) AND list_contains(c, {b}))" for a, b in combos.RARE_PAIRS)
@@ -238,55 +244,96 @@ def special_filters(spark, sf_dir):
     return rows.select("round", combos.first_failure(combos.special_filters(F.col("c"), (8,), near, 2)).alias("failed_filter"))
 
 
+#: Against so many of the last draws at small thresholds, which nothing passes against all of them.
+_LAST_DRAWS = {1: 2, 2: 10, 3: 40}
+
+
 def _history_sql(n: int) -> str:
-    return f"""WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, "eq", "smp")}, w AS (SELECT DISTINCT c FROM smp), h AS (SELECT DISTINCT c FROM drw)
+    last = f" WHERE pos > (SELECT max(pos) FROM drw) - {_LAST_DRAWS[n]}" if n in _LAST_DRAWS else ""
+    return f"""WITH {DRAWS}{EQUAL}{_samples_sql(FEW_SAMPLES, "eq", "smp")}, w AS (SELECT DISTINCT c FROM smp), h AS (SELECT DISTINCT c FROM drw{last})
   SELECT {KEY} AS combo FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE len(list_intersect(h.c, w.c)) >= {n})"""
 
 
 def _history(n: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        candidates = _uniform_samples(spark).select("c").distinct()
-        return history.unseen(candidates, draws_of(spark, sf_dir), n).select(combos.key(F.col("c")).alias("combo"))
+        candidates, past = _uniform_samples(spark).select("c").distinct(), draws_of(spark, sf_dir)
+        if n in _LAST_DRAWS:
+            past = source.recent(past, _LAST_DRAWS[n])
+        return history.unseen(candidates, past, n).select(combos.key(F.col("c")).alias("combo"))
 
     return run
 
 
-for _n in (3, 4, 5, 6):
+for _n in range(1, 7):
     QUERIES[f"history_filter_{_n}"] = _history(_n)
     ORACLES[f"history_filter_{_n}"] = _history_sql(_n)
 
 
+@query(f"""WITH {DRAWS}{EQUAL}{_samples_sql(FEW_SAMPLES, "eq", "smp")}, w AS (SELECT DISTINCT c FROM smp), m AS (SELECT w.c, d.pos, len(list_intersect(d.c, w.c)) AS k FROM w JOIN drw d ON len(list_intersect(d.c, w.c)) >= 3),
+  f AS (SELECT c, min(pos) AS first, arg_min(k, pos) AS k FROM m GROUP BY 1)
+  SELECT {KEY.replace("c,", "w.c,")} AS combo, f.first IS NULL AS passed, f.first, 'shares ' || f.k || ' numbers with an earlier draw, fewer than 3 may be' AS reason FROM w LEFT JOIN f ON f.c = w.c""")
+def history_reasons(spark, sf_dir):
+    candidates, past = _uniform_samples(spark).select("c"), draws_of(spark, sf_dir)
+    out = history.with_reasons(candidates, past, 3).join(history.first_matches(candidates, past, 3).select("c", "first"), "c")
+    return out.select(combos.key(F.col("c")).alias("combo"), "passed", "first", "reason")
+
+
 @query(f"WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, 'pr', 'smp')} SELECT sample_id, {KEY} AS combo FROM smp")
 def gumbel_samples(spark, sf_dir):
     return sampling.samples(_next_probabilities(spark, sf_dir), N_SAMPLES).select("sample_id", combos.key(F.col("c")).alias("combo"))
 
 
-@query(f"WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, 'eq', 'smp', 7)} SELECT sample_id, {KEY} AS combo FROM smp")
+@query(f"""WITH {DRAWS}, k AS (SELECT t.pos, s.range AS sample_id, n.number, row_number() OVER (PARTITION BY t.pos, s.range ORDER BY ln(1.0 / 45) - ln(-ln((CAST('0x' || substr(md5((7 + t.pos) || '|' || s.range || '|' || n.number), 1, 8) AS BIGINT) + 0.5) / 4294967296)) DESC, n.number) AS rn
+  FROM drw t CROSS JOIN range(0, 5) s CROSS JOIN num n), b AS (SELECT pos, sample_id, list_sort(list(number)) AS c FROM k WHERE rn <= 6 GROUP BY 1, 2)
+  SELECT b.pos, sample_id, {KEY.replace("c,", "b.c,")} AS combo, CAST(len(list_intersect(b.c, d.c)) AS INT) AS hits FROM b JOIN drw d ON d.pos = b.pos""")
 def random_baseline(spark, sf_dir):
-    return _uniform_samples(spark, seed=7).select("sample_id", combos.key(F.col("c")).alias("combo"))
+    drawn = scores.positions(draws_of(spark, sf_dir)).filter("c IS NOT NULL").select("pos", F.col("c").alias("actual"))
+    equal = drawn.select("pos", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number"), F.lit(1.0 / 45).alias("p"))
+    played = sampling.samples(equal, 5, F.lit(7) + F.col("pos"), ["pos"]).join(drawn, "pos")
+    return played.select("pos", "sample_id", combos.key(F.col("c")).alias("combo"), combos.overlap(F.col("c"), F.col("actual")).alias("hits"))
+
 
+_UNSEEN = "NOT EXISTS (SELECT 1 FROM drw h WHERE len(list_intersect(h.c, g.c)) >= 5)"
 
-@query(f"""WITH {DRAWS}{EQUAL}{_samples_sql(N_SAMPLES, "eq", "smp")}, f AS (SELECT sample_id, c, {FACTS} FROM smp), g AS (SELECT {KEY} AS combo, min(sample_id) AS sample_id FROM f WHERE {FAILED} IS NULL GROUP BY 1)
-  SELECT combo, sample_id FROM g ORDER BY sample_id LIMIT 350""")
+
+@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(8000, "pr", "smp")}, f AS (SELECT sample_id, c, {FACTS} FROM smp), g AS (SELECT c, min(sample_id) AS sample_id FROM f WHERE {FAILED} IS NULL GROUP BY 1)
+  SELECT {KEY} AS combo, sample_id, 0 AS phase FROM g WHERE {_UNSEEN} ORDER BY sample_id LIMIT 350""")
 def rejection_sampling(spark, sf_dir):
-    ok = combos.first_failure(combos.filters(F.col("c"))).isNull()
-    out = sampling.rejection(_uniform_samples(spark), ok, F.lit(True), games=5, target=350)
-    return out.filter("phase = 0").select(combos.key(F.col("c")).alias("combo"), "sample_id")
+    return _rejection(spark, sf_dir, combos.Limits(), 5, 8000)
+
+
+def _rejection(spark: SparkSession, sf_dir: str, limits: combos.Limits, games: int, attempts: int) -> DataFrame:
+    past = draws_of(spark, sf_dir)
+    unseen = lambda df: history.unseen(df, past, 5)
+    ok = combos.first_failure(combos.filters(F.col("c"), limits)).isNull()
+    run = sampling.adaptive(_small(_next_probabilities(spark, sf_dir)), lambda df: unseen(df.filter(ok)), unseen, games, attempts)
+    return run.rows.select(combos.key(F.col("c")).alias("combo"), "sample_id", "phase")
+
 
+@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(7000, "pr", "smp")}, f AS (SELECT sample_id, c, {FACTS} FROM smp), s AS (SELECT c, min(sample_id) AS sample_id FROM f g WHERE sample_id < 1000 AND total BETWEEN 100 AND 103 AND {FAILED} IS NULL AND {_UNSEEN} GROUP BY 1),
+  r AS (SELECT c, min(sample_id) AS sample_id FROM smp g WHERE sample_id >= 1000 AND c NOT IN (SELECT c FROM s) AND {_UNSEEN} GROUP BY 1 ORDER BY 2 LIMIT (SELECT CASE WHEN count(*) < 60 THEN 480 - count(*) ELSE 0 END FROM s))
+  SELECT {KEY} AS combo, sample_id, 0 AS phase FROM s UNION ALL SELECT {KEY}, sample_id, 1 FROM r""")
+def rejection_sampling_relaxed(spark, sf_dir):
+    return _rejection(spark, sf_dir, combos.Limits(sum_high=103), 60, 1000)
 
-_RANKED_SQL = f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, "pr", "smp")}, u AS (SELECT c, min(sample_id) AS sample_id FROM smp GROUP BY 1),
+
+def _ranked_sql(n: int) -> str:
+    return f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(n, "pr", "smp")}, u AS (SELECT c, min(sample_id) AS sample_id FROM smp GROUP BY 1),
   sc AS (SELECT u.c, u.sample_id, (SELECT sum(n.score) FROM unnest(u.c) AS y(v) JOIN nx n ON n.number = y.v) AS combo_score FROM u),
-  rk AS (SELECT c, sample_id, combo_score, row_number() OVER (ORDER BY round(combo_score, 9) DESC, sample_id) AS rank FROM sc)"""
+  rk AS MATERIALIZED (SELECT c, sample_id, combo_score, row_number() OVER (ORDER BY round(combo_score, 9) DESC, sample_id) AS rank FROM sc)"""
+
+
+_RANKED_SQL = _ranked_sql(N_SAMPLES)
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _next_probabilities(spark, sf_dir).cache()
-    return ranking.ranked(ranking.scored(ranking.distinct_first(sampling.samples(p, N_SAMPLES)), p).withColumn("combo_score", F.round("combo_score", 9)))
+def _ranked(spark: SparkSession, sf_dir: str, n: int = N_SAMPLES) -> DataFrame:
+    p = _small(_next_probabilities(spark, sf_dir))
+    return ranking.ranked(ranking.scored(ranking.distinct_first(sampling.samples(p, n)), p).withColumns({"raw": F.col("combo_score"), "combo_score": F.round("combo_score", 9)}))
 
 
 @query(f"{_RANKED_SQL} SELECT rank, {KEY} AS combo, round(combo_score, 6) AS combo_score FROM rk WHERE rank <= 180")
 def ranked_combinations(spark, sf_dir):
-    return _ranked(spark, sf_dir).filter("rank <= 180").select(F.col("rank").cast("long").alias("rank"), combos.key(F.col("c")).alias("combo"), _r("combo_score", 6))
+    return _ranked(spark, sf_dir).filter("rank <= 180").select(F.col("rank").cast("long").alias("rank"), combos.key(F.col("c")).alias("combo"), F.round("raw", 6).alias("combo_score"))
 
 
 @query(f"""{_RANKED_SQL.replace("WITH", "WITH RECURSIVE", 1)}, pick AS (
@@ -295,7 +342,7 @@ def ranked_combinations(spark, sf_dir):
   FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE len(p.chosen) < 10)
   SELECT array_to_string(y.v, '-') AS combo FROM (SELECT chosen FROM pick ORDER BY rank DESC LIMIT 1) q, unnest(q.chosen) AS y(v)""")
 def diverse_choice(spark, sf_dir):
-    return ranking.diverse(_ranked(spark, sf_dir), 10, 3).select(F.explode("chosen").alias("c")).select(combos.key(F.col("c")).alias("combo"))
+    return ranking.diverse_in_blocks(_ranked(spark, sf_dir), 10, 3).select(F.explode("chosen").alias("c")).select(combos.key(F.col("c")).alias("combo"))
 
 
 def _pick_sql(count: int, overlap: int) -> str:
@@ -308,28 +355,28 @@ def _pick_sql(count: int, overlap: int) -> str:
 
 @query(f"{_pick_sql(10, 1)} SELECT array_to_string(c, '-') AS combo, row_number() OVER (ORDER BY part, o) AS place FROM fil ORDER BY part, o LIMIT 10")
 def filled_choice(spark, sf_dir):
-    ranks = _ranked(spark, sf_dir)
-    out = ranking.filled(ranking.diverse(ranks, 10, 1), ranks, 10)
+    ranks = blocks.kept(_ranked(spark, sf_dir))
+    out = ranking.filled(ranking.diverse_in_blocks(ranks, 10, 1), ranks, 10)
     return out.select(combos.key(F.col("c")).alias("combo"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"""{_pick_sql(10, 3)}, x AS (SELECT greatest(1, least(100, round_even(100.0 * k.rank / (SELECT count(*) FROM rk), 0))) AS x FROM fst JOIN rk k ON k.c = fst.c)
   SELECT CAST(greatest(1, least(100, round_even(avg(x), 0) - 5)) AS INT) AS percentile FROM x""")
 def selection_percentile(spark, sf_dir):
-    ranks = _ranked(spark, sf_dir)
-    return ranking.percentile(ranking.diverse(ranks, 10, 3).select(F.explode("chosen").alias("c")), ranks, -5)
+    ranks = blocks.kept(_ranked(spark, sf_dir))
+    return ranking.percentile(ranking.diverse_in_blocks(ranks, 10, 3).select(F.explode("chosen").alias("c")), ranks, -5)
 
 
 _RELAXED = 40
 
 
-@query("WITH RECURSIVE " + _RANKED_SQL.removeprefix("WITH ") + f""", lvl AS (SELECT CAST(range AS INT) AS k FROM range(1, 7)), pick AS (SELECT k, 1::BIGINT AS rank, [c] AS chosen FROM rk, lvl WHERE rank = 1
+@query("WITH RECURSIVE " + _ranked_sql(FEW_SAMPLES).removeprefix("WITH ") + f""", lvl AS (SELECT CAST(range AS INT) AS k FROM range(1, 7)), pick AS (SELECT k, 1::BIGINT AS rank, [c] AS chosen FROM rk, lvl WHERE rank = 1
   UNION ALL SELECT p.k, r.rank, CASE WHEN len(list_filter(p.chosen, lambda g: len(list_intersect(g, r.c)) > p.k)) = 0 THEN list_append(p.chosen, r.c) ELSE p.chosen END
   FROM pick p JOIN rk r ON r.rank = p.rank + 1 WHERE len(p.chosen) < {_RELAXED}), got AS (SELECT k, arg_max(chosen, rank) AS chosen FROM pick GROUP BY 1),
   lev AS (SELECT k, chosen FROM got WHERE len(chosen) >= {_RELAXED} OR k = 6 ORDER BY k LIMIT 1)
   SELECT k AS max_overlap, array_to_string(y.v, '-') AS combo FROM lev, unnest(lev.chosen) AS y(v)""")
 def relaxed_choice(spark, sf_dir):
-    out = ranking.relaxed_diverse(_ranked(spark, sf_dir), _RELAXED, 1)
+    out = ranking.relaxed_diverse(blocks.kept(_ranked(spark, sf_dir, FEW_SAMPLES)), _RELAXED, 1)
     return out.select("max_overlap", F.explode("chosen").alias("c")).select("max_overlap", combos.key(F.col("c")).alias("combo"))
 
 
@@ -340,14 +387,14 @@ def recent_results_left_out(spark, sf_dir):
     return sampling.without(rows.filter("sample_id >= 500"), shown).select("sample_id", combos.key(F.col("c")).alias("combo"))
 
 
-@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(200, "pr", "smp")}, tg AS (SELECT number, unnest(list_filter([CASE WHEN hot = 1 THEN 'hot' END, CASE WHEN cold = 1 THEN 'cold' END, CASE WHEN carryover = 1 THEN 'carryover' END,
+@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, "pr", "smp")}, tg AS (SELECT number, unnest(list_filter([CASE WHEN hot = 1 THEN 'hot' END, CASE WHEN cold = 1 THEN 'cold' END, CASE WHEN carryover = 1 THEN 'carryover' END,
   CASE WHEN carryover2 = 1 THEN 'carryover2' END, CASE WHEN neighbor = 1 THEN 'neighbor' END, CASE WHEN reverse = 1 THEN 'reverse' END], lambda x: x IS NOT NULL)) AS tag FROM stt WHERE pos = (SELECT max(pos) FROM rnd)),
   e AS (SELECT sample_id, unnest(c) AS number FROM smp), n AS (SELECT sample_id, tag, count(*) AS k FROM e JOIN tg USING (number) GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY k DESC, tag) AS rn FROM n), t AS (SELECT sample_id, string_agg(tag, ',' ORDER BY rn) AS tags FROM r WHERE rn <= 3 GROUP BY 1)
   SELECT sample_id, coalesce(tags, 'pattern') AS tags FROM smp LEFT JOIN t USING (sample_id)""")
 def worker_tags(spark, sf_dir):
-    d = scores.latest(draws_of(spark, sf_dir)).withColumn("score", scores.score()).select("number", "score", scores.tags().alias("t")).cache()
-    rows = sampling.samples(scores.probabilities(d.select("number", "score"), 0.5, 0.005, []), 200)
+    d = _small(scores.latest(draws_of(spark, sf_dir)).withColumn("score", scores.score()).select("number", "score", scores.tags().alias("t")))
+    rows = sampling.samples(scores.probabilities(d.select("number", "score"), 0.5, 0.005, []), N_SAMPLES)
     tagged = rows.select("sample_id", F.explode("c").alias("number")).join(F.broadcast(d.select("number", "t")), "number").groupBy("sample_id").agg(F.flatten(F.collect_list("t")).alias("tags"))
     return ranking.worker_tags(tagged).select("sample_id", F.array_join("tags", ",").alias("tags"))
 
@@ -359,16 +406,18 @@ def number_report(spark, sf_dir):
     return out.select("number", *[_r(c) for c in out.columns if c != "number"])
 
 
-@query("SELECT round(0.05 * range, 6)::DOUBLE AS value FROM range(0, 11)")
+@query(f"WITH {STATS}, m AS (SELECT avg(excess) AS e FROM stt) SELECT round(0.05 * v.range, 6)::DOUBLE AS value, round(round(0.05 * v.range, 6)::DOUBLE * e, 9) AS mean_penalty FROM range(0, 11) v, m")
 def penalty_values(spark, sf_dir):
-    return spark.createDataFrame([(v,) for v in backtest.penalty_grid(0.0, 0.5, 0.05)], "value double")
+    mean = scores.flags(scores.grid(draws_of(spark, sf_dir))).agg(F.avg("excess").alias("e"))
+    values = F.explode(F.array(*[F.lit(v) for v in backtest.penalty_grid(0.0, 0.5, 0.05)])).alias("value")
+    return mean.select(values, "e").select("value", F.round(F.col("value") * F.col("e"), 9).alias("mean_penalty"))
 
 
 @query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, "pr", "smp")}, n AS (SELECT y.v AS number, count(*) AS k FROM smp, unnest(c) AS y(v) GROUP BY 1),
   q AS (SELECT u.number, coalesce(n.k, 0) AS k FROM num u LEFT JOIN n USING (number)), f AS (SELECT number, k / CAST(sum(k) OVER () AS DOUBLE) AS p FROM q),
   b AS (SELECT number, greatest(0, 0.65 * pr.p + 0.35 * f.p) AS b FROM pr JOIN f USING (number)) SELECT number, round(b / sum(b) OVER (), 9) AS p FROM b""")
 def blended_weights(spark, sf_dir):
-    p = _next_probabilities(spark, sf_dir).cache()
+    p = _small(_next_probabilities(spark, sf_dir))
     return sampling.blended(p, sampling.number_shares(sampling.samples(p, N_SAMPLES))).select("number", _r("p"))
 
 
@@ -537,7 +586,7 @@ def hidden_states_as_of(spark, sf_dir):
 
 @query()
 def tree_ranker(spark, sf_dir):
-    m = boosting.kept(scores.features(draws_of(spark, sf_dir)))
+    m = blocks.kept(scores.features(draws_of(spark, sf_dir)))
     at = m.agg(F.percentile("pos", F.lit(0.8)).alias("cut"), F.max("pos").alias("end")).first()
     model = ml.train(m.filter(F.col("pos") <= at.cut))
     return ml.evaluated(ml.predicted(model, m.filter((F.col("pos") > at.cut) & (F.col("pos") < at.end))))

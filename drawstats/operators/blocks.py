@@ -84,3 +84,12 @@ def running(rows: DataFrame, key: str, bits: int = BLOCK_BITS) -> DataFrame:
     carry = carry.withColumns({"pos": F.shiftleft("block", bits), "part": F.lit(-1)})
     both = rows.withColumn("f", F.col("f").cast("array<bigint>")).unionByName(carry, allowMissingColumns=True)
     return both.withColumn("sum", vector(f"coalesce(sum(f[#]) OVER (PARTITION BY block, {key} ORDER BY pos, part {before}), 0)")).filter("part >= 0")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder where one is set, else held by the executors: for what several jobs read."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    df = df.persist()
+    df.count()
+    return df

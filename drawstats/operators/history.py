@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import combos
+from . import blocks
+
 
 def unseen(candidates: DataFrame, draws: DataFrame, threshold: int = 6) -> DataFrame:
     """Candidates that share fewer than ``threshold`` numbers with every draw.
@@ -23,6 +26,31 @@ def unseen(candidates: DataFrame, draws: DataFrame, threshold: int = 6) -> DataF
     return candidates.join(left.join(right.select("k").distinct(), "k", "left_semi").select("c").distinct(), "c", "left_anti")
 
 
+def first_matches(candidates: DataFrame, draws: DataFrame, threshold: int) -> DataFrame:
+    """Candidates (distinct ``c``) with ``first``, the position of the first draw that shares ``threshold`` numbers or more, and ``overlap``, how many it shares; nulls where none does.
+
+    An index holds, for each subset of that size, the least position of the
+    draws that have it: one row a subset, however often it was drawn.  A
+    candidate's least position over its subsets is the first match, and its
+    draw tells the overlap.
+    """
+    if not 1 <= threshold <= 6:
+        raise ValueError("threshold outside 1..6")
+    numbered = blocks.numbered(draws).filter("c IS NOT NULL").select("pos", "c")
+    index = numbered.select("pos", F.explode(_subsets("c", threshold)).alias("k")).groupBy("k").agg(F.min("pos").alias("pos"))
+    mine = candidates.select("c").distinct()
+    first = mine.select("c", F.explode(_subsets("c", threshold)).alias("k")).join(index, "k").groupBy("c").agg(F.min("pos").alias("first"))
+    found = first.join(numbered.select(F.col("pos").alias("first"), F.col("c").alias("drawn")), "first").select("c", "first", combos.overlap(F.col("c"), F.col("drawn")).alias("overlap"))
+    return mine.join(found, "c", "left")
+
+
+def with_reasons(candidates: DataFrame, draws: DataFrame, threshold: int) -> DataFrame:
+    """``c``, ``passed``, ``reason`` (of those that do not pass: what was shared with the first draw that shares too much)."""
+    rows = first_matches(candidates, draws, threshold)
+    reason = F.format_string("shares %d numbers with an earlier draw, fewer than %d may be", F.col("overlap"), F.lit(threshold))
+    return rows.select("c", F.col("first").isNull().alias("passed"), F.when(F.col("first").isNotNull(), reason).alias("reason"))
+
+
 def _subsets(c: str, size: int) -> F.Column:
     """Keys of all subsets of ``size`` of the six numbers."""
     from itertools import combinations

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import combos
+from . import blocks
 
 
 def scored(combinations: DataFrame, scores: DataFrame) -> DataFrame:
@@ -24,40 +25,85 @@ def distinct_first(combinations: DataFrame) -> DataFrame:
     return combinations.groupBy("c", *rest).agg(F.min("sample_id").alias("sample_id"))
 
 
+#: Cells of the score in which ranks are counted, a unit of score.
+CELLS = 256
+
+
 def ranked(combinations: DataFrame, top_k: int | None = None) -> DataFrame:
-    """With ``rank`` by falling score, earlier samples first; only the first ``top_k`` if given (no full sort then)."""
+    """With ``rank`` by falling score, earlier samples first; only the first ``top_k`` if given (no full sort then).
+
+    Without ``top_k`` rows are numbered in cells of the score, and the sizes of
+    the cells before are added, so that no task sees all rows.
+    """
     order = [F.desc("combo_score"), F.asc("sample_id")]
-    df = combinations.orderBy(*order).limit(top_k) if top_k else combinations
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if top_k:
+        return combinations.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top_k rows
+    rows = combinations.withColumn("_cell", F.floor(-F.coalesce("combo_score", F.lit(0.0)) * CELLS))
+    sizes = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
+    rows = rows.join(blocks.sums_before(sizes, "_cell", "_n"), "_cell")
+    return rows.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("_cell").orderBy(*order))).drop("_cell", "before")
 
 
 def diverse(ranked_rows: DataFrame, count: int, max_overlap: int, by: list[str] | None = None) -> DataFrame:
     """Greedy choice in rank order: distinct, and at most ``max_overlap`` numbers shared with any chosen before.
 
-    ``by``, ``chosen`` (an array of combinations).  The choice is sequential: it
-    folds over all ranks of a group, which the number of samples (or ``top_k``)
-    bounds.
+    ``by``, ``chosen`` (an array of combinations).  The choice folds over all
+    ranks of a group in one row: for ranks that ``top_k`` bounds.  ``diverse_in_blocks``
+    is for any number of ranks.
     """
     by = by or []
     rows = ranked_rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("r"))
     return rows.select(*by, fold_diverse(F.transform("r", lambda x: x.c), count, max_overlap).alias("chosen"))
 
 
+#: Ranks in the first block of a choice, and how many times larger each next one is (at most ``LARGEST``).
+FIRST_BLOCK, WIDER, LARGEST = 1024, 4, 1 << 16
+
+
+def choose(ranked_rows: DataFrame, count: int, max_overlap: int) -> list[list[int]]:
+    """The greedy choice over blocks of ranks: what a block adds is found beside what was chosen before, and the next one is read only if it is needed.
+
+    Candidates that share too much with the chosen are left out where they are,
+    so a row holds at most one block of the others, and the driver the chosen.
+    """
+    if count <= 0:
+        raise ValueError("count must be positive")
+    chosen: list[list[int]] = []
+    last, width = 0, FIRST_BLOCK
+    end = None
+    while len(chosen) < count:
+        have = F.array(*[F.array(*[F.lit(x) for x in c]) for c in chosen]).cast("array<array<int>>")
+        block = ranked_rows.filter((F.col("rank") > last) & (F.col("rank") <= last + width))
+        near = F.exists(have, lambda g: (combos.overlap(g, F.col("c")) > max_overlap) | (g == F.col("c"))) if chosen else F.lit(False)
+        got = block.filter(~near).agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("r")).select(fold_diverse(F.transform("r", lambda x: x.c), count - len(chosen), max_overlap).alias("x")).first()
+        chosen += [list(c) for c in got.x]
+        last, width = last + width, min(width * WIDER, LARGEST)
+        if len(chosen) < count:
+            end = ranked_rows.agg(F.max("rank")).first()[0] or 0 if end is None else end
+            if last >= end:
+                break
+    return chosen
+
+
+def diverse_in_blocks(ranked_rows: DataFrame, count: int, max_overlap: int) -> DataFrame:
+    """``chosen``: one row with the choice over any number of ranks (``choose``; of a table that is kept, several jobs read it)."""
+    return ranked_rows.sparkSession.createDataFrame([(choose(ranked_rows, count, max_overlap),)], "chosen array<array<int>>")
+
+
 def fold_diverse(ordered: Column, count: int, max_overlap: int) -> Column:
     return F.aggregate(
         ordered, F.array().cast("array<array<int>>"),
-        lambda got, c: F.when((F.size(got) < count) & ~F.exists(got, lambda g: combos.overlap(g, c) > max_overlap), F.concat(got, F.array(c))).otherwise(got),
+        lambda got, c: F.when((F.size(got) < count) & ~F.exists(got, lambda g: (combos.overlap(g, c) > max_overlap) | (g == c)), F.concat(got, F.array(c))).otherwise(got),
     )
 
 
 def relaxed_diverse(ranked_rows: DataFrame, count: int, first: int = 3, last: int = 6) -> DataFrame:
-    """The choice at the first overlap, from ``first`` on, that gives enough; ``chosen``, ``max_overlap``."""
-    rows = ranked_rows.agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("r")).select(F.transform("r", lambda x: x.c).alias("o"))
-    out = None
-    for k in range(last, first - 1, -1):
-        one = F.struct(fold_diverse(F.col("o"), count, k).alias("chosen"), F.lit(k).alias("max_overlap"))
-        out = one if out is None else F.when(F.size(one["chosen"]) >= count, one).otherwise(out)
-    return rows.select(out.alias("x")).select("x.*")
+    """The choice at the first overlap, from ``first`` on, that gives enough, over blocks of ranks; ``chosen``, ``max_overlap``."""
+    for k in range(first, last + 1):
+        chosen = choose(ranked_rows, count, k)
+        if len(chosen) >= count:
+            break
+    return ranked_rows.sparkSession.createDataFrame([(chosen, k)], "chosen array<array<int>>, max_overlap int")
 
 
 def filled(chosen: DataFrame, ranked_rows: DataFrame, count: int) -> DataFrame:

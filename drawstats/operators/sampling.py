@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import combos
 
+#: Keeps some rows of a table of samples.
+Filter = Callable[[DataFrame], DataFrame]
+
 
 def gumbel_top6(p: Column, number: Column, *parts: Column) -> Column:
     """What to order numbers by (largest first): log-weight and Gumbel noise; null weight never wins."""
@@ -22,6 +28,8 @@ def samples(probabilities: DataFrame, n: int, seed: int | Column = 42, by: list[
     the same distribution.
     """
     by = by or []
+    if "p" not in probabilities.columns or "number" not in probabilities.columns:
+        raise ValueError("probabilities need the columns number and p")
     spark = probabilities.sparkSession
     table = probabilities.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("number", "p"))).alias("ps")) if by else probabilities.agg(
         F.array_sort(F.collect_list(F.struct("number", "p"))).alias("ps")
@@ -50,7 +58,7 @@ def accepted(candidates: DataFrame, passes: Column, most: int) -> DataFrame:
 
 
 def rejection(candidates: DataFrame, passes: Column, relaxed: Column, games: int, target: int) -> DataFrame:
-    """Accepted combinations; if there are fewer than ``games``, those of the relaxed predicate after them."""
+    """Accepted combinations of a given table; if there are fewer than ``games``, those of the relaxed predicate after them."""
     strict = accepted(candidates, passes, target).withColumn("phase", F.lit(0))
     found = strict.agg(F.count("*").alias("found"))
     more = accepted(candidates, relaxed, target).withColumn("phase", F.lit(1)).crossJoin(F.broadcast(found)).filter(F.col("found") < games).drop("found")
@@ -58,6 +66,64 @@ def rejection(candidates: DataFrame, passes: Column, relaxed: Column, games: int
     return strict.unionByName(more)
 
 
+#: The first batch of an adaptive run, how much more than the measured rate asks for is drawn, and how much larger a batch may be than the one before.
+FIRST_BATCH, SPARE, GROWTH = 2000, 1.2, 8
+#: Candidates wanted in all and a game, and the limits of the relaxed phase.
+LEAST_TARGET, TARGET_PER_GAME, RELAXED_PER_GAME, LEAST_RELAXED, RELAXED_SHARE = 350, 70, 8, 6000, 0.35
+
+
+@dataclass(frozen=True)
+class Run:
+    """``rows`` (``c``, ``sample_id``, ``phase``: 0 strict, 1 relaxed) of an adaptive run, how many samples were looked at, and the batches that were drawn."""
+
+    rows: DataFrame
+    attempts: int
+    batches: list[int]
+
+
+def _until(probabilities: DataFrame, passes: Filter, seed: int, start: int, most: int, target: int, got: list[Row]) -> tuple[int, list[int]]:
+    """Adds to ``got`` what passes among the samples from ``start`` on, until it has ``target`` rows or ``most`` samples were drawn; the samples looked at, and the batches.
+
+    A sample's noise is keyed by its number, so what is accepted does not depend
+    on the batches; the size of the next one follows from the share accepted.
+    """
+    spark, drawn, batches, size = probabilities.sparkSession, 0, [], FIRST_BATCH
+    while drawn < most and len(got) < target:
+        size = min(size, most - drawn)
+        rows = passes(samples(probabilities, size, seed, start=start + drawn)).groupBy("c").agg(F.min("sample_id").alias("sample_id"))
+        if got:  # at most target rows
+            rows = rows.join(F.broadcast(spark.createDataFrame([(r.c,) for r in got], "c array<int>")), "c", "left_anti")
+        new = rows.orderBy("sample_id").limit(target - len(got)).collect()
+        got += new
+        drawn += size
+        batches.append(size)
+        wanted = SPARE * (target - len(got)) * size / max(len(new), 1)
+        size = int(min(max(wanted, FIRST_BATCH), GROWTH * size))
+    return (got[-1].sample_id + 1 - start if len(got) >= target else drawn), batches
+
+
+def adaptive(probabilities: DataFrame, passes: Filter, relaxed: Filter, games: int, max_attempts: int, seed: int = 42, target: int | None = None) -> Run:
+    """Rejection sampling from one table of 45 probabilities, in batches that follow the acceptance rate.
+
+    ``passes`` keeps the good rows of samples (``sample_id``, ``c``).  Distinct
+    combinations are accepted in the order of samples until there are ``target``
+    (350, and 70 a game at least), or ``max_attempts`` were drawn.  If there are
+    fewer than ``games`` then, more samples are drawn that pass ``relaxed``
+    only, until there are eight a game or a third of the attempts again (6 000
+    at least) are spent.  The driver holds the accepted ones, ``target`` at most.
+    """
+    if games <= 0 or max_attempts <= 0:
+        raise ValueError("games and max_attempts must be positive")
+    spark, got = probabilities.sparkSession, []
+    attempts, batches = _until(probabilities, passes, seed, 0, max_attempts, target or max(LEAST_TARGET, TARGET_PER_GAME * games), got)
+    strict = len(got)
+    if strict < games:
+        more, further = _until(probabilities, relaxed, seed, max_attempts, max(LEAST_RELAXED, int(max_attempts * RELAXED_SHARE)), RELAXED_PER_GAME * games, got)
+        attempts, batches = attempts + more, batches + further
+    rows = [(r.c, r.sample_id, int(i >= strict)) for i, r in enumerate(got)]
+    return Run(spark.createDataFrame(rows, "c array<int>, sample_id long, phase int"), attempts, batches)
+
+
 def without(candidates: DataFrame, shown: DataFrame) -> DataFrame:
     """Candidates whose key is not among ``shown.k``, the keys of results that were given lately."""
     return candidates.withColumn("k", combos.key(F.col("c"))).join(shown.select("k").distinct(), "k", "left_anti").drop("k")
