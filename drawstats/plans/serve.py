@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import combos
-from ..operators import history, hmm, ranking, sampling, scores
+from ..operators import blocks, history, hmm, ranking, sampling, scores
 
 HISTORY_OVERLAP = 5
 
@@ -75,7 +75,7 @@ def serving_scores(draws: DataFrame, hidden: bool = True) -> DataFrame:
 
 def kept(drawn: DataFrame, preset: Preset, carried: list[int], draws: DataFrame) -> DataFrame:
     """Samples that pass the filters and share fewer than five numbers with every draw; all samples if none does."""
-    good = history.unseen(drawn.filter(passes(preset, carried)), draws, HISTORY_OVERLAP)
+    good = blocks.kept(history.unseen(drawn.filter(passes(preset, carried)), draws, HISTORY_OVERLAP))  # looked at, then ranked
     return drawn if good.isEmpty() else good
 
 

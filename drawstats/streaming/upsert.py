@@ -3,38 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.draws import upserted
+from .table import RangeTable
 
 
-def upsert_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-    """Starts a query that puts each batch of ``source`` into the table at ``target``.
+def upsert_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, fmt: str = "parquet", bits: int = 8) -> StreamingQuery:
+    """Starts a query that puts each batch of ``source`` into the ``RangeTable`` at ``target``.
 
-    Each batch writes the next version beside the last, named by the batch, so a
-    batch that is repeated after a failure writes the same version again.
+    A batch rewrites the round ranges it touches and no others; repeated after
+    a failure it changes nothing.  Within a batch the order of arrival is the
+    files' time of change, and the place in the file.
     """
     stream = spark.readStream.schema(schema).format(fmt).load(source)
+    stream = stream.withColumn("_file", F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.file_block_start"))
 
     def put(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        old = current(session, target, schema, number)
-        upserted(old, batch).write.mode("overwrite").parquet(f"{target}/version={number}")
+        came = F.struct("_file", F.monotonically_increasing_id().alias("row"))  # rises inside a file's block
+        RangeTable(batch.sparkSession, target, schema, bits).upsert(batch.withColumn("_came", came).drop("_file"), "_came", number)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, target: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    return sorted(done)
-
-
-def current(spark: SparkSession, target: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest finished version (older than ``before``, if given); empty if there is none."""
-    have = [v for v in versions(spark, target) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{target}/version={have[-1]}") if have else spark.createDataFrame([], schema)
+def current(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The rows of the table; empty if there is none."""
+    return RangeTable(spark, target, schema).read()
