@@ -26,32 +26,41 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg object".split())
 #: Elements that are never main text.
-LEFT_OUT = RAW | frozenset("head nav header footer aside form button select option dialog canvas audio video menu input label fieldset".split())
+LEFT_OUT = RAW | frozenset("head nav header footer aside button select option dialog canvas audio video menu input label fieldset".split())
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption "
-    "address center hr details summary".split()
+    "address center hr details summary form".split()
 ) | (LEFT_OUT - {"label", "option", "input"})
 PARAGRAPH = frozenset("p pre blockquote td li dd div section article main body".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the first kind ends an open element of the second kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body main td th blockquote nav aside header footer form".split())
-#: Words of a section's class or id (split at anything but letters and digits) that name menus, headers, footers, sidebars,
-#: notices, adverts, forms or reader comments.
+#: What a form asks with; a form is left out unless its paragraphs have more points than it has of these.
+CONTROLS = frozenset("input select textarea button".split())
+#: Words of a section's class or id that name menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb "
     "breadcrumbs sidebar aside footer header masthead comment comments respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login sharing widget widgets pager pagination toolbar".split()
 )
+#: Those of reader comments, which are never the main text of a page that has another one.
+COMMENTS = frozenset("comment comments respond disqus".split())
+#: Words that may stand beside them in a name; beside any other (``menu-history``, ``ad-hoc-networks``) they are part of a subject.
+BESIDE = frozenset(
+    "area author bar block body bottom box btn close col column container content desktop fixed form global group holder id inline inner item items js left link links "
+    "list main mobile module new old outer overlay page panel policy popup post posts primary reader readers region reply right row secondary section site slot space sticky "
+    "strip text thread title top unit user users wrap wrapper zone".split()
+)
 #: Elements that a class or id can mark.
-SECTION = frozenset("div section ul ol dl table center details figure span".split())
+SECTION = frozenset("div section ul ol dl table center details span".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
-_WORD = re.compile(r"[a-z]+")
+_NAME, _WORD = re.compile(r"[^\s]+"), re.compile(r"[a-z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Points of a paragraph: one, one a comma, one for every so many characters up to a most.
 PER_CHARS, MOST_FOR_LENGTH, LEAST_CHARS = 100, 3, 25
@@ -65,14 +74,16 @@ MOST_LINKED = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "chars", "linked", "points", "order", "marked")
+    __slots__ = ("tag", "parent", "parts", "chars", "linked", "points", "order", "marked", "name", "controls")
 
     def __init__(self, tag: str, parent: Element | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.parts: list[Element | str] = []
         self.chars = self.linked = 0
         self.points = 0.0
-        self.marked = False
+        self.marked = ""  # why it is left out: section, comments or form
+        self.name = ""  # its class
+        self.controls = 0
 
 
 def _left_out(tag: str, attributes: str, inside: Element) -> bool:
@@ -89,13 +100,30 @@ def _left_out(tag: str, attributes: str, inside: Element) -> bool:
     return False
 
 
-def _is_marked(tag: str, attributes: str) -> bool:
-    if not attributes or tag not in SECTION:
-        return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id") and not MARKED.isdisjoint(_WORD.findall("".join(values).lower())):
-            return True
-    return False
+def _mark(tag: str, attributes: str) -> tuple[str, str]:
+    """What a section's class and id say it is (``section`` of what is left out, ``comments``, or nothing), and its class."""
+    if tag == "form":
+        return "form", ""
+    said, class_ = "", ""
+    if attributes and tag in SECTION:
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), "".join(values).lower()
+            if name == "class":
+                class_ = value
+            if name not in ("class", "id"):
+                continue
+            for token in _NAME.findall(value):
+                words = set(_WORD.findall(token))
+                found = words & MARKED
+                if found and all(w in MARKED or w in BESIDE or len(w) <= 2 for w in words):
+                    said = "comments" if found & COMMENTS else said or "section"
+    return said, class_
+
+
+def _nearest(at: Element | None, tag: str) -> Element | None:
+    while at is not None and at.tag != tag:
+        at = at.parent
+    return at
 
 
 def _within(at: Element | None, tags: tuple[str, ...]) -> bool:
@@ -143,6 +171,10 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
             continue
         closing = bool(m[1] or m[4])
         attributes = m[3] if m[2] else m[6]
+        if not closing and tag in CONTROLS and "hidden" not in attributes.lower():
+            form = _nearest(at, "form")
+            if form is not None:
+                form.controls += 1
         if not closing and tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, position)
             position = end.end() if end else len(page)
@@ -187,7 +219,7 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
             if not attributes.endswith("/"):
                 skip.append(tag)
             continue
-        marked = _is_marked(tag, attributes)
+        marked, class_ = _mark(tag, attributes)
         if tag not in BLOCK:
             if marked and tag == "span" and not attributes.endswith("/"):
                 skip.append(tag)
@@ -204,7 +236,7 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
             if up.tag in ends:
                 close(up.parent)
         at = Element(tag, at, len(elements))
-        at.marked = marked
+        at.marked, at.name = marked, class_
         at.parent.parts.append(at)
         elements.append(at)
     flush()
@@ -218,12 +250,45 @@ def _totals(elements: list[Element]) -> None:
             e.parent.linked += e.linked
 
 
+def _paragraph_points(e: Element) -> float:
+    """Points of an element's own text, less what is linked of it; none if it is short."""
+    blocks = [x for x in e.parts if isinstance(x, str)]
+    own = sum(map(len, blocks))
+    if e.tag not in PARAGRAPH or own < LEAST_CHARS:
+        return 0.0
+    inner = sum(x.linked for x in e.parts if not isinstance(x, str))
+    return (1 + sum(b.count(",") for b in blocks) + min(own / PER_CHARS, MOST_FOR_LENGTH)) * (1 - min(1.0, max(0, e.linked - inner) / own))
+
+
 def _without_marked(root: Element, elements: list[Element]) -> list[Element]:
-    """The elements outside marked ones; one that holds most of the page's text is not marked."""
+    """The elements outside marked ones.
+
+    A form whose paragraphs have more points than it has controls wraps what is
+    written.  A section that holds most of the page's text is not marked;
+    comments are, however long, if paragraphs outside marked ones have points.
+    """
+    asked: dict[Element, float] = {}
+    inside: set[Element] = set()
+    outside = 0.0
+    for e in elements:  # parents first
+        if e.parent is not None and (e.parent.marked in ("section", "comments") or e.parent in inside):
+            inside.add(e)
+        points = _paragraph_points(e)
+        if not points:
+            continue
+        form = _nearest(e, "form")
+        if form is not None:
+            asked[form] = asked.get(form, 0.0) + points
+        elif e not in inside and e.marked in ("", "form"):
+            outside += points
+    for e in elements:
+        if e.marked == "form" and asked.get(e, 0.0) > e.controls:
+            e.marked = ""
+            outside += asked[e]
     out, gone = [], set()
     for e in elements:
-        if e.marked and e.chars - e.linked > max(MARKED_CHARS, (root.chars - root.linked) / 2):
-            e.marked = False
+        if (e.marked == "section" or e.marked == "comments" and not outside) and e.chars - e.linked > max(MARKED_CHARS, (root.chars - root.linked) / 2):
+            e.marked = ""
         if e.marked or e.parent in gone:
             gone.add(e)
         else:
@@ -242,14 +307,9 @@ def _score(elements: list[Element]) -> None:
     for e in elements:
         if e.chars:
             e.points += TAG_POINTS.get(e.tag, 0)
-        if e.tag not in PARAGRAPH:
-            continue
-        blocks = [x for x in e.parts if isinstance(x, str)]
-        own = sum(map(len, blocks))
-        if own < LEAST_CHARS:
+        points = _paragraph_points(e)
+        if not points:
             continue
-        inner = sum(x.linked for x in e.parts if not isinstance(x, str))
-        points = (1 + sum(b.count(",") for b in blocks) + min(own / PER_CHARS, MOST_FOR_LENGTH)) * (1 - min(1.0, max(0, e.linked - inner) / own))
         share, up = 1.0, (e.parent if e.tag in ("p", "pre", "blockquote", "td", "li", "dd") and e.parent is not None else e)
         while up is not None and share > 0.05:
             up.points += points * share
@@ -292,7 +352,8 @@ def main_text(page: str | None) -> str:
     siblings = [best] if best.parent is None else [x for x in best.parent.parts if isinstance(x, Element)]
     least = max(SIBLING_POINTS, SIBLING_SHARE * worth(best))
     for x in siblings:
-        good = x is best or worth(x) >= least or (x.tag in ("h1", "h2") and _linked(x) == 0)
+        alike = x.tag == best.tag and (x.tag == "section" or x.name and x.name == best.name) and _linked(x) <= MOST_LINKED  # another part of the same text
+        good = x is best or worth(x) >= least or alike or (x.tag in ("h1", "h2") and _linked(x) == 0)
         if x.tag == "p" and not good:
             good = (x.chars > SIBLING_CHARS and _linked(x) < 0.25) or (x.linked == 0 and _ends(x))
         if good:
