@@ -26,33 +26,47 @@ def normalised_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*["round" if n == "round_id" else n for n in names])
 
 
-def problems(df: DataFrame) -> dict[str, list[int] | int]:
-    """Rows that break each rule, from one aggregation."""
+#: Rounds that an error quotes of each rule and column.
+QUOTED = 20
+#: Rules in the order in which they are told.
+RULES = ("not_numeric", "out_of_range", "not_unique")
+
+
+def violations(df: DataFrame) -> DataFrame:
+    """``rule``, ``column`` (null for rules on the row) and ``round``, a row for each rule that a row breaks in a column."""
     missing = [c for c in ("round", *NUMBER_COLUMNS) if c not in df.columns]
     if missing:
         raise DrawError(f"missing columns: {', '.join(missing)}")
     number = {c: F.expr(f"try_cast(`{c}` AS INT)") for c in ("round", *NUMBER_COLUMNS)}
-    bad = F.lit(False)
-    for c in number.values():
-        bad = bad | c.isNull()
-    outside = F.lit(False)
-    for c in NUMBER_COLUMNS:
-        outside = outside | ~number[c].between(1, 45)
     same = F.size(F.array_distinct(F.array(*[number[c] for c in NUMBER_COLUMNS]))) != 6
+    tests = [("not_numeric", c, x.isNull()) for c, x in number.items()]
+    tests += [("out_of_range", c, ~number[c].between(1, 45)) for c in NUMBER_COLUMNS] + [("not_unique", None, same)]
+    each = F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(c).cast("string").alias("column"))) for rule, c, broken in tests])
+    told = df.select(number["round"].alias("round"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+    return told.select("x.rule", "x.column", "round")
 
-    def some(test: F.Column) -> F.Column:
-        return F.sort_array(F.collect_set(F.when(F.coalesce(test, F.lit(False)), number["round"])))
 
-    got = df.agg(F.sum(bad.cast("int")).alias("n"), some(outside).alias("outside"), some(same).alias("same")).first()
-    return {"not_numeric": got.n or 0, "out_of_range": got.outside, "not_unique": got.same}
+def problems(df: DataFrame) -> dict[tuple[str, str | None], tuple[int, list[int]]]:
+    """How many rows break each rule in each column, and the first of their rounds (``QUOTED`` at most).
+
+    All of them are in ``violations``; here a rule and column is one row of counts.
+    """
+    broken = violations(df)
+    counts = broken.groupBy("rule", "column").agg(F.count("*").alias("n")).collect()  # 14 rows at most
+    out = {}
+    for r in sorted(counts, key=lambda r: (RULES.index(r.rule), r.column or "")):
+        rows = broken.filter((F.col("rule") == r.rule) & F.col("column").eqNullSafe(F.lit(r.column))).filter("round IS NOT NULL")
+        out[r.rule, r.column] = r.n, [x["round"] for x in rows.select("round").distinct().orderBy("round").limit(QUOTED).collect()]
+    return out
 
 
 def validated(df: DataFrame) -> DataFrame:
-    """Cast and checked draws, other columns kept; DrawError names the first broken rule and some of its rounds."""
+    """Cast and checked draws, other columns kept; DrawError names the first broken rule, its columns and some of their rounds."""
     found = problems(df)
-    for rule, rows in found.items():
-        if rows:
-            raise DrawError(f"{rule}: {rows}")
+    if found:
+        rule = next(iter(found))[0]
+        said = [f"{c or 'row'}: {n} rows, rounds {rounds}" for (r, c), (n, rounds) in found.items() if r == rule]
+        raise DrawError(f"{rule}: {'; '.join(said)}")
     return df.withColumns({c: F.col(c).cast("int") for c in ("round", *NUMBER_COLUMNS)})
 
 

@@ -79,3 +79,14 @@ def test_derived_draws_are_valid(spark):
     lines = spark.range(240).select((F.col("id") / 3).cast("long").alias("l_orderkey"), (F.col("id") * 7 % 100).alias("l_partkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"))
     got = source.from_lineitem(lines).collect()
     assert got and all(len(set(r.c)) == 6 and r.bonus not in r.c and r.c == sorted(r.c) for r in got)
+
+
+def test_what_breaks_the_rules_is_told_by_column(spark):
+    rows = [(r, 1, 2, 3, 4, 5, 46 if r % 2 else 6) for r in range(100)] + [(200, 0, 2, 3, 4, 5, 50), (201, 7, 7, 3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "round int, n1 int, n2 int, n3 int, n4 int, n5 int, n6 int").repartition(3)
+    found = source.problems(df)
+    assert found["out_of_range", "n6"] == (51, list(range(1, 40, 2))) and found["out_of_range", "n1"] == (1, [200]) and found["not_unique", None] == (1, [201])
+    assert set(found) == {("out_of_range", "n1"), ("out_of_range", "n6"), ("not_unique", None)} and source.violations(df).count() == 53
+    with pytest.raises(source.DrawError, match=r"out_of_range: n1: 1 rows, rounds \[200\]; n6: 51 rows"):
+        source.validated(df)
+    assert source.validated(df.filter("round = 0")).count() == 1
