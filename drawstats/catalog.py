@@ -244,6 +244,20 @@ def special_filters(spark, sf_dir):
     return rows.select("round", combos.first_failure(combos.special_filters(F.col("c"), (8,), near, 2)).alias("failed_filter"))
 
 
+@query(f"""WITH {STATS}{MARKOV}{NEXT}{_samples_sql(N_SAMPLES, 'pr', 'smp')}, near AS (SELECT list(number) AS near FROM st WHERE pos = (SELECT max(pos) FROM rnd) AND (carryover = 1 OR carryover2 = 1)),
+  hs AS (SELECT DISTINCT array_to_string(list_filter(c, lambda x: x <> y.v), '-') AS u FROM drw, unnest(c) AS y(v)), f AS (SELECT sample_id, c, near, {FACTS} FROM smp, near),
+  g AS MATERIALIZED (SELECT sample_id, c, CASE WHEN NOT total BETWEEN 100 AND 175 THEN 'sum' WHEN NOT odd BETWEEN 2 AND 4 THEN 'odd_even' WHEN NOT high BETWEEN 2 AND 4 THEN 'high_low' WHEN ac < 7 THEN 'ac'
+    WHEN zone > 3 THEN 'zone' WHEN ending > 2 THEN 'ending' WHEN list_contains(c, 8) THEN 'excluded' WHEN {_RARE_SQL} THEN 'rare_pair' WHEN len(list_filter(c, lambda x: list_contains(near, x))) > 2 THEN 'carryover' END AS failed FROM f),
+  sn AS (SELECT DISTINCT sample_id FROM (SELECT sample_id, array_to_string(list_filter(c, lambda x: x <> y.v), '-') AS u FROM g, unnest(c) AS y(v) WHERE failed IS NULL) JOIN hs USING (u))
+  SELECT coalesce(failed, CASE WHEN sample_id IN (SELECT sample_id FROM sn) THEN 'history' ELSE 'passed' END) AS failed_filter, count(*) AS n FROM g GROUP BY 1""")
+def worker_filter_order(spark, sf_dir):
+    past = draws_of(spark, sf_dir)
+    stats = _small(scores.latest(past).withColumn("score", scores.score()).select("number", "score", "carryover", "carryover2"))
+    p = serve.PRESETS["A"]
+    drawn = sampling.samples(scores.probabilities(stats.select("number", "score"), p.temperature, p.floor, []), N_SAMPLES)
+    return serve.rejected_by(drawn, p, serve.near(stats), past).groupBy("failed_filter").agg(F.count("*").alias("n"))
+
+
 #: Against so many of the last draws at small thresholds, which nothing passes against all of them.
 _LAST_DRAWS = {1: 2, 2: 10, 3: 40}
 

@@ -123,6 +123,13 @@ def special_filters(c: Column, excluded: Sequence[int], near: Column, carry_limi
     return out
 
 
+def worker_filters(c: Column, limits: Limits, excluded: Sequence[int], near: Column, carry_limit: int | None, rare: bool = True) -> list[tuple[str, Column]]:
+    """The same predicates in the order in which a page's worker asks: sum, odd, high, differences, zones, endings, excluded, rare pair, carry-over."""
+    tests = dict(filters(c, limits) + special_filters(c, excluded, near, carry_limit, rare))
+    order = ("sum", "odd_even", "high_low", "ac", "zone", "ending", "excluded", "rare_pair", "carryover")
+    return [(name, tests[name]) for name in order if name in tests]
+
+
 def first_failure(tests: list[tuple[str, Column]]) -> Column:
     """Name of the first failing predicate; null if all pass."""
     out = F.lit(None).cast("string")

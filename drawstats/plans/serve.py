@@ -79,6 +79,16 @@ def kept(drawn: DataFrame, preset: Preset, carried: list[int], draws: DataFrame)
     return drawn if good.isEmpty() else good
 
 
+def rejected_by(drawn: DataFrame, preset: Preset, carried: list[int], draws: DataFrame) -> DataFrame:
+    """``drawn`` with ``failed_filter``: the first predicate of the worker's order that fails, ``history`` if only a draw
+    with five numbers in common is against it, ``passed`` if nothing is.  A repeated combination has one answer."""
+    near_by = F.array(*[F.lit(x) for x in carried]).cast("array<int>")
+    failed = combos.first_failure(combos.worker_filters(F.col("c"), preset.limits, preset.excluded, near_by, preset.carry_limit, preset.rare))
+    rows = drawn.withColumn("_failed", failed)
+    new = history.unseen(rows.filter("_failed IS NULL").select("c").distinct(), draws, HISTORY_OVERLAP).withColumn("_new", F.lit("passed"))
+    return rows.join(new, "c", "left").withColumn("failed_filter", F.coalesce("_failed", "_new", F.lit("history"))).drop("_failed", "_new")
+
+
 def recommend(draws: DataFrame, preset: str = "A", games: int = 5, seed: int = 42, n_samples: int | None = None, hidden: bool = True) -> DataFrame:
     """``place``, ``c``, ``combo_score``, ``percentile``, ``tags``, ``reasons``: combinations for the round to come."""
     if preset not in PRESETS or games not in GAMES:
