@@ -1,10 +1,13 @@
 """Queries over all rows, and the bounds of what their steps shuffle and hold."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import types as T
 
 from drawstats import catalog
+from drawstats.operators import blocks, scores, tallies
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,3 +18,45 @@ def test_history_filter_3_goes_back_to_the_first_draw(spark):
     got = [set(map(int, r.combo.split("-"))) for r in catalog.QUERIES["history_filter_3"](spark, DATA).collect()]
     assert len(past) > 40 and all(len(c & d) < 3 for c in got for d in past)
     assert "max(pos)" not in catalog.ORACLES["history_filter_3"].split("h AS (")[1]
+
+
+@pytest.fixture(scope="module")
+def rounds(spark):
+    r = random.Random(8)
+    rows = [(3 * i, sorted(r.sample(range(1, 46) if i % 3 else range(1, 10), 6 if i % 40 else 5)), None) for i in range(300)]
+    return rows, spark.createDataFrame(rows, "round long, c array<int>, bonus int").repartition(3).cache()
+
+
+def arrays_shuffled(df):
+    """Columns that are arrays, which the windows after would sort with each number's row."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+
+
+def test_pairs_over_blocks(spark, rounds):
+    rows, df = rounds
+    draws = [set(c) for _, c, _ in rows]
+    got = {r.pos: r.pair for r in tallies.paired(blocks.numbered(df), bits=6).collect()}
+    assert sorted(got) == list(range(2, len(rows) + 2))
+    for t in (2, 3, 64, 65, 66, 130, 257, 301):
+        prior, last = draws[: t - 2], draws[t - 2]
+        assert got[t] == pytest.approx([sum(n in d and bool(d & last) for d in prior) / len(prior) if prior else 0 for n in range(1, 46)])
+
+
+def test_pairs_shuffle_rounds_alone(rounds):
+    plan = scores.paired(rounds[1])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "Window [sum" not in plan  # no row for each subset of a draw
+
+
+def test_the_grid_sorts_no_arrays(rounds):
+    df = rounds[1]
+    extra = scores.followers(df).join(scores.paired(df), "pos", "full_outer")
+    assert arrays_shuffled(scores.grid(df, 50, extra, scores.carried(df))) == []
+
+
+def test_statistics_from_a_round_on(rounds):
+    df = rounds[1]
+    for tail in (None, 20):
+        every = scores.statistics(df, 50, tail).filter("round >= 800")
+        some = scores.statistics(df, 50, tail, 800)
+        assert sorted(map(str, some.collect())) == sorted(map(str, every.collect())) and some.count() == 34 * 45
+    assert scores.statistics(df, start_round=10**6).count() == 0
