@@ -73,10 +73,10 @@ def serving_scores(draws: DataFrame, hidden: bool = True) -> DataFrame:
     return rows.withColumn("score", F.col("score") + F.col("value")).withColumn("t", F.when(F.col("tag").isNotNull(), F.array_append("t", F.col("tag"))).otherwise(F.col("t"))).drop("value", "tag")
 
 
-def kept(drawn: DataFrame, preset: Preset, carried: list[int], draws: DataFrame) -> DataFrame:
-    """Samples that pass the filters and share fewer than five numbers with every draw; all samples if none does."""
+def kept(drawn: DataFrame, preset: Preset, carried: list[int], draws: DataFrame, relaxed: bool = True) -> DataFrame:
+    """Samples that pass the filters and share fewer than five numbers with every draw; if none does, all samples (``relaxed``) or none."""
     good = blocks.kept(history.unseen(drawn.filter(passes(preset, carried)), draws, HISTORY_OVERLAP))  # looked at, then ranked
-    return drawn if good.isEmpty() else good
+    return drawn if relaxed and good.isEmpty() else good
 
 
 def rejected_by(drawn: DataFrame, preset: Preset, carried: list[int], draws: DataFrame) -> DataFrame:
@@ -89,8 +89,11 @@ def rejected_by(drawn: DataFrame, preset: Preset, carried: list[int], draws: Dat
     return rows.join(new, "c", "left").withColumn("failed_filter", F.coalesce("_failed", "_new", F.lit("history"))).drop("_failed", "_new")
 
 
-def recommend(draws: DataFrame, preset: str = "A", games: int = 5, seed: int = 42, n_samples: int | None = None, hidden: bool = True) -> DataFrame:
-    """``place``, ``c``, ``combo_score``, ``percentile``, ``tags``, ``reasons``: combinations for the round to come."""
+def recommend(draws: DataFrame, preset: str = "A", games: int = 5, seed: int = 42, n_samples: int | None = None, hidden: bool = True, relaxed: bool = True) -> DataFrame:
+    """``place``, ``c``, ``combo_score``, ``percentile``, ``tags``, ``reasons``: combinations for the round to come.
+
+    Where no sample passes the filters, all are ranked, or without ``relaxed`` none, and there is no row.
+    """
     if preset not in PRESETS or games not in GAMES:
         raise ValueError("preset A or B, 5 or 10 games")
     p, spark = PRESETS[preset], draws.sparkSession
@@ -98,7 +101,7 @@ def recommend(draws: DataFrame, preset: str = "A", games: int = 5, seed: int = 4
     stats = spark.createDataFrame(rows, "number int, score double, carryover int, carryover2 int, t array<string>").coalesce(1)
     table = scores.probabilities(stats.select("number", "score"), p.temperature, p.floor, [])
     drawn = sampling.samples(table, n_samples or p.samples, seed_of(seed, p))
-    ranks = ranking.ranked(ranking.scored(kept(drawn, p, near(stats), draws), stats).withColumn("combo_score", F.round("combo_score", 9)), p.top_k)
+    ranks = ranking.ranked(ranking.scored(kept(drawn, p, near(stats), draws, relaxed), stats).withColumn("combo_score", F.round("combo_score", 9)), p.top_k)
     best = ranks.collect()  # at most top_k rows
     ranks = spark.createDataFrame(best, ranks.schema).coalesce(1)
     chosen = ranking.filled(ranking.diverse(ranks, games, p.max_overlap), ranks, games)

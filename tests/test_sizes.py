@@ -4,10 +4,12 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drawstats import catalog
-from drawstats.operators import blocks, scores, tallies
+from drawstats.operators import blocks, sampling, scores, tallies
+from drawstats.plans import serve
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,3 +62,14 @@ def test_statistics_from_a_round_on(rounds):
         some = scores.statistics(df, 50, tail, 800)
         assert sorted(map(str, some.collect())) == sorted(map(str, every.collect())) and some.count() == 34 * 45
     assert scores.statistics(df, start_round=10**6).count() == 0
+
+
+def test_no_recommendation_where_every_sample_was_drawn(spark):
+    n = 200
+    seen = sampling.samples(sampling.uniform_table(spark.range(1)), 30, 5).select(F.col("sample_id").alias("round"), "c", F.lit(None).cast("int").alias("bonus"))
+    stats = spark.createDataFrame([(k, 0.5) for k in range(1, 46)], "number int, score double")
+    drawn = sampling.samples(scores.probabilities(stats, 0.5, 0.005, []), n, 5)
+    past = drawn.select(F.col("sample_id").alias("round"), "c", F.lit(None).cast("int").alias("bonus"))
+    p = serve.PRESETS["A"]
+    assert serve.kept(drawn, p, [], past, relaxed=False).count() == 0 and serve.kept(drawn, p, [], past).count() == n
+    assert serve.kept(drawn, p, [], seen.limit(1), relaxed=False).count() < n
