@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawstats.llm import fm_dedup, mixing, pieces_codec, quality, shingle_sets
-from drawstats.llm.common import stored, table
+from drawstats.llm.common import merged, stored, table
 
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,9 +36,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     a null or repeated id drops none that is in a class of its own.
     """
     docs = docs.select(*COLUMNS, *_row_hashes())
-    roots = shingle_sets.near_classes(docs).join(docs.select("h1", "h2", F.isnull("doc_id").alias("none"), "doc_id").distinct(), ["h1", "h2"])
+    roots = shingle_sets.near_classes(docs).join(merged(docs.select("h1", "h2", F.isnull("doc_id").alias("none"), "doc_id").distinct()), ["h1", "h2"])
     keep = roots.groupBy("root").agg(F.min(F.struct("none", "doc_id", "h1", "h2")).alias("k")).select("k.h1", "k.h2")
-    return docs.join(keep, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select(*COLUMNS)
+    return docs.join(merged(keep), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ two sets with a Jaccard similarity of at least ``t`` share one of the first
 ``n - ceil(t n) + 1`` members of each, in any order of all shingles.  Each node
 is compared with the hub of its keys, which joins the copies of one text without
 making all their pairs.  What is left are pairs of different components that
-share a key; sizes, places and tallies of the sets rule out most, and the full
-sets of the others are compared.  The order puts shingles last that are frequent
+share a key; sizes, places, the number of members that the prefixes share and
+tallies of the sets rule out most, and the full sets of the others are compared.  The order puts shingles last that are frequent
 in a bounded sample: it saves pairs and has no part in the result.
 
 Texts with equal sets are one node, so copies make no pairs.  Sets and shingles
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RangeHash, mixed, pieces, stored, text_buffer, trimmed, words_of
+from .common import LOWER, RangeHash, merged, mixed, pieces, stored, text_buffer, trimmed, words_of
 from .simhash import DISTANCE, _within, components, links, majority
 
 #: Words of a shingle, and the least similarity of near duplicates as a fraction.
@@ -33,6 +33,8 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 SAMPLED, ORDERED, OFTEN = 20_000, 1 << 16, 4
 #: Parts of a set whose sizes bound what two sets have in common.
 TALLIES = 64
+#: Keys that a node carries into the join of pairs.
+KEYS = 256
 _STEP, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -127,54 +129,72 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     flat = rows.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     # stored, so that the join can split a frequent key over tasks
     met = stored(flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"))
-    each = stored(flat.join(met, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")))
+    each = stored(flat.join(merged(met), "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")))
     who = each.groupBy("key").agg(F.xxhash64(F.bit_xor("node"), F.bit_xor(F.xxhash64("node")), F.count("*")).alias("who"))
-    return each.join(stored(who), "key").groupBy(F.col("who").alias("key"), "node").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.count("*").alias("weight"))
+    return each.join(merged(stored(who)), "key").groupBy(F.col("who").alias("key"), "node").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.count("*").alias("weight"))
 
 
 def fingerprint_pairs(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
     """Pairs ``a``, ``b`` of nodes (``node``, ``fp``) that ``simhash.links`` finds at most ``d`` bits apart; at most one for each ``b``."""
     heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
-    same = nodes.join(heads, "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    same = nodes.join(merged(heads), "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     apart = links(heads.select("fp"), d)
     for side in ("a", "b"):
-        apart = apart.join(heads.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}")), side)
+        apart = apart.join(merged(heads.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}"))), side)
     return same.union(apart.groupBy(F.col("lead_b").alias("b")).agg(F.min("lead_a").alias("a")).select("a", "b"))
 
 
 def hub_pairs(each: DataFrame) -> DataFrame:
     """A pair ``a``, ``b`` for each node ``b``: ``a`` is the hub that it shares most keys with.  The hub of a key is its node with most shared keys."""
     degree = stored(each.groupBy("node").agg(F.sum("weight").alias("degree")))
-    hubs = stored(each.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("a")))
-    met = each.join(hubs, "key").filter("node <> a").groupBy(F.col("node").alias("b"), "a").agg(F.sum("weight").alias("k"))
+    hubs = stored(each.join(merged(degree), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("a")))
+    met = each.join(merged(hubs), "key").filter("node <> a").groupBy(F.col("node").alias("b"), "a").agg(F.sum("weight").alias("k"))
     return met.groupBy("b").agg(F.max(F.struct("k", "a")).alias("x")).select("x.a", "b")
 
 
+def _enough(common: F.Column, both: F.Column) -> F.Column:
+    """Whether ``common`` members in common make sets with ``both`` members together similar."""
+    return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * both
+
+
+def _head(n: F.Column) -> F.Column:
+    """Members of the prefix of a set of ``n``."""
+    return n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1
+
+
 def candidates(each: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of nodes of different components (``node``, ``root``) that may be similar, with their sizes; each once."""
-    own = each.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    """Pairs ``a``, ``b`` of nodes of different components (``node``, ``root``) that may be similar; each once.
+
+    A pair is made under the first key that both have, if the prefixes have
+    enough in common: what else is common lies behind one of the prefixes, so
+    that it is no more than that set's rest.  A node of more than ``KEYS`` keys
+    does not carry them; its pairs are made under each key and then once.
+    """
+    own = each.join(merged(roots), "node", "left").select("key", "node", "n", "at", "weight", F.coalesce("root", "node").alias("root"))
     own = stored(own)
     mixed_keys = stored(own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"))
-    own = own.join(mixed_keys, "key", "left_semi")
+    own = stored(own.join(merged(mixed_keys), "key", "left_semi"))
+    lists = F.array_sort(F.collect_list(F.struct("key", "weight")))
+    carried = own.groupBy("node").agg(F.count("*").alias("k"), lists.alias("l")).filter(F.col("k") <= KEYS)
+    own = own.join(merged(carried.select("node", F.col("l.key").alias("keys"), F.col("l.weight").alias("weights"))), "node", "left")
     x, y = own.alias("x"), own.alias("y")
     most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # of members in common, if this is the first
-    enough = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & enough)
+    both = F.array_intersect("x.keys", "y.keys")
+    shared = F.aggregate(both, F.lit(0).cast("long"), lambda s, k: s + F.element_at("x.weights", F.array_position("x.keys", k).cast("int")))
+    rest = F.greatest(F.col("x.n") - _head(F.col("x.n")), F.col("y.n") - _head(F.col("y.n")))
+    total = F.col("x.n") + F.col("y.n")
+    once = F.coalesce((F.array_min(both) == F.col("x.key")) & _enough(shared + rest, total), F.lit(True))
+    pairs = x.join(merged(y), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _enough(most, total) & once)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _joined(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
     """``pairs`` with ``value`` of both nodes as ``x`` and ``y``."""
     for side, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col(value).alias(name)), side)
+        pairs = pairs.join(merged(sets.select(F.col("node").alias(side), F.col(value).alias(name))), side)
     return pairs
 
 
-def _enough(common: F.Column, both: F.Column) -> F.Column:
-    """Whether ``common`` members in common make sets with ``both`` members together similar."""
-    return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * both
-
-
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` of ``nodes`` whose sets have the similarity: first those are ruled out whose tallies differ
     too much, then the sets of the others are made and compared."""
@@ -183,7 +203,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     least = total(F.zip_with("x", "y", lambda u, v: F.least(u, v)))
     left = stored(_joined(pairs, nodes, "tally").filter(_enough(least, total(x) + total(y))).select("a", "b"))
     ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(nodes.join(ends, "node", "left_semi").select("node", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    texts = docs.join(merged(nodes.join(merged(ends), "node", "left_semi").select("node", "h1", "h2")), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     sets = stored(_sets(texts, "node"))
     return _joined(left, sets, "shingles").filter(_enough(F.size(F.array_intersect(x, y)), F.size(x) + F.size(y))).select("a", "b")
 
@@ -205,4 +225,4 @@ def near_classes(docs: DataFrame) -> DataFrame:
     edges = stored(similar(first, nodes, docs))
     more = similar(candidates(each, components(edges)), nodes, docs)
     roots = components(edges.union(more))
-    return rows.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    return rows.join(merged(roots), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))

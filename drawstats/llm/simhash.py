@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, pieces, stored, text_buffer, trimmed, words_of
+from .common import LOWER, discard, merged, pieces, stored, text_buffer, trimmed, words_of
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 
@@ -147,13 +147,13 @@ def links(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
     keyed = nodes.select("fp", F.explode(_keys(d)).alias("key"))
     held = stored(keyed.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("size")).filter("size > 1"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= d
-    star = keyed.join(held.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & (F.col("fp") > F.col("least")) & near)
+    star = keyed.join(merged(held.withColumnRenamed("key", "of")), (F.col("key") == F.col("of")) & (F.col("fp") > F.col("least")) & near)
     star = stored(star.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
-    own = nodes.join(components(star), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode(_keys(d)).alias("key"))
+    own = nodes.join(merged(components(star)), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode(_keys(d)).alias("key"))
     hot = held.filter(F.col("size") > HOT_KEY).select("key", F.lit(True).alias("hot"))
     whole = F.array(F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("bits")))
     cut = F.array(*[F.struct(F.lit(k).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(_slices(d))])
-    fine = own.join(hot, "key", "left").select("fp", "root", "key", F.explode(F.when(F.col("hot"), cut).otherwise(whole)).alias("s"))
+    fine = own.join(merged(hot), "key", "left").select("fp", "root", "key", F.explode(F.when(F.col("hot"), cut).otherwise(whole)).alias("s"))
     fine = fine.select("fp", "root", "key", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
     x, y = fine.alias("x"), fine.alias("y")
     diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
@@ -165,7 +165,7 @@ def links(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
         & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & (F.bit_count(diff) <= d)
         & (F.shiftright("x.key", 40).cast("int") == _first_key(diff, d)) & ((F.col("x.n") < 0) | (F.col("x.n") == first_slice))
     )
-    rest = x.join(y, met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    rest = x.join(merged(y), met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     return star.union(rest)
 
 
@@ -173,17 +173,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest value reachable) of the nodes of edges ``a``, ``b``.
 
     Rounds go on until one changes nothing; their number grows with the
-    logarithm of a component's size.  Edges with a null end are no links.
+    logarithm of a component's size.  Edges with a null end are no links.  Joins
+    merge: broadcasts of every round would add up in the driver.
     """
     edges = stored(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(merged(low), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = down.join(merged(low), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         before, edges = edges, stored(small.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -206,10 +207,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     nodes = stored(nodes)
     member = components(links(nodes.select("fp"), d))
-    labelled = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = nodes.join(merged(member), nodes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # stored, so that the join below can split a large class over tasks
     smallest = stored(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_fp = labelled.join(smallest, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(
+    of_fp = labelled.join(merged(smallest), "root").select("fp", "component_id")
+    return fps.join(merged(of_fp), "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
