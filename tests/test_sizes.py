@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 
 from drawstats import catalog
 from drawstats.operators import blocks, sampling, scores, tallies
-from drawstats.plans import serve
+from drawstats.plans import backtest, serve, tuning
 
 DATA = "/root/testdata/sf0.001"
 
@@ -73,3 +74,41 @@ def test_no_recommendation_where_every_sample_was_drawn(spark):
     p = serve.PRESETS["A"]
     assert serve.kept(drawn, p, [], past, relaxed=False).count() == 0 and serve.kept(drawn, p, [], past).count() == n
     assert serve.kept(drawn, p, [], seen.limit(1), relaxed=False).count() < n
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_rounds_before_cost_the_same_for_any_frame(rounds):
+    rows, df = rounds
+    assert not re.search(r"RowFrame, -(?!1,)\d+, -1\)", plan(scores.statistics(df)))  # no frame that goes through its rows again for each row
+    got = {(r.pos, r.number): r for r in scores.statistics(df, 60).collect()}
+    for t in (1, 2, 6, 21, 61, 257, 258, 301):
+        for n in (1, 9, 45):
+            past = [n in c for _, c, _ in rows[: t - 1]]
+            r = got[t, n]
+            assert (r.base, r.hot, r.cold) == (pytest.approx((1 + sum(past[-60:])) / (2 + len(past[-60:]))), sum(past[-5:]) >= 2, bool(past) and not any(past[-10:]))
+            assert r.excess == pytest.approx(max(0, sum(past[-20:]) - len(past[-20:]) * 6 / 45))
+
+
+def test_fitness_of_draws_equals_that_of_all_statistics(spark, rounds):
+    df = rounds[1]
+    w = tuning.weight_table(spark, catalog._WEIGHTS)
+    want = backtest.fitness(backtest.labelled(df).drop("block"), w, 600, 850)  # joins and ranks by round
+    got = backtest.fitness_of(df, w, 600, 850)
+    shuffled = r"hashpartitioning\([^)]*individual#\d+, pos#"  # a row for each vector, round and number
+    assert re.search(shuffled, plan(want)) and not re.search(shuffled, plan(got))
+    assert [tuple(r) for r in got.orderBy("individual").collect()] == [pytest.approx(tuple(r)) for r in want.orderBy("individual").collect()]
+    for ends in ((100, 890), (880, 890), (-5, 890)):
+        with pytest.raises(ValueError):
+            backtest.fitness_of(df, w, *ends)
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="test tables are not here")
+def test_weight_fitness_makes_statistics_of_the_scored_rounds_alone(spark, monkeypatch):
+    made, plain = [], backtest.labelled
+    monkeypatch.setattr(backtest, "labelled", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    assert catalog.QUERIES["weight_fitness"](spark, DATA).count() == len(catalog._WEIGHTS)
+    n = catalog.draws_of(spark, DATA).count()
+    assert n > 100 and [df.select("pos").distinct().count() for df in made] == [20 + n - int(n * 0.8) + 1]
