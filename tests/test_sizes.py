@@ -112,3 +112,27 @@ def test_weight_fitness_makes_statistics_of_the_scored_rounds_alone(spark, monke
     assert catalog.QUERIES["weight_fitness"](spark, DATA).count() == len(catalog._WEIGHTS)
     n = catalog.draws_of(spark, DATA).count()
     assert n > 100 and [df.select("pos").distinct().count() for df in made] == [20 + n - int(n * 0.8) + 1]
+
+
+def test_samples_of_equal_weights(spark, rounds):
+    groups = spark.createDataFrame([(k, k % 3) for k in range(40)], "pos long, x int")
+    equal = groups.select("pos", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("number"), F.lit(1.0 / 45).alias("p"))
+    want = sampling.samples(equal, 7, F.lit(3) + F.col("pos"), ["pos"], start=2).join(groups, "pos")
+    got = sampling.equal_samples(groups, 7, F.lit(3) + F.col("pos"), start=2)
+    key = ("pos", "x", "sample_id", "c")
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect())) and got.count() == 280
+
+
+def test_of_equal_digits_the_smaller_number_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(sampling.combos, "digest", lambda keyed: F.when(keyed.rlike("[|](45|9|30)$"), "0000000a").otherwise("00000009"))
+    got = sampling.equal_samples(spark.range(1), 1).first()
+    assert got.c == [1, 2, 3, 9, 30, 45]
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="test tables are not here")
+def test_random_baseline_deals_rounds_out_and_shuffles_no_numbers(spark):
+    df = catalog.QUERIES["random_baseline"](spark, DATA)
+    text = plan(df)
+    assert "REPARTITION_BY_NUM" in text and "ObjectHashAggregate" not in text.split("REPARTITION_BY_NUM")[0] and "Join" not in text.split("REPARTITION_BY_NUM")[0]
+    assert text.count("parquet") == 0  # draws are made once, not in each branch
+    assert df.count() == 5 * catalog.draws_of(spark, DATA).count()
