@@ -3,8 +3,8 @@
 A fingerprint has 64 bits.  Two fingerprints that differ in at most ``d`` bits,
 cut into ``d // 2 + 1`` segments, agree up to one bit in at least one segment.
 Each distinct fingerprint is indexed under every segment with one bit removed
-(64 keys in all, whatever the number of segments); an equality join on those
-keys meets every pair to be linked, and a bit count of the difference verifies it.
+(64 keys in all, whatever the number of segments); equal keys meet every pair
+to be linked, and a bit count of the difference verifies it.
 Copies with one fingerprint are one node, so they make no pairs.
 
 Under a key all fingerprints near its least one are linked to that one; of the
@@ -18,15 +18,17 @@ the shared checkpoint folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import operator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, merged, pieces, stored, text_buffer, trimmed, words_of
+from .common import LOWER, discard, merged, partitions, pieces, stored, text_buffer, trimmed, words_of
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 
@@ -98,39 +100,51 @@ def _segments(d: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
-def _keys(d: int) -> F.Column:
-    """All one-bit-removed segment values of ``fp`` as longs."""
-    keys = []
-    for low, width in _segments(d):
-        segment = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-        for bit in range(width):
-            above = F.shiftright(segment, bit + 1)
-            below = segment.bitwiseAND(F.lit((1 << bit) - 1))
-            keys.append(F.shiftleft(above, bit).bitwiseOR(below).bitwiseOR(F.lit((low + bit) << 40)))
-    return F.array(*keys)
-
-
+#: Parts of a segment.
+PARTS = 3
 #: A key with more fingerprints than this is cut again by slices.
 HOT_KEY = 256
 
 
-def _mask(bits: list[int]) -> int:
+def _mask(bits: Iterable[int]) -> int:
     out = sum(1 << b for b in bits)
     return out - (1 << 64) if out >> 63 else out
 
 
 def _slices(d: int) -> list[int]:
     """Masks of ``d + 1`` slices of every ``d + 1``-th bit; ``d`` differing bits leave one slice equal."""
-    return [_mask(list(range(k, 64, d + 1))) for k in range(d + 1)]
+    return [_mask(range(k, 64, d + 1)) for k in range(d + 1)]
+
+
+def _parts(d: int) -> list[tuple[range, range]]:
+    """Each part of each segment: the segment's bits and its own."""
+    return [(range(low, low + width), range(low + width * i // PARTS, low + width * (i + 1) // PARTS)) for low, width in _segments(d) for i in range(PARTS)]
+
+
+def _kept(bit: F.Column, d: int) -> F.Column:
+    """The mask of what is left of a segment without ``bit``."""
+    return F.get(F.array(*[F.lit(_mask(set(range(low, low + width)) - {b})) for low, width in _segments(d) for b in range(low, low + width)]), bit)
 
 
-def _first_key(x: F.Column, d: int) -> F.Column:
-    """The bit of the first key under which two fingerprints with difference ``x`` meet."""
-    out = F.lit(-1)
-    for low, width in reversed(_segments(d)):
-        part = x.bitwiseAND(F.lit(_mask(list(range(low, low + width)))))
-        ones = F.bit_count(part)
-        out = F.when(ones == 0, F.lit(low)).when(ones == 1, F.bit_count(part - 1)).otherwise(out)
+def _dealt(nodes: DataFrame, d: int) -> DataFrame:
+    """Each row of ``nodes`` once a part, dealt to tasks by ``part`` and ``rest``, the bits of the segment outside of the part."""
+    rest = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(set(whole) - set(part)))).alias("rest")) for i, (whole, part) in enumerate(_parts(d))]
+    return nodes.select("*", F.inline(F.array(*rest))).repartition(partitions(nodes.sparkSession), "part", "rest")
+
+
+def _keyed(rows: DataFrame, d: int) -> DataFrame:
+    """Each of ``rows`` (``_dealt``) once a key: ``bit`` (the removed one, of the row's part) and ``left`` (what is left of the segment)."""
+    bits = F.array(*[F.array(*map(F.lit, part)) for _, part in _parts(d)])
+    return rows.select("*", F.explode(F.get(bits, "part")).alias("bit")).withColumn("left", F.col("fp").bitwiseAND(_kept(F.col("bit"), d)))
+
+
+def _first(diff: F.Column, bit: F.Column, d: int) -> F.Column:
+    """Whether the key without ``bit``, which two fingerprints with difference ``diff`` have, is the first that they have."""
+    out, apart = F.lit(False), F.lit(True)
+    for low, width in _segments(d):
+        inside = diff.bitwiseAND(F.lit(_mask(range(low, low + width))))
+        out = out | (bit.between(low, low + width - 1) & apart & ((inside != 0) | (bit == low)))
+        apart = apart & (F.bit_count(inside) > 1)
     return out
 
 
@@ -138,35 +152,47 @@ def links(nodes: DataFrame, d: int = DISTANCE) -> DataFrame:
     """Pairs ``a < b`` of distinct values of ``nodes.fp`` that differ in 1 to ``d`` bits, enough of them to join all values
     that a chain of such differences joins.
 
+    Fingerprints with one key have the segment's other parts in common, whole.
+    They are dealt to tasks by those, a row a part, and keys are made where the
+    rows lie, so that keys are not shuffled.
+
     Under each key every fingerprint is compared with the least one, which
     makes a star of a dense group and not all its pairs.  Of the others only
     pairs of different components of the stars are made, each once.  A key with
     many fingerprints is joined only within equal slices of the whole
     fingerprint, one of which every linked pair shares.
     """
-    keyed = nodes.select("fp", F.explode(_keys(d)).alias("key"))
-    held = stored(keyed.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("size")).filter("size > 1"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= d
-    star = keyed.join(merged(held.withColumnRenamed("key", "of")), (F.col("key") == F.col("of")) & (F.col("fp") > F.col("least")) & near)
-    star = stored(star.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
-    own = nodes.join(merged(components(star)), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode(_keys(d)).alias("key"))
-    hot = held.filter(F.col("size") > HOT_KEY).select("key", F.lit(True).alias("hot"))
-    whole = F.array(F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("bits")))
-    cut = F.array(*[F.struct(F.lit(k).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(_slices(d))])
-    fine = own.join(merged(hot), "key", "left").select("fp", "root", "key", F.explode(F.when(F.col("hot"), cut).otherwise(whole)).alias("s"))
-    fine = fine.select("fp", "root", "key", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
+    same = Window.partitionBy("left", "bit", "part", "rest")
+    seen = _keyed(_dealt(nodes.select("fp"), d), d).select("*", F.min("fp").over(same).alias("least"), F.count("*").over(same).alias("size")).filter("size > 1")
+    near = (F.col("fp") > F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= d)
+    crowded = (F.col("fp") == F.col("least")) & (F.col("size") > HOT_KEY)
+    found = seen.filter(near | crowded).select(F.when(near, F.col("least")).alias("a"), F.when(near, F.col("fp")).alias("b"), F.when(crowded, F.struct("part", "rest", "bit", "left")).alias("hot"))
+    found = stored(found.distinct())
+    star, hot = found.filter("a IS NOT NULL").select("a", "b"), found.filter("hot IS NOT NULL").select("hot.*")
+    own = nodes.join(merged(components(star)), nodes.fp == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    own = _dealt(own, d)
+
+    lists = hot.groupBy("part", "rest").agg(F.collect_set(F.struct("bit", "left")).alias("hot"))
+    cold = _keyed(own.join(merged(lists), ["part", "rest"], "left"), d).filter(F.col("hot").isNull() | ~F.array_contains("hot", F.struct("bit", "left"))).drop("hot")
+    cold = cold.select("*", F.min("root").over(same).alias("low"), F.max("root").over(same).alias("high")).filter("low < high")
+    cold = cold.select("fp", "root", "bit", F.collect_list(F.struct("fp", "root")).over(same).alias("all"))
+
+    def linked(x: Callable[[str], F.Column], y: Callable[[str], F.Column]) -> F.Column:
+        diff = x("fp").bitwiseXOR(y("fp"))
+        return (x("fp") < y("fp")) & (F.bit_count(diff) <= d) & (x("root") != y("root")) & _first(diff, x("bit"), d)
+
+    pairs = cold.select(F.col("fp").alias("a"), F.explode(F.filter("all", lambda y: linked(F.col, y.getField))).alias("y")).select("a", F.col("y.fp").alias("b"))
+
+    cut = F.inline(F.array(*[F.struct(F.lit(k).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(_slices(d))]))
+    fine = own.join(merged(hot), ["part", "rest"]).filter(F.col("fp").bitwiseAND(_kept(F.col("bit"), d)) == F.col("left")).select("fp", "root", "bit", "left", cut)
     x, y = fine.alias("x"), fine.alias("y")
     diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     first_slice = F.lit(-1)
     for k, m in reversed(list(enumerate(_slices(d)))):
         first_slice = F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(k)).otherwise(first_slice)
-    met = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.bits") == F.col("y.bits"))
-        & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & (F.bit_count(diff) <= d)
-        & (F.shiftright("x.key", 40).cast("int") == _first_key(diff, d)) & ((F.col("x.n") < 0) | (F.col("x.n") == first_slice))
-    )
-    rest = x.join(merged(y), met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    return star.union(rest)
+    equal = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("left", "bit", "n", "bits")]
+    met = functools.reduce(operator.and_, [*equal, linked(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")), F.col("x.n") == first_slice])
+    return star.union(pairs).union(x.join(merged(y), met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
